@@ -1,0 +1,39 @@
+"""Cutting lineage and reading settings, so that jobs survive lost executors."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no shared folder, as in local tests.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    return LOCAL_CHECKPOINTS
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the files behind a frame returned by :func:`cut` once nothing reads it any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/cut-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
