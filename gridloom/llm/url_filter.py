@@ -59,12 +59,11 @@ class DigestArray:
     def ship(self, spark: SparkSession) -> dict[str, str]:
         """Give every executor the files; the names under which tasks find them."""
         names = {}
-        folder = tempfile.mkdtemp(prefix="digests-")
         for part, values in self.parts.items():
-            name = f"digests-{hashlib.sha256(values.tobytes()).hexdigest()[:24]}-{part}.npy"
-            np.save(os.path.join(folder, name), values)
-            spark.sparkContext.addFile(os.path.join(folder, name))
-            names[part] = name
+            names[part] = f"digests-{hashlib.sha256(values.tobytes()).hexdigest()[:24]}-{part}.npy"
+            path = os.path.join(tempfile.gettempdir(), names[part])  # one path for one content, as addFile wants
+            np.save(path, values)
+            spark.sparkContext.addFile(path)
         return names
 
 
