@@ -111,9 +111,9 @@ class Words:
         return np.diff(self.bounds)
 
 
-def words(part: Slice, kind: np.ndarray) -> Words:
-    """Runs of bytes of ``kind`` (ALNUM or SOLID), A-Z lower-cased."""
-    low = LOWER[part.data]
+def words(part: Slice, kind: np.ndarray, lower: bool = True) -> Words:
+    """Runs of bytes of ``kind`` (ALNUM or SOLID), A-Z lower-cased unless ``lower`` is false."""
+    low = LOWER[part.data] if lower else part.data
     inside = kind[part.data].view(np.int8)
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
