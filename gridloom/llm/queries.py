@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import make_importable
 from .decontaminate import contamination
 from .fingerprint_chain import fingerprint_chain
+from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
@@ -16,7 +18,7 @@ from .url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return make_importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lines_total").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_chain(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprint": op7_fingerprint,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
