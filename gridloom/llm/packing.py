@@ -11,6 +11,7 @@ tasks look their items' ranks up in it.
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from .store import cut
 CAPACITY = 4096
 #: The id that ends each document.
 END_ID = 1
-#: Words whose ids a task keeps at most; then it starts anew.
-CACHE_WORDS = 400_000
+#: Units whose ids a worker keeps at most, about 60 MB; then it starts anew.
+CACHE_WORDS = 1_000_000
 #: Pieces of one length that are ranked in one window group, about.
 RANK_GROUP = 500_000
 
@@ -38,10 +39,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<>|"]] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[0x61:0x7B] = True
+
+
 class WordIds:
-    """Ids of the white-space separated words of texts, each word encoded once.
+    """Ids of texts from the ids of their units, each different unit encoded once.
 
-    The tokenizer breaks at white space and drops it, so a text's ids are its words' ids in order.
+    The tokenizer lower-cases, drops white space, and breaks between white space and
+    everything, and between a letter and punctuation other than an apostrophe. So a
+    text's ids are those of its units in order: white-space separated runs, cut after letters that
+    punctuation follows. Angle brackets and bars cut nothing, as special tokens hold them.
     """
 
     def __init__(self, path: str):
@@ -49,57 +59,92 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
-        self.first = np.zeros(1 << 10, np.int64)
-        self.count = np.zeros(1 << 10, np.int64)
-        self.flat = np.zeros(1 << 12, np.uint32)
+        self.keys = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _add(self, keys: list[int], chunks: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, size = len(self.row), int(counts.sum())
-        while n + len(ids) > len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
-        while self.used + size > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + size] = np.fromiter((t for x in ids for t in x), np.uint32, size)
-        self.count[n : n + len(ids)] = counts
-        self.first[n : n + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.used += size
-        self.row.update(zip(keys, range(n, n + len(keys)), strict=True))
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+
+    def _word_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for chunks that are one word each: encoded in one go, a word ends at an end-of-word token."""
+        ids = np.array([i for x in self._ids([b" ".join(chunks[k : k + 1000]) for k in range(0, len(chunks), 1000)]) for i in x], np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(chunks):
+            raise ValueError(f"{len(chunks)} words gave {len(ends)} ends of words")
+        return ids, np.diff(ends, prepend=0)
+
+    def _add(self, keys: np.ndarray, chunks: list[bytes], word: np.ndarray) -> None:
+        ids, counts = self._word_ids([c for c, w in zip(chunks, word.tolist(), strict=True) if w])
+        others = self._ids([c for c, w in zip(chunks, word.tolist(), strict=True) if not w])
+        size = np.zeros(len(chunks), np.int64)
+        size[word], size[~word] = counts, [len(x) for x in others]
+        new = np.zeros(int(size.sum()), np.uint32)
+        ours = np.repeat(word, size)
+        new[ours], new[~ours] = ids, [i for x in others for i in x]
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+        self.flat[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.insert(self.first, at, self.used + np.cumsum(size) - size)
+        self.count = np.insert(self.count, at, size)
+        self.used += len(new)
 
     def encode(self, part: W.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each followed by END_ID, and where each text's begin."""
-        w = W.words(part, W.SOLID, lower=False)
-        keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-        known = keys.tolist()
-        if len(self.row) + len(known) > CACHE_WORDS:
+        data, raw = part.data, part.data.tobytes()
+        low = data if b"<|" in raw else W.LOWER[data]
+        solid = W.SOLID[data]
+        letter = _LETTERS[W.LOWER[data]]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, all letters but two
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        letter[lead] = letter[lead + 1] = True
+        cut_here, before = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        cut_here[1:] = _PUNCTUATION[data[1:]] & letter[:-1]
+        before[1:] = solid[:-1]
+        starts, ends = np.flatnonzero(solid & (~before | cut_here)), np.flatnonzero(before & (~solid | cut_here))
+        keys, first, inverse = np.unique(W.hash_spans(low, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE_WORDS:
             self.clear()
-        new = [i for i, k in enumerate(known) if k not in self.row]
-        raw = part.data.tobytes()
-        self._add([known[i] for i in new], [raw[w.starts[j] : w.ends[j]] for j in first[new].tolist()] if new else [])
-        rows = np.fromiter(map(self.row.__getitem__, known), np.int64, len(known))[inverse]
-        counts = self.count[rows]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.first[rows] - ends[:-1], counts)]
-        bounds = ends[w.bounds]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            a, b = starts[first[new]], ends[first[new]]
+            letters = np.concatenate(([0], np.cumsum(letter)))
+            self._add(keys[new], [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], letters[b] - letters[a] == b - a)
+            at = np.searchsorted(self.keys, keys)
+        rows = at[inverse]
+        counts = self.count[rows].astype(np.int64)
+        ends_of = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.flat[np.arange(ends_of[-1]) + np.repeat(self.first[rows] - ends_of[:-1], counts)]
+        bounds = ends_of[np.searchsorted(starts, part.offsets)]
         out = np.full(len(ids) + part.n, END_ID, np.uint32)
-        doc = np.repeat(np.arange(part.n), np.diff(bounds))
-        out[np.arange(len(ids)) + doc] = ids
+        out[np.arange(len(ids)) + np.repeat(np.arange(part.n), np.diff(bounds))] = ids
         return out, bounds + np.arange(part.n + 1)
 
 
+@functools.lru_cache(maxsize=1)
+def _coder(path: str) -> WordIds:
+    """One for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each document's ids and END_ID, cut at ``capacity``."""
     path = path or tokenizer_path()
     shown = docs.select(F.col(id_column).alias("id"), W.text_column(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        coder = _coder(path)
         for batch in batches:
             for part in W.slices(batch["text"]):
                 ids, bounds = coder.encode(part)

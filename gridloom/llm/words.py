@@ -111,19 +111,23 @@ class Words:
         return np.diff(self.bounds)
 
 
-def words(part: Slice, kind: np.ndarray, lower: bool = True) -> Words:
-    """Runs of bytes of ``kind`` (ALNUM or SOLID), A-Z lower-cased unless ``lower`` is false."""
-    low = LOWER[part.data] if lower else part.data
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes."""
+    up, down = _Powers.get(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def words(part: Slice, kind: np.ndarray) -> Words:
+    """Runs of bytes of ``kind`` (ALNUM or SOLID), A-Z lower-cased."""
+    low = LOWER[part.data]
     inside = kind[part.data].view(np.int8)
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edges = np.concatenate(([0], edges))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _Powers.get(len(low) + 1)
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(low, starts, ends, hashes, np.searchsorted(starts, part.offsets))
+    return Words(low, starts, ends, hash_spans(low, starts, ends), np.searchsorted(starts, part.offsets))
 
 
 def windows(w: Words, k: int) -> np.ndarray:
