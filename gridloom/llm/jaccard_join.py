@@ -42,6 +42,8 @@ SCAN_COST = 4
 MOST_SMALL = 24
 #: Members of a list that are compared with all others in one round.
 PIVOTS = 256
+#: Ids that are broadcast at most to choose texts: 8 bytes each.
+BROADCAST_IDS = 100_000
 #: Parity bits of a set, as 64-bit columns.
 PARITY = ("p0", "p1", "p2", "p3")
 
@@ -158,30 +160,46 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s): the sorted sets of the documents with these ids; a bitmap keeps most others from being cut into words."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h"))
+    """(id, s): the sorted sets of the documents with these ids.
+
+    Up to BROADCAST_IDS ids are broadcast and choose the texts; beyond, a bitmap of fixed size keeps
+    most other texts from being cut into words and a join drops the rest.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = docs.where("id is not null").select("id", "text", F.xxhash64("id").alias("h"))
+    if few:
+        wanted = wanted.join(F.broadcast(ids), "id", "left_semi")
+    bitmap = None if few else docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch["h"].to_numpy().view(np.uint64))))
+            if bitmap is not None:
+                batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch["h"].to_numpy().view(np.uint64))))
             for part in W.slices(batch["text"]):
                 values, bounds = _sets(part, k)
                 yield pa.RecordBatch.from_arrays([batch["id"][part.lo : part.hi], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "s"])
 
-    found = docs.where("id is not null").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, f"id {dict(docs.dtypes)['id']}, s array<long>")
-    return found.join(ids, "id", "left_semi")
+    found = wanted.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, s array<long>")
+    return found if few else found.join(ids, "id", "left_semi")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are near enough, compared exactly."""
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Those pairs (a, b) whose sets are near enough, compared exactly; None if there are none."""
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return None
+    sets = cut(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k))
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = cut(pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    drop_cut(sets)
+    return None if links.isEmpty() else links
 
 
-def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    edges = links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))
-    return cut(components(edges))
+def _merge(labels: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is None:
+        return labels
+    return cut(components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))))
 
 
 def _possible(percent: int):
@@ -203,14 +221,14 @@ def _other(members: DataFrame, *more: str) -> DataFrame:
 def link_components(listed: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, label) for every class representative that has a link; ``listed``: (id, n, parity, tokens, subsets), one row a class."""
     members = ("token", "id", "n", "pos", *PARITY)
-    rarest = F.size("tokens")
-    postings = listed.select("id", "n", *PARITY, rarest.alias("own"), F.posexplode(F.concat("tokens", "subsets")).alias("pos", "token")).withColumn("pos", F.when(F.col("pos") < F.col("own"), F.col("pos")).otherwise(0))
-    several = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1")
-    lists = cut(postings.join(several, "token").select(*members, "hub"))
-    sets = cut(_sets_of(docs, lists.select("id").distinct(), k))
+    spots = F.transform(F.concat("tokens", "subsets"), lambda x, i: F.struct(x.alias("token"), F.when(i < F.size("tokens"), i).otherwise(0).alias("pos")))
+    postings = listed.select("id", F.inline(spots))
+    several = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("token", "hub")
+    lists = cut(cut(postings.join(several, "token")).join(listed.select("id", "n", *PARITY), "id"))
     hubs = _other(lists.where(F.col("id") == F.col("hub")))
     pairs = lists.join(hubs, "token").where((F.col("id") != F.col("o_id")) & _possible(percent)).select(F.col("o_id").alias("a"), F.col("id").alias("b")).distinct()
-    labels = _merge(None, _linked(pairs, sets, percent))
+    none = docs.sparkSession.createDataFrame([], f"id {dict(docs.dtypes)['id']}, label {dict(docs.dtypes)['id']}")
+    labels = _merge(none, _linked(pairs, docs, k, percent))
     lists = lists.select(*members)
     while True:
         marked = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -227,9 +245,7 @@ def link_components(listed: DataFrame, docs: DataFrame, k: int = SHINGLE, percen
             .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
             .distinct()
         )
-        links = cut(_linked(pairs, sets, percent))
-        if not links.isEmpty():
-            labels = _merge(labels, links)
+        labels = _merge(labels, _linked(pairs, docs, k, percent))
         lists = ranked.where(F.col("rank") > PIVOTS).select(*members)
 
 
