@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
+from .substring_dedup import dedup_substrings
 from .url_filter import filter_urls
 
 
@@ -46,6 +47,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_chain(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprint": op7_fingerprint,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
 }
