@@ -11,10 +11,12 @@ from ..session import make_importable
 from .decontaminate import contamination
 from .fingerprint_chain import fingerprint_chain
 from .jaccard_join import jaccard_components
+from .language_id import fit_languages, identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
 from .substring_dedup import dedup_substrings
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
 
 
@@ -22,6 +24,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return make_importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(id_column: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(folds))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scorer = fit_toxicity(docs, labels.where(_fold("doc_id", 4) != 2))
+    scored = score_toxicity(docs, scorer)
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(token_pieces(_table(spark, sf_dir, "documents")))
     return packed.select(F.col("id").alias("doc_id"), "piece", F.col("start").alias("start"), "length", "ids_crc32", "sequence_id", "offset")
@@ -39,6 +54,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lines_total").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    langs, table = fit_languages(docs.where(_fold("doc_id", 5) != 0))
+    held_out = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    return identify_languages(docs, langs, table).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -60,9 +82,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprint": op7_fingerprint,
     "op8_substring_dedup": op8_substring_dedup,
