@@ -11,7 +11,9 @@ are first compared with one hub, linked members are merged, and only members sti
 different components are compared again, some pivots of a list at a time, until every
 list is one component or all its pairs across components have been compared. Three bounds
 that lose no link come before a pair is formed: sizes, the shared shingle's places in the
-common order, and 256 parity bits whose differences cannot outnumber the sets' own.
+common order, and 256 parity bits whose differences cannot outnumber the sets' own. Of a
+pair that is left, the sets' counts in 256 buckets are compared, which bounds their difference
+too; only pairs that pass have their sets fetched.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .components import components
@@ -46,6 +49,8 @@ PIVOTS = 256
 BROADCAST_IDS = 100_000
 #: Parity bits of a set, as 64-bit columns.
 PARITY = ("p0", "p1", "p2", "p3")
+#: Buckets of a set's counts, one byte each.
+BUCKETS = 256
 
 
 def needed(s: int, t: int, percent: int = PERCENT) -> int:
@@ -128,7 +133,7 @@ def _subset_tokens(values: np.ndarray, percent: int) -> list[int]:
 
 
 def shingle_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n, key, parity, tokens, subsets) of (id, text): each set's size, digest, parity bits, rarest shingles and subsets."""
+    """(id, n, key, parity, tokens, subsets) of (id, text): each set's size, digest, parity bits, bucket counts, rarest shingles and subsets."""
     table, small = _statistics(docs, k, percent)
     sc = docs.sparkSession.sparkContext
     rarity = sc.broadcast(table)
@@ -152,11 +157,13 @@ def shingle_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
                 subsets = pa.array([_subset_tokens(values[a:b], percent) if x else [] for x, (a, b) in zip(little.tolist(), itertools.pairwise(bounds.tolist()), strict=True)], pa.list_(pa.int64()))
                 odd = np.bincount(doc * 256 + (values & np.uint64(255)).astype(np.int64), minlength=part.n * 256) & 1
                 parity = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(part.n, 4)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"][part.lo : part.hi], pa.array(counts), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), tokens, subsets], ["id", "n", "key", *PARITY, "tokens", "subsets"]
-                )
+                buckets = np.bincount(doc * BUCKETS + (values >> np.uint64(8) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=part.n * BUCKETS)
+                buckets = np.minimum(buckets, 255).astype(np.uint8)
+                buckets = pa.Array.from_buffers(pa.binary(), part.n, [None, pa.py_buffer(np.arange(part.n + 1, dtype=np.int32) * BUCKETS), pa.py_buffer(buckets)])
+                columns = [pa.array(counts), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), buckets, tokens, subsets]
+                yield pa.RecordBatch.from_arrays([batch["id"][part.lo : part.hi], *columns], ["id", "n", "key", *PARITY, "buckets", "tokens", "subsets"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, key binary, {', '.join(f'{c} long' for c in PARITY)}, tokens array<long>, subsets array<long>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, key binary, {', '.join(f'{c} long' for c in PARITY)}, buckets binary, tokens array<long>, subsets array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -183,9 +190,19 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found if few else found.join(ids, "id", "left_semi")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+@F.arrow_udf(T.LongType())
+def _apart(x: pa.Array, y: pa.Array) -> pa.Array:
+    """By how much two sets differ at least: the sum of their buckets' differences."""
+    left, right = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in (x, y))
+    return pa.array(np.abs(left - right).sum(axis=1).astype(np.int64))
+
+
+def _linked(pairs: DataFrame, listed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Those pairs (a, b) whose sets are near enough, compared exactly; None if there are none."""
-    pairs = cut(pairs)
+    left, right = (listed.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("buckets").alias(f"k{c}")) for c in "ab")
+    total = F.col("na") + F.col("nb")
+    close = pairs.join(left, "a").join(right, "b").withColumn("apart", _apart("ka", "kb"))
+    pairs = cut(close.where(F.col("apart") <= total - 2 * F.ceil(percent * total / (100 + percent))).select("a", "b"))
     if pairs.isEmpty():
         return None
     sets = cut(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k))
@@ -228,7 +245,7 @@ def link_components(listed: DataFrame, docs: DataFrame, k: int = SHINGLE, percen
     hubs = _other(lists.where(F.col("id") == F.col("hub")))
     pairs = lists.join(hubs, "token").where((F.col("id") != F.col("o_id")) & _possible(percent)).select(F.col("o_id").alias("a"), F.col("id").alias("b")).distinct()
     none = docs.sparkSession.createDataFrame([], f"id {dict(docs.dtypes)['id']}, label {dict(docs.dtypes)['id']}")
-    labels = _merge(none, _linked(pairs, docs, k, percent))
+    labels = _merge(none, _linked(pairs, listed, docs, k, percent))
     lists = lists.select(*members)
     while True:
         marked = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -245,7 +262,7 @@ def link_components(listed: DataFrame, docs: DataFrame, k: int = SHINGLE, percen
             .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
             .distinct()
         )
-        labels = _merge(labels, _linked(pairs, docs, k, percent))
+        labels = _merge(labels, _linked(pairs, listed, docs, k, percent))
         lists = ranked.where(F.col("rank") > PIVOTS).select(*members)
 
 
@@ -260,8 +277,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     """
     shown = docs.select(F.col(id_column).alias("id"), W.text_column(text_column).alias("text"))
     rows = cut(shingle_classes(shown, k, percent))
-    classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *PARITY, "tokens", "subsets")]))
-    listed = classes.where("rep is not null").select(F.col("rep").alias("id"), "n", *PARITY, "tokens", "subsets")
+    classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *PARITY, "buckets", "tokens", "subsets")]))
+    listed = classes.where("rep is not null").select(F.col("rep").alias("id"), "n", *PARITY, "buckets", "tokens", "subsets")
     labels = link_components(listed, shown, k, percent)
     named = classes.select("key", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("label", "rep").alias("component"))
     return rows.select("id", "n", "key").join(named, "key", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
