@@ -4,7 +4,7 @@ Each 50-byte string is keyed by the least hash of the 26-byte grams in it, which
 its bytes alone, so equal strings share a key; neighbouring strings mostly share one too
 and travel as one segment. A first pass finds the keys that two documents have (a bitmap of
 fixed size); a second sends the segments with such keys to shards by key. A shard sorts the
-suffixes of its distinct segments by induction, takes equal 50-byte strings from the
+suffixes of its distinct segments by induction (but for those alone with their key), takes equal 50-byte strings from the
 permuted common prefixes, and finds for each the smallest document. Candidates are
 only narrowed by keys; the suffix arrays decide.
 """
@@ -26,10 +26,10 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 50, 26
 #: Bits of the bitmap of repeated keys: 16 MB whatever the data. A full one costs time, never results.
 KEY_BITS = 27
-#: Bytes of text after which a task hands over what it has gathered.
-FLUSH_BYTES = 24 << 20
-#: Distinct bytes that one suffix array takes; a larger shard is cut between keys.
-ARRAY_BYTES = 12 << 20
+#: Bytes of text after which a task hands over the keys, and the segments, that it has gathered.
+KEYS_BYTES, SEGMENTS_BYTES = 24 << 20, 6 << 20
+#: Distinct bytes that one suffix array takes; more are cut between keys. Twice as many bytes of segments are solved at once.
+ARRAY_BYTES = 3 << 20
 
 
 def _part_bits(spark: SparkSession) -> int:
@@ -89,7 +89,7 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> np.nd
                 first, _, key = _runs(part, length, gram)
                 held.append(W.distinct(key, np.searchsorted(first, part.offsets))[0])
                 size += len(part.data)
-                if size > FLUSH_BYTES:
+                if size > KEYS_BYTES:
                     yield hand_over()
                     held, size = [], 0
         if held:
@@ -135,7 +135,7 @@ def _smallest_owner(text: np.ndarray, at: np.ndarray, size: np.ndarray, owner: n
     whole[_spread(at, size - length + 1)] = True
     held = whole[array]
     place, group = array[held], group[held]
-    segment = np.searchsorted(at, place, "right") - 1
+    segment = np.repeat(np.arange(len(at), dtype=np.int32), size)[place]
     least = np.full(group.max() + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, owner[segment])
     out = np.full(len(text), np.iinfo(np.int64).max)
@@ -143,31 +143,50 @@ def _smallest_owner(text: np.ndarray, at: np.ndarray, size: np.ndarray, owner: n
     return out
 
 
+def _by_segment(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, value) -> np.ndarray:
+    """value(bytes, starts, sizes) of all segments, so many at a time that the temporaries stay small."""
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + (1 << 20))))
+        out.append(value(data[at[a] : at[b - 1] + sizes[b - 1]], at[a:b] - at[a], sizes[a:b]))
+        a = b
+    return np.concatenate(out)
+
+
 def _shard(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, from, to): what the segments of a shard have covered by smaller ids."""
     at = np.cumsum(sizes) - sizes
-    hashes = W.hash_spans(data, at, at + sizes)
+    hashes = _by_segment(data, at, sizes, lambda d, a, n: W.hash_spans(d, a, a + n))
     _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
     owner = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(owner, kind, ids)
+    size = sizes[first]
     width = length - gram + 1
-    # in order of key, so that a large shard can be cut between keys
-    grams = _gram_keys(data, gram)
-    key = grams[_spread(at[first], np.full(len(first), width))].reshape(-1, width).min(axis=1)
+    grams = lambda d, a, n: _gram_keys(d, gram)[_spread(a, np.full(len(a), width))].reshape(-1, width).min(axis=1)
+    text = data[_spread(at[first], size)]
+    key = _by_segment(text, np.cumsum(size) - size, size, grams)
     order = np.argsort(key, kind="stable")
-    size = sizes[first][order]
-    text = data[_spread(at[first][order], size)]
+    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    alone = fresh & np.append(fresh[1:], True)  # the only segment with its key: its strings are in no other
+    begin = np.cumsum(size) - size
+    text = text[_spread(begin[order], size[order])]
+    size = size[order]
     begin = np.cumsum(size) - size
-    fresh = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    least = np.zeros(len(text), np.int64)
+    least = np.repeat(owner[order], size)
+    sort, fresh = np.flatnonzero(~alone), fresh[~alone]
     a = 0
-    while a < len(order):
-        fits = np.searchsorted(begin, begin[a] + ARRAY_BYTES, "right") - 1
-        whole = fresh[np.searchsorted(fresh, fits, "right") - 1] if fits < len(order) - 1 else len(order)
-        after = fresh[np.searchsorted(fresh, a, "right")] if np.searchsorted(fresh, a, "right") < len(fresh) else len(order)
-        b = int(max(whole, after) if whole > a else after)
-        lo, hi = begin[a], begin[b] if b < len(order) else len(text)
-        least[lo:hi] = _smallest_owner(text[lo:hi], begin[a:b] - lo, size[a:b], owner[order[a:b]], length)
+    stop = np.cumsum(size[sort])
+    while a < len(sort):
+        b = int(np.searchsorted(stop, (stop[a - 1] if a else 0) + ARRAY_BYTES, "right"))
+        while b > a + 1 and b < len(sort) and not fresh[b]:
+            b -= 1
+        if b <= a + 1:
+            b = a + 1
+        while b < len(sort) and not fresh[b]:
+            b += 1
+        part = sort[a:b]
+        place = _spread(begin[part], size[part])
+        least[place] = _smallest_owner(text[place], np.cumsum(size[part]) - size[part], size[part], owner[order[part]], length)
         a = b
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -211,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 sizes = last - first + length
                 held.append((key, ids[part.lo + doc], first - part.offsets[doc], sizes, part.data[_spread(first, sizes)]))
                 size += len(part.data)
-                if size > FLUSH_BYTES:
+                if size > SEGMENTS_BYTES:
                     yield hand_over()
                     held, size = [], 0
         if held:
@@ -228,12 +247,15 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
             return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], ["id", "a", "b"])
 
         rows: list[dict] = []
+        size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if rows and rows[0]["part"] != row["part"]:
+            for i in range(batch.num_rows):
+                row = {c: batch[c][i].as_py() for c in batch.schema.names}
+                if rows and rows[-1]["part"] != row["part"] and size + len(row["bytes"]) > 2 * ARRAY_BYTES:
                     yield answer(rows)
-                    rows = []
+                    rows, size = [], 0
                 rows.append(row)
+                size += len(row["bytes"])
         if rows:
             yield answer(rows)
 

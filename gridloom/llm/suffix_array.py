@@ -77,11 +77,10 @@ def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.n
     return array
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of many names in order: ranks of twice the length, again for what is still equal."""
+def _by_doubling(names: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of many names in order: ranks of twice the length, again for what is still equal. order: by name."""
     n = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    rank, order = names.astype(np.int64), order.astype(np.int64)
     step = 1
     while True:
         fresh = np.concatenate(([True], rank[order[1:]] != rank[order[:-1]]))
@@ -92,9 +91,10 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         same = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
         rows = order[same]
         following = np.where(rows + step < n, rank[np.minimum(rows + step, n - 1)] + 1, 0)
-        again = np.lexsort((following, rank[rows]))
+        now = rank[rows] * np.int64(n + 2) + following
+        again = np.argsort(now)
         order[same] = rows[again]
-        now = (rank[rows] * np.int64(n + 2) + following)[again]
+        now = now[again]
         start = np.concatenate(([True], now[1:] != now[:-1]))
         rank[order[same]] = same[np.maximum.accumulate(np.where(start, np.arange(len(same)), 0))]
         step *= 2
@@ -129,7 +129,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         elif name_of[-1] <= INDUCED_NAMES:
             lms = lms[suffix_array(names.astype(np.uint8))]
         else:
-            lms = lms[_by_doubling(names)]
+            lms = lms[_by_doubling(names, at)]
     return _induce(text, smaller, lms, starts, ends)
 
 
@@ -149,7 +149,9 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarra
     # a capped value tells nothing of the next place's, so no chain is longer than the cap
     start = np.flatnonzero(~reducible)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
 
     def compare(places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(places), np.int64)
@@ -158,8 +160,8 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarra
             a, b = places[live] + step, before[places[live]] + step
             ok = (a < n) & (b < n)
             live, a, b = live[ok], a[ok], b[ok]
-            differ = words[a] != words[b]
-            same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+            x = words[a] ^ words[b]
+            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
             same = np.minimum(same, n - np.maximum(a, b))
             out[live] += same
             live = live[same == 8]
@@ -167,7 +169,7 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarra
 
     out = np.zeros(n, np.int64)
     out[start] = compare(start)
-    last = start[np.searchsorted(start, here, "right") - 1]
+    last = np.maximum.accumulate(np.where(reducible, 0, here))
     chained = out[last] - (here - last)
     unsure = reducible & (out[last] == most)
     out[reducible] = np.maximum(chained[reducible], 0)
