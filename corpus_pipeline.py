@@ -1,11 +1,92 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a
+DataFrame; all but the last return the columns of documents. SQL cannot express the first and
+last stage, so ORACLE_SQL is None; tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import packing
+from gridloom.llm.decontaminate import contamination
+from gridloom.llm.jaccard_join import jaccard_components
+from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.store import cut
+from gridloom.llm.toxicity import fit_toxicity, score_toxicity
+from gridloom.session import make_importable
+
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.3
+#: The near-duplicate stage compares sets of five-word shingles at a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return make_importable(spark).read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below TOXIC by the model fitted on the labelled documents; null and empty texts stay."""
+    scorer = fit_toxicity(docs, _labels(spark, sf_dir))
+    scored = score_toxicity(docs, scorer, keep=True)
+    return scored.where((F.col("toxicity") < TOXIC) | (F.length(F.coalesce("text", F.lit(""))) == 0)).drop("toxicity")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, later occurrences of repeated three-line windows taken out; n_chars follows the text."""
+    make_importable(spark)
+    columns = docs.columns
+    done = dedup_lines(docs)
+    if "n_chars" in columns:
+        done = done.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates: that of the group's smallest id. Rows without id or words stay."""
+    make_importable(spark)
+    groups = jaccard_components(docs, k=SHINGLE, percent=PERCENT)
+    others = groups.where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of a benchmark item."""
+    items = make_importable(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = contamination(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("id"), "th").distinct()
+    hit = cut(hit)
+    marked = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")), "left_anti")
+    return marked.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    make_importable(spark)
+    packed = packing.pack(packing.token_pieces(docs))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each result written as Parquet and read again."""
+    docs = make_importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

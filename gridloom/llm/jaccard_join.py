@@ -119,17 +119,18 @@ def _statistics(shown: DataFrame, k: int, percent: int) -> tuple[np.ndarray, int
 
 
 def _subset_tokens(values: np.ndarray, percent: int) -> list[int]:
-    s, out = len(values), []
+    """A hash of each subset that a link of this set can need, sizes of both sets included; the order of elements is not."""
+    s, out = len(values), [np.zeros(0, np.uint64)]
     mixed = W.mix(values + np.uint64(1))
+    total = np.add.reduce(mixed)
     for t in partners(s, percent):
         o = needed(s, t, percent)
         if o > min(s, t):
             continue
-        seed = np.uint64((min(s, t) << 20 | max(s, t)) << 8 | 1)
-        total = mixed.sum(dtype=np.uint64)
-        for left_out in itertools.combinations(range(s), s - o):
-            out.append(int(W.mix(np.array([total - mixed[list(left_out)].sum(dtype=np.uint64)], np.uint64) ^ W.mix(np.array([seed], np.uint64)))[0].view(np.int64)))
-    return out
+        left_out = np.array(list(itertools.combinations(range(s), s - o)), np.int64).reshape(-1, s - o)
+        sizes = W.mix(np.array([(min(s, t) << 20 | max(s, t)) << 8 | 1], np.uint64))
+        out.append(W.mix((np.full(len(left_out), total) - np.add.reduce(mixed[left_out], axis=1)) ^ sizes))
+    return np.concatenate(out).view(np.int64).tolist()
 
 
 def shingle_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
