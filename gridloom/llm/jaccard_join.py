@@ -127,7 +127,7 @@ def _subset_tokens(values: np.ndarray, percent: int) -> list[int]:
         o = needed(s, t, percent)
         if o > min(s, t):
             continue
-        left_out = np.array(list(itertools.combinations(range(s), s - o)), np.int64).reshape(-1, s - o)
+        left_out = np.array(list(itertools.combinations(range(s), s - o)), np.int64).reshape(math.comb(s, o), s - o)
         sizes = W.mix(np.array([(min(s, t) << 20 | max(s, t)) << 8 | 1], np.uint64))
         out.append(W.mix((np.full(len(left_out), total) - np.add.reduce(mixed[left_out], axis=1)) ^ sizes))
     return np.concatenate(out).view(np.int64).tolist()
