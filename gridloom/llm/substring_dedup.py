@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove bytes covered by 50-byte strings that start in an earlier document too.
 
-Each 50-byte string is keyed by the least hash of the 26-byte grams in it, which depends on
+Each 50-byte string is keyed by the least hash of the 18-byte grams in it, which depends on
 its bytes alone, so equal strings share a key; neighbouring strings mostly share one too
 and travel as one segment. A first pass finds the keys that two documents have (a bitmap of
 fixed size); a second sends the segments with such keys to shards by key. A shard sorts the
@@ -23,7 +23,7 @@ from . import words as W
 from .store import cut
 from .suffix_array import common_prefixes, suffix_array
 
-LENGTH, GRAM = 50, 26
+LENGTH, GRAM = 50, 18
 #: Bits of the bitmap of repeated keys: 16 MB whatever the data. A full one costs time, never results.
 KEY_BITS = 27
 #: Bytes of text after which a task hands over the keys, and the segments, that it has gathered.
@@ -82,7 +82,8 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> np.nd
 
         def hand_over() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held))
-            return _blobs(keys >> np.uint64(64 - bits), {"keys": keys})
+            rest = (keys << np.uint64(bits)) >> np.uint64(32)  # the 32 bits behind the part; more documents mean more parts
+            return _blobs(keys >> np.uint64(64 - bits), {"keys": rest.astype(np.uint32)})
 
         for batch in batches:
             for part in W.slices(batch["text"]):
@@ -99,12 +100,12 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> np.nd
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, keys in zip(batch["part"].to_pylist(), batch["keys"].to_pylist(), strict=True):
-                held.setdefault(p, []).append(np.frombuffer(keys, np.uint64))
+                held.setdefault(p, []).append(np.frombuffer(keys, np.uint32))
         for p in list(held):
             keys = np.sort(np.concatenate(held.pop(p)))
             again = keys[1:][keys[1:] == keys[:-1]]
             marks = np.zeros(1 << (KEY_BITS - bits), bool)
-            marks[(again >> np.uint64(64 - KEY_BITS)).astype(np.int64) & ((1 << (KEY_BITS - bits)) - 1)] = True
+            marks[again >> np.uint32(32 - KEY_BITS + bits)] = True
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["part", "marks"])
 
     dealt = shown.select("text").mapInArrow(gather, "part int, keys binary").repartition("part")
