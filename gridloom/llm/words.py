@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, which bounds the temporaries.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 _UPPER = (_BYTES >= 0x41) & (_BYTES <= 0x5A)
