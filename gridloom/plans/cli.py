@@ -1,0 +1,80 @@
+"""Commands from a JSON configuration: ``python -m gridloom.plans.cli config.json``.
+
+A configuration is a list of steps, each {"command": name, ...options}; steps run in order in
+one session. A batch is a configuration with "sweep": {option: [values]}, run for every combination.
+"""
+
+from __future__ import annotations
+
+import itertools
+import json
+import sys
+from collections.abc import Callable
+
+from pyspark.sql import SparkSession
+
+from ..operators import bias, collect, qa, solar
+from ..sources import scan
+from .handler import Handler
+
+
+def extract(spark: SparkSession, source, out: str, features: list[str], **options) -> None:
+    Handler(features=features, **options).from_files(spark, source).write.parquet(out)
+
+
+def bias_calc(spark: SparkSession, base: str, bias_source: str, feature: str, out: str, method: str = "linear", future: str | None = None) -> None:
+    observed, modelled = spark.read.parquet(base), spark.read.parquet(bias_source)
+    done = {
+        "linear": lambda: bias.linear_factors(observed, modelled, feature),
+        "scalar": lambda: bias.linear_factors(observed, modelled, feature, True),
+        "monthly": lambda: bias.monthly_factors(observed, modelled, feature),
+        "qdm": lambda: bias.qdm_params(observed, modelled, spark.read.parquet(future), feature),
+        "presrat": lambda: bias.presrat_params(observed, modelled, spark.read.parquet(future), feature),
+        "skill": lambda: bias.skill_assessment(observed, modelled, feature),
+    }[method]()
+    done.write.parquet(out)
+
+
+def bias_apply(spark: SparkSession, source: str, factors: str, features: list[str], out: str, method: str = "linear") -> None:
+    bias.correct(spark.read.parquet(source), method, spark.read.parquet(factors), features).write.parquet(out)
+
+
+def data_collect(spark: SparkSession, sources: list[str], out: str) -> None:
+    collect.combine([spark.read.parquet(s) for s in scan.expand(sources)]).write.parquet(out)
+
+
+def solar_run(spark: SparkSession, source: str, out: str) -> None:
+    solar.irradiance(spark.read.parquet(source)).write.parquet(out)
+
+
+def qa_run(spark: SparkSession, fine: str, source: str, features: list[str], s: int, t: int, out: str) -> None:
+    qa.recoarsen_error(spark.read.parquet(fine), spark.read.parquet(source), features, s, t).write.parquet(out)
+
+
+COMMANDS: dict[str, Callable] = {"extract": extract, "bias-calc": bias_calc, "bias-apply": bias_apply, "data-collect": data_collect, "solar": solar_run, "qa": qa_run}
+
+
+def expand_sweep(step: dict) -> list[dict]:
+    """One step for every combination of swept values; {option} in texts takes the value."""
+    sweep = step.get("sweep") or {}
+    rest = {k: v for k, v in step.items() if k != "sweep"}
+    out = []
+    for values in itertools.product(*sweep.values()):
+        chosen = dict(zip(sweep, values, strict=True))
+        filled = {k: v.format(**chosen) if isinstance(v, str) and sweep else v for k, v in rest.items()}
+        out.append({**filled, **chosen})
+    return out
+
+
+def run(spark: SparkSession, steps: list[dict]) -> None:
+    plan = [s for step in steps for s in expand_sweep(step)]
+    unknown = {s.get("command") for s in plan} - set(COMMANDS)
+    if unknown:
+        raise ValueError(f"unknown commands {sorted(map(str, unknown))}; known: {sorted(COMMANDS)}")
+    for s in plan:
+        COMMANDS[s["command"]](spark, **{k: v for k, v in s.items() if k != "command"})
+
+
+if __name__ == "__main__":
+    with open(sys.argv[1]) as f:
+        run(SparkSession.builder.appName("gridloom").getOrCreate(), json.load(f))
