@@ -16,7 +16,7 @@ from gridloom.llm import packing
 from gridloom.llm.decontaminate import contamination
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.line_dedup import dedup_lines
-from gridloom.llm.store import cut
+from gridloom.llm.store import cut, free_name
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 from gridloom.session import make_importable
 
@@ -33,18 +33,18 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below TOXIC by the model fitted on the labelled documents; null and empty texts stay."""
     scorer = fit_toxicity(docs, _labels(spark, sf_dir))
-    scored = score_toxicity(docs, scorer, keep=True)
-    return scored.where((F.col("toxicity") < TOXIC) | (F.length(F.coalesce("text", F.lit(""))) == 0)).drop("toxicity")
+    name = free_name(docs, "toxicity")
+    scored = score_toxicity(docs, scorer, keep=name)
+    return scored.where((F.col(name) < TOXIC) | (F.length(F.coalesce("text", F.lit(""))) == 0)).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, later occurrences of repeated three-line windows taken out; n_chars follows the text."""
+    """All rows, later occurrences of repeated three-line windows taken out; n_chars is the new text's length."""
     make_importable(spark)
-    columns = docs.columns
     done = dedup_lines(docs)
-    if "n_chars" in columns:
-        done = done.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast("long"))
+    return done.select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any window of a benchmark item."""
     items = make_importable(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = contamination(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("id"), "th").distinct()
-    hit = cut(hit)
-    marked = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")), "left_anti")
-    return marked.select(*docs.columns)
+    hit = contamination(docs, items).where("n_hit > 0").select("doc_id", "th").distinct()
+    same = F.expr("d.doc_id <=> h.doc_id and xxhash64(d.text) = h.th")
+    return docs.alias("d").join(cut(hit).alias("h"), same, "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

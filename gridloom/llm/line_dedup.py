@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import free_name
+
 #: Lines in a window.
 WINDOW = 3
 
@@ -46,8 +48,8 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with all their columns, repeated lines taken out of the text.
 
-    Two columns are added: ``lines_total`` (lines, split at line feeds; 0 for null) and
-    ``lines_removed``. Blank lines (nothing but spaces) are in no window and always stay.
+    Two columns are added behind them: ``lines_total`` (lines, split at line feeds; 0 for null) and
+    ``lines_removed``, with underscores appended where ``docs`` has such a column. Blank lines (nothing but spaces) are in no window and always stay.
     Windows are judged on the input: of equal windows only the first in order of (id, text
     hash, place) is kept, within a document too. Texts of fewer than three non-blank lines
     and null texts stay as they are. Rows with one id and one text count as one document
@@ -79,4 +81,5 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     fields = [T.StructField("rest", both.schema["rest"].dataType), T.StructField("body", T.StringType()), T.StructField("lines_total", T.LongType()), T.StructField("lines_removed", T.LongType())]
     done = both.mapInArrow(rewrite, T.StructType(fields))
-    return done.select(*[F.col("body").alias(c) if c == text_column else F.col(f"rest.`{c}`") for c in names], "lines_total", "lines_removed")
+    added = [F.col(c).alias(free_name(docs, c)) for c in ("lines_total", "lines_removed")]
+    return done.select(*[F.col("body").alias(c) if c == text_column else F.col(f"rest.`{c}`") for c in names], *added)

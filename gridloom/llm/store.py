@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``df`` has a column of that name (letters' case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files behind a frame returned by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession
