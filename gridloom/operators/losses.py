@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import dense
 from .windows import derivative
 
 CELL = ("obs", "south_north", "west_east", "t_idx")
@@ -119,9 +120,7 @@ def fft_loss(both: DataFrame, feature: str, temporal: bool = False) -> DataFrame
     axes = ["south_north", "west_east", "t_idx"][: 3 if temporal else 2]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(axes)
-        shape = [pdf[a].nunique() for a in axes]
-        amplitude = [np.log1p(np.abs(np.fft.fftn(pdf[c].to_numpy().reshape(shape)))) for c in (feature, f"{feature}_hat")]
+        amplitude = [np.log1p(np.abs(np.fft.fftn(dense(pdf, axes, c)))) for c in (feature, f"{feature}_hat")]
         return pd.DataFrame({"error": [float(np.abs(amplitude[0] - amplitude[1]).mean())]})
 
     return both.groupBy(*keys).applyInPandas(run, "error double").agg(F.avg("error").alias("loss"))
@@ -131,9 +130,8 @@ def sliced_wasserstein(both: DataFrame, feature: str, projections: int = 64, see
     """Mean squared distance of sorted random projections of each observation's fields."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_idx", "south_north", "west_east"])
-        n = pdf["t_idx"].nunique()
-        a, b = (pdf[c].to_numpy().reshape(n, -1) for c in (feature, f"{feature}_hat"))
+        a, b = (dense(pdf, ["t_idx", "south_north", "west_east"], c) for c in (feature, f"{feature}_hat"))
+        a, b = a.reshape(len(a), -1), b.reshape(len(b), -1)
         directions = np.random.default_rng(seed).normal(size=(a.shape[1], projections))
         directions /= np.linalg.norm(directions, axis=0)
         return pd.DataFrame({"error": [float(((np.sort(a @ directions, 0) - np.sort(b @ directions, 0)) ** 2).mean())]})

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import cut
+
 
 def _squares(points: DataFrame, width: float, id_column: str, prefix: str) -> DataFrame:
     return points.select(
@@ -41,15 +43,18 @@ def knn_join(source: DataFrame, target: DataFrame, k: int, bound: float, source_
 
 
 def nearest(source: DataFrame, target: DataFrame, width: float, source_id: str = "gid", target_id: str = "gid", most: int = 12) -> DataFrame:
-    """The nearest target at any distance: squares double for the points that are still without, at most ``most`` times."""
-    left, found = source.persist(), None
+    """The nearest target at any distance: squares grow fourfold for the points that are still without, at most ``most`` times.
+
+    Each round's finds are written, so a round's plan does not hold those before it.
+    """
+    left, found = cut(source.select(source_id, "latitude", "longitude")), None
     for _ in range(most):
-        got = nn_join(left, target, width, source_id, target_id).where("tid is not null").persist()
+        got = cut(nn_join(left, target, width, source_id, target_id).where("tid is not null"))
         found = got if found is None else found.unionByName(got)
-        left = left.join(got.select(F.col("sid").alias(source_id)), source_id, "left_anti").persist()
+        left = cut(left.join(got.select(F.col("sid").alias(source_id)), source_id, "left_anti"))
         if left.isEmpty():
             break
-        width *= 2
+        width *= 4
     return found
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
+from .arrays import dense
 from .coarsen import spatial, temporal
 from .windows import difference
 
@@ -37,9 +38,8 @@ def frequency_spectrum(df: DataFrame, features: list[str], by: list[str], f_rang
     """(by, frequency, energy) of series over all cells of a group; two features give kinetic energy."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["south_north", "west_east", "t_idx"])
-        steps = pdf["t_idx"].nunique()
-        energy = sum(np.abs(np.fft.fftn(pdf[c].to_numpy().reshape(-1, steps))) ** 2 for c in features).mean(axis=0)
+        series = [dense(pdf, ["south_north", "west_east", "t_idx"], c) for c in features]
+        energy = sum(np.abs(np.fft.fftn(x.reshape(-1, x.shape[-1]))) ** 2 for x in series).mean(axis=0)
         f = np.arange(len(energy)) if f_range is None else np.linspace(*f_range, len(energy))
         f, energy = fold(f.astype(float), energy, False)
         return pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "frequency": f, "energy": energy})
@@ -52,9 +52,7 @@ def wavenumber_spectrum(df: DataFrame, features: list[str], by: list[str], x_ran
     """(by, wavenumber, energy) of one field a group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["south_north", "west_east"])
-        shape = (pdf["south_north"].nunique(), -1)
-        energy = sum(np.abs(np.fft.fftn(pdf[c].to_numpy().reshape(shape))) ** 2 for c in features).mean(axis=axis)
+        energy = sum(np.abs(np.fft.fftn(dense(pdf, ["south_north", "west_east"], c))) ** 2 for c in features).mean(axis=axis)
         k = np.arange(len(energy)) if x_range is None else np.linspace(*x_range, len(energy))
         k, energy = fold(k.astype(float), energy, True)
         return pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "wavenumber": k, "energy": energy})

@@ -243,15 +243,21 @@ def refined_in_space(spark, sf_dir):
     return finish(grid.interpolate(df, "temperature_2m", 4, 4, 30, 2, 1), *CELL, "t_idx", "temperature_2m")
 
 
-@query(f"""select {n("i", "south_north")}, {n("j", "west_east")}, {r("40 - 0.5 * ((i + 0.5) / 3 - 0.5)", "latitude")}, {r("-105 + 0.5 * ((j + 0.5) / 3 - 0.5)", "longitude")} from unnest(range(0, 12)) a(i), unnest(range(0, 12)) b(j)""")
+EXTENT = f"{SITES_SQL}, g as (select max(south_north) + 1 rw, max(west_east) + 1 cl from sites)"
+
+
+@query(f"""with {EXTENT} select {n("i", "south_north")}, {n("j", "west_east")}, {r("40 - 0.1 * ((i + 0.5) / 3 - 0.5)", "latitude")}, {r("-105 + 0.1 * ((j + 0.5) / 3 - 0.5)", "longitude")} from g, unnest(range(0, 3 * rw)) a(i), unnest(range(0, 3 * cl)) b(j)""")
 def fine_coordinates(spark, sf_dir):
-    cells = cube_small(spark, sf_dir).select(*CELL, "latitude", "longitude").distinct()
-    return finish(grid.fine_coordinates(cells, 4, 4, 3))
+    cells = sites(spark, sf_dir)
+    size = grid.describe(cells).first()
+    return finish(grid.fine_coordinates(cells, size["rows"], size["columns"], 3))
 
 
-@query(f"""select {n("i", "south_north")}, {n("j", "west_east")}, {r("40 - 0.5 * i", "latitude")}, {r("-105 + 0.5 * j", "longitude")} from unnest(range(-1, 5)) a(i), unnest(range(-1, 5)) b(j)""")
+@query(f"""with {EXTENT} select {n("i", "south_north")}, {n("j", "west_east")}, {r("40 - 0.1 * i", "latitude")}, {r("-105 + 0.1 * j", "longitude")} from g, unnest(range(-1, rw + 1)) a(i), unnest(range(-1, cl + 1)) b(j)""")
 def padded_coordinates(spark, sf_dir):
-    return finish(grid.pad_coordinates(cube_small(spark, sf_dir).select(*CELL, "latitude", "longitude").distinct(), 4, 4), *CELL, "latitude", "longitude")
+    cells = sites(spark, sf_dir)
+    size = grid.describe(cells).first()
+    return finish(grid.pad_coordinates(cells, size["rows"], size["columns"]), *CELL, "latitude", "longitude")
 
 
 @query(f"with {SITES_SQL}, g as (select max(south_north) + 1 rw, max(west_east) + 1 cl from sites) select {n('rw', 'rows')}, {n('cl', 'columns')}, {r('40 - 0.1 * (rw - 1)', 'target_lat')}, {r('-105', 'target_lon')}, true regular from g")
@@ -269,14 +275,14 @@ def halo_chunks(spark, sf_dir):
     return finish(sent.groupBy("chunk_id").agg(F.count("*").alias("rows"), F.coalesce(F.sum("u_100m"), F.lit(0.0)).alias("total"), F.min("i").alias("i0"), F.max("t").alias("t1")))
 
 
-@query(f"""with {INDEXED} select {KEY}, {n("t_idx")}, {r("u_100m * 2 + coalesce(v_100m, 0)", "y")} from ix""")
+@query(f"""with {INDEXED} select {KEY}, {n("t_idx")}, {r("u_100m * 2 + coalesce(v_100m, 0)", "y")} from ix where u_100m is not null""")
 def forward_pass(spark, sf_dir):
     """A pointwise model by padded chunks gives what it gives on the whole."""
     import numpy as np
 
     df = _indexed(spark, sf_dir)
     layout = chunks.Layout((4, 4, df.select("time").distinct().count()), (2, 2, 7), (1, 1, 1))
-    return finish(chunks.forward_pass(df, ["u_100m", "v_100m"], layout, lambda c: (c[..., :1] * 2 + np.nan_to_num(c[..., 1:])), ["y"]).withColumn("y", F.when(~F.isnan("y"), F.col("y"))), *CELL, "t_idx", "y")
+    return finish(chunks.forward_pass(df, ["u_100m", "v_100m"], layout, lambda c: (c[..., :1] * 2 + np.nan_to_num(c[..., 1:])), ["y"]).where(~F.isnan("y")), *CELL, "t_idx", "y")
 
 
 @query(f"""with {SMALL_SQL}, m as (select south_north * 2 + west_east // 2 s_chunk, bool_and(latitude < 39.2) masked from (select distinct south_north // 2 south_north, west_east, latitude from cube) group by 1) select {n("s_chunk")} from m where masked""")
