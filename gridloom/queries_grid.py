@@ -282,7 +282,7 @@ def forward_pass(spark, sf_dir):
 
     df = _indexed(spark, sf_dir)
     layout = chunks.Layout((4, 4, df.select("time").distinct().count()), (2, 2, 7), (1, 1, 1))
-    return finish(chunks.forward_pass(df, ["u_100m", "v_100m"], layout, lambda c: (c[..., :1] * 2 + np.nan_to_num(c[..., 1:])), ["y"]).where(~F.isnan("y")), *CELL, "t_idx", "y")
+    return finish(chunks.forward_pass(df, ["u_100m", "v_100m"], layout, lambda c: (c[..., :1] * 2 + np.nan_to_num(c[..., 1:])), ["y"]).where(F.col("y").isNotNull() & ~F.isnan("y")), *CELL, "t_idx", "y")
 
 
 @query(f"""with {SMALL_SQL}, m as (select south_north * 2 + west_east // 2 s_chunk, bool_and(latitude < 39.2) masked from (select distinct south_north // 2 south_north, west_east, latitude from cube) group by 1) select {n("s_chunk")} from m where masked""")
