@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import cut
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 18
@@ -241,11 +240,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         def answer(rows: list[dict]) -> pa.RecordBatch:
             join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
             ids, a, b = _shard(join("ids", np.int64), join("starts", np.int32).astype(np.int64), join("sizes", np.int32).astype(np.int64), join("bytes", np.uint8), length, gram)
-            order = np.argsort(ids, kind="stable")
-            ids, a, b = ids[order], a[order], b[order]
-            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(x.astype(np.int32))) for x in (a, b)]
-            return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], ["id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["id", "a", "b"])
 
         rows: list[dict] = []
         size = 0
@@ -261,8 +256,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield answer(rows)
 
     segments = shown.mapInArrow(send, "part int, ids binary, starts binary, sizes binary, bytes binary")
-    found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "id long, a array<int>, b array<int>")
-    return found.groupBy("id").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
+    found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "id long, a int, b int")
+    return found.groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
 
 def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
