@@ -16,7 +16,7 @@ from gridloom.llm import packing
 from gridloom.llm.decontaminate import contamination
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.line_dedup import dedup_lines
-from gridloom.llm.store import cut, free_name
+from gridloom.store import cut, free_name
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 from gridloom.session import make_importable
 

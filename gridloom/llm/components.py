@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, drop_cut
+from ..store import cut, drop_cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .components import components
 from .sketch import bitmap_of, in_bitmap
-from .store import cut, drop_cut
+from ..store import cut, drop_cut
 
 SHINGLE, PERCENT = 4, 85
 #: Slots of the table of frequent shingles: 4 MB whatever the data.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import free_name
+from ..store import free_name
 
 #: Lines in a window.
 WINDOW = 3

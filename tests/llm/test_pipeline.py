@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import cut
+from gridloom.store import cut
 
 from . import brute
 
