@@ -374,3 +374,44 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r["gid"], str(r["day"])[:10]): r["x"] for r in spark.table("days").collect()}
     assert got == {(g, f"2024-01-0{d}"): 9.0 + d for g in (1, 2) for d in (1, 2)}
+
+
+def test_pair_of_members(spark, cube):
+    low = coarsen.spatial(cube, ["u_10m", "latitude", "longitude"], 2, by=("time",))
+    from gridloom.plans import pairs
+
+    done = pairs.pair(low, cube, ["u_10m"], 6, 4, 2, 1, k=1, bound=0.5)
+    same = done.low.alias("a").join(low.alias("b"), ["south_north", "west_east", "time"]).where(F.abs(F.col("a.u_10m") - F.col("b.u_10m")) < 1e-9)
+    assert same.count() == low.count() and done.high.count() == cube.count()
+    with pytest.raises(ValueError):
+        pairs.check_steps(low, cube, 4)
+    with pytest.raises(ValueError):
+        pairs.pair(low.withColumn("u_10m", F.when(F.col("south_north") > 0, F.col("u_10m"))), cube, ["u_10m"], 6, 4, 2, 1, regrid=False)
+
+
+def test_exogenous_steps(spark, cube):
+    from gridloom.plans import pairs
+
+    steps = pairs.exo_steps("topography", [(0, "input"), (0, "layer"), (1, "input"), (1, "output")], [2, 3], [1, 4])
+    assert [(s.s_enhance, s.t_enhance) for s in steps] == [(1, 1), (2, 1), (2, 1), (6, 4)]
+    assert len(pairs.steps_of(steps, 1, "output")) == 1 and [s.model for s in pairs.split_steps(steps, 1)[1]] == [0, 0]
+    target = grid.flatten(cube.select("south_north", "west_east", "latitude", "longitude").distinct(), 4)
+    source = target.where("gid % 5 > 0").select("gid", "latitude", "longitude", (F.col("gid") * 1.0).alias("topography"))
+    field = pairs.exo_field(source, target, "topography", 0.5, 2.0, cube.select("time").distinct())
+    assert field.count() == 24 * 12 and field.where("topography is null").count() == 0
+    assert field.where("gid % 5 > 0 and topography != 2 * gid").count() == 0
+
+
+def test_downscaling_plan(spark, cube):
+    from gridloom.plans.downscale import Downscaling
+
+    layout = chunks.Layout((6, 4, 12), (3, 4, 6), (1, 1, 1), (2, 2, 1))
+    mask = cube.select("south_north", "west_east", (F.col("south_north") >= 2).alias("mask")).distinct()
+    plan = Downscaling(models.LinearModel(2, 1), layout, ["u_10m", "v_10m"], ["u_10m", "v_10m"], mask=mask, wind=[("u_10m", "v_10m")])
+    out = plan.run(cube, spark.createDataFrame([(1,)], "chunk_id int"))
+    assert {r["chunk_id"] for r in out.select("chunk_id").distinct().collect()} == {0}
+    assert out.count() == 6 * 8 * 6 and out.where("windspeed_10m < 0 or winddirection_10m >= 360").count() == 0
+    cells = cube.select("south_north", "west_east", "latitude", "longitude").distinct()
+    assert plan.place(out, cells).select("gid").distinct().count() == 48
+    with pytest.raises(ValueError):
+        plan.run(cube.withColumn("u_10m", F.when(F.col("t_idx") > 0, F.col("u_10m"))))
