@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fingerprint as FP
 from . import words as W
 
 #: Documents to a range, about, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 4_000, 20_000
+#: Cuts that an expression compares one by one.
+FEW_CUTS = 100
 #: Characters that a task gathers before it computes.
 GATHER = 1 << 21
 
@@ -42,6 +45,18 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _cuts_below(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at or below x: counted in generated code if few, else by binary search in Arrow batches."""
+    if len(cuts) <= FEW_CUTS:
+        return sum((F.when(x >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    array = np.array(cuts)
+
+    def search(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(array, ids.fill_null(0).to_numpy(), "right").astype(np.int32))
+
+    return F.arrow_udf(search, T.IntegerType())(x)
+
+
 def _ranges(docs: DataFrame) -> DataFrame:
     """(r, last, id, th, text): documents dealt into id ranges; each range ends (``last``) with the first row of the range below.
 
@@ -53,10 +68,8 @@ def _ranges(docs: DataFrame) -> DataFrame:
     cuts = []
     if n > 1:
         cuts = sorted(set(docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
     # the number of cuts at or below an id; null ids come after all others, in the lowest range
-    number = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    placed = docs.withColumn("r", F.when(F.col("id").isNull(), F.lit(0)).otherwise(number).cast("int"))
+    placed = docs.withColumn("r", F.when(F.col("id").isNull(), F.lit(0)).otherwise(_cuts_below(F.col("id"), cuts)).cast("int"))
     order = F.struct(F.col("id").isNull().alias("none"), (-F.col("id")).alias("falling"), F.col("th"))
     heads = sorted((r["r"], r["head"]["falling"], r["head"]["th"]) for r in placed.groupBy("r").agg(F.min(order).alias("head")).collect())
     above = [heads[(i + 1) % len(heads)][0] for i in range(len(heads))]
