@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import cut
+
 SERIES = ("south_north", "west_east")
 
 
@@ -121,22 +123,26 @@ def _outside(d: Column, sigma: float) -> Column:
 def fill_nearest(df: DataFrame, feature: str, by: tuple[str, ...] = ("time",), reach: int = 4) -> DataFrame:
     """Nulls of each field from the nearest cell that has a value (index distance; least row, then column, on a tie).
 
-    Values are offered to cells up to ``reach`` away; while nulls with values in their field are left, it doubles.
+    Cells look for values up to ``reach`` away, in the squares around their own; for those that found none, in fields that
+    have any, it grows fourfold. Each round's finds are written, so only what is still empty goes on. Fields without any value stay null.
     """
-    while True:
-        empty = df.where(F.col(feature).isNull()).select(*by, *SERIES)
-        square = lambda c: (F.floor(F.col(c) / reach)).cast("int")
-        near = F.expr("sequence(-1, 1)")
+    full = df.where(F.col(feature).isNotNull()).select(*by, F.col("south_north").alias("_i"), F.col("west_east").alias("_j"), F.col(feature).alias("_v"))
+    empty = cut(df.where(F.col(feature).isNull()).select(*by, *SERIES).join(full.select(*by).distinct(), list(by), "left_semi"))
+    near, found = F.expr("sequence(-1, 1)"), None
+    square = lambda c: F.floor(F.col(c) / reach).cast("int")
+    distance = F.hypot(F.col("south_north") - F.col("_i"), F.col("west_east") - F.col("_j"))
+    while not empty.isEmpty():
         looked = empty.select(*by, *SERIES, F.explode(F.transform(near, lambda d: square("south_north") + d)).alias("_y"), square("west_east").alias("_c"))
         looked = looked.select(*by, *SERIES, "_y", F.explode(F.transform(near, lambda d: F.col("_c") + d)).alias("_x"))
-        full = df.where(F.col(feature).isNotNull()).select(*by, F.col("south_north").alias("_i"), F.col("west_east").alias("_j"), F.col(feature).alias("_v"), square("south_north").alias("_y"), square("west_east").alias("_x"))
-        distance = F.hypot(F.col("south_north") - F.col("_i"), F.col("west_east") - F.col("_j"))
-        best = looked.join(full, [*by, "_y", "_x"]).withColumn("_d", distance).where(F.col("_d") <= reach).groupBy(*by, *SERIES).agg(F.min(F.struct("_d", "_i", "_j", "_v")).alias("_best"))
-        df = df.join(best, [*by, *SERIES], "left").withColumn(feature, F.coalesce(F.col(feature), F.col("_best._v"))).drop("_best")
-        left = df.groupBy(*by).agg(F.count_if(F.col(feature).isNull()).alias("gaps"), F.count(feature).alias("have")).where("gaps > 0 and have > 0")
-        if left.isEmpty():
-            return df
-        reach *= 2
+        placed = full.withColumns({"_y": square("_i"), "_x": square("_j")})
+        pairs = looked.join(placed, [*by, "_y", "_x"]).withColumn("_d", distance).where(F.col("_d") <= reach)
+        best = cut(pairs.groupBy(*by, *SERIES).agg(F.min(F.struct("_d", "_i", "_j", "_v"))["_v"].alias("_best")))
+        found = best if found is None else found.unionByName(best)
+        empty = cut(empty.join(best, [*by, *SERIES], "left_anti"))
+        reach *= 4
+    if found is None:
+        return df
+    return df.join(found, [*by, *SERIES], "left").withColumn(feature, F.coalesce(F.col(feature), F.col("_best"))).drop("_best")
 
 
 def reflect_index(position: Column, length: int) -> Column:
