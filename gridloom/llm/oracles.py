@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .license_scan import BASE, NEIGHBOURS, SHARE, TEMPLATES
 from .url_filter import BLOCKLIST, RULES
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,6 +38,65 @@ select d.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::b
 from documents d left join kept using (doc_id)
 """
 
+OP6 = f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') ws from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i : i + 3], ' ') g from w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) t(i) where len(ws) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+shared as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (select x, y from shared join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+reach(x, y) as (select x, y from link union select reach.x, link.y from reach join link on reach.y = link.x)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(w.doc_id, coalesce((select min(y) from reach where x = w.doc_id), w.doc_id))::bigint component_id
+from w left join n using (doc_id)
+"""
+
+OP8 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) s from d, unnest(range(0, n - 49)) t(i)),
+m as (select s, min(doc_id) least_id from w group by s),
+hit as (select doc_id, i from w join m using (s) where least_id < doc_id),
+f as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end fresh from hit),
+k as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) run from f),
+r as (select doc_id, run, min(i) a, max(i) + 50 b from k group by doc_id, run),
+g as (select r.doc_id, run, coalesce(lag(b) over (partition by r.doc_id order by run), 0) a, r.a b from r),
+e as (select doc_id, max(run) + 1 run, max(b) a from r group by doc_id),
+p as (select doc_id, run, a, b from g union all select e.doc_id, run, a, n from e join d using (doc_id)),
+kept as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by run) h from p join d using (doc_id) group by doc_id),
+gone as (select doc_id, sum(b - a) n_removed, count(*) n_spans from r group by doc_id)
+select d.doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept.h, d.h))) kept_sha256
+from d left join kept using (doc_id) left join gone using (doc_id)
+"""
+
+def _positions() -> str:
+    rows = []
+    for exact, phrases in ((True, BASE), (False, TEMPLATES)):
+        for k, (label, phrase) in enumerate(phrases):
+            ws = phrase.split(" ")
+            rows += [f"('{label}', {exact}, {k + 100 * (not exact)}, {len(ws) - 1}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(ws, ws[1:], strict=False))]
+    return ", ".join(rows)
+
+
+_SHARED = "coalesce(array_to_string(list_sort(list_distinct(list({0}) filter ({1}))), ','), '')"
+OP9 = f"""
+with w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') ws from documents),
+g as (select doc_id, i - 1 spot, ws[i] a, ws[i + 1] b from w, unnest(range(1, len(ws))) t(i)),
+t as (select * from (values {_positions()}) v(label, exact, template, pairs, place, a, b)),
+v as (select distinct doc_id, label, exact, template, pairs, place, spot - place diagonal from g join t using (a, b)),
+d as (select distinct doc_id, exact, template, diagonal from v),
+f as (select *, case when exact or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {NEIGHBOURS} then 1 else 0 end apart from d),
+k as (select doc_id, template, diagonal, sum(apart) over (partition by doc_id, template order by diagonal) span from f),
+s as (
+  select doc_id, label, exact, span, template, min(diagonal) first, count(distinct place) / pairs held
+  from v join k using (doc_id, template, diagonal) group by doc_id, label, exact, template, pairs, span),
+found as (
+  select doc_id, count(*) filter (exact and held = 1) n_base, min(first) filter (exact and held = 1) first_word, max(first) filter (exact and held = 1) last_word,
+    {_SHARED.format("label", "exact and held = 1")} base_labels, {_SHARED.format("label", f"(exact and held = 1) or (not exact and held >= {SHARE})")} labels, max(held) score
+  from s group by doc_id)
+select w.doc_id, len(ws)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
+  coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0.0)::double score
+from w left join found using (doc_id)
+"""
+
 _RULE_ROWS = ", ".join(f"('{v}', '{r}')" for v, r in RULES)
 _LIST_ROWS = ", ".join(f"('{r}')" for r in BLOCKLIST)
 _FITS = "({h} = split_part({r}, '/', 1) or ends_with({h}, '.' || split_part({r}, '/', 1))) and starts_with({p}, substr({r}, strpos({r}, '/')))"
@@ -54,4 +114,11 @@ select u.page_id, host, path, rule, coalesce(verdict, case when bad.page_id is n
 from u left join best using (page_id) left join bad using (page_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_line_dedup": OP4, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": OP3,
+    "op4_line_dedup": OP4,
+    "op6_jaccard_join": OP6,
+    "op8_substring_dedup": OP8,
+    "op9_license_scan": OP9,
+    "op10_url_filter": OP10,
+}
