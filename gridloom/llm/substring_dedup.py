@@ -7,6 +7,11 @@ fixed size); a second sends the segments with such keys to shards by key. A shar
 suffixes of its distinct segments by induction (but for those alone with their key), takes equal 50-byte strings from the
 permuted common prefixes, and finds for each the smallest document. Candidates are
 only narrowed by keys; the suffix arrays decide.
+
+Keys that very many documents have (at most one for every HOT_BYTES-th of the text) would fill a shard with
+their documents. Their segments are first collapsed, in tasks and by a partial aggregation, to one
+row a segment with its smallest and largest document; shards sort these alone, and what they find is joined back to
+the documents, a join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut
 from . import words as W
 from .suffix_array import common_prefixes, suffix_array
 
@@ -29,6 +35,9 @@ KEY_BITS = 27
 KEYS_BYTES, SEGMENTS_BYTES = 24 << 20, 6 << 20
 #: Distinct bytes that one suffix array takes; more are cut between keys. Twice as many bytes of segments are solved at once.
 ARRAY_BYTES = 3 << 20
+#: A key is hot if more documents have it than the bytes of all texts divided by this, and than HOT_LEAST. As no byte starts
+#: more than one key, there are fewer hot keys than this: 16 MB to broadcast at most, a few hundred KB as a rule.
+HOT_BYTES, HOT_LEAST = 2_000_000, 64
 
 
 def _part_bits(spark: SparkSession) -> int:
@@ -73,8 +82,8 @@ def _blobs(part: np.ndarray, columns: dict[str, np.ndarray], payload: tuple[np.n
     return pa.RecordBatch.from_arrays(arrays, ["part", *columns, *["bytes"] * bool(payload)])
 
 
-def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> np.ndarray:
-    """The bitmap of keys that two rows have, by the key's top bits."""
+def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of keys that two rows have, by the key's top bits; and the sorted hot keys, by their first ``bits`` + 32 bits."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -105,14 +114,25 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> np.nd
             again = keys[1:][keys[1:] == keys[:-1]]
             marks = np.zeros(1 << (KEY_BITS - bits), bool)
             marks[again >> np.uint32(32 - KEY_BITS + bits)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["part", "marks"])
+            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            often = keys[start][np.diff(np.append(start, len(keys))) > hot_from]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())], ["part", "marks", "hot"])
 
     dealt = shown.select("text").mapInArrow(gather, "part int, keys binary").repartition("part")
-    rows = dealt.mapInArrow(merge, "part int, marks binary").toArrow()
+    rows = dealt.mapInArrow(merge, "part int, marks binary, hot binary").toArrow()
     bitmap = np.zeros((1 << bits, 1 << (KEY_BITS - bits - 3)), np.uint8)
-    for p, marks in zip(rows["part"].to_pylist(), rows["marks"].to_pylist(), strict=True):
+    hot = [np.zeros(0, np.uint64)]
+    for p, marks, often in zip(rows["part"].to_pylist(), rows["marks"].to_pylist(), rows["hot"].to_pylist(), strict=True):
         bitmap[p] = np.frombuffer(marks, np.uint8)
-    return bitmap.ravel()
+        hot.append((np.uint64(p) << np.uint64(32)) | np.frombuffer(often, np.uint32).astype(np.uint64))
+    return bitmap.ravel(), np.sort(np.concatenate(hot))
+
+
+def _is_hot(hot: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(keys), bool)
+    short = keys >> np.uint64(32 - bits)
+    return hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
 
 
 def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -160,10 +180,27 @@ def _shard(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndar
     _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
     owner = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(owner, kind, ids)
-    size = sizes[first]
+    least, begin = _least_owners(data, at[first], sizes[first], owner, length, gram)
+    count = sizes - length + 1
+    covered = least[_spread(begin[kind], count)] < np.repeat(ids, count)
+    row, a, b = _true_runs(covered, np.repeat(np.arange(len(ids)), count))
+    place = _spread(starts, count)
+    return ids[row], place[a], place[b] + length
+
+
+def _true_runs(covered: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true values within one row: the row, where the run starts and where its last value is."""
+    joined = np.zeros(len(covered) + 1, bool)
+    joined[1:-1] = covered[1:] & covered[:-1] & (row[1:] == row[:-1])
+    a, b = np.flatnonzero(covered & ~joined[:-1]), np.flatnonzero(covered & ~joined[1:])
+    return row[a], a, b
+
+
+def _least_owners(data: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest owner of the string at each place of different segments, one behind the other, and where each segment's begin."""
     width = length - gram + 1
     grams = lambda d, a, n: _gram_keys(d, gram)[_spread(a, np.full(len(a), width))].reshape(-1, width).min(axis=1)
-    text = data[_spread(at[first], size)]
+    text = data[_spread(at, size)]
     key = _by_segment(text, np.cumsum(size) - size, size, grams)
     order = np.argsort(key, kind="stable")
     fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))
@@ -188,17 +225,9 @@ def _shard(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndar
         place = _spread(begin[part], size[part])
         least[place] = _smallest_owner(text[place], np.cumsum(size[part]) - size[part], size[part], owner[order[part]], length)
         a = b
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    member = rank[kind]
-    count = sizes - length + 1
-    covered = least[_spread(begin[member], count)] < np.repeat(ids, count)
-    row = np.repeat(np.arange(len(ids)), count)
-    place = _spread(starts, count)
-    joined = np.zeros(len(covered) + 1, bool)
-    joined[1:-1] = covered[1:] & covered[:-1] & (row[1:] == row[:-1])
-    a, b = np.flatnonzero(covered & ~joined[:-1]), np.flatnonzero(covered & ~joined[1:])
-    return ids[row[a]], place[a], place[b] + length
+    back = np.empty(len(order), np.int64)
+    back[order] = begin
+    return least, back
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -206,7 +235,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     bits = _part_bits(spark)
     shown = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), W.text_column(text_column).alias("text"))
-    bitmap = spark.sparkContext.broadcast(_repeated_keys(shown, length, gram, bits))
+    total = shown.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    marks, hot_keys = _repeated_keys(shown, length, gram, bits, max(HOT_LEAST, total // HOT_BYTES))
+    bitmap, hot = spark.sparkContext.broadcast(marks), spark.sparkContext.broadcast(hot_keys)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -224,7 +255,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
             ids = batch["id"].to_numpy()
             for part in W.slices(batch["text"]):
                 first, last, key = _runs(part, length, gram)
-                keep = _marked(bitmap.value, key)
+                keep = _marked(bitmap.value, key) & ~_is_hot(hot.value, key, bits)
                 first, last, key = first[keep], last[keep], key[keep]
                 doc = np.searchsorted(part.offsets, first, "right") - 1
                 sizes = last - first + length
@@ -257,9 +288,99 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     segments = shown.mapInArrow(send, "part int, ids binary, starts binary, sizes binary, bytes binary")
     found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "id long, a int, b int")
+    if len(hot_keys):
+        found = found.unionByName(_hot_spans(shown, hot, length, gram, bits))
     return found.groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
 
+def _hot_spans(shown: DataFrame, hot, length: int, gram: int, bits: int) -> DataFrame:
+    """(id, a, b) for the segments with hot keys."""
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def hand_over() -> pa.RecordBatch:
+            key, ids, starts, sizes = (np.concatenate([x[i] for x in held]) for i in range(4))
+            data = np.concatenate([x[4] for x in held])
+            at = np.cumsum(sizes) - sizes
+            _, first, kind = np.unique(_by_segment(data, at, sizes, lambda d, a, n: W.hash_spans(d, a, a + n)), return_index=True, return_inverse=True)
+            order = np.argsort(kind, kind="stable")
+            ids, starts = ids[order], starts[order].astype(np.int32)
+            begin = np.searchsorted(kind[order], np.arange(len(first)))
+            stop = np.append(begin[1:], len(ids))
+            pick = list(zip(begin.tolist(), stop.tolist(), strict=True))
+            some = len(first) > 0
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array((key[first] >> np.uint64(64 - bits)).astype(np.int32)), pa.array([data[a:b].tobytes() for a, b in zip(at[first].tolist(), (at + sizes)[first].tolist(), strict=True)], pa.binary()),
+                    pa.array(np.minimum.reduceat(ids, begin) if some else ids), pa.array(np.maximum.reduceat(ids, begin) if some else ids),
+                    pa.array([ids[a:b].tobytes() for a, b in pick], pa.binary()), pa.array([starts[a:b].tobytes() for a, b in pick], pa.binary()),
+                ],
+                ["part", "segment", "lo", "hi", "ids", "starts"],
+            )
+
+        for batch in batches:
+            own = batch["id"].to_numpy()
+            for part in W.slices(batch["text"]):
+                first, last, key = _runs(part, length, gram)
+                keep = _is_hot(hot.value, key, bits)
+                first, last, key = first[keep], last[keep], key[keep]
+                doc = np.searchsorted(part.offsets, first, "right") - 1
+                sizes = last - first + length
+                held.append((key, own[part.lo + doc], first - part.offsets[doc], sizes, part.data[_spread(first, sizes)]))
+                size += len(part.data)
+                if size > SEGMENTS_BYTES:
+                    yield hand_over()
+                    held, size = [], 0
+        if held:
+            yield hand_over()
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(rows: pa.Table) -> pa.RecordBatch:
+            at, data = W.string_buffers(rows["segment"].combine_chunks())
+            owner, hi, size = rows["lo"].to_numpy(), rows["hi"].to_numpy(), np.diff(at)
+            least, begin = _least_owners(data, at[:-1], size, owner, length, gram)
+            count = size - length + 1
+            least, ends = least[_spread(begin, count)], np.concatenate(([0], np.cumsum(count)))
+            keep = np.flatnonzero(np.minimum.reduceat(least, ends[:-1]) < hi)
+            lists = [least[ends[k] : ends[k + 1]] for k in keep.tolist()]
+            offsets = np.concatenate(([0], np.cumsum(count[keep]))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([rows["segment"].combine_chunks().take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))], ["segment", "least"])
+
+        held, size = [], 0
+        last = None
+        for batch in batches:
+            parts = batch["part"].to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if held and last != parts[a] and size > ARRAY_BYTES:
+                    yield answer(pa.Table.from_batches(held))
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size += 70 * (b - a)
+                last = parts[a]
+        if held:
+            yield answer(pa.Table.from_batches(held))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, starts, least in zip(batch["ids"], batch["starts"], batch["least"], strict=True):
+                ids, starts = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(starts.as_py(), np.int32).astype(np.int64)
+                least = least.values.to_numpy()
+                row, a, b = _true_runs((least[None, :] < ids[:, None]).ravel(), np.repeat(np.arange(len(ids)), len(least)))
+                out.append((ids[row], starts[row] + a % len(least), starts[row] + b % len(least) + length))
+            columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c.astype(np.int32)) for c in columns[1:])], ["id", "a", "b"])
+
+    members = cut(shown.mapInArrow(collapse, "part int, segment binary, lo long, hi long, ids binary, starts binary"))
+    segments = members.groupBy("part", "segment").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    answers = segments.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "segment binary, least array<long>")
+    return members.select("segment", "ids", "starts").join(answers, "segment").select("ids", "starts", "least").mapInArrow(cover, "id long, a int, b int")
+
+
 def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, ``with_bytes``, kept (binary).
 
