@@ -248,6 +248,17 @@ def test_substring_dedup(docs, rows, none):
     assert dedup_substrings(none).count() == 0
 
 
+def test_substring_dedup_with_hot_keys(docs, rows, monkeypatch):
+    """Every key that three documents have goes the way of hot ones; the result is the same."""
+    from gridloom.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 2)
+    want = brute.without_repeats(rows)
+    for r in dedup_substrings(docs, with_bytes=False).collect():
+        if r["doc_id"] is not None:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
 def test_license_scan(docs, rows, none):
     got = scan_licenses(docs).collect()
     assert len(got) == len(rows)
