@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .cubes import SMALL_SQL, cube_small, table
+from .cubes import HISTORY_SQL, SITES_SQL, SMALL_SQL, cube_small, histories, sites, table
 from .finish import finish, n, r, t
-from .operators import losses, qa, raster, solar
+from .operators import losses, profiles, qa, raster, solar
 from .queries import query
 from .queries_grid import INDEXED
 from .queries_raster import CELL, KEY
@@ -145,3 +145,25 @@ def streamed_daily(spark, sf_dir):
 
     df = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(16)).alias("gid"), F.col("ts").cast("timestamp").alias("time"), "value")
     return finish(stream_daily(df, ["value"]).withColumnRenamed("day", "day_start"), "gid", "day_start", "value")
+
+
+@query(f"""with {HISTORY_SQL}, {SITES_SQL}, p as (select gid, latitude + 0.021 latitude, longitude + 0.033 longitude from sites where gid % 3 = 0),
+pr as (select p.gid sid, s.gid tid, sqrt((p.latitude - s.latitude) ** 2 + (p.longitude - s.longitude) ** 2) d from p cross join (select * from sites where gid in (select gid from base)) s),
+k as (select *, row_number() over (partition by sid order by d, tid) rank from pr where d < 0.15)
+select {n("sid", "gid")}, dayofyear(time)::bigint doy, hour(time)::bigint as hour, {r("min(d)", "distance")}, {r("avg(x)", "x")} from k join base on base.gid = tid where rank <= 2 group by sid, dayofyear(time), hour(time)""")
+def matched_clearsky(spark, sf_dir):
+    s = sites(spark, sf_dir)
+    sky = histories(spark, sf_dir)[0].join(s.select("gid", "latitude", "longitude"), "gid")
+    wanted = s.where("gid % 3 = 0").select("gid", (F.col("latitude") + 0.021).alias("latitude"), (F.col("longitude") + 0.033).alias("longitude"))
+    return finish(solar.match_clearsky(wanted, sky, 2, 0.15), "gid", "doy", "hour", "distance", "x")
+
+
+@query(f"""with m as (select month(l_shipdate) mo, l_suppkey % 5 la, l_linenumber * 20 height, avg(l_quantity) ws from lineitem group by all),
+s as (select mo, la, list(struct_pack(lev := height::double, ws := ws) order by height) s from m where height <> 60 group by mo, la),
+w as (select mo, la, s, h, greatest(1, least(len(s) - 1, len(list_filter(s, lambda p: p.lev <= h)))) k from s, unnest([10.0::double, 70.0::double, 200.0::double]) t(h) where len(s) >= 2)
+select {n("mo", "mon")}, {r("la", "latitude")}, {r("h", "height")}, {r("s[k].ws + (h - s[k].lev) * (s[k + 1].ws - s[k].ws) / (s[k + 1].lev - s[k].lev)", "ws")} from w""")
+def heights_of_monthly_means(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    means = lines.groupBy(F.month("l_shipdate").alias("mon"), F.pmod("l_suppkey", F.lit(5)).cast("double").alias("latitude"), (F.col("l_linenumber") * 20).alias("height")).agg(F.avg("l_quantity").alias("ws"))
+    gaps = means.withColumn("ws", F.when(F.col("height") == 60, -999.0).otherwise(F.col("ws")))
+    return finish(profiles.monthly_means_to_heights(gaps, [10.0, 70.0, 200.0], ("mon", "latitude")), "mon", "latitude", "height", "ws")
