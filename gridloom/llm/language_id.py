@@ -2,8 +2,9 @@
 
 Each language has a table of byte trigrams of words. A document is a mixture of languages:
 its words' likelihoods under each language come from their trigrams, and expectation
-maximisation estimates the shares. The set of languages is the leading ones (1, 2, ...)
-whose likelihood, less a penalty for each further language, is largest.
+maximisation estimates the shares. The set of languages is the leading ones (1, 2, ... to all)
+whose likelihood, less a penalty for each further language, is largest; larger sets are left
+out only where a bound proves that they cannot win.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from . import words as W
 TABLE_BITS = 16
 SMOOTHING = 0.5
 STEPS = 12
-#: Languages in one document at most, and the penalty for each after the first (times the log of the number of words).
-MOST_TOGETHER, PENALTY = 4, 3.0
-#: A leading share above this needs no other set.
-CLEAR = 0.995
+#: Penalty for each language after the first (times the log of the number of words).
+PENALTY = 3.0
+#: A word's least likelihood relative to its best language.
+FLOOR = np.float32(1e-30)
 
 _LETTER = ((W._BYTES >= 0x41) & (W._BYTES <= 0x5A)) | ((W._BYTES >= 0x61) & (W._BYTES <= 0x7A)) | (W._BYTES >= 0x80)
 
@@ -89,37 +90,51 @@ def _expect(word: np.ndarray, share: np.ndarray, doc: np.ndarray, bounds: np.nda
         joint = word * share[doc]
         joint /= joint.sum(axis=1, keepdims=True)
         share = np.add.reduceat(joint, bounds[:-1], axis=0) / n
-    return share, np.add.reduceat(np.log(np.maximum((word * share[doc]).sum(axis=1), 1e-30)), bounds[:-1])
+    return share, np.add.reduceat(np.log((word * share[doc]).sum(axis=1)), bounds[:-1], dtype=np.float64)
+
+
+def _most(word: np.ndarray, share: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """What no shares of any languages can exceed as a text's log-likelihood.
+
+    The log-likelihood is concave in the shares, so others gain at most its largest slope less the slope along
+    these, which is the number of words. As words are relative to their best, it is not above 0 either.
+    """
+    given = (word * share[doc]).sum(axis=1)
+    slope = np.add.reduceat(word / given[:, None], bounds[:-1], axis=0, dtype=np.float64).max(axis=1)
+    return np.minimum(0, np.add.reduceat(np.log(given), bounds[:-1], dtype=np.float64) + np.maximum(slope - np.diff(bounds), 0))
 
 
 def mixture(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shares of each text's languages (0: not in its set). word: likelihoods of words by language; counts: words of each text, none 0."""
+    """Shares of each text's languages (0: not in its set). word: likelihoods of words by language, 1 for the best; counts: words of each text, none 0."""
+    word = np.maximum(word, FLOOR)
     bounds = np.concatenate(([0], np.cumsum(counts)))
     doc = np.repeat(np.arange(len(counts)), counts)
     languages = word.shape[1]
     share, _ = _expect(word, np.full((len(counts), languages), 1 / languages, np.float32), doc, bounds, STEPS)
-    best = np.zeros_like(share)
-    best[np.arange(len(counts)), share.argmax(axis=1)] = 1
-    unclear = np.flatnonzero(share.max(axis=1) < CLEAR)
-    if languages == 1 or not len(unclear):
-        return best
-    pick = np.concatenate([np.arange(a, b) for a, b in zip(bounds[unclear].tolist(), bounds[unclear + 1].tolist(), strict=True)])
-    word, counts, share = word[pick], counts[unclear], share[unclear]
-    bounds = np.concatenate(([0], np.cumsum(counts)))
-    doc = np.repeat(np.arange(len(counts)), counts)
-    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    chosen, value = None, None
-    for size in range(1, min(languages, MOST_TOGETHER) + 1):
+    lead = share.argmax(axis=1)
+    chosen = np.zeros_like(share)
+    chosen[np.arange(len(counts)), lead] = 1
+    if languages == 1:
+        return chosen
+    value = np.add.reduceat(np.log(word[np.arange(len(word)), lead[doc]]), bounds[:-1], dtype=np.float64)
+    most = _most(word, share, doc, bounds)
+    open_ = np.arange(len(counts))
+    for size in range(2, languages + 1):
+        stay = most[open_] - PENALTY * (size - 1) * np.log(counts[open_] + 1) > value[open_]  # else no set of so many or more can win
+        if not stay.any():
+            break
+        if size == 2 or not stay.all():
+            word, open_, share = word[stay[doc]], open_[stay], share[stay]
+            n = counts[open_]
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            doc = np.repeat(np.arange(len(n)), n)
+            rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
         within = np.where(rank < size, np.maximum(share, 1e-6), 0).astype(np.float32)
-        fit, likelihood = _expect(word, within / within.sum(axis=1, keepdims=True), doc, bounds, STEPS // 2 if size > 1 else 0)
-        worth = likelihood - PENALTY * (size - 1) * np.log(counts + 1)
-        if chosen is None:
-            chosen, value = fit, worth
-        else:
-            better = worth > value
-            chosen[better], value = fit[better], np.maximum(value, worth)
-    best[unclear] = chosen
-    return best
+        fit, likelihood = _expect(word, within / within.sum(axis=1, keepdims=True), doc, bounds, STEPS // 2)
+        worth = likelihood - PENALTY * (size - 1) * np.log(n + 1)
+        better = worth > value[open_]
+        chosen[open_[better]], value[open_[better]] = fit[better], worth[better]
+    return chosen
 
 
 def identify_languages(docs: DataFrame, langs: list[str], table: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

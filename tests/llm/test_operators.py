@@ -13,7 +13,7 @@ from gridloom.llm import fingerprint, packing, words
 from gridloom.llm.decontaminate import contamination
 from gridloom.llm.fingerprint_chain import edited_text, fingerprint_chain, fingerprints
 from gridloom.llm.jaccard_join import boundary, jaccard_components, needed, partners
-from gridloom.llm.language_id import fit_languages, identify_languages
+from gridloom.llm.language_id import fit_languages, identify_languages, mixture
 from gridloom.llm.license_scan import scan_licenses
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.substring_dedup import dedup_substrings
@@ -301,6 +301,21 @@ def test_languages(spark, docs, none):
     assert {r["lang_pred"] for r in identify_languages(docs, *empty).collect()} == {"und"} and identify_languages(none, langs, table).count() == 0
 
 
+def test_language_sets_of_any_length_and_size():
+    rng = np.random.default_rng(1)
+
+    def text(languages, *parts):
+        word = np.exp(-rng.gamma(4, 2, (sum(parts), languages))).astype(np.float32)
+        word[np.arange(len(word)), np.repeat(np.arange(len(parts)), parts)] = 1
+        return word, np.array([len(word)])
+
+    (long,) = mixture(*text(4, 20000, 90))  # a second language is not lost because the text is long
+    assert np.flatnonzero(long).tolist() == [0, 1] and abs(long[1] - 90 / 20090) < 0.003
+    (many,) = mixture(*text(8, *[300] * 6))
+    assert np.flatnonzero(many).tolist() == list(range(6)) and abs(many[:6] - 1 / 6).max() < 0.02
+    assert np.flatnonzero(mixture(*text(8, 300))[0]).tolist() == [0]
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(9)
     bad = [f"grumblo{s}" for s in ("x", "yz", "ten", "ig", "um", "ist", "ed", "or")]
