@@ -70,6 +70,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITES_SQL = "sites as (select s_suppkey gid, s_suppkey // 5 south_north, s_suppkey % 5 west_east, 40 - 0.1 * (s_suppkey // 5) latitude, -105 + 0.1 * (s_suppkey % 5) longitude from supplier)"
 
 
+def in_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid): suppliers with a negative balance."""
+    return table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("gid"))
+
+
 def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gid, latitude, longitude, x): customers strewn over the suppliers' area by arithmetic of their keys."""
     k = F.col("c_custkey")

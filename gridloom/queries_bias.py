@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .cubes import HISTORY_SQL, SITES_SQL, histories, sites
+from .cubes import HISTORY_SQL, SITES_SQL, histories, in_debt, sites
 from .finish import finish, n, r, t
 from .functions import times as T
 from .operators import bias, coarsen, stats
-from .queries import query
+from .queries import SQL, query
 
 MEANS = "b as (select gid, avg(x) bm, stddev_pop(x) bs from base group by gid), m as (select gid, avg(x) mm, stddev_pop(x) ms from bias group by gid), f as (select gid, case when ms = 0 then bs else bs / ms end scalar, bm, mm from b join m using (gid))"
 MONTHS = """mo as (select month(time) - 1 t_idx, * exclude (time) from base), mi as (select month(time) - 1 t_idx, * exclude (time) from bias),
@@ -159,9 +159,19 @@ pr as (select s.gid sid, t2.gid tid, sqrt((s.latitude - t2.latitude) ** 2 + (s.l
 m as (select tid gid, time, avg(x) x from base join b on base.gid = sid group by tid, time), d as (select gid, date_trunc('day', time) date, avg(x) x from m group by 1, 2)
 select {n("gid")}, {t("date", "date")}, {r("x", "x")} from d""")
 def paired_histories(spark, sf_dir):
+    return _paired_histories(spark, sf_dir, "gid % 2 = 0")
+
+
+@query(SQL["paired_histories"].replace(" where gid % 2 = 0", ""))
+def paired_histories_all(spark, sf_dir):
+    """Of every site."""
+    return _paired_histories(spark, sf_dir, "true")
+
+
+def _paired_histories(spark, sf_dir, chosen):
     s = sites(spark, sf_dir)
     base = histories(spark, sf_dir)[0].join(s.select("gid", "latitude", "longitude"), "gid")
-    meta = s.where("gid % 2 = 0").select("gid", (F.col("latitude") + 0.02).alias("latitude"), (F.col("longitude") + 0.031).alias("longitude"))
+    meta = s.where(chosen).select("gid", (F.col("latitude") + 0.02).alias("latitude"), (F.col("longitude") + 0.031).alias("longitude"))
     return finish(bias.pair_histories(base, meta, "x", 0.15, "avg"))
 
 
@@ -170,6 +180,13 @@ def sites_without_base(spark, sf_dir):
     return finish(bias.sites_without_base(sites(spark, sf_dir), histories(spark, sf_dir)[0].where("gid % 3 <> 1")).select("gid"))
 
 
+@query(f"with {HISTORY_SQL}, {SITES_SQL} select {n('gid')} from sites where gid not in (select gid from base where gid not in (select s_suppkey from supplier where s_acctbal < 0))")
+def sites_without_base_in_debt(spark, sf_dir):
+    """Without the series of suppliers in debt."""
+    base = histories(spark, sf_dir)[0].join(in_debt(spark, sf_dir), "gid", "left_anti")
+    return finish(bias.sites_without_base(sites(spark, sf_dir), base).select("gid"))
+
+
 @query()
 def skill_assessment(spark, sf_dir):
     base, modelled, _ = histories(spark, sf_dir)

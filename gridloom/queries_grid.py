@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .cubes import HISTORY_SQL, SCATTERED_SQL, SITES_SQL, SMALL_SQL, WIDE_SQL, cube_small, cube_wide, histories, scattered, sites, table
+from .cubes import HISTORY_SQL, SCATTERED_SQL, SITES_SQL, SMALL_SQL, WIDE_SQL, cube_small, cube_wide, histories, in_debt, scattered, sites, table
 from .finish import finish, n, r, t
 from .functions import times as T
 from .operators import chunks, collect, grid, neighbors, profiles, raster, sampling, windows
@@ -153,6 +153,14 @@ def same_places(spark, sf_dir):
     return finish(neighbors.same_places(meta, wanted).select("gid"))
 
 
+@query(f"""with {SITES_SQL} select {n("gid")} from sites where gid in (select s_suppkey from supplier where s_acctbal < 0)""")
+def same_places_in_debt(spark, sf_dir):
+    """The places of suppliers in debt."""
+    meta = sites(spark, sf_dir)
+    wanted = meta.join(in_debt(spark, sf_dir), "gid", "left_semi").select("gid", (F.col("latitude") + 0.00003).alias("latitude"), "longitude")
+    return finish(neighbors.same_places(meta, wanted).select("gid"))
+
+
 @query(f"""with {NEAR}, k as (select sid, tid, distance, row_number() over (partition by tid order by distance, sid) rank from pr where distance < 0.2), w as (select k.tid, 1 / greatest(distance, 1e-9) w, x from k join pts on gid = sid where rank <= 4)
 select {n("tid", "cell")}, {r("sum(w * x) / sum(w)", "x", 4)} from w group by tid""")
 def regridded(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .cubes import HISTORY_SQL, SITES_SQL, SMALL_SQL, cube_small, histories, sites, table
 from .finish import finish, n, r, t
 from .operators import losses, profiles, qa, raster, solar
-from .queries import query
+from .queries import SQL, query
 from .queries_grid import INDEXED
 from .queries_raster import CELL, KEY
 
@@ -43,9 +43,19 @@ pr as (select g.gid sid, c.gid tid, row_number() over (partition by g.gid order
 where sqrt((g.latitude - c.latitude) ** 2 + (g.longitude - c.longitude) ** 2) < 1.2), m as (select sid, strftime(time, '%m.%d') dy, avg(ghi) x from pr join c on c.gid = tid where k <= 4 group by 1, 2)
 select {n("c2.gid", "gid")}, {t("c2.time")}, {r("x", "clearsky_ghi")} from (select distinct cube.gid, cube.time + interval 366 day as time from cube where gid % 3 = 0) c2 left join m on sid = c2.gid and dy = strftime(c2.time, '%m.%d')""")
 def clearsky_by_day(spark, sf_dir):
+    return _clearsky_by_day(spark, sf_dir, "gid % 3 = 0")
+
+
+@query(SQL["clearsky_by_day"].replace(" where gid % 3 = 0", ""))
+def clearsky_by_day_all(spark, sf_dir):
+    """Of every cell."""
+    return _clearsky_by_day(spark, sf_dir, "true")
+
+
+def _clearsky_by_day(spark, sf_dir, wanted):
     df = cube_small(spark, sf_dir)
     sky = df.where("ghi is not null").select("gid", "latitude", "longitude", "time", F.col("ghi").alias("clearsky_ghi"))
-    cells = df.where("gid % 3 = 0").select("gid", (F.col("latitude") + 0.1).alias("latitude"), "longitude", (F.col("time") + F.expr("interval 366 days")).alias("time")).distinct()
+    cells = df.where(wanted).select("gid", (F.col("latitude") + 0.1).alias("latitude"), "longitude", (F.col("time") + F.expr("interval 366 days")).alias("time")).distinct()
     return finish(solar.daily_clearsky(cells, sky, 4, 1.2), "gid", "time", "clearsky_ghi")
 
 
@@ -152,9 +162,19 @@ pr as (select p.gid sid, s.gid tid, sqrt((p.latitude - s.latitude) ** 2 + (p.lon
 k as (select *, row_number() over (partition by sid order by d, tid) rank from pr where d < 0.15)
 select {n("sid", "gid")}, dayofyear(time)::bigint doy, hour(time)::bigint as hour, {r("min(d)", "distance")}, {r("avg(x)", "x")} from k join base on base.gid = tid where rank <= 2 group by sid, dayofyear(time), hour(time)""")
 def matched_clearsky(spark, sf_dir):
+    return _matched_clearsky(spark, sf_dir, "gid % 3 = 0")
+
+
+@query(SQL["matched_clearsky"].replace(" where gid % 3 = 0", ""))
+def matched_clearsky_all(spark, sf_dir):
+    """Of every site."""
+    return _matched_clearsky(spark, sf_dir, "true")
+
+
+def _matched_clearsky(spark, sf_dir, chosen):
     s = sites(spark, sf_dir)
     sky = histories(spark, sf_dir)[0].join(s.select("gid", "latitude", "longitude"), "gid")
-    wanted = s.where("gid % 3 = 0").select("gid", (F.col("latitude") + 0.021).alias("latitude"), (F.col("longitude") + 0.033).alias("longitude"))
+    wanted = s.where(chosen).select("gid", (F.col("latitude") + 0.021).alias("latitude"), (F.col("longitude") + 0.033).alias("longitude"))
     return finish(solar.match_clearsky(wanted, sky, 2, 0.15), "gid", "doy", "hour", "distance", "x")
 
 

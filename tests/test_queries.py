@@ -33,6 +33,12 @@ def test_query(spark, sf_dir, duck, name):
         assert rows
 
 
+@pytest.mark.parametrize("name", ["clearsky_by_day_all", "matched_clearsky_all", "paired_histories_all"])
+def test_every_cell_and_site(spark, sf_dir, duck, name):
+    all_ = "select distinct user_id % 16 from events" if name == "clearsky_by_day_all" else "select distinct l_suppkey from lineitem where l_returnflag = 'N'"
+    assert {r["gid"] for r in QUERIES[name](spark, sf_dir).select("gid").distinct().collect()} == {r[0] for r in duck.execute(all_).fetchall()}
+
+
 def test_flagship_gives_values(spark, sf_dir):
     assert QUERIES[FLAGSHIP](spark, sf_dir).where("windspeed_100m > 0").count() > 0
 
