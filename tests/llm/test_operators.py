@@ -18,7 +18,7 @@ from gridloom.llm.license_scan import scan_licenses
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.substring_dedup import dedup_substrings
 from gridloom.llm.suffix_array import common_prefixes, suffix_array
-from gridloom.llm.toxicity import fit_toxicity, score_toxicity
+from gridloom.llm.toxicity import Model, fit_toxicity, score_toxicity
 from gridloom.llm.url_filter import filter_urls
 
 from . import brute
@@ -339,6 +339,36 @@ def test_toxicity(spark, docs, none):
     assert fit_toxicity(table, table.limit(0)) is None and {r["score"] for r in score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_counts(spark):
+    given = [(b"ab", 3, 0), (b"abcdefghij", 1, 2), (b"b", 0, 5), ("é".encode(), 1, 1)]
+    model = Model.fit(spark.createDataFrame(given, "word binary, toxic long, ordinary long"))
+    full, contexts, shared, above = {}, {}, [{} for _ in range(6)], [{} for _ in range(6)]
+    code = lambda g: int.from_bytes(g, "big") | len(g) << 56
+    for w, *n in given:
+        w = b" " + w + b" "
+        for i in range(1, len(w)):
+            g = w[max(0, i - 6) : i + 1]
+            full[g] = [a + b for a, b in zip(full.get(g, [0, 0]), n, strict=True)]
+            for k in range(min(i + 1, 6)):
+                g = w[i - k : i + 1]
+                shared[k][g] = shared[k].get(g, 0) + 1
+    for g, (a, b) in full.items():
+        contexts[g[:-1]] = [x + y for x, y in zip(contexts.get(g[:-1], [0] * 4), (a, a > 0, b, b > 0), strict=True)]
+    for k, grams in enumerate(shared):
+        for g, n in grams.items():
+            above[k][g[:-1]] = [x + y for x, y in zip(above[k].get(g[:-1], [0, 0]), (n, 1), strict=True)]
+    as_dict = lambda t: dict(zip(t.keys.tolist(), t.values.tolist(), strict=True))
+    assert as_dict(model.grams) == {code(g): n for g, n in full.items()} and as_dict(model.contexts) == {code(g): n for g, n in contexts.items()}
+    for (counts, totals, _), grams, up in zip(model.shared, shared, above, strict=True):
+        assert as_dict(counts) == {code(g): [n] for g, n in grams.items()} and as_dict(totals) == {code(g): n for g, n in up.items()}
+
+
+def test_toxicity_learns_from_more_than_2000_rows_a_class(spark):
+    table = spark.range(6000).selectExpr("id doc_id", "if(id % 2 = 1, 'ab', 'cd') text", "cast(id % 2 as int) toxic")
+    learned = fit_toxicity(table, table).model.grams.values.sum(axis=0) / 3  # three places a word
+    assert min(learned) > 2000
+
+
 def test_url_filter(spark):
     cases = {
         "http://a.example.net/x": ("a.example.net", "/x", "net/", "block"), "http://A.Example.NET/en/1?q#f": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
