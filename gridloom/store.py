@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -20,9 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files."""
+    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files, which go with the session at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -35,6 +38,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``df`` with a BIGINT column that orders rows as ``column`` does (null stays null), and that column's name.
+
+    Whole numbers are taken as they are; values of other types are sorted once over all rows and joined back.
+    """
+    name = free_name(df, "number")
+    if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(name, F.col(column).cast("long")), name
+    key = free_name(df, "key")
+    ranked = cut(df.where(F.col(column).isNotNull()).select(F.col(column).alias(key)).distinct().orderBy(key).withColumn(name, F.monotonically_increasing_id()))
+    return df.join(ranked, F.col(column) == F.col(key), "left").drop(key), name
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files behind a frame returned by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession
