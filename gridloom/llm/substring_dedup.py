@@ -8,10 +8,12 @@ suffixes of its distinct segments by induction (but for those alone with their k
 permuted common prefixes, and finds for each the smallest document. Candidates are
 only narrowed by keys; the suffix arrays decide.
 
-Keys that very many documents have (at most one for every HOT_BYTES-th of the text) would fill a shard with
-their documents. Their segments are first collapsed, in tasks and by a partial aggregation, to one
-row a segment with its smallest and largest document; shards sort these alone, and what they find is joined back to
-the documents, a join that adaptive execution can split.
+Keys that many documents have would fill a shard with their documents. Their segments are
+first collapsed, in tasks and by a partial aggregation, to one row a segment with its smallest and
+largest document; shards sort these alone, and what they find is joined back to the documents, a
+join that adaptive execution can split. Keys that still have many different segments (a common
+gram in changing surroundings) are dealt on: their segments are cut into runs by the least hash of
+longer grams, in the end of the 50-byte strings themselves, until every shard is small.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import cut
+from ..store import cut, numbered
 from . import words as W
 from .suffix_array import common_prefixes, suffix_array
 
@@ -35,9 +37,11 @@ KEY_BITS = 27
 KEYS_BYTES, SEGMENTS_BYTES = 24 << 20, 6 << 20
 #: Distinct bytes that one suffix array takes; more are cut between keys. Twice as many bytes of segments are solved at once.
 ARRAY_BYTES = 3 << 20
-#: A key is hot if more documents have it than the bytes of all texts divided by this, and than HOT_LEAST. As no byte starts
-#: more than one key, there are fewer hot keys than this: 16 MB to broadcast at most, a few hundred KB as a rule.
-HOT_BYTES, HOT_LEAST = 2_000_000, 64
+#: Documents from which a key is hot, and bits of the bitmap that marks hot keys: 2 MB whatever the data. A key marked
+#: by another one's bit takes the same way; that costs time, never results.
+HOT_DOCS, HOT_BITS = 256, 24
+#: Different segments from which a hot key is dealt on by longer grams.
+CROWD = 256
 
 
 def _part_bits(spark: SparkSession) -> int:
@@ -45,6 +49,11 @@ def _part_bits(spark: SparkSession) -> int:
     return min(20, max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
+def _longer_grams(length: int, gram: int) -> list[int]:
+    """By what lengths of grams crowded keys are dealt on; the last is the string itself, of which no two different ones share a shard."""
+    return sorted({(gram + length) // 2, (gram + 3 * length) // 4, length})
+
+
 def _gram_keys(data: np.ndarray, gram: int) -> np.ndarray:
     at = np.arange(max(len(data) - gram + 1, 0))
     return W.hash_spans(data, at, at + gram)
@@ -73,7 +82,7 @@ def _runs(part: W.Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
 def _blobs(part: np.ndarray, columns: dict[str, np.ndarray], payload: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
     """One row a part: the values of each column for it, as bytes. ``part`` is sorted; payload: bytes and where each entry's begin."""
     found, first = np.unique(part, return_index=True)
-    stop = np.append(first[1:], len(part))
+    stop = np.append(first, len(part))[1:]
     arrays = [pa.array(found.astype(np.int32))]
     arrays += [pa.array([v[a:b].tobytes() for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary()) for v in columns.values()]
     if payload:
@@ -82,16 +91,16 @@ def _blobs(part: np.ndarray, columns: dict[str, np.ndarray], payload: tuple[np.n
     return pa.RecordBatch.from_arrays(arrays, ["part", *columns, *["bytes"] * bool(payload)])
 
 
-def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bitmap of keys that two rows have, by the key's top bits; and the sorted hot keys, by their first ``bits`` + 32 bits."""
+def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the keys that two rows have and of the hot ones, by the keys' top bits."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def hand_over() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
             rest = (keys << np.uint64(bits)) >> np.uint64(32)  # the 32 bits behind the part; more documents mean more parts
-            return _blobs(keys >> np.uint64(64 - bits), {"keys": rest.astype(np.uint32)})
+            return _blobs(keys >> np.uint64(64 - bits), {"keys": rest.astype(np.uint32), "counts": counts.astype(np.uint32)})
 
         for batch in batches:
             for part in W.slices(batch["text"]):
@@ -105,38 +114,40 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int, hot_from
             yield hand_over()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        def answer(part: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            keys, counts = (np.concatenate([np.frombuffer(x[i], np.uint32) for x in held]) for i in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+            rows = np.add.reduceat(counts[order].astype(np.int64), start) if len(start) else counts.astype(np.int64)
+            maps = []
+            for size, often in ((KEY_BITS, rows > 1), (HOT_BITS, rows >= HOT_DOCS)):
+                marks = np.zeros(1 << (size - bits), bool)
+                marks[keys[start[often]] >> np.uint32(32 - size + bits)] = True
+                maps.append(pa.array([np.packbits(marks).tobytes()], pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *maps], ["part", "marks", "hot"])
+
+        held, last = [], None
         for batch in batches:
-            for p, keys in zip(batch["part"].to_pylist(), batch["keys"].to_pylist(), strict=True):
-                held.setdefault(p, []).append(np.frombuffer(keys, np.uint32))
-        for p in list(held):
-            keys = np.sort(np.concatenate(held.pop(p)))
-            again = keys[1:][keys[1:] == keys[:-1]]
-            marks = np.zeros(1 << (KEY_BITS - bits), bool)
-            marks[again >> np.uint32(32 - KEY_BITS + bits)] = True
-            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            often = keys[start][np.diff(np.append(start, len(keys))) > hot_from]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())], ["part", "marks", "hot"])
-
-    dealt = shown.select("text").mapInArrow(gather, "part int, keys binary").repartition("part")
-    rows = dealt.mapInArrow(merge, "part int, marks binary, hot binary").toArrow()
-    bitmap = np.zeros((1 << bits, 1 << (KEY_BITS - bits - 3)), np.uint8)
-    hot = [np.zeros(0, np.uint64)]
-    for p, marks, often in zip(rows["part"].to_pylist(), rows["marks"].to_pylist(), rows["hot"].to_pylist(), strict=True):
-        bitmap[p] = np.frombuffer(marks, np.uint8)
-        hot.append((np.uint64(p) << np.uint64(32)) | np.frombuffer(often, np.uint32).astype(np.uint64))
-    return bitmap.ravel(), np.sort(np.concatenate(hot))
-
+            for part, keys, counts in zip(*(batch[c].to_pylist() for c in ("part", "keys", "counts")), strict=True):
+                if held and part != last:
+                    yield answer(last, held)
+                    held = []
+                held.append((keys, counts))
+                last = part
+        if held:
+            yield answer(last, held)
 
-def _is_hot(hot: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    if not len(hot):
-        return np.zeros(len(keys), bool)
-    short = keys >> np.uint64(32 - bits)
-    return hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
+    dealt = shown.select("text").mapInArrow(gather, "part int, keys binary, counts binary").repartition("part").sortWithinPartitions("part")
+    rows = dealt.mapInArrow(merge, "part int, marks binary, hot binary").toArrow()
+    repeated, hot = (np.zeros((1 << bits, 1 << (size - bits - 3)), np.uint8) for size in (KEY_BITS, HOT_BITS))
+    for part, marks, often in zip(*(rows[c].to_pylist() for c in ("part", "marks", "hot")), strict=True):
+        repeated[part], hot[part] = np.frombuffer(marks, np.uint8), np.frombuffer(often, np.uint8)
+    return repeated.ravel(), hot.ravel()
 
 
 def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    place = (keys >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
     return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -231,13 +242,12 @@ def _least_owners(data: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, a, b): for each document with covered bytes the byte ranges, as arrays; they may overlap."""
+    """(id, a, b): for each document with covered bytes the byte ranges, as arrays; they may overlap. Ids are BIGINT."""
     spark = docs.sparkSession
     bits = _part_bits(spark)
-    shown = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), W.text_column(text_column).alias("text"))
-    total = shown.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    marks, hot_keys = _repeated_keys(shown, length, gram, bits, max(HOT_LEAST, total // HOT_BYTES))
-    bitmap, hot = spark.sparkContext.broadcast(marks), spark.sparkContext.broadcast(hot_keys)
+    shown = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), W.text_column(text_column).alias("text"))
+    repeated, often = _repeated_keys(shown, length, gram, bits)
+    bitmap, hot = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(often)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -255,7 +265,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
             ids = batch["id"].to_numpy()
             for part in W.slices(batch["text"]):
                 first, last, key = _runs(part, length, gram)
-                keep = _marked(bitmap.value, key) & ~_is_hot(hot.value, key, bits)
+                keep = _marked(bitmap.value, key) & ~_marked(hot.value, key)
                 first, last, key = first[keep], last[keep], key[keep]
                 doc = np.searchsorted(part.offsets, first, "right") - 1
                 sizes = last - first + length
@@ -288,12 +298,12 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     segments = shown.mapInArrow(send, "part int, ids binary, starts binary, sizes binary, bytes binary")
     found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "id long, a int, b int")
-    if len(hot_keys):
-        found = found.unionByName(_hot_spans(shown, hot, length, gram, bits))
+    if often.any():
+        found = found.unionByName(_hot_spans(shown, bitmap, hot, length, gram, bits))
     return found.groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
 
-def _hot_spans(shown: DataFrame, hot, length: int, gram: int, bits: int) -> DataFrame:
+def _hot_spans(shown: DataFrame, bitmap, hot, length: int, gram: int, bits: int) -> DataFrame:
     """(id, a, b) for the segments with hot keys."""
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,18 +322,18 @@ def _hot_spans(shown: DataFrame, hot, length: int, gram: int, bits: int) -> Data
             some = len(first) > 0
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array((key[first] >> np.uint64(64 - bits)).astype(np.int32)), pa.array([data[a:b].tobytes() for a, b in zip(at[first].tolist(), (at + sizes)[first].tolist(), strict=True)], pa.binary()),
+                    pa.array((key[first] >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array([data[a:b].tobytes() for a, b in zip(at[first].tolist(), (at + sizes)[first].tolist(), strict=True)], pa.binary()),
                     pa.array(np.minimum.reduceat(ids, begin) if some else ids), pa.array(np.maximum.reduceat(ids, begin) if some else ids),
                     pa.array([ids[a:b].tobytes() for a, b in pick], pa.binary()), pa.array([starts[a:b].tobytes() for a, b in pick], pa.binary()),
                 ],
-                ["part", "segment", "lo", "hi", "ids", "starts"],
+                ["part", "key", "segment", "lo", "hi", "ids", "starts"],
             )
 
         for batch in batches:
             own = batch["id"].to_numpy()
             for part in W.slices(batch["text"]):
                 first, last, key = _runs(part, length, gram)
-                keep = _is_hot(hot.value, key, bits)
+                keep = _marked(bitmap.value, key) & _marked(hot.value, key)
                 first, last, key = first[keep], last[keep], key[keep]
                 doc = np.searchsorted(part.offsets, first, "right") - 1
                 sizes = last - first + length
@@ -335,6 +345,34 @@ def _hot_spans(shown: DataFrame, hot, length: int, gram: int, bits: int) -> Data
         if held:
             yield hand_over()
 
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, starts, least in zip(batch["ids"], batch["starts"], batch["least"], strict=True):
+                ids, starts = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(starts.as_py(), np.int32).astype(np.int64)
+                least = least.values.to_numpy()
+                row, a, b = _true_runs((least[None, :] < ids[:, None]).ravel(), np.repeat(np.arange(len(ids)), len(least)))
+                out.append((ids[row], starts[row] + a % len(least), starts[row] + b % len(least) + length))
+            columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c.astype(np.int32)) for c in columns[1:])], ["id", "a", "b"])
+
+    members = cut(shown.mapInArrow(collapse, "part int, key long, segment binary, lo long, hi long, ids binary, starts binary"))
+    answers = _answers(_collapsed(members, "segment"), length, [gram, *_longer_grams(length, gram)], bits)
+    return members.select("segment", "ids", "starts").join(answers, "segment").select("ids", "starts", "least").mapInArrow(cover, "id long, a int, b int")
+
+
+def _collapsed(rows: DataFrame, segment: str) -> DataFrame:
+    """One row a segment: the smallest and largest id that have it."""
+    return rows.groupBy("part", "key", F.col(segment).alias("segment")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _answers(segments: DataFrame, length: int, grams: list[int], bits: int) -> DataFrame:
+    """(segment, least): for different segments (part, key, segment, lo, hi), keyed by the first of ``grams``, the smallest id of each of their strings.
+
+    Segments none of whose strings has a smaller id than ``hi`` may be left out.
+    """
+    gram = grams[0]
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: pa.Table) -> pa.RecordBatch:
             at, data = W.string_buffers(rows["segment"].combine_chunks())
@@ -351,34 +389,47 @@ def _hot_spans(shown: DataFrame, hot, length: int, gram: int, bits: int) -> Data
         last = None
         for batch in batches:
             parts = batch["part"].to_numpy()
+            bounds, _ = W.string_buffers(batch["segment"])
             edges = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if a == b:
                     continue
-                if held and last != parts[a] and size > ARRAY_BYTES:
+                if held and last != parts[a] and size > 2 * ARRAY_BYTES:
                     yield answer(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(a, b - a))
-                size += 70 * (b - a)
+                size += int(bounds[b] - bounds[a])
                 last = parts[a]
         if held:
             yield answer(pa.Table.from_batches(held))
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, starts, least in zip(batch["ids"], batch["starts"], batch["least"], strict=True):
-                ids, starts = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(starts.as_py(), np.int32).astype(np.int64)
-                least = least.values.to_numpy()
-                row, a, b = _true_runs((least[None, :] < ids[:, None]).ravel(), np.repeat(np.arange(len(ids)), len(least)))
-                out.append((ids[row], starts[row] + a % len(least), starts[row] + b % len(least) + length))
-            columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c.astype(np.int32)) for c in columns[1:])], ["id", "a", "b"])
-
-    members = cut(shown.mapInArrow(collapse, "part int, segment binary, lo long, hi long, ids binary, starts binary"))
-    segments = members.groupBy("part", "segment").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    answers = segments.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "segment binary, least array<long>")
-    return members.select("segment", "ids", "starts").join(answers, "segment").select("ids", "starts", "least").mapInArrow(cover, "id long, a int, b int")
+            for a in range(0, batch.num_rows, CROWD):
+                rows = batch.slice(a, CROWD)
+                texts = rows["segment"].to_pylist()
+                data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a line feed behind each, as the texts have
+                offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+                first, last, key = _runs(W.Slice(0, len(texts), data, offsets), length, grams[1])
+                row = np.searchsorted(offsets, first, "right") - 1
+                pieces = [data[a:b].tobytes() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                own = rows.take(pa.array(row))
+                columns = [own["segment"], pa.array((first - offsets[row]).astype(np.int32)), pa.array((key >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(pieces, pa.binary()), own["lo"], own["hi"]]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "at", "part", "key", "piece", "lo", "hi"])
+
+    solved = lambda rows: rows.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "segment binary, least array<long>")
+    if len(grams) == 1:
+        return solved(segments)
+    segments = cut(segments)
+    crowded = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    if crowded.isEmpty():
+        return solved(segments)
+    pieces = cut(segments.join(crowded, "key", "left_semi").mapInArrow(finer, "segment binary, at int, part int, key long, piece binary, lo long, hi long"))
+    below = _answers(_collapsed(pieces, "piece"), length, grams[1:], bits).withColumnRenamed("segment", "piece")
+    nobody = F.array_repeat(F.lit((1 << 63) - 1), F.octet_length("piece") - (length - 1))
+    runs = pieces.select("segment", "at", "piece").join(below, "piece", "left").select("segment", F.struct("at", F.coalesce("least", nobody).alias("least")).alias("run"))
+    whole = runs.groupBy("segment").agg(F.array_sort(F.collect_list("run")).alias("runs")).select("segment", F.flatten("runs.least").alias("least"))
+    return solved(segments.join(crowded, "key", "left_anti")).unionByName(whole)
 
 
 def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
@@ -387,11 +438,13 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a
     smaller id; strings are judged on the input. Null text is empty. Rows with null id take
     no part and keep all. Rows that repeat an id count as one document; should their texts differ, each
-    loses the ranges of both. Texts shorter than ``length`` keep all. Other columns are not
-    read; an empty table gives an empty one.
+    loses the ranges of both. Texts shorter than ``length`` keep all. Ids of any type that has an order
+    will do; others than whole numbers are ranked first. Other columns are not read; an empty table gives an empty
+    one. A task holds one text at a time and some 70 bytes for each of its bytes.
     """
-    spans = repeated_spans(docs, id_column, text_column, length)
-    shown = docs.select(F.col(id_column).alias("own"), F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("raw"))
+    docs, number = numbered(docs.select(id_column, text_column), id_column)
+    spans = repeated_spans(docs, number, text_column, length)
+    shown = docs.select(F.col(id_column).alias("own"), F.col(number).alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("raw"))
     both = shown.join(spans, "id", "left").select("own", "raw", "a", "b")
     names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
 

@@ -2,9 +2,10 @@
 
 Suffixes are classified as smaller (S) or larger (L) than their successor. Leftmost S
 suffixes (LMS) are put in order by sorting the substrings between them and, where those
-repeat, the shorter string of their names; all other suffixes are then induced from them in
-two linear scans. A scan goes bucket by bucket; what a bucket induces is written in waves, each a few
-array operations, so the order of the scan is kept.
+repeat, by the suffix array of the shorter string of their names, whatever its alphabet; all
+other suffixes are then induced from them in two linear scans. A scan takes as many entries at once as
+do not write into each other's stretch, so its order is kept; where entries follow each other
+too closely for arrays to pay it goes on one by one.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import numpy as np
 
 from .words import hash_spans
 
-#: Names up to which the shorter string is sorted by induction again; beyond, by doubling of ranks.
-INDUCED_NAMES = 255
+#: Entries that a scan takes at once, at most and at first.
+MOST_AT_ONCE, FIRST_AT_ONCE = 1 << 16, 1 << 10
+#: Stretches shorter than this are not worth array operations; then so many entries are taken one by one.
+SHORT, ONE_BY_ONE = 24, 256
 
 
 def _is_smaller(text: np.ndarray) -> np.ndarray:
@@ -27,86 +30,128 @@ def _is_smaller(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _put(array: np.ndarray, at: np.ndarray, values: np.ndarray, keys: np.ndarray, step: int) -> None:
-    """Write values to the next free places of their keys' buckets, in order; ``at`` moves by ``step``."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    counts = np.bincount(keys, minlength=len(at))
-    rank = np.arange(len(keys)) - (np.cumsum(counts) - counts)[keys]
-    array[at[keys] + step * rank] = values[order]
-    at += step * counts
+def _scan(array: np.ndarray, text: np.ndarray, wanted: np.ndarray, free: np.ndarray) -> None:
+    """Go through ``array`` upwards; each entry writes the suffix before it, if wanted, to its letter's next free place, which lies ahead.
+
+    ``free`` moves along. Places without an entry hold -1.
+    """
+    n = len(array)
+    p, width, singles = 0, FIRST_AT_ONCE, ONE_BY_ONE
+    entry, letter, want, place = (memoryview(x) for x in (array, text, wanted, free))
+    while p < n:
+        stop = min(p + width, n)
+        entries = array[p:stop]
+        at = np.flatnonzero(entries > 0)
+        before = entries[at] - 1
+        keep = wanted[before]
+        at, before = at[keep], before[keep]
+        letters = text[before]
+        order = np.argsort(letters, kind="stable")
+        at, before, letters = at[order], before[order], letters[order]
+        fresh = np.flatnonzero(np.concatenate(([True], letters[1:] != letters[:-1]))[: len(letters)])
+        rank = np.arange(len(letters)) - np.repeat(fresh, np.diff(np.append(fresh, len(letters))))
+        to = free[letters] + rank
+        first = int(to.min()) if len(to) else n
+        if first < stop:  # what lies from there on is not complete yet
+            inside = at + p < first
+            to, before, letters = to[inside], before[inside], letters[inside]
+            stop = first
+        array[to] = before
+        free[letters] = to + 1  # ascending within a letter: the last one stays
+        width = min(2 * max(width if stop - p == width else stop - p, SHORT), MOST_AT_ONCE)
+        short = stop - p < SHORT
+        p = stop
+        if short:
+            stop = min(p + singles, n)
+            for i in range(p, stop):
+                b = entry[i] - 1
+                if b >= 0 and want[b]:
+                    c = letter[b]
+                    entry[place[c]] = b
+                    place[c] += 1
+            p, singles = stop, min(2 * singles, MOST_AT_ONCE)
+        else:
+            singles = ONE_BY_ONE
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the LMS suffixes in (some) order."""
-    n, sigma = len(text), len(starts)
-    array = np.zeros(n, np.int32)
-    head = starts.copy()
-    by_letter = np.searchsorted(text[lms], np.arange(sigma + 1))
-    larger = ~smaller
-    if n and larger[n - 1]:
-        _put(array, head, np.array([n - 1], np.int32), text[n - 1 :], 1)
-
-    def induced(entries: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        before = entries[entries > 0] - 1
-        return before[wanted[before]]
-
-    for c in range(sigma):
-        seen = starts[c]
-        while seen < head[c]:
-            upto = head[c]
-            before = induced(array[seen:upto], larger)
-            seen = upto
-            if len(before):
-                _put(array, head, before, text[before], 1)
-        before = induced(lms[by_letter[c] : by_letter[c + 1]], larger)
-        if len(before):
-            _put(array, head, before, text[before], 1)
-    tail = ends - 1
-    for c in range(sigma - 1, -1, -1):
-        seen = ends[c] - 1
-        while seen > tail[c]:
-            upto = tail[c]
-            before = induced(array[upto + 1 : seen + 1][::-1], smaller)
-            seen = upto
-            if len(before):
-                _put(array, tail, before, text[before], -1)
-        before = induced(array[starts[c] : head[c]][::-1], smaller)
-        if len(before):
-            _put(array, tail, before, text[before], -1)
+    """All suffixes in order, from the LMS suffixes in (some) order that agrees with their first letters."""
+    n = len(text)
+    array = np.full(n, -1, np.int32)
+    letters = text[lms]
+    held = np.bincount(letters, minlength=len(ends))
+    array[(ends - held)[letters] + np.arange(len(lms)) - (np.cumsum(held) - held)[letters]] = lms
+    free = starts.copy()
+    array[free[text[n - 1]]] = n - 1
+    free[text[n - 1]] += 1
+    _scan(array, text, ~smaller, free)
+    array[np.arange(n) >= np.repeat(free, ends - starts)] = -1  # S suffixes are all induced anew
+    _scan(array[::-1], text, smaller, n - ends)
     return array
 
 
-def _by_doubling(names: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of many names in order: ranks of twice the length, again for what is still equal. order: by name."""
-    n = len(names)
-    rank, order = names.astype(np.int64), order.astype(np.int64)
-    step = 1
-    while True:
-        fresh = np.concatenate(([True], rank[order[1:]] != rank[order[:-1]]))
-        if fresh.all():
-            return order
-        first = np.flatnonzero(fresh)
-        rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-        same = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
-        rows = order[same]
-        following = np.where(rows + step < n, rank[np.minimum(rows + step, n - 1)] + 1, 0)
-        now = rank[rows] * np.int64(n + 2) + following
-        again = np.argsort(now)
-        order[same] = rows[again]
-        now = now[again]
-        start = np.concatenate(([True], now[1:] != now[:-1]))
-        rank[order[same]] = same[np.maximum.accumulate(np.where(start, np.arange(len(same)), 0))]
-        step *= 2
+def _first_eight(text: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on as one number, zeros behind the end."""
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    out = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        out |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Names of the LMS substrings, rising with ``ordered`` and equal for equal ones, by their place in the text."""
+    n = len(text)
+    stop = np.minimum(np.append(lms[1:], n - 1) + 1, n)
+    number = np.zeros(n, np.int32)
+    number[lms] = np.arange(len(lms))
+    at = number[ordered]
+    size = (stop - lms).astype(np.int64)
+    if text.dtype == np.uint8:  # short ones are told apart by their bytes as they are
+        known = size <= 8
+        digest = _first_eight(text)[lms] << (np.uint64(8) * np.maximum(8 - size, 0).astype(np.uint64))
+        long = np.flatnonzero(~known)
+        digest[long] = hash_spans(text, lms[long], stop[long])
+    else:
+        known = np.zeros(len(lms), bool)
+        digest = hash_spans(text, lms, stop)
+    size[-1] += n  # it ends with the text and equals no other
+    fresh = np.ones(len(lms), bool)
+    fresh[1:] = (digest[at[1:]] != digest[at[:-1]]) | (size[at[1:]] != size[at[:-1]])
+    alike = np.flatnonzero(~fresh & ~known[at])
+    if len(alike):  # equal hashes: compare letter by letter
+        length = size[at[alike]]
+        begin = np.cumsum(length) - length
+        step = np.arange(begin[-1] + length[-1]) - np.repeat(begin, length)
+        same = text[np.repeat(lms[at[alike]], length) + step] == text[np.repeat(lms[at[alike - 1]], length) + step]
+        fresh[alike] = ~np.logical_and.reduceat(same, begin)
+    names = np.empty(len(lms), np.int32)
+    names[at] = np.cumsum(fresh) - 1
+    return names
+
+
+def _by_names(names: np.ndarray) -> np.ndarray:
+    """The suffixes of the string of names in order, by its suffix array.
+
+    A name that occurs once decides every comparison that reaches it, so names behind it that occur once
+    too are left out of the recursion and take their places by name.
+    """
+    once = np.bincount(names)[names] == 1
+    left_out = np.zeros(len(names), bool)
+    left_out[1:] = once[1:] & once[:-1]
+    kept = np.flatnonzero(~left_out)
+    present = np.zeros(names.max() + 1, np.int32)
+    present[names[kept]] = 1
+    order = np.concatenate((kept[suffix_array((np.cumsum(present, dtype=np.int32) - 1)[names[kept]])], np.flatnonzero(left_out)))
+    return order[np.argsort(names[order], kind="stable")]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The starts of all suffixes of ``text`` (uint8) in order."""
+    """The starts of all suffixes of ``text`` (bytes or names from 0 on) in order."""
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    sigma = int(text.max()) + 1
-    counts = np.bincount(text, minlength=sigma)
+    counts = np.bincount(text)
     ends = np.cumsum(counts)
     starts = ends - counts
     smaller = _is_smaller(text)
@@ -116,20 +161,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ordered = rough[is_lms[rough]]
-        stop = np.minimum(np.append(lms[1:], n - 1) + 1, n)
-        spans = hash_spans(text, lms, stop) ^ (np.append(np.zeros(len(lms) - 1, np.uint64), np.uint64(1)))  # the last one ends with the text
-        number = np.zeros(n, np.int32)
-        number[lms] = np.arange(len(lms))
-        at = number[ordered]
-        name_of = np.cumsum(np.concatenate(([0], spans[at[1:]] != spans[at[:-1]])))
-        names = np.zeros(len(lms), np.int64)
-        names[at] = name_of
-        if name_of[-1] + 1 == len(lms):
-            lms = ordered
-        elif name_of[-1] <= INDUCED_NAMES:
-            lms = lms[suffix_array(names.astype(np.uint8))]
-        else:
-            lms = lms[_by_doubling(names, at)]
+        names = _names(text, lms, ordered)
+        lms = ordered if names.max() + 1 == len(lms) else lms[_by_names(names)]
     return _induce(text, smaller, lms, starts, ends)
 
 
@@ -148,10 +181,7 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarra
     reducible[inside] = text[here[inside] - 1] == text[before[inside] - 1]
     # a capped value tells nothing of the next place's, so no chain is longer than the cap
     start = np.flatnonzero(~reducible)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    words = np.zeros(n, np.uint64)
-    for k in range(8):
-        words |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    words = _first_eight(text)
 
     def compare(places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(places), np.int64)

@@ -235,6 +235,20 @@ def test_suffix_arrays():
                 assert shared[i] == n
 
 
+def test_suffix_array_of_real_text_recurses(spark, sf_dir, monkeypatch):
+    from gridloom.llm import suffix_array as module
+
+    sizes = []
+    by_names = module._by_names
+    monkeypatch.setattr(module, "_by_names", lambda names: (sizes.append(len(names)), by_names(names))[1])
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").limit(40).collect()]
+    text = np.frombuffer("".join(texts).encode()[:200_000], np.uint8)
+    array = suffix_array(text)
+    raw = text.tobytes()
+    assert len(sizes) >= 2 and sizes == sorted(sizes, reverse=True) and sorted(array.tolist()) == list(range(len(raw)))
+    assert all(raw[a : a + 4000] <= raw[b : b + 4000] for a, b in zip(array[:-1].tolist(), array[1:].tolist(), strict=True))
+
+
 def test_substring_dedup(docs, rows, none):
     want = brute.without_repeats(rows)
     got = dedup_substrings(docs).collect()
@@ -248,15 +262,40 @@ def test_substring_dedup(docs, rows, none):
     assert dedup_substrings(none).count() == 0
 
 
+def _same_as_plain(docs, want):
+    for r in dedup_substrings(docs, with_bytes=False).collect():
+        if r["doc_id"] is not None:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
 def test_substring_dedup_with_hot_keys(docs, rows, monkeypatch):
-    """Every key that three documents have goes the way of hot ones; the result is the same."""
+    """Every key that two documents have goes the way of hot ones; the result is the same."""
+    from gridloom.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT_DOCS", 2)
+    _same_as_plain(docs, brute.without_repeats(rows))
+    monkeypatch.setattr(substring_dedup, "CROWD", 1)
+    _same_as_plain(docs, brute.without_repeats(rows))
+
+
+def test_substring_dedup_of_a_phrase_in_all_documents(spark, monkeypatch):
+    """One phrase in every text, in different surroundings: its keys are dealt on by longer grams."""
     from gridloom.llm import substring_dedup
 
-    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 2)
+    monkeypatch.setattr(substring_dedup, "HOT_DOCS", 20)
+    monkeypatch.setattr(substring_dedup, "CROWD", 8)
+    rng = np.random.default_rng(5)
+    around = ["".join(map(chr, rng.integers(97, 123, 60))) for _ in range(40)]
+    rows = [(i, around[rng.integers(40)][: rng.integers(20, 60)] + " every single one of them has " + around[rng.integers(40)] + "a" * int(rng.integers(80) * (i % 3 == 0))) for i in range(300)]
     want = brute.without_repeats(rows)
-    for r in dedup_substrings(docs, with_bytes=False).collect():
-        if r["doc_id"] is not None:
-            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+    assert sum(x[1] > 0 for x in want.values()) > 100
+    _same_as_plain(spark.createDataFrame(rows, "doc_id long, text string"), want)
+
+
+def test_substring_dedup_takes_text_ids(spark):
+    rows = [(x, t) for x, t in zip("dbac", ["q" * 20 + "some passage that is longer than fifty bytes, surely so" + z for z in "wxyz"], strict=True)]
+    want = brute.without_repeats(rows)
+    _same_as_plain(spark.createDataFrame(rows, "doc_id string, text string"), want)
 
 
 def test_license_scan(docs, rows, none):
