@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small fixtures."""
 
 import hashlib
+import math
 import re
 
 
@@ -98,3 +99,57 @@ def line_windows_removed(rows, window=3):
             seen.add(key)
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
+
+
+def kneser_ney_counts(given, order=7):
+    """given: (word, toxic, ordinary). Counts by longest n-gram, totals and kinds by its context, and by n continuations with theirs."""
+    full, contexts, kinds = {}, {}, [set() for _ in range(order - 1)]
+    for w, *n in given:
+        w = b" " + w + b" "
+        for i in range(1, len(w)):
+            g = w[max(0, i - order + 1) : i + 1]
+            full[g] = [a + b for a, b in zip(full.get(g, [0, 0]), n, strict=True)]
+            for k in range(1, min(i, order - 1) + 1):
+                kinds[k - 1].add(w[i - k : i + 1])
+    for g, (a, b) in full.items():
+        contexts[g[:-1]] = [x + y for x, y in zip(contexts.get(g[:-1], [0] * 4), (a, a > 0, b, b > 0), strict=True)]
+    shared = []
+    for longer in kinds:
+        counts, above = {}, {}
+        for g in longer:
+            counts[g[1:]] = counts.get(g[1:], 0) + 1
+        for g, n in counts.items():
+            above[g[:-1]] = [x + y for x, y in zip(above.get(g[:-1], [0, 0]), (n, 1), strict=True)]
+        shared.append((counts, above))
+    return full, contexts, shared
+
+
+def kneser_ney_ratio(given, word, order=7):
+    """Log-likelihood of the word in the toxic model less that in the ordinary one."""
+    full, contexts, shared = kneser_ney_counts(given, order)
+
+    def discount(counts):
+        once, twice = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    def backoff(context, letter):
+        p = 1 / 256
+        for n in range(len(context) + 1):
+            h = context[len(context) - n :]
+            counts, above = shared[n]
+            if h in above:
+                total, kinds = above[h]
+                d = discount(counts.values())
+                p = (max(counts.get(h + letter, 0) - d, 0) + d * kinds * p) / total
+        return p
+
+    w, out = b" " + word + b" ", 0.0
+    for i in range(1, len(w)):
+        h, letter = w[max(0, i - order + 1) : i], w[i : i + 1]
+        p = backoff(h[1:], letter)
+        for c, sign in ((0, 1), (1, -1)):
+            total, kinds = contexts.get(h, [0] * 4)[2 * c : 2 * c + 2]
+            d = discount([x[c] for x in full.values()])
+            q = (max(full.get(h + letter, [0, 0])[c] - d, 0) + d * kinds * p) / total if total else p
+            out += sign * math.log(q)
+    return out

@@ -381,25 +381,24 @@ def test_toxicity(spark, docs, none):
 def test_toxicity_counts(spark):
     given = [(b"ab", 3, 0), (b"abcdefghij", 1, 2), (b"b", 0, 5), ("é".encode(), 1, 1)]
     model = Model.fit(spark.createDataFrame(given, "word binary, toxic long, ordinary long"))
-    full, contexts, shared, above = {}, {}, [{} for _ in range(6)], [{} for _ in range(6)]
+    full, contexts, shared = brute.kneser_ney_counts(given)
     code = lambda g: int.from_bytes(g, "big") | len(g) << 56
-    for w, *n in given:
-        w = b" " + w + b" "
-        for i in range(1, len(w)):
-            g = w[max(0, i - 6) : i + 1]
-            full[g] = [a + b for a, b in zip(full.get(g, [0, 0]), n, strict=True)]
-            for k in range(min(i + 1, 6)):
-                g = w[i - k : i + 1]
-                shared[k][g] = shared[k].get(g, 0) + 1
-    for g, (a, b) in full.items():
-        contexts[g[:-1]] = [x + y for x, y in zip(contexts.get(g[:-1], [0] * 4), (a, a > 0, b, b > 0), strict=True)]
-    for k, grams in enumerate(shared):
-        for g, n in grams.items():
-            above[k][g[:-1]] = [x + y for x, y in zip(above[k].get(g[:-1], [0, 0]), (n, 1), strict=True)]
     as_dict = lambda t: dict(zip(t.keys.tolist(), t.values.tolist(), strict=True))
     assert as_dict(model.grams) == {code(g): n for g, n in full.items()} and as_dict(model.contexts) == {code(g): n for g, n in contexts.items()}
-    for (counts, totals, _), grams, up in zip(model.shared, shared, above, strict=True):
+    for (counts, totals, _), (grams, up) in zip(model.shared, shared, strict=True):
         assert as_dict(counts) == {code(g): [n] for g, n in grams.items()} and as_dict(totals) == {code(g): n for g, n in up.items()}
+    words = [w for w, *_ in given] + [b"abc", b"zz", b"abcdefgh"]
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    want = [brute.kneser_ney_ratio(given, w) for w in words]
+    assert np.allclose(model.ratios(flat, ends - [len(w) for w in words], ends), want, atol=1e-4) and abs(want[0]) > 0.1
+
+
+def test_continuations_count_preceding_letters(spark):
+    """'xa' occurs in five words, but only one byte ever precedes it."""
+    model = Model.fit(spark.createDataFrame([(w, 1, 1) for w in (b"xa", b"xab", b"xac", b"xad", b"xae", b"ya")], "word binary, toxic long, ordinary long"))
+    one = lambda n, g: model.shared[n][0].get(np.array([int.from_bytes(g, "big") | len(g) << 56], np.uint64))[0, 0]
+    assert one(1, b"xa") == 1 and one(0, b"a") == 2 and one(0, b" ") == 5
 
 
 def test_toxicity_learns_from_more_than_2000_rows_a_class(spark):
