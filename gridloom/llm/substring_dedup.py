@@ -36,12 +36,13 @@ KEY_BITS = 27
 #: Bytes of text after which a task hands over the keys, and the segments, that it has gathered.
 KEYS_BYTES, SEGMENTS_BYTES = 24 << 20, 6 << 20
 #: Distinct bytes that one suffix array takes; more are cut between keys. Twice as many bytes of segments are solved at once.
-ARRAY_BYTES = 3 << 20
+ARRAY_BYTES = 2 << 20
 #: Documents from which a key is hot, and bits of the bitmap that marks hot keys: 2 MB whatever the data. A key marked
 #: by another one's bit takes the same way; that costs time, never results.
 HOT_DOCS, HOT_BITS = 256, 24
-#: Different segments from which a hot key is dealt on by longer grams.
-CROWD = 256
+#: A hot key is dealt on by longer grams if it has more different segments than an even share of a shuffle partition,
+#: taken within these bounds.
+CROWD, MOST_CROWD = 256, 16_384
 
 
 def _part_bits(spark: SparkSession) -> int:
@@ -51,7 +52,7 @@ def _part_bits(spark: SparkSession) -> int:
 
 def _longer_grams(length: int, gram: int) -> list[int]:
     """By what lengths of grams crowded keys are dealt on; the last is the string itself, of which no two different ones share a shard."""
-    return sorted({(gram + length) // 2, (gram + 3 * length) // 4, length})
+    return sorted({(gram + 3 * length) // 4, length})
 
 
 def _gram_keys(data: np.ndarray, gram: int) -> np.ndarray:
@@ -358,7 +359,7 @@ def _hot_spans(shown: DataFrame, bitmap, hot, length: int, gram: int, bits: int)
 
     members = cut(shown.mapInArrow(collapse, "part int, key long, segment binary, lo long, hi long, ids binary, starts binary"))
     answers = _answers(_collapsed(members, "segment"), length, [gram, *_longer_grams(length, gram)], bits)
-    return members.select("segment", "ids", "starts").join(answers, "segment").select("ids", "starts", "least").mapInArrow(cover, "id long, a int, b int")
+    return cut(members.select("segment", "ids", "starts").join(answers, "segment").select("ids", "starts", "least").mapInArrow(cover, "id long, a int, b int"))
 
 
 def _collapsed(rows: DataFrame, segment: str) -> DataFrame:
@@ -421,7 +422,8 @@ def _answers(segments: DataFrame, length: int, grams: list[int], bits: int) -> D
     if len(grams) == 1:
         return solved(segments)
     segments = cut(segments)
-    crowded = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    even = segments.count() // int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min(max(even, CROWD), MOST_CROWD)).select("key"))
     if crowded.isEmpty():
         return solved(segments)
     pieces = cut(segments.join(crowded, "key", "left_semi").mapInArrow(finer, "segment binary, at int, part int, key long, piece binary, lo long, hi long"))
