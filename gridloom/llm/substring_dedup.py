@@ -41,7 +41,7 @@ ARRAY_BYTES = 2 << 20
 #: by another one's bit takes the same way; that costs time, never results.
 HOT_DOCS, HOT_BITS = 256, 24
 #: A hot key is dealt on by longer grams if it has more different segments than an even share of a shuffle partition,
-#: taken within these bounds.
+#: or, once cut, a quarter of it; taken within these bounds.
 CROWD, MOST_CROWD = 256, 16_384
 
 
@@ -367,7 +367,7 @@ def _collapsed(rows: DataFrame, segment: str) -> DataFrame:
     return rows.groupBy("part", "key", F.col(segment).alias("segment")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _answers(segments: DataFrame, length: int, grams: list[int], bits: int) -> DataFrame:
+def _answers(segments: DataFrame, length: int, grams: list[int], bits: int, share: int = 1) -> DataFrame:
     """(segment, least): for different segments (part, key, segment, lo, hi), keyed by the first of ``grams``, the smallest id of each of their strings.
 
     Segments none of whose strings has a smaller id than ``hi`` may be left out.
@@ -422,12 +422,12 @@ def _answers(segments: DataFrame, length: int, grams: list[int], bits: int) -> D
     if len(grams) == 1:
         return solved(segments)
     segments = cut(segments)
-    even = segments.count() // int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = segments.count() // (share * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     crowded = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min(max(even, CROWD), MOST_CROWD)).select("key"))
     if crowded.isEmpty():
         return solved(segments)
     pieces = cut(segments.join(crowded, "key", "left_semi").mapInArrow(finer, "segment binary, at int, part int, key long, piece binary, lo long, hi long"))
-    below = _answers(_collapsed(pieces, "piece"), length, grams[1:], bits).withColumnRenamed("segment", "piece")
+    below = _answers(_collapsed(pieces, "piece"), length, grams[1:], bits, 4).withColumnRenamed("segment", "piece")
     nobody = F.array_repeat(F.lit((1 << 63) - 1), F.octet_length("piece") - (length - 1))
     runs = pieces.select("segment", "at", "piece").join(below, "piece", "left").select("segment", F.struct("at", F.coalesce("least", nobody).alias("least")).alias("run"))
     whole = runs.groupBy("segment").agg(F.array_sort(F.collect_list("run")).alias("runs")).select("segment", F.flatten("runs.least").alias("least"))
