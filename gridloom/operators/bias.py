@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from ..functions.times import in_window, nearest_window, window_centers
+from ..store import cut
 
 QUANTILES, WINDOWS, WINDOW_DAYS = 101, 24, 120
 
@@ -43,12 +44,14 @@ def monthly_factors(base: DataFrame, bias: DataFrame, feature: str, scalar_only:
 
 
 def apply_linear(df: DataFrame, factors: DataFrame, feature: str, out_range: tuple[float | None, float | None] = (None, None)) -> DataFrame:
-    """x * scalar + adder by site; factors of twelve slots go by the month. Sites without factors stay null."""
-    keyed = df.withColumn("_month", F.month("time") - 1)
-    slot = F.when(F.col("_n") == 1, F.col("t_idx") == 0).otherwise(F.col("_month") == F.col("t_idx"))
-    sized = factors.select("gid", "t_idx", "scalar", "adder", F.count("*").over(Window.partitionBy("gid")).alias("_n"))
-    joined = keyed.alias("d").join(sized.alias("f"), (F.col("d.gid") == F.col("f.gid")) & slot, "left").select("d.*", "scalar", "adder")
-    return joined.withColumn(feature, clip(F.col(feature) * F.col("scalar") + F.col("adder"), *out_range)).drop("_month", "scalar", "adder")
+    """x * scalar + adder by site; factors of twelve slots go by the month. Sites without factors stay null.
+
+    A site's only slot is repeated for all months, so the join is on site and month alone.
+    """
+    slots = factors.join(factors.groupBy("gid").agg(F.count("*").alias("_n")), "gid")
+    month = F.explode(F.when(F.col("_n") == 1, F.sequence(F.lit(0), F.lit(11))).otherwise(F.array(F.col("t_idx").cast("int"))))
+    keyed = df.withColumn("_month", F.month("time") - 1).join(slots.select("gid", "scalar", "adder", month.alias("_month")), ["gid", "_month"], "left")
+    return keyed.withColumn(feature, clip(F.col(feature) * F.col("scalar") + F.col("adder"), *out_range)).select(*df.columns)
 
 
 def apply_linear_averaged(df: DataFrame, factors: DataFrame, feature: str, out_range=(None, None), scalar_range=(None, None), adder_range=(None, None)) -> DataFrame:
@@ -70,15 +73,25 @@ def zero_rate(x: Column, threshold: float = 0.0) -> Column:
     return F.avg(F.when(finite, (x <= threshold).cast("double")))
 
 
+def _at_ranks(df: DataFrame, feature: str, sites: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """(gid, each of ``ranks``): the value at a rank from 0 on of a site's sorted series; ranks may use ``_size`` and columns of ``sites``.
+
+    Equal values are counted before anything is sorted, and counts run up in a window that holds no site's rows at once.
+    """
+    counted = df.where(F.col(feature).isNotNull()).groupBy("gid", F.col(feature).alias("_x")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("gid").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.withColumn("_upto", upto).join(counted.groupBy("gid").agg(F.sum("_n").alias("_size")).join(sites, "gid"), "gid")
+    return placed.groupBy("gid").agg(*[F.min(F.when(F.col("_upto") > k, F.col("_x"))).alias(name) for name, k in ranks.items()])
+
+
 def match_zero_rate(base: DataFrame, bias: DataFrame, feature: str) -> DataFrame:
     """``bias`` with values below its quantile at the base's zero rate set to 0."""
-    rates = base.groupBy("gid").agg(zero_rate(F.col(feature)).alias("q"))
-    samples = bias.groupBy("gid").agg(F.array_sort(F.collect_list(feature)).alias("s")).join(rates, "gid")
-    at = F.col("q") * (F.size("s") - 1)
-    k = F.floor(at).cast("int")
-    low, high = F.get("s", k), F.coalesce(F.get("s", k + 1), F.get("s", k))
-    cuts = samples.select("gid", (low + (at - k) * (high - low)).alias("cut"))
-    return bias.join(cuts, "gid", "left").withColumn(feature, F.when(F.col(feature) < F.col("cut"), 0.0).otherwise(F.col(feature))).drop("cut")
+    rates = base.groupBy("gid").agg(zero_rate(F.col(feature)).alias("_q"))
+    at = F.col("_q") * (F.col("_size") - 1)
+    low = _at_ranks(bias, feature, rates, {"_low": F.floor(at), "_high": F.least(F.floor(at) + 1, F.col("_size") - 1)})
+    share = bias.where(F.col(feature).isNotNull()).groupBy("gid").agg(F.count("*").alias("_size")).join(rates, "gid").select("gid", (at - F.floor(at)).alias("_share"))
+    cuts = low.join(share, "gid").select("gid", (F.col("_low") + F.col("_share") * (F.col("_high") - F.col("_low"))).alias("_cut"))
+    return bias.join(cuts, "gid", "left").withColumn(feature, F.when(F.col(feature) < F.col("_cut"), 0.0).otherwise(F.col(feature))).drop("_cut")
 
 
 def quantile_levels(n: int = QUANTILES, sampling: str = "linear", log_base: float = 10.0) -> list[float]:
@@ -98,10 +111,20 @@ def window_days(spark: SparkSession, n: int = WINDOWS, days: float = WINDOW_DAYS
 
 
 def window_quantiles(df: DataFrame, feature: str, name: str, n: int = WINDOWS, days: float = WINDOW_DAYS, levels: list[float] | None = None) -> DataFrame:
-    """(gid, t_window, name): quantiles of each site's values in each window; a row counts in every window it is in."""
+    """(gid, t_window, name): quantiles of each site's values in each window; a row counts in every window it is in.
+
+    Equal values of a day are counted first; only the counts are repeated for the windows.
+    """
     table = window_days(df.sparkSession, n, days).select("t_window", "doy")
-    spread = df.where(F.col(feature).isNotNull()).select("gid", F.dayofyear("time").alias("doy"), feature).join(F.broadcast(table), "doy")
-    return spread.groupBy("gid", "t_window").agg(F.percentile(feature, levels or quantile_levels()).alias(name))
+    counted = df.where(F.col(feature).isNotNull()).groupBy("gid", F.dayofyear("time").alias("doy"), feature).agg(F.count("*").alias("_n"))
+    return counted.join(F.broadcast(table), "doy").groupBy("gid", "t_window").agg(F.percentile(feature, levels or quantile_levels(), F.col("_n")).alias(name))
+
+
+def window_means(df: DataFrame, feature: str, name: str, n: int = WINDOWS, days: float = WINDOW_DAYS) -> DataFrame:
+    """(gid, t_window, name): means over each window, from at most 366 sums a site."""
+    table = window_days(df.sparkSession, n, days).select("t_window", "doy")
+    daily = df.groupBy("gid", F.dayofyear("time").alias("doy")).agg(F.sum(feature).alias("_s"), F.count(feature).alias("_n"))
+    return daily.join(F.broadcast(table), "doy").groupBy("gid", "t_window").agg((F.sum("_s") / F.sum("_n")).alias(name))
 
 
 def qdm_params(base: DataFrame, bias: DataFrame, future: DataFrame, feature: str, n: int = WINDOWS, days: float = WINDOW_DAYS, levels: list[float] | None = None) -> DataFrame:
@@ -142,41 +165,46 @@ def quantile_delta(x: Column, base: Column, bias: Column, future: Column, levels
     return _let(_let(_between(x, future, levels), both), lambda s: changed(s["historic"], s["observed"]))
 
 
-def apply_qdm(df: DataFrame, params: DataFrame, feature: str, n: int = WINDOWS, levels: list[float] | None = None, relative: bool = True, no_trend: bool = False, out_range=(None, None), **more) -> DataFrame:
-    """Each row by the parameters of its site and the window nearest to its day of the year."""
-    keyed = df.withColumn("t_window", nearest_window(F.dayofyear("time"), n))
+def _mapped(keyed: DataFrame, params: DataFrame, feature: str, levels: list[float] | None, relative: bool, no_trend: bool, more: dict) -> DataFrame:
+    """Quantile delta mapping of rows that have a ``t_window``."""
     joined = keyed.join(params.select("gid", "t_window", "base", "bias", "bias_fut"), ["gid", "t_window"], "left")
     grid = F.array(*[F.lit(q) for q in levels or quantile_levels()])
     value = quantile_delta(F.col(feature), F.col("base"), F.col("bias"), F.col("bias") if no_trend else F.col("bias_fut"), grid, relative, **more)
-    return joined.withColumn(feature, clip(value, *out_range)).drop("base", "bias", "bias_fut", "t_window")
+    return joined.withColumn(feature, value).drop("base", "bias", "bias_fut")
 
 
-def presrat_params(base: DataFrame, bias: DataFrame, future: DataFrame, feature: str, threshold: float = 1.157e-7, n: int = WINDOWS, days: float = WINDOW_DAYS) -> DataFrame:
+def apply_qdm(df: DataFrame, params: DataFrame, feature: str, n: int = WINDOWS, levels: list[float] | None = None, relative: bool = True, no_trend: bool = False, out_range=(None, None), **more) -> DataFrame:
+    """Each row by the parameters of its site and the window nearest to its day of the year."""
+    done = _mapped(df.withColumn("t_window", nearest_window(F.dayofyear("time"), n)), params, feature, levels, relative, no_trend, more)
+    return done.withColumn(feature, clip(F.col(feature), *out_range)).drop("t_window")
+
+
+def presrat_params(base: DataFrame, bias: DataFrame, future: DataFrame, feature: str, threshold: float = 1.157e-7, n: int = WINDOWS, days: float = WINDOW_DAYS, levels: list[float] | None = None) -> DataFrame:
     """qdm_params with zero_rate, tau_fut (by site) and k_factor (by site and window).
 
     tau is the modelled value at the observed share of dry times; the share of future values
-    below it gives the corrected future value below which all is dry. K keeps the modelled change of the mean.
+    below it gives the corrected future value below which all is dry. K keeps the modelled change of the
+    mean. The corrected future is mapped with the last window that a day is in, and enters K as it is.
     """
-    params = qdm_params(base, bias, future, feature, n, days).persist()
-    corrected = apply_qdm(future, params, feature, n, denominator_least=threshold).persist()
+    params = cut(qdm_params(base, bias, future, feature, n, days, levels))
+    table = window_days(base.sparkSession, n, days)
+    last = F.broadcast(table.groupBy("doy").agg(F.max("t_window").alias("t_window")))
+    dated = future.withColumn("doy", F.dayofyear("time")).join(last, "doy").drop("doy")
+    corrected = cut(_mapped(dated, params, feature, levels, True, False, {"denominator_least": threshold}).drop("t_window"))
     dry = base.groupBy("gid").agg(zero_rate(F.col(feature), threshold).alias("zero_rate"))
-    order = lambda df, name: df.where(F.col(feature).isNotNull()).groupBy("gid").agg(F.array_sort(F.collect_list(feature)).alias(name))
-    at = lambda xs, share: F.get(xs, F.least(F.bround(share * F.size(xs)).cast("int"), F.size(xs) - 1))
-    site = dry.join(order(bias, "_h"), "gid").join(order(future, "_f"), "gid").join(order(corrected, "_c"), "gid")
-    site = site.withColumn("_tau", at(F.col("_h"), F.col("zero_rate")))
-    share = F.size(F.filter("_f", lambda v: v < F.col("_tau"))) / F.size("_f")
-    site = site.withColumn("tau_fut", at(F.col("_c"), share)).select("gid", "zero_rate", "tau_fut")
-    days_of = F.broadcast(window_days(base.sparkSession, n, days).select("t_window", "doy"))
-    mean = lambda df, name: df.withColumn("doy", F.dayofyear("time")).join(days_of, "doy").groupBy("gid", "t_window").agg(F.greatest(F.avg(feature), F.lit(threshold)).alias(name))
-    wet = corrected.join(site, "gid").withColumn(feature, F.when(F.col(feature) < F.col("tau_fut"), 0.0).otherwise(F.col(feature)))
-    means = mean(bias, "mh").join(mean(future, "mf"), ["gid", "t_window"]).join(mean(base, "oh"), ["gid", "t_window"]).join(mean(wet, "mu"), ["gid", "t_window"])
+    rank = lambda share: F.least(F.bround(F.col(share) * F.col("_size")).cast("long"), F.col("_size") - 1)
+    tau = _at_ranks(bias, feature, dry, {"_tau": rank("zero_rate")})
+    below = future.where(F.col(feature).isNotNull()).join(tau, "gid").groupBy("gid").agg(F.avg((F.col(feature) < F.col("_tau")).cast("double")).alias("_share"))
+    site = dry.join(_at_ranks(corrected, feature, below, {"tau_fut": rank("_share")}), "gid")
+    mean = lambda df, name: window_means(df, feature, name, n, days).withColumn(name, F.greatest(F.col(name), F.lit(threshold)))
+    means = mean(bias, "mh").join(mean(future, "mf"), ["gid", "t_window"]).join(mean(base, "oh"), ["gid", "t_window"]).join(mean(corrected, "mu"), ["gid", "t_window"])
     k = means.select("gid", "t_window", ((F.col("mf") / F.col("mh")) / (F.col("mu") / F.col("oh"))).alias("k_factor"))
     return params.join(site, "gid").join(k, ["gid", "t_window"])
 
 
-def apply_presrat(df: DataFrame, params: DataFrame, feature: str, threshold: float = 1.157e-7, n: int = WINDOWS, no_trend: bool = False, k_range=(None, None), out_range=(None, None)) -> DataFrame:
+def apply_presrat(df: DataFrame, params: DataFrame, feature: str, threshold: float = 1.157e-7, n: int = WINDOWS, no_trend: bool = False, k_range=(None, None), out_range=(None, None), levels: list[float] | None = None) -> DataFrame:
     """Quantile delta mapping, then dry below tau_fut and the rest times K (neither without trend)."""
-    done = apply_qdm(df, params, feature, n, no_trend=no_trend, denominator_least=threshold)
+    done = apply_qdm(df, params, feature, n, levels, no_trend=no_trend, denominator_least=threshold)
     if no_trend:
         return done.withColumn(feature, clip(F.col(feature), *out_range))
     keyed = done.withColumn("t_window", nearest_window(F.dayofyear("time"), n)).join(params.select("gid", "t_window", "k_factor", "tau_fut"), ["gid", "t_window"], "left")
@@ -194,6 +222,12 @@ def skill_assessment(base: DataFrame, bias: DataFrame, feature: str) -> DataFram
     return both.withColumn("bias", F.col("bias_mean") - F.col("base_mean")).withColumn("ks_p", ks_p_value(F.col("ks"), F.col("base_n"), F.col("bias_n")))
 
 
+def monthly_moments(base: DataFrame, bias: DataFrame, feature: str) -> DataFrame:
+    """(gid, month, means and standard deviations of both sides); null where a side lacks the month."""
+    side = lambda df, p: _moments(df.withColumn("month", F.month("time")), feature, ("gid", "month"), p)
+    return side(base, "base").join(side(bias, "bias"), ["gid", "month"], "full")
+
+
 def pair_histories(base: DataFrame, bias_meta: DataFrame, feature: str, bound: float, method: str | None = None) -> DataFrame:
     """The base series of each modelled site: mean over the base sites nearest to it, by day with a method."""
     from .coarsen import reduce_daily

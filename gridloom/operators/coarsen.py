@@ -13,9 +13,20 @@ def _block(column: str, s: int) -> Column:
 
 
 def spatial(df: DataFrame, features: list[str], s: int, by: tuple[str, ...] = ("time",), strict: bool = True) -> DataFrame:
-    """Mean over s by s blocks. ``strict``: null where any of the block's cells lacks a value, else over those that have one."""
+    """Mean over s by s blocks. ``strict``: null where any of the block's cells lacks a value, else over those that have one.
+
+    A strict grid whose last block is cut off raises when it is computed; :func:`trim` takes such blocks away.
+    """
     value = lambda f: F.when(F.count(f) == s * s, F.sum(f) / (s * s)) if strict else F.avg(f)
-    return df.groupBy(_block("south_north", s).alias("south_north"), _block("west_east", s).alias("west_east"), *by).agg(*[value(f).alias(f) for f in features])
+    row, column = _block("south_north", s), _block("west_east", s)
+    short = (F.max("south_north") % s != s - 1) | (F.max("west_east") % s != s - 1)
+    blocks = df.groupBy(row.alias("_row"), column.alias("_column"), *by).agg(*[value(f).alias(f"_{f}") for f in features], short.alias("_short"))
+    whole = lambda f: _whole(F.col(f"_{f}"), F.col("_short"), f"the grid cannot be cut into blocks of {s}") if strict else F.col(f"_{f}")
+    return blocks.select(F.col("_row").alias("south_north"), F.col("_column").alias("west_east"), *by, *[whole(f).alias(f) for f in features])
+
+
+def _whole(value: Column, short: Column, message: str) -> Column:
+    return F.when(short, F.raise_error(F.lit(message)).cast("double")).otherwise(value)
 
 
 def check_divisible(rows: int, columns: int, s: int) -> None:
@@ -38,11 +49,17 @@ TEMPORAL = {
 }
 
 
-def temporal(df: DataFrame, features: list[str], t: int, method: str = "average", by: tuple[str, ...] = ("south_north", "west_east")) -> DataFrame:
-    """Blocks of ``t`` successive times to one, by method; keyed by ``t_block``. Needs ``t_idx`` or a time to rank."""
+def temporal(df: DataFrame, features: list[str], t: int, method: str = "average", by: tuple[str, ...] = ("south_north", "west_east"), rest: str = "raise") -> DataFrame:
+    """Blocks of ``t`` successive times to one, by method; keyed by ``t_block``. Needs ``t_idx`` or a time to rank.
+
+    A last block without all its times raises when it is computed, or goes with ``rest="drop"``.
+    """
     indexed = df if "t_idx" in df.columns else time_index(df)
     how = TEMPORAL[method]
-    return indexed.groupBy(*by, _block("t_idx", t).alias("t_block")).agg(*[how(f, "t_idx", t).alias(f) for f in features])
+    blocks = indexed.groupBy(*by, _block("t_idx", t).alias("t_block")).agg(*[how(f, "t_idx", t).alias(f) for f in features], (F.max("t_idx") % t != t - 1).alias("_short"))
+    if rest == "drop":
+        return blocks.where("not _short").drop("_short")
+    return blocks.withColumns({f: _whole(F.col(f), F.col("_short"), f"the times cannot be cut into blocks of {t}") for f in features}).drop("_short")
 
 
 def daily(df: DataFrame, features: list[str], by: tuple[str, ...] = ("south_north", "west_east")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import cut
+
 
 def flatten(df: DataFrame, columns: int) -> DataFrame:
     return df.withColumn("gid", (F.col("south_north") * columns + F.col("west_east")).cast("long"))
@@ -33,7 +35,7 @@ def rising_longitudes(grid: DataFrame) -> DataFrame:
     w = Window.partitionBy("south_north").orderBy("west_east")
     falls = grid.withColumn("_f", F.col("longitude") < F.lag("longitude").over(w)).groupBy("south_north").agg(F.coalesce(F.bool_or("_f"), F.lit(False)).alias("_f"))
     any_falls = falls.agg(F.bool_or("_f").alias("_f"))
-    return grid.crossJoin(F.broadcast(any_falls)).withColumn("longitude", F.when("_f", F.pmod("longitude", F.lit(360.0))).otherwise(F.col("longitude"))).drop("_f")
+    return grid.crossJoin(F.broadcast(any_falls)).withColumn("longitude", F.when(F.col("_f"), F.pmod("longitude", F.lit(360.0))).otherwise(F.col("longitude"))).drop("_f")
 
 
 def repeat_cells(df: DataFrame, s: int) -> DataFrame:
@@ -106,7 +108,16 @@ def repeat_in_time(static: DataFrame, times: DataFrame) -> DataFrame:
     return static.crossJoin(F.broadcast(times))
 
 
-def split_evenly(order: Column, n: int, by: list[Column] | None = None) -> Column:
-    """Group 0 to n - 1 of near-equal groups, larger ones first."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return F.ntile(n).over(w.orderBy(order)) - 1
+def split_evenly(df: DataFrame, order: str, n: int, name: str = "group") -> DataFrame:
+    """``df`` with its group 0 to n - 1 of near-equal groups along ``order``, larger ones first; nulls come first.
+
+    Rows are dealt into ranges; each is ranked by itself, behind the numbers of rows of the ranges before it.
+    """
+    ranged = cut(df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    along = Window.partitionBy(F.lit(0)).orderBy("_range")  # one row a range
+    before = sizes.select("_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first())) - 1 + F.col("_before")
+    size, more = F.floor(F.col("_all") / n), F.col("_all") % n
+    group = F.when(F.col("_rank") < more * (size + 1), F.floor(F.col("_rank") / (size + 1))).otherwise(more + F.floor((F.col("_rank") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return ranged.join(F.broadcast(before), "_range").withColumn("_rank", rank).withColumn(name, group.cast("int")).select(*df.columns, name)

@@ -94,6 +94,10 @@ def material_derivative(both: DataFrame, u: str = "u", v: str = "v") -> DataFram
     return d.agg(((errors[0] + errors[1]) / 2).alias("loss"))
 
 
+#: Observations of a batch that are compared pair by pair at most.
+MOST_IN_BATCH = 1024
+
+
 def low_res(both: DataFrame, features: list[str], s: int, loss: Callable = mae) -> DataFrame:
     """Any loss after both cubes are coarsened in space."""
     from .coarsen import spatial
@@ -102,10 +106,12 @@ def low_res(both: DataFrame, features: list[str], s: int, loss: Callable = mae)
 
 
 def mmd(both: DataFrame, feature: str, sigma: float = 1.0) -> DataFrame:
-    """Maximum mean discrepancy with a gaussian kernel over all pairs of observations.
+    """Maximum mean discrepancy with a gaussian kernel over all pairs of a batch's observations, each a vector of cells.
 
-    Observations of one batch are meant: their number is the batch's, each a vector of cells.
+    More than MOST_IN_BATCH observations raise.
     """
+    if both.select("obs").distinct().limit(MOST_IN_BATCH + 1).count() > MOST_IN_BATCH:
+        raise ValueError(f"more than {MOST_IN_BATCH} observations in a batch")
     vectors = both.groupBy("obs").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("south_north", "west_east", "t_idx", F.col(c).alias("x")))), lambda s: s["x"]).alias(n) for c, n in ((feature, "a"), (f"{feature}_hat", "b"))])
     other = vectors.select(F.col("a").alias("a2"), F.col("b").alias("b2"))
     distance = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)

@@ -42,18 +42,26 @@ def knn_join(source: DataFrame, target: DataFrame, k: int, bound: float, source_
     return within(source, target, bound, source_id, target_id).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(source: DataFrame, target: DataFrame, width: float, source_id: str = "gid", target_id: str = "gid", most: int = 12) -> DataFrame:
-    """The nearest target at any distance: squares grow fourfold for the points that are still without, at most ``most`` times.
+def nearest(source: DataFrame, target: DataFrame, width: float | None = None, source_id: str = "gid", target_id: str = "gid") -> DataFrame:
+    """(sid, tid, distance): the nearest target of every source point at any distance; null without any target or without coordinates.
 
-    Each round's finds are written, so a round's plan does not hold those before it.
+    Squares start at ``width``, else at the side of the mean area a target has, and grow fourfold for the points
+    that are still without one, until all have theirs. Each round's finds are written, so a round's plan does not hold those before it.
     """
-    left, found = cut(source.select(source_id, "latitude", "longitude")), None
-    for _ in range(most):
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    target = target.where(known)
+    span = target.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("latitude", "longitude") for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    nowhere = source.where(~known) if span["n"] else source
+    found = nowhere.select(F.col(source_id).alias("sid"), F.lit(None).cast(target.schema[target_id].dataType).alias("tid"), F.lit(None).cast("double").alias("distance"))
+    if not span["n"]:
+        return found
+    area = (span["hi_latitude"] - span["lo_latitude"]) * (span["hi_longitude"] - span["lo_longitude"])
+    width = width or max((area / span["n"]) ** 0.5, 1e-3)
+    left = cut(source.where(known).select(source_id, "latitude", "longitude"))
+    while not left.isEmpty():
         got = cut(nn_join(left, target, width, source_id, target_id).where("tid is not null"))
-        found = got if found is None else found.unionByName(got)
+        found = found.unionByName(got)
         left = cut(left.join(got.select(F.col("sid").alias(source_id)), source_id, "left_anti"))
-        if left.isEmpty():
-            break
         width *= 4
     return found
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
-from .arrays import dense
 from .coarsen import spatial, temporal
 from .windows import difference
 
@@ -26,39 +25,47 @@ def recoarsen_error(fine: DataFrame, source: DataFrame, features: list[str], s:
     return out
 
 
-def fold(f: np.ndarray, energy: np.ndarray, skip_mean: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Amplitudes times squared frequency, the two halves of the transform added."""
-    energy = f**2 * energy
-    half = len(energy) // 2
-    first = energy[1 : half + 1] if skip_mean else energy[:half]
-    return f[:half], first + energy[len(energy) - half :][::-1]
+def _spectrum(df: DataFrame, features: list[str], by: list[str], others: list[str], along: str, name: str, reach: tuple[float, float] | None, skip_mean: bool) -> DataFrame:
+    """(by, name, energy): amplitudes of transforms along one axis, squared and added over the other axes, times squared frequency, both halves added.
 
-
-def frequency_spectrum(df: DataFrame, features: list[str], by: list[str], f_range: tuple[float, float] | None = None) -> DataFrame:
-    """(by, frequency, energy) of series over all cells of a group; two features give kinetic energy."""
+    The mean over the other axes of a transform along all of them equals that sum (Parseval), so a task needs one line of cells at a time.
+    """
+    keys = [*by, *others]
+    n = (df.agg(F.max(along)).first()[0] or 0) + 1  # places without a row count as 0
+    kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        series = [dense(pdf, ["south_north", "west_east", "t_idx"], c) for c in features]
-        energy = sum(np.abs(np.fft.fftn(x.reshape(-1, x.shape[-1]))) ** 2 for x in series).mean(axis=0)
-        f = np.arange(len(energy)) if f_range is None else np.linspace(*f_range, len(energy))
-        f, energy = fold(f.astype(float), energy, False)
-        return pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "frequency": f, "energy": energy})
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", frequency double, energy double")
+        energy = np.zeros(n)
+        for c in features:
+            line = np.zeros(n)
+            line[pdf[along]] = pdf[c]
+            energy += np.abs(np.fft.fft(line)) ** 2
+        return pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "_k": np.arange(n), "_n": n, "_e": energy})
+
+    lines = df.groupBy(*keys).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", _k int, _n int, _e double")
+    total = lines.groupBy(*by, "_k", "_n").agg(F.sum("_e").alias("_e"))
+    low, high = reach or (0.0, None)
+    step = F.lit(1.0) if reach is None else F.lit(high - low) / F.greatest(F.col("_n") - 1, F.lit(1))
+    half, k = F.floor(F.col("_n") / 2), F.col("_k")
+    energy = F.pow(low + k * step, 2) * F.col("_e")
+    # place of the first half, and of the second half counted from the end
+    first = F.when(k - int(skip_mean) < half, k - int(skip_mean))
+    second = F.when(k >= F.col("_n") - half, F.col("_n") - 1 - k)
+    places = F.filter(F.array(first, second), lambda p: p.isNotNull() & (p >= 0))
+    spread = total.select(*by, "_n", energy.alias("_e"), F.explode(places).alias("_at"))
+    summed = spread.groupBy(*by, "_n", "_at").agg(F.sum("_e").alias("energy"))
+    return summed.select(*by, (low + F.col("_at") * step).cast("double").alias(name), "energy")
 
 
-def wavenumber_spectrum(df: DataFrame, features: list[str], by: list[str], x_range: tuple[float, float] | None = None, axis: int = 0) -> DataFrame:
-    """(by, wavenumber, energy) of one field a group."""
+def frequency_spectrum(df: DataFrame, features: list[str], by: list[str], f_range: tuple[float, float] | None = None) -> DataFrame:
+    """(by, frequency, energy) of series over all cells of a group; two features give kinetic energy."""
+    return _spectrum(df, features, by, ["south_north", "west_east"], "t_idx", "frequency", f_range, False)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        energy = sum(np.abs(np.fft.fftn(dense(pdf, ["south_north", "west_east"], c))) ** 2 for c in features).mean(axis=axis)
-        k = np.arange(len(energy)) if x_range is None else np.linspace(*x_range, len(energy))
-        k, energy = fold(k.astype(float), energy, True)
-        return pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "wavenumber": k, "energy": energy})
 
-    kinds = dict(df.dtypes)
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", wavenumber double, energy double")
+def wavenumber_spectrum(df: DataFrame, features: list[str], by: list[str], x_range: tuple[float, float] | None = None, axis: int = 0) -> DataFrame:
+    """(by, wavenumber, energy) of one field a group, along its columns (axis 0) or its rows (axis 1)."""
+    other, along = ("south_north", "west_east") if axis == 0 else ("west_east", "south_north")
+    return _spectrum(df, features, by, [other], along, "wavenumber", x_range, True)
 
 
 def direct_distribution(df: DataFrame, feature: str, least: float, most: float, bins: int = 40, scale: float = 1.0) -> DataFrame:

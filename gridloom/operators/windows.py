@@ -48,13 +48,20 @@ def derivative(df: DataFrame, feature: str, along: str, by: tuple[str, ...]) ->
 
 
 def rotation(grid: DataFrame) -> DataFrame:
-    """``theta``: angle of the grid's columns from north at each cell; the first row has the second's."""
+    """``theta``: angle of the grid's columns from north at each cell; the northernmost row has the second's.
+
+    Rows whose latitudes rise are taken from the last to the first.
+    """
     w = Window.partitionBy("west_east").orderBy("south_north")
+    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rising = F.last("latitude").over(ends) > F.first("latitude").over(ends)
+    before = lambda c: F.when(F.col("_rising"), F.lead(c).over(w)).otherwise(F.lag(c).over(w))
     wrap = lambda x, half: F.pmod(x + half, F.lit(2.0 * half)) - half
-    dy = wrap(F.col("latitude") - F.lag("latitude").over(w), 90.0)
-    dx = wrap(F.col("longitude") - F.lag("longitude").over(w), 180.0)
-    angled = grid.withColumn("theta", math.pi / 2 - F.atan2(dy, dx))
-    return angled.withColumn("theta", F.coalesce("theta", F.lead("theta").over(w), F.lit(0.0)))
+    dy = wrap(F.col("latitude") - before("latitude"), 90.0)
+    dx = wrap(F.col("longitude") - before("longitude"), 180.0)
+    angled = grid.withColumn("_rising", rising).withColumn("theta", math.pi / 2 - F.atan2(dy, dx))
+    following = F.when(F.col("_rising"), F.lag("theta").over(w)).otherwise(F.lead("theta").over(w))
+    return angled.withColumn("theta", F.coalesce("theta", following, F.lit(0.0))).drop("_rising")
 
 
 def interpolate_na(df: DataFrame, feature: str, along: str = "t_idx", by: tuple[str, ...] = SERIES, method: str = "linear") -> DataFrame:

@@ -316,7 +316,7 @@ def chunks_of_files(spark, sf_dir):
 
 @query(f"""select {n("s_suppkey")}, {n("ntile(7) over (order by s_suppkey) - 1", "node")} from supplier""")
 def split_evenly(spark, sf_dir):
-    return finish(table(spark, sf_dir, "supplier").select("s_suppkey", grid.split_evenly(F.col("s_suppkey"), 7).alias("node")))
+    return finish(grid.split_evenly(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 7, "node"))
 
 
 @query(f"""with {INDEXED} select {n("(t_idx - 4) // 5", "obs")}, {n("south_north - 1", "i")}, {n("west_east", "j")}, {n("(t_idx - 4) % 5", "t")}, {r("u_100m", "u_100m")} from ix where south_north between 1 and 2 and west_east between 0 and 2 and t_idx between 4 and 18""")

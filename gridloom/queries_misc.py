@@ -131,21 +131,52 @@ def training_losses(spark, sf_dir):
     return finish(out)
 
 
-@query()
+def _transform(x: str, angle: str) -> str:
+    return f"(sum({x} * cos({angle})) ** 2 + sum({x} * sin({angle})) ** 2)"
+
+
+TURN = "2 * pi() * k * t_idx / len"
+
+
+@query(f"""with {INDEXED}, z as (select gid, t_idx, len, coalesce(u_100m, 0) u, coalesce(v_100m, 0) v from ix),
+tr as (select gid, k, len, {_transform("u", TURN)} + {_transform("v", TURN)} e from z, (select distinct t_idx k from ix) ks group by gid, k, len), e as (select k, len, sum(e) e from tr group by k, len)
+select 0::bigint k, {r("a.k", "frequency")}, {r("a.k ** 2 * a.e + b.k ** 2 * b.e", "energy", 1)} from e a join e b on b.k = a.len - 1 - a.k where a.k < a.len // 2""")
 def frequency_spectrum(spark, sf_dir):
     df = raster.time_index(cube_small(spark, sf_dir)).fillna(0.0).withColumn("k", F.lit(0))
-    return finish(qa.frequency_spectrum(df, ["u_100m", "v_100m"], ["k"]))
+    return finish(qa.frequency_spectrum(df, ["u_100m", "v_100m"], ["k"]).withColumn("energy", F.round("energy", 1)))
 
 
-@query()
+@query(f"""with {SMALL_SQL}, tr as (select south_north, strftime(time, '%Y-%m-%d') dy, k, {_transform("coalesce(u_100m, 0)", "2 * pi() * k * west_east / 4")} + {_transform("coalesce(v_100m, 0)", "2 * pi() * k * west_east / 4")} e
+from cube, unnest(range(0, 4)) ks(k) group by south_north, dy, k), e as (select dy, k, sum(e) e from tr group by dy, k)
+select a.dy as day, {r("a.k - 1", "wavenumber")}, {r("a.k ** 2 * a.e + b.k ** 2 * b.e", "energy", 1)} from e a join e b on a.dy = b.dy and b.k = 4 - a.k where a.k between 1 and 2""")
 def wavenumber_spectrum(spark, sf_dir):
     df = cube_small(spark, sf_dir).fillna(0.0).withColumn("day", F.date_format("time", "yyyy-MM-dd"))
-    return finish(qa.wavenumber_spectrum(df, ["u_100m", "v_100m"], ["day"]))
+    return finish(qa.wavenumber_spectrum(df, ["u_100m", "v_100m"], ["day"]).withColumn("energy", F.round("energy", 1)))
+
+
+PLANE = "2 * pi() * (kx * south_north + ky * west_east) / 4"
 
 
-@query()
+@query(f"""with {BOTH}, tr as (select obs, t_idx, kx, ky, {_transform("u", PLANE)} a, {_transform("u_hat", PLANE)} b from lo, unnest(range(0, 4)) k1(kx), unnest(range(0, 4)) k2(ky) group by obs, t_idx, kx, ky)
+select {r("avg(abs(ln(1 + sqrt(a)) - ln(1 + sqrt(b))))", "loss", 7)} from tr""")
 def fft_loss(spark, sf_dir):
-    return finish(losses.fft_loss(_both(spark, sf_dir), "u"))
+    return finish(losses.fft_loss(_both(spark, sf_dir), "u"), digits=7)
+
+
+@query(f"""with {BOTH}, p as (select a.obs i, b.obs j, sum((a.u - b.u) ** 2) x, sum((a.u_hat - b.u_hat) ** 2) y, sum((a.u - b.u_hat) ** 2) z from lo a join lo b using (south_north, west_east, t_idx) group by a.obs, b.obs)
+select {r("avg(exp(-x / 2e6)) + avg(exp(-y / 2e6)) - 2 * avg(exp(-z / 2e6))", "loss")} from p""")
+def mmd(spark, sf_dir):
+    return finish(losses.mmd(_both(spark, sf_dir), "u", 1000.0))
+
+
+@query(f"""with {BOTH} select {r("0.7 * (avg(abs(u - u_hat)) + avg(abs(v - v_hat))) / 2 + 0.3 * (avg((u - u_hat) ** 2) + avg((v - v_hat) ** 2)) / 2", "loss")} from lo""")
+def weighted_loss(spark, sf_dir):
+    return finish(losses.weighted(_both(spark, sf_dir), ["u", "v"], {"mae": 0.7, "mse": 0.3}))
+
+
+@query(f"""with {BOTH}, c as (select avg(u) u, avg(u_hat) u_hat from lo group by obs, t_idx, south_north // 2, west_east // 2 having count(*) = 4) select {r("avg(abs(u - u_hat))", "loss")} from c""")
+def low_res_loss(spark, sf_dir):
+    return finish(losses.low_res(_both(spark, sf_dir), ["u"], 2))
 
 
 @query(f"""select {n("user_id % 16", "gid")}, {t("date_trunc('day', ts)", "day_start")}, {r("avg(value)", "value")} from events group by 1, 2""")
