@@ -75,6 +75,11 @@ def in_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("gid"))
 
 
+def of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid): suppliers of the first twelve nations."""
+    return table(spark, sf_dir, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("gid"))
+
+
 def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gid, latitude, longitude, x): customers strewn over the suppliers' area by arithmetic of their keys."""
     k = F.col("c_custkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .cubes import HISTORY_SQL, SITES_SQL, histories, in_debt, sites
+from .cubes import HISTORY_SQL, SITES_SQL, histories, in_debt, of_nations, sites
 from .finish import finish, n, r, t
 from .functions import times as T
 from .operators import bias, coarsen, stats
@@ -185,30 +185,30 @@ def reduced_daily(spark, sf_dir):
     return finish(coarsen.reduce_daily(histories(spark, sf_dir)[0], "x", "max"))
 
 
-@query(f"""with {HISTORY_SQL}, {SITES_SQL}, s as (select gid, latitude, longitude from sites), t2 as (select gid, latitude + 0.02 latitude, longitude + 0.031 longitude from sites where gid % 2 = 0),
+@query(f"""with {HISTORY_SQL}, {SITES_SQL}, s as (select gid, latitude, longitude from sites), t2 as (select gid, latitude + 0.02 latitude, longitude + 0.031 longitude from sites),
 pr as (select s.gid sid, t2.gid tid, sqrt((s.latitude - t2.latitude) ** 2 + (s.longitude - t2.longitude) ** 2) d from s, t2), b as (select sid, arg_min(tid, struct_pack(d := d, t := tid)) tid from pr where d < 0.15 group by sid),
 m as (select tid gid, time, avg(x) x from base join b on base.gid = sid group by tid, time), d as (select gid, date_trunc('day', time) date, avg(x) x from m group by 1, 2)
 select {n("gid")}, {t("date", "date")}, {r("x", "x")} from d""")
 def paired_histories(spark, sf_dir):
-    return _paired_histories(spark, sf_dir, "gid % 2 = 0")
+    return _paired_histories(spark, sf_dir)
 
 
-@query(SQL["paired_histories"].replace(" where gid % 2 = 0", ""))
+@query(SQL["paired_histories"])
 def paired_histories_all(spark, sf_dir):
     """Of every site."""
-    return _paired_histories(spark, sf_dir, "true")
+    return _paired_histories(spark, sf_dir)
 
 
-def _paired_histories(spark, sf_dir, chosen):
+def _paired_histories(spark, sf_dir):
     s = sites(spark, sf_dir)
     base = histories(spark, sf_dir)[0].join(s.select("gid", "latitude", "longitude"), "gid")
-    meta = s.where(chosen).select("gid", (F.col("latitude") + 0.02).alias("latitude"), (F.col("longitude") + 0.031).alias("longitude"))
+    meta = s.select("gid", (F.col("latitude") + 0.02).alias("latitude"), (F.col("longitude") + 0.031).alias("longitude"))
     return finish(bias.pair_histories(base, meta, "x", 0.15, "avg"))
 
 
-@query(f"with {HISTORY_SQL}, {SITES_SQL} select {n('gid')} from sites where gid not in (select gid from base where gid % 3 <> 1)")
+@query(f"with {HISTORY_SQL}, {SITES_SQL} select {n('gid')} from sites where gid not in (select gid from base where gid not in (select s_suppkey from supplier where s_nationkey < 12))")
 def sites_without_base(spark, sf_dir):
-    return finish(bias.sites_without_base(sites(spark, sf_dir), histories(spark, sf_dir)[0].where("gid % 3 <> 1")).select("gid"))
+    return finish(bias.sites_without_base(sites(spark, sf_dir), histories(spark, sf_dir)[0].join(of_nations(spark, sf_dir), "gid", "left_anti")).select("gid"))
 
 
 @query(f"with {HISTORY_SQL}, {SITES_SQL} select {n('gid')} from sites where gid not in (select gid from base where gid not in (select s_suppkey from supplier where s_acctbal < 0))")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .cubes import HISTORY_SQL, SCATTERED_SQL, SITES_SQL, SMALL_SQL, WIDE_SQL, cube_small, cube_wide, histories, in_debt, scattered, sites, table
+from .cubes import HISTORY_SQL, SCATTERED_SQL, SITES_SQL, SMALL_SQL, WIDE_SQL, cube_small, cube_wide, histories, in_debt, of_nations, scattered, sites, table
 from .finish import finish, n, r, t
 from .functions import times as T
 from .operators import chunks, collect, grid, neighbors, profiles, raster, sampling, windows
@@ -146,10 +146,10 @@ def observation_raster(spark, sf_dir):
     return finish(raster_.crossJoin(F.broadcast(neighbors.observation_cover(raster_, "x_obs"))), "gid", "time", "x_obs", "cover")
 
 
-@query(f"""with {SITES_SQL} select {n("gid")} from sites where gid % 7 = 3""")
+@query(f"""with {SITES_SQL} select {n("gid")} from sites where gid in (select s_suppkey from supplier where s_nationkey < 12)""")
 def same_places(spark, sf_dir):
     meta = sites(spark, sf_dir)
-    wanted = meta.where("gid % 7 = 3").select("gid", (F.col("latitude") + 0.00003).alias("latitude"), "longitude")
+    wanted = meta.join(of_nations(spark, sf_dir), "gid", "left_semi").select("gid", (F.col("latitude") + 0.00003).alias("latitude"), "longitude")
     return finish(neighbors.same_places(meta, wanted).select("gid"))
 
 

@@ -38,24 +38,24 @@ def scaled_to_peak(spark, sf_dir):
     return finish(solar.scale_to_peak(cube_small(spark, sf_dir)), *CELL, "time", "clearsky_ghi")
 
 
-@query(f"""with {SMALL_SQL}, c as (select gid, latitude, longitude, time, ghi from cube where ghi is not null), g as (select distinct gid, latitude + 0.1 latitude, longitude from cube where gid % 3 = 0),
+@query(f"""with {SMALL_SQL}, c as (select gid, latitude, longitude, time, ghi from cube where ghi is not null), g as (select distinct gid, latitude + 0.1 latitude, longitude from cube),
 pr as (select g.gid sid, c.gid tid, row_number() over (partition by g.gid order by sqrt((g.latitude - c.latitude) ** 2 + (g.longitude - c.longitude) ** 2), c.gid) k, sqrt((g.latitude - c.latitude) ** 2 + (g.longitude - c.longitude) ** 2) d from g, (select distinct gid, latitude, longitude from c) c
 where sqrt((g.latitude - c.latitude) ** 2 + (g.longitude - c.longitude) ** 2) < 1.2), m as (select sid, strftime(time, '%m.%d') dy, avg(ghi) x from pr join c on c.gid = tid where k <= 4 group by 1, 2)
-select {n("c2.gid", "gid")}, {t("c2.time")}, {r("x", "clearsky_ghi")} from (select distinct cube.gid, cube.time + interval 366 day as time from cube where gid % 3 = 0) c2 left join m on sid = c2.gid and dy = strftime(c2.time, '%m.%d')""")
+select {n("c2.gid", "gid")}, {t("c2.time")}, {r("x", "clearsky_ghi")} from (select distinct cube.gid, cube.time + interval 366 day as time from cube) c2 left join m on sid = c2.gid and dy = strftime(c2.time, '%m.%d')""")
 def clearsky_by_day(spark, sf_dir):
-    return _clearsky_by_day(spark, sf_dir, "gid % 3 = 0")
+    return _clearsky_by_day(spark, sf_dir)
 
 
-@query(SQL["clearsky_by_day"].replace(" where gid % 3 = 0", ""))
+@query(SQL["clearsky_by_day"])
 def clearsky_by_day_all(spark, sf_dir):
     """Of every cell."""
-    return _clearsky_by_day(spark, sf_dir, "true")
+    return _clearsky_by_day(spark, sf_dir)
 
 
-def _clearsky_by_day(spark, sf_dir, wanted):
+def _clearsky_by_day(spark, sf_dir):
     df = cube_small(spark, sf_dir)
     sky = df.where("ghi is not null").select("gid", "latitude", "longitude", "time", F.col("ghi").alias("clearsky_ghi"))
-    cells = df.where(wanted).select("gid", (F.col("latitude") + 0.1).alias("latitude"), "longitude", (F.col("time") + F.expr("interval 366 days")).alias("time")).distinct()
+    cells = df.select("gid", (F.col("latitude") + 0.1).alias("latitude"), "longitude", (F.col("time") + F.expr("interval 366 days")).alias("time")).distinct()
     return finish(solar.daily_clearsky(cells, sky, 4, 1.2), "gid", "time", "clearsky_ghi")
 
 
@@ -188,24 +188,24 @@ def streamed_daily(spark, sf_dir):
     return finish(stream_daily(df, ["value"]).withColumnRenamed("day", "day_start"), "gid", "day_start", "value")
 
 
-@query(f"""with {HISTORY_SQL}, {SITES_SQL}, p as (select gid, latitude + 0.021 latitude, longitude + 0.033 longitude from sites where gid % 3 = 0),
+@query(f"""with {HISTORY_SQL}, {SITES_SQL}, p as (select gid, latitude + 0.021 latitude, longitude + 0.033 longitude from sites),
 pr as (select p.gid sid, s.gid tid, sqrt((p.latitude - s.latitude) ** 2 + (p.longitude - s.longitude) ** 2) d from p cross join (select * from sites where gid in (select gid from base)) s),
 k as (select *, row_number() over (partition by sid order by d, tid) rank from pr where d < 0.15)
 select {n("sid", "gid")}, dayofyear(time)::bigint doy, hour(time)::bigint as hour, {r("min(d)", "distance")}, {r("avg(x)", "x")} from k join base on base.gid = tid where rank <= 2 group by sid, dayofyear(time), hour(time)""")
 def matched_clearsky(spark, sf_dir):
-    return _matched_clearsky(spark, sf_dir, "gid % 3 = 0")
+    return _matched_clearsky(spark, sf_dir)
 
 
-@query(SQL["matched_clearsky"].replace(" where gid % 3 = 0", ""))
+@query(SQL["matched_clearsky"])
 def matched_clearsky_all(spark, sf_dir):
     """Of every site."""
-    return _matched_clearsky(spark, sf_dir, "true")
+    return _matched_clearsky(spark, sf_dir)
 
 
-def _matched_clearsky(spark, sf_dir, chosen):
+def _matched_clearsky(spark, sf_dir):
     s = sites(spark, sf_dir)
     sky = histories(spark, sf_dir)[0].join(s.select("gid", "latitude", "longitude"), "gid")
-    wanted = s.where(chosen).select("gid", (F.col("latitude") + 0.021).alias("latitude"), (F.col("longitude") + 0.033).alias("longitude"))
+    wanted = s.select("gid", (F.col("latitude") + 0.021).alias("latitude"), (F.col("longitude") + 0.033).alias("longitude"))
     return finish(solar.match_clearsky(wanted, sky, 2, 0.15), "gid", "doy", "hour", "distance", "x")
 
 

@@ -415,3 +415,67 @@ def test_downscaling_plan(spark, cube):
     assert plan.place(out, cells).select("gid").distinct().count() == 48
     with pytest.raises(ValueError):
         plan.run(cube.withColumn("u_10m", F.when(F.col("t_idx") > 0, F.col("u_10m"))))
+
+
+def test_blocks_that_are_cut_off(spark):
+    from gridloom.operators import coarsen
+
+    rows = [(i, j, t, 1.0) for i in range(3) for j in range(2) for t in range(7)]
+    df = spark.createDataFrame(rows, "south_north int, west_east int, t_idx int, x double")
+    with pytest.raises(Exception, match="blocks of 4"):
+        coarsen.temporal(df, ["x"], 4).collect()
+    dropped = coarsen.temporal(df, ["x"], 4, "total", rest="drop").collect()
+    assert {(r["t_block"], r["x"]) for r in dropped} == {(0, 4.0)} and len(dropped) == 6
+    with pytest.raises(Exception, match="blocks of 2"):
+        coarsen.spatial(df, ["x"], 2, by=("t_idx",)).collect()
+    assert coarsen.spatial(coarsen.trim(df, 3, 2, 2), ["x"], 2, by=("t_idx",)).count() == 7
+
+
+def test_nearest_at_any_distance(spark):
+    from gridloom.operators.neighbors import nearest
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 80.0, 170.0), (3, None, 1.0)], "gid int, latitude double, longitude double")
+    target = spark.createDataFrame([(7, 0.0, 1e-7), (8, 1.0, 1.0)], "gid int, latitude double, longitude double")
+    for width in (1e-6, None):
+        assert {r["sid"]: r["tid"] for r in nearest(points, target, width).collect()} == {1: 7, 2: 8, 3: None}
+    assert {(r["sid"], r["tid"], r["distance"]) for r in nearest(points, target.limit(0)).collect()} == {(k, None, None) for k in (1, 2, 3)}
+
+
+def test_rotation_of_rising_latitudes(spark):
+    from gridloom.operators.windows import rotation
+
+    cells = [(i, j, 30.0 + 0.5 * i * i, -100.0 + j + 0.1 * i) for i in range(4) for j in range(2)]
+    up = spark.createDataFrame(cells, "south_north int, west_east int, latitude double, longitude double")
+    down = spark.createDataFrame([(3 - i, *rest) for i, *rest in cells], "south_north int, west_east int, latitude double, longitude double")
+    angles = lambda df: {(r["latitude"], r["longitude"]): round(r["theta"], 12) for r in rotation(df).collect()}
+    assert angles(up) == angles(down) and len(set(angles(up).values())) > 1
+
+
+def test_presrat_keeps_the_modelled_change_of_the_mean(spark):
+    """K of one site and window against plain sums: the corrected future counts with its drizzle."""
+    import datetime
+
+    from gridloom.operators import bias
+
+    rng = np.random.default_rng(4)
+    day = lambda k: datetime.datetime(2001, 1, 1) + datetime.timedelta(days=int(k))
+    series = {name: np.where(rng.random(365) < dry, 0.2, rng.gamma(2.0, scale, 365)) for name, dry, scale in (("oh", 0.5, 3.0), ("mh", 0.2, 4.0), ("mf", 0.2, 6.0))}
+    frames = [spark.createDataFrame([(1, day(k), float(v)) for k, v in enumerate(x)], "gid int, time timestamp, x double") for x in series.values()]
+    row = bias.presrat_params(*frames, "x", threshold=1.0, n=1, days=730).first()
+    levels = np.linspace(0, 1, 101)
+    q = {k: np.quantile(v, levels) for k, v in series.items()}
+    tau = np.interp(series["mf"], q["mf"], levels)
+    corrected = np.interp(tau, levels, q["oh"]) * series["mf"] / np.maximum(np.interp(tau, levels, q["mh"]), 1.0)
+    k = (series["mf"].mean() / series["mh"].mean()) / (corrected.mean() / series["oh"].mean())
+    rate = (series["oh"] <= 1).mean()
+    cut = np.sort(series["mh"])[min(round(rate * 365), 364)]
+    want = np.sort(corrected)[min(round((series["mf"] < cut).mean() * 365), 364)]
+    assert abs(row["k_factor"] - k) < 0.02 * k and abs(row["tau_fut"] - want) < 0.05 * want and abs(row["zero_rate"] - rate) < 1e-9
+
+
+def test_split_evenly_over_many_ranges(spark):
+    from gridloom.operators.grid import split_evenly
+
+    rows = split_evenly(spark.range(1000).selectExpr("(id * 7919) % 1000 as v"), "v", 7).orderBy("v").collect()
+    sizes = [sum(r["group"] == g for r in rows) for g in range(7)]
+    assert sizes == [143] * 6 + [142] and [r["group"] for r in rows] == sorted(r["group"] for r in rows)
