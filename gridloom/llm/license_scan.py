@@ -66,13 +66,15 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ``base`` phrases count where their words stand consecutively; ``templates`` where merged
     diagonals hold ``share`` of their word pairs. labels has both. score: the largest share
     that any phrase or template reaches, 0 if none. Null text is empty: no words, score 0. Rows are judged by
-    (id, text), so repeated rows get equal answers, null ids too; other columns are not read.
+    (id, text), so repeated rows get equal answers, null ids too; other columns are not read; an empty table
+    gives an empty one. A row of word pairs holds two words, not its text; the words of one text are in memory at once.
     """
     shown = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), words_of(F.col(text_column)).alias("ws"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.xxhash64(F.get("ws", i), F.get("ws", i + 1)))
-    rolled = shown.where(F.size("ws") >= 2).select("id", "th", "ws", F.posexplode(pairs).alias("at", "h"))
-    positions = template_positions(docs.sparkSession, base, templates).withColumn("key", F.xxhash64("a", "b"))
-    same = (F.col("h") == F.col("key")) & (F.get("ws", F.col("at")) == F.col("a")) & (F.get("ws", F.col("at") + 1) == F.col("b"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.concat(F.get("ws", i), F.lit(" "), F.get("ws", i + 1)))
+    rolled = shown.where(F.size("ws") >= 2).select("id", "th", F.posexplode(pairs).alias("at", "pair")).withColumn("h", F.xxhash64("pair"))
+    words = F.concat("a", F.lit(" "), "b")
+    positions = template_positions(docs.sparkSession, base, templates).select("label", "exact", "template", "pairs", "place", words.alias("words"), F.xxhash64(words).alias("key"))
+    same = (F.col("h") == F.col("key")) & (F.col("pair") == F.col("words"))
     votes = rolled.join(F.broadcast(positions), same).select("id", "th", "label", "exact", "template", "pairs", "place", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     diagonals = votes.groupBy("id", "th", "label", "exact", "template", "pairs", "diagonal").agg(F.collect_list("place").alias("places"))
     along = Window.partitionBy("id", "th", "template").orderBy("diagonal")
