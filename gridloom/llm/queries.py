@@ -78,7 +78,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"))
+    return filter_urls(_table(spark, sf_dir, "pages"))  # the example list; a deployment gives its table of rules
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

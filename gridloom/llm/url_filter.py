@@ -1,7 +1,7 @@
 """URL filters by a sorted digest array.
 
-Every rule string (``host/path``) is stored as a 64-bit xxhash key in one sorted array,
-memory-mapped by each task. A url's candidates (each suffix of its host at a label
+Every rule string (``host/path``) is stored as a 64-bit xxhash key in one sorted array, which Spark
+makes from a table of rules, whatever its size up to MOST_ENTRIES, and each task memory-maps. A url's candidates (each suffix of its host at a label
 border, each path prefix whose length some rule has) are hashed and looked up by one
 vectorised binary search; a found key counts only if the stored full string equals the
 candidate, so collisions decide nothing.
@@ -10,8 +10,8 @@ candidate, so collisions decide nothing.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import io
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,14 +21,22 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_dir
+
 #: The rules of the contract, (verdict, host/path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: First labels of hosts that publish spam, gambling, pills or trackers.
-SPAM_NAMES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: First labels of hosts that publish spam, gambling, pills or trackers. An example of a list; production
+#: lists come as a table of rules.
+SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 SPAM_DOMAINS = ("example.com", "example.net", "example.org")
 BLOCKLIST = tuple(f"{name}.{domain}/" for name in SPAM_NAMES for domain in SPAM_DOMAINS)
 
+#: Rules of a digest array at most; the driver holds them while it writes the files.
+MOST_ENTRIES = 5_000_000
+#: Seed of Spark's own xxhash64.
+SEED = 42
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,29 +50,40 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 class DigestArray:
-    """Sorted 64-bit keys with their full strings, in files that tasks memory-map."""
-
-    def __init__(self, entries: Iterable[str]):
-        strings = sorted(set(entries))
-        keys = np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
-        order = np.argsort(keys, kind="stable")
-        raw = [strings[i].encode() for i in order]
-        self.parts = {
-            "keys": keys[order],
+    """Sorted 64-bit keys with their full strings, in files that tasks memory-map. ``entries``: a table with the column ``rule``; nulls do not count."""
+
+    def __init__(self, entries: DataFrame):
+        spark = entries.sparkSession
+        keyed = entries.where("rule is not null").select("rule").distinct().withColumn("key", F.xxhash64("rule"))
+        rows = keyed.orderBy(F.col("key") < 0, "key", "rule").limit(MOST_ENTRIES + 1).toArrow().combine_chunks()  # as unsigned numbers
+        if rows.num_rows > MOST_ENTRIES:
+            raise ValueError(f"more than {MOST_ENTRIES} rules")
+        raw = [r.encode() for r in rows["rule"].to_pylist()]
+        parts = {
+            "keys": rows["key"].to_numpy().view(np.uint64),
             "ends": np.cumsum([0, *map(len, raw)]).astype(np.int64),
             "text": np.frombuffer(b"".join(raw), np.uint8),
         }
-        self.path_lengths = sorted({len(s) - s.index("/") for s in strings if "/" in s})
-
-    def ship(self, spark: SparkSession) -> dict[str, str]:
-        """Give every executor the files; the names under which tasks find them."""
-        names = {}
-        for part, values in self.parts.items():
-            names[part] = f"digests-{hashlib.sha256(values.tobytes()).hexdigest()[:24]}-{part}.npy"
-            path = os.path.join(tempfile.gettempdir(), names[part])  # one path for one content, as addFile wants
-            np.save(path, values)
-            spark.sparkContext.addFile(path)
-        return names
+        length = F.length("rule") - F.instr("rule", "/") + 1
+        self.path_lengths = sorted(r[0] for r in keyed.where(F.instr("rule", "/") > 0).select(length).distinct().collect())
+        self.names = {part: self._ship(spark, part, values) for part, values in parts.items()}
+
+    @staticmethod
+    def _ship(spark: SparkSession, part: str, values: np.ndarray) -> str:
+        """Write one file to the shared folder and give it to every executor; the name under which tasks find it."""
+        name = f"digests-{hashlib.sha256(values.tobytes()).hexdigest()[:24]}-{part}.npy"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            content = io.BytesIO()
+            np.save(content, values)
+            own = path.suffix(f".{uuid.uuid4().hex}")
+            out = files.create(own)
+            out.write(bytearray(content.getvalue()))
+            out.close()
+            files.rename(own, path)  # readers see whole files only
+        spark.sparkContext.addFile(files.makeQualified(path).toString())
+        return name
 
 
 class _Probe:
@@ -74,7 +93,7 @@ class _Probe:
 
     def found(self, candidates: list[str]) -> np.ndarray:
         """Which candidates are stored: binary search of all keys at once, then the full strings."""
-        keys = np.array([xxhash.xxh64_intdigest(c) for c in candidates], np.uint64)
+        keys = np.array([xxhash.xxh64_intdigest(c, SEED) for c in candidates], np.uint64)
         at = np.searchsorted(self.keys, keys)
         out = np.zeros(len(candidates), bool)
         inside = np.flatnonzero(at < len(self.keys))
@@ -92,19 +111,21 @@ def _candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return [".".join(labels[i:]) + p for i in range(len(labels)) for p in prefixes]
 
 
-def filter_urls(pages: DataFrame, rules=RULES, blocklist: Iterable[str] = BLOCKLIST, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, blocklist: DataFrame | Iterable[str] = BLOCKLIST, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (the longest fitting one, else null) and verdict.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; of
     two fitting rules of one length the one with the longer host wins. Without a rule the verdict is block if an entry of
-    ``blocklist`` fits, else allow. Both lists are looked up in one digest array. A null
+    ``blocklist`` (rules, or a table with the column ``rule``) fits, else allow. Both lists are looked up in one digest array. A null
     url, or one without ``://``, has empty host and path and no rule: allow. Rows are judged
     one by one, so repeated rows and ids, null ids, other columns and empty tables need no care.
     """
     verdicts = {rule: verdict for verdict, rule in rules}
     listed = frozenset(verdicts)
-    array = DigestArray([*verdicts, *blocklist])
-    names, lengths = array.ship(pages.sparkSession), array.path_lengths
+    spark = pages.sparkSession
+    table = lambda rules: spark.createDataFrame([(r,) for r in rules], "rule string")
+    array = DigestArray((blocklist if isinstance(blocklist, DataFrame) else table(blocklist)).select("rule").unionByName(table(verdicts)))
+    names, lengths = array.names, array.path_lengths
     host, path = host_and_path(F.col(url_column))
     parsed = pages.select(F.col(id_column), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
 
@@ -112,12 +133,11 @@ def filter_urls(pages: DataFrame, rules=RULES, blocklist: Iterable[str] = BLOCKL
         probe = _Probe(names)
         for batch in batches:
             each = [_candidates(h, p, lengths) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-            flat = [c for cs in each for c in cs]
-            hit = probe.found(flat) if flat else np.zeros(0, bool)
-            ruled, verdict, at = [], [], 0
+            flat = list({c for cs in each for c in cs})
+            hit = {c for c, ok in zip(flat, probe.found(flat).tolist(), strict=True) if ok} if flat else set()
+            ruled, verdict = [], []
             for cs in each:
-                fits = [c for c, ok in zip(cs, hit[at : at + len(cs)].tolist(), strict=True) if ok]
-                at += len(cs)
+                fits = [c for c in cs if c in hit]
                 best = max((c for c in fits if c in listed), key=lambda c: (len(c), c.index("/")), default=None)
                 ruled.append(best)
                 verdict.append(verdicts[best] if best is not None else "block" if fits else "allow")
