@@ -8,8 +8,9 @@ the one with the least cost over the histogram of sizes.
 
 Equal sets are one class and travel once. Lists are not expanded into pairs: their members
 are first compared with one hub, linked members are merged, and only members still in
-different components are compared again, some pivots of a list at a time, until every
-list is one component or all its pairs across components have been compared. Three bounds
+different components are compared again: pivots from outside a list's largest component, sixteen times as many
+a round, with all of the list, until every list is one component or all its pairs across components have been
+compared. A round deals pivots and members in small groups, so no list is one task's. Three bounds
 that lose no link come before a pair is formed: sizes, the shared shingle's places in the
 common order, and 256 parity bits whose differences cannot outnumber the sets' own. Of a
 pair that is left, the sets' counts in 256 buckets are compared, which bounds their difference
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +44,10 @@ COUNTED_AT_ONCE = 1 << 22
 SCAN_COST = 4
 #: Largest boundary tried.
 MOST_SMALL = 24
-#: Members of a list that are compared with all others in one round.
-PIVOTS = 256
+#: Pivots of a list in the first round, and the factor by which their number grows.
+PIVOTS, GROWTH = 256, 16
+#: Pivots and members that meet in one group at most, about.
+PIVOT_GROUP, MEMBER_GROUP = 256, 4096
 #: Ids that are broadcast at most to choose texts: 8 bytes each.
 BROADCAST_IDS = 100_000
 #: Parity bits of a set, as 64-bit columns.
@@ -247,24 +250,30 @@ def link_components(listed: DataFrame, docs: DataFrame, k: int = SHINGLE, percen
     pairs = lists.join(hubs, "token").where((F.col("id") != F.col("o_id")) & _possible(percent)).select(F.col("o_id").alias("a"), F.col("id").alias("b")).distinct()
     none = docs.sparkSession.createDataFrame([], f"id {dict(docs.dtypes)['id']}, label {dict(docs.dtypes)['id']}")
     labels = _merge(none, _linked(pairs, listed, docs, k, percent))
-    lists = lists.select(*members)
+    lists, most = lists.select(*members), PIVOTS
+    deal = lambda salt, groups: F.pmod(F.xxhash64(F.lit(salt), "id"), groups)
+    every = lambda groups: F.explode(F.sequence(F.lit(0), groups - 1))
     while True:
         marked = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_lists = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-        still = marked.join(open_lists, "token")
-        share = still.groupBy("token", "label").agg(F.count("*").alias("share"))
-        ranked = cut(still.join(share, ["token", "label"]).withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("share", "id"))))
-        if ranked.isEmpty():
+        shares = marked.groupBy("token", "label").agg(F.count("*").alias("share"))
+        total = shares.groupBy("token").agg(F.sum("share").alias("total"), F.max(F.struct("share", "label")).alias("top")).where("total > top.share")
+        size = total.select("token", F.col("top.label").alias("largest"), "total", (F.col("total") - F.col("top.share")).alias("outside"))
+        # which of those outside a list's largest component are pivots: all, or about ``most`` by a hash of their ids
+        pivot = (F.col("label") != F.col("largest")) & ((F.col("outside") <= most) | (deal(most, F.lit(1 << 30)) < (most / F.col("outside") * (1 << 30))))
+        groups = F.ceil(F.least("outside", F.lit(2 * most)) / PIVOT_GROUP), F.ceil(F.col("total") / MEMBER_GROUP)
+        still = cut(marked.join(size, "token").select(*members, "label", pivot.alias("pivot"), groups[0].alias("p_groups"), groups[1].alias("m_groups")))
+        if still.isEmpty():
             return labels
-        pivots = _other(ranked.where(F.col("rank") <= PIVOTS), "label", "rank")
+        pivots = still.where("pivot").withColumns({"p": deal("p", F.col("p_groups")), "m": every(F.col("m_groups"))})
+        others = still.withColumns({"m": deal("m", F.col("m_groups")), "p": every(F.col("p_groups"))})
         pairs = (
-            ranked.join(pivots, "token")
-            .where((F.col("rank") > F.col("o_rank")) & (F.col("label") != F.col("o_label")) & _possible(percent))
+            others.join(pivots.select("token", "p", "m", *[F.col(c).alias(f"o_{c}") for c in (*members[1:], "label")]), ["token", "p", "m"])
+            .where((F.col("label") != F.col("o_label")) & (~F.col("pivot") | (F.col("id") > F.col("o_id"))) & _possible(percent))
             .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
             .distinct()
         )
         labels = _merge(labels, _linked(pairs, listed, docs, k, percent))
-        lists = ranked.where(F.col("rank") > PIVOTS).select(*members)
+        lists, most = still.where("not pivot").select(*members), most * GROWTH
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -281,5 +290,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *PARITY, "buckets", "tokens", "subsets")]))
     listed = classes.where("rep is not null").select(F.col("rep").alias("id"), "n", *PARITY, "buckets", "tokens", "subsets")
     labels = link_components(listed, shown, k, percent)
+    several = cut(rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("id"))
+    if not several.isEmpty():  # ids whose rows are in several classes link these
+        labels = _merge(labels, rows.where("n > 0").join(several, "id").join(classes.select("key", "rep"), "key").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     named = classes.select("key", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("label", "rep").alias("component"))
     return rows.select("id", "n", "key").join(named, "key", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
