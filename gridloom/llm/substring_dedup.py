@@ -64,6 +64,13 @@ def _runs(part: W.Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     """Runs of strings with one key: first start, last start (places in the slice) and key."""
     none = np.zeros(0, np.int64)
     data, n = part.data, len(part.data)
+    if n > 2 * W.SLICE_BYTES and part.n == 1:  # a run that goes on in the next piece becomes two
+        found = []
+        for lo in range(0, n - length, W.SLICE_BYTES):
+            hi = min(lo + W.SLICE_BYTES + length - 1, n - 1)
+            first, last, key = _runs(W.Slice(0, 1, data[lo:hi], np.array([0, hi - lo + 1])), length, gram)
+            found.append((first + lo, last + lo, key))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     count = n - length + 1
     if count <= 0:
         return none, none, none.view(np.uint64)
@@ -442,7 +449,7 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     no part and keep all. Rows that repeat an id count as one document; should their texts differ, each
     loses the ranges of both. Texts shorter than ``length`` keep all. Ids of any type that has an order
     will do; others than whole numbers are ranked first. Other columns are not read; an empty table gives an empty
-    one. A task holds one text at a time and some 70 bytes for each of its bytes.
+    one. Long texts are gone through in slices of 1 MB.
     """
     docs, number = numbered(docs.select(id_column, text_column), id_column)
     spans = repeated_spans(docs, number, text_column, length)

@@ -1,6 +1,7 @@
 """Vectorised words and shingles of Arrow text batches.
 
-All helpers work on small slices of whole texts; a slice never splits a text. Each
+All helpers work on small slices of whole texts; a slice never splits a text, and of a text longer
+than a slice words and hashes take some ten bytes a byte. Each
 text must end in a byte that is no word byte (``text_column`` adds a line feed).
 """
 
@@ -112,7 +113,18 @@ class Words:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes."""
+    """A 64-bit hash of each span of the bytes. Spans in order are taken a slice at a time, so temporaries stay small in long texts."""
+    if len(data) > 2 * SLICE_BYTES and len(starts):
+        out, a = np.empty(len(starts), np.uint64), 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + SLICE_BYTES)))
+            lo, hi = int(starts[a]), int(ends[a:b].max())
+            if lo == 0 and hi == len(data):
+                break  # one span from end to end
+            out[a:b] = hash_spans(data[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
+            a = b
+        if a == len(starts):
+            return out
     up, down = _Powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])

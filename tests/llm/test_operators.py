@@ -432,3 +432,67 @@ def test_digest_collisions_decide_nothing():
     probe.keys[:] = xxhash.xxh64_intdigest("c/")
     assert probe.found(["c/", "a/"]).tolist() == [False, False]
     assert re.match("a", "a/")
+
+
+def test_url_rules_from_a_table(spark):
+    """A list made by Spark; keys are Spark's own xxhash64; files lie in the shared folder."""
+    rules = spark.range(200_000).selectExpr("concat('host', id, '.test/p/') as rule").unionByName(spark.createDataFrame([(None,), ("bücher.test/",)], "rule string"))
+    pages = spark.createDataFrame([(1, "http://a.host7.test/p/x"), (2, "http://host7.test/q"), (3, "https://bücher.test/y"), (4, "http://host200000.test/p/"), (5, "http://x.net/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(pages, blocklist=rules).collect()}
+    assert got == {1: (None, "block"), 2: (None, "allow"), 3: (None, "block"), 4: (None, "allow"), 5: ("net/", "block")}
+
+
+def test_words_of_a_very_long_text_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gridloom.llm import substring_dedup
+    from gridloom.llm import words as W
+
+    text = " ".join(f"word{k % 9973} and some more text {k}" for k in range(600_000)) + "\n"
+    assert len(text) > 18 << 20
+    (part,) = W.slices(pa.array([text], pa.large_string()))
+    for run in (lambda: W.words(part, W.ALNUM), lambda: substring_dedup._runs(part, 50, 18)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 15 * len(text)
+    w = W.words(part, W.ALNUM)
+    for k in (0, 1, 777_777, len(w.starts) - 1):  # the same hash as in a slice of its own
+        word = w.low[w.starts[k] : w.ends[k]]
+        assert W.hash_spans(word, np.array([0]), np.array([len(word)]))[0] == w.hashes[k]
+
+
+def test_jaccard_of_many_sets_under_one_shingle(spark, monkeypatch):
+    """Thousands of sets listed under the same frequent shingles, some linked far from the hub."""
+    from gridloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOT_GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "MEMBER_GROUP", 50)
+    monkeypatch.setattr(jaccard_join, "boundary", lambda sizes, percent: 0)
+    common = [f"c{k}" for k in range(8)]
+    rows = []
+    for g in range(300):  # pairs of near copies: 40 own words, the last one differs
+        own = [f"g{g}w{k}" for k in range(40)]
+        rows += [(2 * g, " ".join(common + own)), (2 * g + 1, " ".join(common + own[:-1] + ["other"]))]
+    want = {i: i - i % 2 for i, _ in rows}
+    # an order in which the common shingles come first puts all sets into their lists
+    import pyarrow as pa
+
+    from gridloom.llm import words as W
+
+    (part,) = W.slices(pa.array([" ".join(common) + "\n"]))
+    table = np.ones(1 << jaccard_join.FREQUENT_BITS, np.uint32)
+    table[jaccard_join._sets(part, 4)[0] >> np.uint64(64 - jaccard_join.FREQUENT_BITS)] = 0
+    monkeypatch.setattr(jaccard_join, "_statistics", lambda shown, k, percent: (table, 0))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_an_id_with_two_texts_links_their_classes(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (6, ""), (None, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard_components(docs).collect()) == [(0, 3), (3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
