@@ -48,13 +48,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that of the group's smallest id. Rows without id or words stay."""
+    """One row of each group of near-duplicates: that of the group's smallest id. Rows without id or words stay.
+
+    Of several rows with the smallest id that with the least hash of its text stays, so a repeated task keeps the same one.
+    """
     make_importable(spark)
     groups = jaccard_components(docs, k=SHINGLE, percent=PERCENT)
     others = groups.where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    judged = F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(judged).join(others, "doc_id", "left_anti").select(*docs.columns)
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    return one.unionByName(docs.where(~judged | F.col("text").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
