@@ -257,13 +257,14 @@ def link_components(listed: DataFrame, docs: DataFrame, k: int = SHINGLE, percen
         marked = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         shares = marked.groupBy("token", "label").agg(F.count("*").alias("share"))
         total = shares.groupBy("token").agg(F.sum("share").alias("total"), F.max(F.struct("share", "label")).alias("top")).where("total > top.share")
-        size = total.select("token", F.col("top.label").alias("largest"), "total", (F.col("total") - F.col("top.share")).alias("outside"))
+        # one row an open list; written, so that Spark knows its size and broadcasts it only where it is small
+        size = cut(total.select("token", F.col("top.label").alias("largest"), "total", (F.col("total") - F.col("top.share")).alias("outside")))
+        if size.isEmpty():
+            return labels
         # which of those outside a list's largest component are pivots: all, or about ``most`` by a hash of their ids
         pivot = (F.col("label") != F.col("largest")) & ((F.col("outside") <= most) | (deal(most, F.lit(1 << 30)) < (most / F.col("outside") * (1 << 30))))
         groups = F.ceil(F.least("outside", F.lit(2 * most)) / PIVOT_GROUP), F.ceil(F.col("total") / MEMBER_GROUP)
         still = cut(marked.join(size, "token").select(*members, "label", pivot.alias("pivot"), groups[0].alias("p_groups"), groups[1].alias("m_groups")))
-        if still.isEmpty():
-            return labels
         pivots = still.where("pivot").withColumns({"p": deal("p", F.col("p_groups")), "m": every(F.col("m_groups"))})
         others = still.withColumns({"m": deal("m", F.col("m_groups")), "p": every(F.col("p_groups"))})
         pairs = (
