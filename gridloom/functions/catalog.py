@@ -28,6 +28,9 @@ ERA_NAMES = {
     "d": "divergence",
 }
 
+# Columns of reanalysis files that no operator reads.
+NOT_READ = ("expver", "number")
+
 # Fixed values: (scale factor, units, stored type, least, most) of output features by base name.
 OUTPUT = {
     "u": (100.0, "m s-1", "uint16", -120, 120),

@@ -38,6 +38,25 @@ def time_range(spark: SparkSession, start: str, end: str, step: str, drop_leap:
     return times
 
 
+def range_of(df: DataFrame, time: str = "time") -> dict:
+    """start, end, step in seconds and drop_leap of a regular series of times, as :func:`time_range` takes them.
+
+    A day missing at the end of February of a leap year counts as dropped; any other uneven step raises, and so does a table without times.
+    """
+    ordered = Window.orderBy("at")  # different times only
+    steps = df.select(F.col(time).alias("at")).where("at is not null").distinct().withColumn("before", F.lag("at").over(ordered))
+    steps = steps.withColumn("delta", F.unix_timestamp("at") - F.unix_timestamp("before"))
+    one = steps.agg(F.min("at").alias("start"), F.max("at").alias("end"), F.min("delta").alias("step")).first()
+    if one["start"] is None:
+        raise ValueError("no times")
+    step = one["step"] or 86400
+    over_leap_day = leap_day(F.timestamp_seconds(F.unix_timestamp("before") + step)) & (F.col("delta") == step + 86400)
+    uneven = steps.where((F.col("delta") != step) & ~over_leap_day).count()
+    if uneven:
+        raise ValueError(f"{uneven} steps differ from {step} seconds")
+    return {"start": str(one["start"]), "end": str(one["end"]), "step": f"{step} second", "drop_leap": not steps.where((F.col("delta") != step) & over_leap_day).isEmpty()}
+
+
 def refine(df: DataFrame, factor: int, time: str = "time") -> DataFrame:
     """(time, part, fine_time): each different time cut into ``factor`` equal parts; Feb 29 only if the input has it."""
     times = df.select(time).distinct()

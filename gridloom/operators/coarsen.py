@@ -74,7 +74,10 @@ def daily(df: DataFrame, features: list[str], by: tuple[str, ...] = ("south_nort
     return df.groupBy(*by, F.to_date("time").alias("date")).agg(*out)
 
 
-def reduce_daily(df: DataFrame, feature: str, method: str, by: tuple[str, ...] = ("gid",)) -> DataFrame:
-    """A site series by calendar date: avg, max, min or sum."""
-    how = {"avg": F.avg, "max": F.max, "min": F.min, "sum": F.sum}[method]
-    return df.groupBy(*by, F.to_date("time").alias("date")).agg(how(feature).alias(feature))
+def reduce_daily(df: DataFrame, feature: str, method: str, by: tuple[str, ...] = ("gid",), decimals: int | None = None) -> DataFrame:
+    """A site series by calendar date: avg, max, min or sum; the mean clear-sky ratio is the ratio of sums, 0 at night. ``decimals``: rounded half to even."""
+    if feature == "clearsky_ratio" and method == "avg":
+        daily_value = F.coalesce(F.try_divide(F.sum("ghi"), F.sum("clearsky_ghi")), F.lit(0.0))
+    else:
+        daily_value = {"avg": F.avg, "max": F.max, "min": F.min, "sum": F.sum}[method](feature)
+    return df.groupBy(*by, F.to_date("time").alias("date")).agg((daily_value if decimals is None else F.bround(daily_value, decimals)).alias(feature))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,18 @@ def merge_features(frames: list[DataFrame], keys: tuple[str, ...] = ("gid", "tim
     return out
 
 
+def place(df: DataFrame, meta: DataFrame) -> DataFrame:
+    """``df`` with ``row``, its site's place in the output (places run from 0 by gid); sites of a chunk that do not follow each other raise.
+
+    ``meta`` has one row a site; rows of sites that it lacks go.
+    """
+    rows = meta.select("gid").distinct().withColumn("row", F.row_number().over(Window.orderBy("gid")) - 1)
+    span = df.select("gid").distinct().join(rows, "gid").agg((F.max("row") - F.min("row") + 1).alias("span"), F.count("*").alias("n")).first()
+    if span["n"] and span["span"] != span["n"]:
+        raise ValueError(f"{span['n']} sites lie on {span['span']} rows of the output")
+    return df.join(rows, "gid")
+
+
 def duplicate_steps(df: DataFrame, keys: tuple[str, ...] = ("gid", "time")) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

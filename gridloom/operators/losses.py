@@ -98,11 +98,18 @@ def material_derivative(both: DataFrame, u: str = "u", v: str = "v") -> DataFram
 MOST_IN_BATCH = 1024
 
 
-def low_res(both: DataFrame, features: list[str], s: int, loss: Callable = mae) -> DataFrame:
-    """Any loss after both cubes are coarsened in space."""
-    from .coarsen import spatial
-
-    return loss(spatial(both, [c for f in features for c in (f, f"{f}_hat")], s, by=("obs", "t_idx")), features)
+def low_res(both: DataFrame, features: list[str], s: int, loss: Callable = mae, t: int = 1, t_method: str = "average", extremes: Callable | None = None) -> DataFrame:
+    """Any loss after both cubes are coarsened in space and time, with a loss of extremes on the same cubes added if given."""
+    from .coarsen import spatial, temporal
+
+    columns = [c for f in features for c in (f, f"{f}_hat")]
+    coarse = spatial(both, columns, s, by=("obs", "t_idx"))
+    if t > 1:
+        coarse = temporal(coarse, columns, t, t_method, by=("obs", "south_north", "west_east")).withColumnRenamed("t_block", "t_idx")
+    if extremes is None:
+        return loss(coarse, features)
+    more = extremes(coarse, features).withColumnRenamed("loss", "_more")
+    return loss(coarse, features).crossJoin(F.broadcast(more)).select((F.col("loss") + F.col("_more")).alias("loss"))
 
 
 def mmd(both: DataFrame, feature: str, sigma: float = 1.0) -> DataFrame:

@@ -75,14 +75,20 @@ def default_bound(grid: DataFrame) -> DataFrame:
     return lat.unionByName(lon).agg(F.max("m").alias("bound"))
 
 
-def group_mean(source: DataFrame, target: DataFrame, features: list[str], bound: float, by_time: bool = False) -> DataFrame:
-    """Mean of the source points nearest to each target cell; cells that none is nearest to have null."""
+def group_mean(source: DataFrame, target: DataFrame, features: list[str], bound: float, by_time: bool = False, times: DataFrame | None = None) -> DataFrame:
+    """Mean of the source points nearest to each target cell; cells that none is nearest to have null.
+
+    ``by_time``: at each of the ``times`` (the source's own if not given); source rows at other times count for nothing.
+    """
+    if by_time and times is not None:
+        times = times.select("time").distinct()
+        source = source.join(times, "time", "left_semi")
     mapped = source.join(nn_join(source.select("gid", "latitude", "longitude").distinct(), target, bound).where("tid is not null"), F.col("gid") == F.col("sid"))
     keys = ["tid", *["time"] * by_time]
     means = mapped.groupBy(*keys).agg(*[F.avg(f).alias(f) for f in features])
     cells = target.select(F.col("gid").alias("tid"))
     if by_time:
-        cells = cells.crossJoin(F.broadcast(source.select("time").distinct()))
+        cells = cells.crossJoin(F.broadcast(source.select("time").distinct() if times is None else times))
     return cells.join(means, keys, "left").withColumnRenamed("tid", "gid")
 
 

@@ -16,19 +16,24 @@ def with_single_levels(profile: DataFrame, surface: DataFrame, by_level: dict[fl
     return out
 
 
-def interpolate(profile: DataFrame, feature: str, level: float, method: str = "linear", keys: tuple[str, ...] = ("south_north", "west_east", "time")) -> DataFrame:
+def interpolate(profile: DataFrame, feature: str, level: float, method: str = "linear", keys: tuple[str, ...] = ("south_north", "west_east", "time"), strict: bool = False) -> DataFrame:
     """The feature at a level: from the nearest sample below and the nearest at or above, or the two nearest on one side.
 
-    One aggregation by cell and time picks all four candidates; nothing is sorted.
+    One aggregation by cell and time picks all four candidates; nothing is sorted. ``strict``: a cell that gets no value raises
+    when it is computed.
     """
     sample = F.struct("lev", F.col(feature).alias("v"))
-    usable = profile.where(F.col("lev").isNotNull() & F.col(feature).isNotNull())
+    full = F.col("lev").isNotNull() & F.col(feature).isNotNull()
+    usable = profile.withColumns({"lev": F.when(full, F.col("lev")), feature: F.when(full, F.col(feature))}) if strict else profile.where(full)
     below, above = F.col("lev") < level, F.col("lev") >= level
     picked = usable.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(below, sample)), False).alias("b"), F.sort_array(F.collect_list(F.when(above, sample))).alias("a"))
     first = F.coalesce(F.get("b", 0), F.get("a", 1), F.get("a", 0))
     second = F.coalesce(F.get("a", 0), F.get("b", 1), F.get("b", 0))
     pair = picked.select(*keys, first.alias("p"), second.alias("q"))
-    return pair.select(*keys, METHODS[method](F.col("p.lev"), F.col("q.lev"), F.col("p.v"), F.col("q.v"), level).alias(feature))
+    value = METHODS[method](F.col("p.lev"), F.col("q.lev"), F.col("p.v"), F.col("q.v"), level)
+    if strict:
+        value = F.coalesce(value, F.raise_error(F.lit(f"{feature} has no value at level {level}")).cast("double"))
+    return pair.select(*keys, value.alias(feature))
 
 
 def height_above_ground(df: DataFrame, geopotential_height: str = "zg", topography: str = "topography") -> DataFrame:

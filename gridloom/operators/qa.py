@@ -15,14 +15,18 @@ from .windows import difference
 def recoarsen_error(fine: DataFrame, source: DataFrame, features: list[str], s: int, t: int, methods: dict[str, str] | None = None) -> DataFrame:
     """(south_north, west_east, t_block, f_synthetic, f_true, f_error): the fine data coarsened again, less the source.
 
-    Both have t_idx; a source cell without counterpart raises nothing but has null error.
+    Both have t_idx. A cell or time that only one of the two has raises when it is computed.
     """
-    out = source.withColumnRenamed("t_idx", "t_block").select("south_north", "west_east", "t_block", *[F.col(f).alias(f"{f}_true") for f in features])
+    out = source.withColumnRenamed("t_idx", "t_block").withColumn("_source", F.lit(True)).select("_source", "south_north", "west_east", "t_block", *[F.col(f).alias(f"{f}_true") for f in features])
     coarse = spatial(fine, features, s, by=("t_idx",))
+    place = ("south_north", "west_east", "t_block")
     for f in features:
-        again = temporal(coarse, [f], t, (methods or {}).get(f, "average")).withColumnRenamed(f, f"{f}_synthetic")
-        out = out.join(again, ["south_north", "west_east", "t_block"], "left").withColumn(f"{f}_error", F.col(f"{f}_synthetic") - F.col(f"{f}_true"))
-    return out
+        again = temporal(coarse, [f], t, (methods or {}).get(f, "average")).withColumnRenamed(f, f"{f}_synthetic").withColumn("_fine", F.lit(True))
+        out = out.join(again, list(place), "full")
+        error = F.when(F.col("_source") & F.col("_fine"), F.col(f"{f}_synthetic") - F.col(f"{f}_true"))
+        apart = F.col("_source").isNull() | F.col("_fine").isNull()
+        out = out.withColumn(f"{f}_error", F.when(apart, F.raise_error(F.lit("the coarsened data and the source differ in shape")).cast("double")).otherwise(error)).drop("_fine")
+    return out.drop("_source")
 
 
 def _spectrum(df: DataFrame, features: list[str], by: list[str], others: list[str], along: str, name: str, reach: tuple[float, float] | None, skip_mean: bool) -> DataFrame:

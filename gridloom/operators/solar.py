@@ -73,3 +73,12 @@ def require(df: DataFrame, columns: tuple[str, ...] = ("clearsky_ghi", "clearsky
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"solar data lack {missing}")
+
+
+def require_hourly(df: DataFrame) -> None:
+    """Raises unless the times follow each other by the hour."""
+    from ..functions.times import time_step
+
+    step = time_step(df).first()["step"]
+    if step != 3600:
+        raise ValueError(f"solar data need hourly times, not steps of {step} seconds")

@@ -67,6 +67,6 @@ def standardize(df: DataFrame, aliases: dict[str, str] | None = None, units: dic
     """All of the above in the order of a scan, then the wanted features behind the keys they have."""
     from ..functions.names import choose
 
-    df = standard_values(rename_known(lower_names(unscale(lower_names(df), factors or {})), aliases), units)
+    df = standard_values(rename_known(lower_names(unscale(lower_names(df), factors or {})), aliases), units).drop(*catalog.NOT_READ)
     first = [c for c in ("gid", "space", "south_north", "west_east", "latitude", "longitude", "time", "level", "lev") if c in df.columns]
     return df.select(*first, *choose([c for c in df.columns if c not in first], features))

@@ -18,6 +18,10 @@ from ..sources import scan
 from .handler import Handler
 
 
+#: Key columns that a result keeps beside chosen features.
+KEYS = ("gid", "south_north", "west_east", "latitude", "longitude", "t_idx", "time")
+
+
 def extract(spark: SparkSession, source, out: str, features: list[str], **options) -> None:
     Handler(features=features, **options).from_files(spark, source).write.parquet(out)
 
@@ -43,12 +47,25 @@ def data_collect(spark: SparkSession, sources: list[str], out: str) -> None:
     collect.combine([spark.read.parquet(s) for s in scan.expand(sources)]).write.parquet(out)
 
 
-def solar_run(spark: SparkSession, source: str, out: str) -> None:
-    solar.irradiance(spark.read.parquet(source)).write.parquet(out)
-
-
-def qa_run(spark: SparkSession, fine: str, source: str, features: list[str], s: int, t: int, out: str) -> None:
-    qa.recoarsen_error(spark.read.parquet(fine), spark.read.parquet(source), features, s, t).write.parquet(out)
+def solar_run(spark: SparkSession, source: str, out: str, features: list[str] | None = None, overwrite: bool = False) -> None:
+    """Irradiance of hourly data, all columns or the keys and ``features``; a result that is there stays unless ``overwrite``."""
+    if scan.cached(spark, out, ["all"])[0] and not overwrite:
+        return
+    df = spark.read.parquet(source)
+    solar.require_hourly(df)
+    done = solar.irradiance(df)
+    if features:
+        done = done.select(*[c for c in KEYS if c in done.columns], *features)
+    done.write.mode("overwrite").parquet(out)
+
+
+def qa_run(spark: SparkSession, fine: str, source: str, features: list[str], s: int, t: int, out: str, bias_method: str | None = None, factors: str | None = None) -> None:
+    """Coarsened again, true and difference of each feature as single-precision columns; the source is corrected first with ``bias_method``."""
+    true = spark.read.parquet(source)
+    if bias_method:
+        true = bias.correct(true, bias_method, spark.read.parquet(factors), features)
+    done = qa.recoarsen_error(spark.read.parquet(fine), true, features, s, t)
+    done.withColumns({f"{f}_{kind}": done[f"{f}_{kind}"].cast("float") for f in features for kind in ("synthetic", "true", "error")}).write.parquet(out)
 
 
 COMMANDS: dict[str, Callable] = {"extract": extract, "bias-calc": bias_calc, "bias-apply": bias_apply, "data-collect": data_collect, "solar": solar_run, "qa": qa_run}

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.neighbors import nn_join
 from ..operators.standardize import standardize
 
 Reader = Callable[[SparkSession, list[str]], DataFrame]
@@ -86,11 +87,20 @@ def read_cached(spark: SparkSession, pattern: str, features: list[str], keys: li
     return out
 
 
-def bias_factors(spark: SparkSession, path: str, columns: list[str], gids: DataFrame | None = None) -> DataFrame:
-    """A table of factors; missing columns raise; only the given sites with ``gids``."""
+def bias_factors(spark: SparkSession, path: str, columns: list[str], gids: DataFrame | None = None, cells: DataFrame | None = None, threshold: float = 0.1) -> DataFrame:
+    """A table of factors; missing columns raise; only the given sites with ``gids``.
+
+    With ``cells`` (gid, latitude, longitude): the factors of the nearest place under the cell's gid; a cell with none within ``threshold`` degrees raises.
+    """
     df = spark.read.parquet(path)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise KeyError(f"{path} lacks {missing}")
     df = df.select("gid", *[c for c in df.columns if c != "gid"])
+    if cells is not None:
+        near = nn_join(cells, df.select("gid", "latitude", "longitude").distinct(), threshold)
+        far = near.where("tid is null").count()
+        if far:
+            raise ValueError(f"{far} cells have no factors within {threshold} degrees")
+        return near.select("sid", "tid").join(df.drop("latitude", "longitude"), F.col("tid") == F.col("gid")).drop("gid", "tid").withColumnRenamed("sid", "gid")
     return df if gids is None else df.join(gids.select("gid"), "gid", "left_semi")

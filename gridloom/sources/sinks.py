@@ -40,6 +40,24 @@ def write_output(df: DataFrame, path: str, features: list[str], limits: bool = T
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+#: Spark's type that holds all values of a stored type; it has no unsigned ones.
+STORED = {"uint8": "short", "int16": "short", "uint16": "int", "int32": "int", "float32": "float"}
+
+
+def stored(df: DataFrame, features: list[str]) -> DataFrame:
+    """Known features as they are stored: held to their limits, times the scale factor, whole types rounded half to even; others stay.
+
+    :func:`gridloom.operators.standardize.unscale` with the ``scale_factor`` of the columns' metadata takes them back.
+    """
+    for f in features:
+        known = OUTPUT.get(parse_feature(f).base)
+        if known:
+            scaled = enforce(f, F.col(f)) * F.lit(known[0])
+            whole = F.rint(scaled) if "int" in known[2] else scaled
+            df = df.withColumn(f, whole.cast(STORED[known[2]]))
+    return with_attributes(df, features)
+
+
 def write_factors(df: DataFrame, path: str, meta: dict) -> None:
     """Bias factors with their settings beside them as one JSON row."""
     df.write.parquet(path)

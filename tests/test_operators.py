@@ -479,3 +479,113 @@ def test_split_evenly_over_many_ranges(spark):
     rows = split_evenly(spark.range(1000).selectExpr("(id * 7919) % 1000 as v"), "v", 7).orderBy("v").collect()
     sizes = [sum(r["group"] == g for r in rows) for g in range(7)]
     assert sizes == [143] * 6 + [142] and [r["group"] for r in rows] == sorted(r["group"] for r in rows)
+
+
+def test_daily_ratio_is_one_of_sums(spark):
+    rows = [(1, f"2020-01-0{1 + k // 2} 0{k % 2}:00:00", ghi, clear, ghi) for k, (ghi, clear) in enumerate([(1.0, 4.0), (5.0, 8.0), (0.0, 0.0), (0.0, 0.0)])]
+    df = spark.createDataFrame(rows, "gid int, time string, ghi double, clearsky_ghi double, clearsky_ratio double").withColumn("time", F.to_timestamp("time"))
+    assert [r["clearsky_ratio"] for r in coarsen.reduce_daily(df, "clearsky_ratio", "avg").orderBy("date").collect()] == [0.5, 0.0]
+    halves = coarsen.reduce_daily(df.withColumn("x", F.when(F.hour("time") == 0, 0.25).otherwise(0.0)), "x", "avg", decimals=2)
+    assert {r["x"] for r in halves.collect()} == {0.12}
+
+
+def test_times_tell_their_range(spark):
+    days = lambda *texts: spark.createDataFrame([(d,) for d in texts], "time string").withColumn("time", F.to_timestamp("time"))
+    full = T.range_of(days("2020-02-27", "2020-02-28", "2020-02-29", "2020-03-01"))
+    assert full == {"start": "2020-02-27 00:00:00", "end": "2020-03-01 00:00:00", "step": "86400 second", "drop_leap": False}
+    dropped = T.range_of(days("2020-02-27", "2020-02-28", "2020-03-01"))
+    assert dropped["drop_leap"] and T.time_range(spark, **dropped).count() == 3
+    for texts in (("2020-01-01", "2020-01-02", "2020-01-05"), ("2021-02-27", "2021-02-28", "2021-03-02"), ()):
+        with pytest.raises(ValueError):
+            T.range_of(days(*texts))
+
+
+def test_solar_needs_hours(spark):
+    hours = spark.range(5).select(F.timestamp_seconds(F.col("id") * 3600).alias("time"))
+    solar.require_hourly(hours)
+    with pytest.raises(ValueError):
+        solar.require_hourly(hours.where(F.hour("time") % 2 == 0))
+
+
+def test_low_resolution_loss_in_time(spark):
+    true, fake = np.random.default_rng(3).normal(size=(2, 2, 4, 4, 6))
+    rows = [(o, i, j, k, float(true[o, i, j, k]), float(fake[o, i, j, k])) for o in range(2) for i in range(4) for j in range(4) for k in range(6)]
+    both = spark.createDataFrame(rows, "obs int, south_north int, west_east int, t_idx int, x double, x_hat double")
+    apart = (true - fake).reshape(2, 2, 2, 2, 2, 2, 3).mean(axis=(2, 4, 6))
+    assert losses.low_res(both, ["x"], 2, t=3).first()["loss"] == pytest.approx(np.abs(apart).mean())
+    both_losses = losses.low_res(both, ["x"], 2, losses.mse, t=3, extremes=losses.mae).first()["loss"]
+    assert both_losses == pytest.approx((apart**2).mean() + np.abs(apart).mean())
+
+
+def test_sites_keep_their_rows(spark):
+    meta = spark.createDataFrame([(g,) for g in (10, 20, 30, 40)], "gid int")
+    chunk = lambda *gids: spark.createDataFrame([(g, 1.0) for g in gids], "gid int, x double")
+    assert {r["gid"]: r["row"] for r in collect.place(chunk(20, 30, 30, 99), meta).collect()} == {20: 1, 30: 2}
+    assert collect.place(chunk(99), meta).count() == 0
+    with pytest.raises(ValueError):
+        collect.place(chunk(10, 30), meta)
+
+
+def test_group_mean_at_given_times(spark):
+    source = spark.createDataFrame([(1, 0.0, 0.0, "2020-01-01", 1.0), (2, 0.1, 0.0, "2020-01-01", 3.0), (1, 0.0, 0.0, "2020-01-02", 9.0)], "gid int, latitude double, longitude double, time string, x double")
+    target = spark.createDataFrame([(7, 0.0, 0.0)], "gid int, latitude double, longitude double")
+    times = spark.createDataFrame([("2020-01-01",), ("2020-01-03",)], "time string")
+    assert {r["time"]: r["x"] for r in neighbors.group_mean(source, target, ["x"], 1.0, True, times).collect()} == {"2020-01-01": 2.0, "2020-01-03": None}
+
+
+def test_factors_of_the_nearest_place(spark, tmp_path):
+    factors = spark.createDataFrame([(1, 0.0, 0.0, 2.0), (2, 5.0, 5.0, 3.0)], "gid int, latitude double, longitude double, x_scalar double")
+    factors.write.parquet(str(tmp_path / "f"))
+    cells = lambda *at: spark.createDataFrame([(50 + k, a, b) for k, (a, b) in enumerate(at)], "gid int, latitude double, longitude double")
+    got = scan.bias_factors(spark, str(tmp_path / "f"), ["x_scalar"], cells=cells((5.05, 5.0), (0.0, 0.02)))
+    assert {r["gid"]: r["x_scalar"] for r in got.collect()} == {50: 3.0, 51: 2.0}
+    with pytest.raises(ValueError):
+        scan.bias_factors(spark, str(tmp_path / "f"), ["x_scalar"], cells=cells((1.0, 0.0)))
+    with pytest.raises(KeyError):
+        scan.bias_factors(spark, str(tmp_path / "f"), ["x_adder"])
+
+
+def test_recoarsened_shapes_must_fit(spark, cube):
+    coarse = coarsen.temporal(coarsen.spatial(cube, ["u_10m"], 2, by=("t_idx",)), ["u_10m"], 3).withColumnRenamed("t_block", "t_idx")
+    assert qa.recoarsen_error(cube, coarse, ["u_10m"], 2, 3).agg(F.max(F.abs("u_10m_error")).alias("e")).first()["e"] < 1e-12
+    for wrong in (coarse.where("t_idx < 2"), coarse.unionByName(coarse.withColumn("t_idx", F.col("t_idx") + 9))):
+        with pytest.raises(Exception, match="differ in shape"):
+            qa.recoarsen_error(cube, wrong, ["u_10m"], 2, 3).collect()
+
+
+def test_strict_levels_and_reanalysis_columns(spark):
+    from gridloom.operators.standardize import standardize
+
+    profile = spark.createDataFrame([(1, 10.0, 1.0), (1, 20.0, 2.0), (2, None, 5.0)], "k int, lev double, v double")
+    assert profiles.interpolate(profile.where("k = 1"), "v", 15.0, keys=("k",), strict=True).first()["v"] == 1.5
+    with pytest.raises(Exception, match="no value at level"):
+        profiles.interpolate(profile, "v", 15.0, keys=("k",), strict=True).collect()
+    assert standardize(spark.createDataFrame([(1, 2, 3.0)], "expver int, number int, u_10m double")).columns == ["u_10m"]
+
+
+def test_stored_values_come_back(spark):
+    from gridloom.operators.standardize import unscale
+
+    df = spark.createDataFrame([(0.125, 1.5), (300.0, 2.5), (None, None)], "windspeed_10m double, other double")
+    whole = sinks.stored(df, ["windspeed_10m", "other"])
+    assert [tuple(r) for r in whole.collect()] == [(12, 1.5), (12000, 2.5), (None, None)] and whole.schema["windspeed_10m"].dataType.typeName() == "integer"
+    back = unscale(whole, {"windspeed_10m": whole.schema["windspeed_10m"].metadata["scale_factor"]})
+    assert [r["windspeed_10m"] for r in back.collect()] == [0.12, 120.0, None]
+
+
+def test_levels_denser_at_one_end():
+    low, high = bias.quantile_levels(11, "log"), bias.quantile_levels(11, "invlog")
+    assert low[0] == high[0] == 0.0 and low[-1] == pytest.approx(1.0) and high[-1] == 1.0
+    assert np.all(np.diff(low, 2) > 0) and np.all(np.diff(high, 2) < 0)
+
+
+def test_qa_command_corrects_the_source(spark, tmp_path):
+    fine = spark.createDataFrame([(i, j, t, 3.0) for i in range(2) for j in range(2) for t in range(2)], "south_north int, west_east int, t_idx int, x double")
+    source = spark.createDataFrame([(0, 0, 0, 5, 1.0)], "south_north int, west_east int, t_idx int, gid int, x double").withColumn("time", F.to_timestamp(F.lit("2020-01-01")))
+    factors = bias.linear_factors(spark.createDataFrame([(5, 2.0), (5, 6.0)], "gid int, x double"), spark.createDataFrame([(5, 1.0), (5, 3.0)], "gid int, x double"), "x")
+    paths = {name: str(tmp_path / name) for name in ("fine", "source", "factors", "out")}
+    for name, df in (("fine", fine), ("source", source), ("factors", factors)):
+        df.write.parquet(paths[name])
+    cli.run(spark, [{"command": "qa", **{k: paths[k] for k in ("fine", "source", "factors", "out")}, "features": ["x"], "s": 2, "t": 2, "bias_method": "linear"}])
+    row = spark.read.parquet(paths["out"]).first()
+    assert (row["x_synthetic"], row["x_true"], row["x_error"]) == (3.0, 2.0, 1.0)
