@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and runs on one machine, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; without one a cluster raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return LOCAL_CHECKPOINTS
 
@@ -51,6 +53,26 @@ def numbered(df: DataFrame, column: str) -> tuple[DataFrame, str]:
     return df.join(ranked, F.col(column) == F.col(key), "left").drop(key), name
 
 
+def ranked(df: DataFrame, *order: Column, within: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """``df`` with each row's place from 1 on in the given order, among all rows or among those that agree in ``within``.
+
+    Rows are dealt into ranges of the order and numbered there; only the ranges' lengths are added up, so no task holds more
+    than its range. Spark runs ``df`` twice to find the ranges: give it a frame that was cut. Rows that tie in ``order`` get
+    different places; nulls of ``within`` are a group of their own.
+    """
+    place, stretch, rows, before = (free_name(df, c) for c in ("place", "stretch", "rows", "before"))
+    held = cut(df.orderBy(*within, *order).withColumn(place, F.monotonically_increasing_id()))
+    keys = [F.shiftright(place, 33).alias(stretch), *within]
+    sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows), F.min(place).alias(place))
+    ahead = Window.partitionBy(*within).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(stretch, *within, (F.coalesce(F.sum(rows).over(ahead), F.lit(0)) - F.col(place)).alias(before))
+    same = F.shiftright(F.col(f"h.{place}"), 33) == F.col(f"s.{stretch}")
+    for c in within:
+        same &= F.col(f"h.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
+    joined = held.alias("h").join(starts.alias("s"), same)
+    return joined.select(*[F.col(f"h.`{c}`") for c in df.columns], (F.col(f"h.{place}") + F.col(before) + 1).alias(name))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files behind a frame returned by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession
