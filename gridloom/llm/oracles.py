@@ -114,6 +114,42 @@ select u.page_id, host, path, rule, coalesce(verdict, case when bad.page_id is n
 from u left join best using (page_id) left join bad using (page_id)
 """
 
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of the reflected polynomial EDB88320."""
+    rows = list(range(256))
+    for _ in range(8):
+        rows = [(r >> 1) ^ 0xEDB88320 if r & 1 else r >> 1 for r in rows]
+    return rows
+
+
+_TO_BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::int)"
+OP13 = f"""
+with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') ws from documents),
+b as (select row_number() over () item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') ws from benchmark),
+f as (
+  select 0 kind, doc_id id, array_to_string(ws[i : i + k - 1], ' ') f from d, unnest([1, 2, 3]) n(k), unnest(range(1, len(ws) - k + 2)) t(i)
+  union all
+  select 1, item, array_to_string(ws[i : i + k - 1], ' ') f from b, unnest([1, 2, 3]) n(k), unnest(range(1, len(ws) - k + 2)) t(i)),
+c as (select kind, id, f, count(*) n from f group by all),
+h as (
+  select f, xor(list_reduce({_TO_BYTES.format("f")}, lambda a, x: xor(a >> 8, {_crc_table()}[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 bucket
+  from (select distinct f from c)),
+w as (select kind, id, bucket, sum(n) n from c join h using (f) group by all),
+s as (
+  select bucket, sum(n) filter (kind = 0) s, coalesce(sum(n) filter (kind = 1), 0) t from w group by bucket),
+total as (select sum(n) filter (kind = 0) s, coalesce(sum(n) filter (kind = 1), 0) t from w),
+g as (
+  select bucket, floor(1000 * ln((s.t::double + 1) * (total.s::double + 10000) / ((s.s::double + 1) * (total.t::double + 10000))))::bigint gain from s, total),
+weight as (select id, sum(n)::bigint n_features, sum(n * gain)::bigint weight from w join g using (bucket) where kind = 0 group by id),
+scored as (
+  select doc_id, len(ws) n_words, coalesce(n_features, 0)::bigint n_features, coalesce(weight, 0)::bigint weight, ('0x' || substr(sha256('42:' || doc_id::varchar), 1, 8))::bigint h
+  from d left join weight on d.doc_id = weight.id),
+final as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint score from scored),
+placed as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id) end place from final)
+select doc_id, n_features, weight, score, case when place <= 5 * (select count(*) from final where n_words >= 20) // 100 then place end::bigint rank from placed
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3,
     "op4_line_dedup": OP4,
@@ -121,4 +157,5 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8,
     "op9_license_scan": OP9,
     "op10_url_filter": OP10,
+    "op13_importance": OP13,
 }

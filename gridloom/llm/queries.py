@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters over whole tables."""
+"""The registered queries of the operators: production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import make_importable
 from .decontaminate import contamination
 from .fingerprint_chain import fingerprint_chain
+from .importance import importance_ranks
 from .jaccard_join import jaccard_components
 from .language_id import fit_languages, identify_languages
 from .license_scan import scan_licenses
@@ -81,6 +82,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))  # the example list; a deployment gives its table of rules
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -92,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op13_importance": op13_importance,
 }
