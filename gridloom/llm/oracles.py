@@ -1,7 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .license_scan import BASE, NEIGHBOURS, SHARE, TEMPLATES
+from .quality_rules import BUCKET_BITS, MIN_WORDS, MOST_REPEATED, SHRINK, THRESHOLD
 from .url_filter import BLOCKLIST, RULES
+from .words import _BASE, _STEP
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,6 +117,59 @@ from u left join best using (page_id) left join bad using (page_id)
 """
 
 
+_TO_BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::int)"
+_64 = "18446744073709551616::hugeint"
+_SOLID = r"[^\x20\x09-\x0D]"
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _times(x: str, factor: int) -> str:
+    """A product modulo 2**64, in halves that 128 signed bits can hold."""
+    return f"((({x})::hugeint * {factor & 0xFFFFFFFF} + ({x})::hugeint * {factor >> 32} % 4294967296 * 4294967296) % {_64})"
+
+
+def _mix(name: str, source: str, key: str, x: str, given: str) -> str:
+    """CTEs that finish hashes as ``words.mix`` does."""
+    return f"""
+{name}1 as (select {key}, xor(h, h >> 30) h from (select {key}, ({x})::ubigint h from {source})),
+{name}2 as (select {key}, {_times("h", 0xBF58476D1CE4E5B9)}::ubigint h from {name}1),
+{name}3 as (select {key}, {_times("xor(h, h >> 27)", 0x94D049BB133111EB)}::ubigint h from {name}2),
+{given} as (select {key}, xor(h, h >> 31) h from {name}3)"""
+
+
+_HORNER = f"({_times('s', _BASE)} + b + 1) % {_64}"
+OP11 = f"""
+with d as (select doc_id, coalesce(text, '') x from documents),
+w as (select doc_id, x, regexp_extract_all(x, '{_SOLID}+') ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '{_SOLID}')) ls from d),
+win as (select doc_id, i, array_to_string(ws[i : i + 2], ' ') g from w, unnest(range(1, len(ws) - 1)) t(i)),
+rep as (select doc_id, i from win join (select doc_id, g from win group by all having count(*) > 1) using (doc_id, g)),
+cov as (select doc_id, count(distinct i + o) n from rep, unnest([0, 1, 2]) t(o) group by doc_id),
+form as (
+  select doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) n_symbols,
+    len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(n, 0) n_repeat_words from w left join cov using (doc_id)),
+k as (select doc_id, regexp_extract_all({_LOWER.format("x")}, '{_TOKEN}') ts from d),
+token as (select distinct unnest(ts) a from k),
+sums as (select a, list_reduce(list_reverse({_TO_BYTES.format("a")}), lambda s, b: {_HORNER}, 0::hugeint) s from token),{_mix("h", "sums", "a", f"(s + octet_length(encode(a))) % {_64}", "hash")},
+pair as (
+  select p.a, p.b, x.h h, y.h g from (select distinct ts[i] a, ts[i + 1] b from k, unnest(range(1, len(ts))) t(i)) p join hash x on x.a = p.a join hash y on y.a = p.b),{_mix("p", "pair", "a, b", f"({_times(f'({2 * int(_STEP)} + h) % {_64}', int(_STEP))} + g) % {_64}", "joint")},
+f as (
+  select doc_id, h >> {64 - BUCKET_BITS} bucket from k, unnest(ts) t(a) join hash using (a)
+  union all
+  select doc_id, h >> {64 - BUCKET_BITS} from (select doc_id, ts[i] a, ts[i + 1] b from k, unnest(range(1, len(ts))) t(i)) join joint using (a, b)),
+good as (select distinct doc_id from labels where quality = 1),
+c as (select bucket, count(*) s, count(good.doc_id) t from f left join good using (doc_id) group by bucket),
+gain as (
+  select bucket, floor(1000000 * ln((t + {SHRINK})::double / ((sum(t) over ())::double / (sum(s) over ())::double * s::double + {SHRINK})))::bigint gain from c),
+worth as (select doc_id, count(*) n_features, sum(gain) gain from f join gain using (bucket) group by doc_id),
+j as (
+  select form.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words base_failed, coalesce(n_features, 0) n_features, coalesce(gain, 0) gain
+  from form left join worth using (doc_id))
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words,
+  base_failed, not base_failed and gain >= {THRESHOLD} * n_features kept, n_features::bigint n_features, gain::bigint gain
+from j
+"""
+
+
 def _crc_table() -> list[int]:
     """The 256 remainders of the reflected polynomial EDB88320."""
     rows = list(range(256))
@@ -123,7 +178,6 @@ def _crc_table() -> list[int]:
     return rows
 
 
-_TO_BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::int)"
 OP13 = f"""
 with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') ws from documents),
 b as (select row_number() over () item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') ws from benchmark),
@@ -157,5 +211,6 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8,
     "op9_license_scan": OP9,
     "op10_url_filter": OP10,
+    "op11_quality_rules": OP11,
     "op13_importance": OP13,
 }

@@ -16,6 +16,7 @@ from .language_id import fit_languages, identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
+from .quality_rules import quality_rules
 from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
@@ -82,6 +83,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))  # the example list; a deployment gives its table of rules
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return ranks.select("doc_id", "n_features", "weight", "score", "rank")
@@ -98,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_quality_rules": op11_quality_rules,
     "op13_importance": op13_importance,
 }
