@@ -170,6 +170,38 @@ from j
 """
 
 
+OP12 = f"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+w as (select lang, row_number() over () id, regexp_extract_all(piece, '[^\\x20\\x09]+') ws from p),
+t as (select lang, id, unnest(ws) a, unnest(range(len(ws))) i from w),
+g as (select lang, a, lead(a) over d b, lead(a, 2) over d c from t window d as (partition by id order by i)),
+f as materialized (
+  select lang, 1 k, a phrase, count(*) f from g group by all
+  union all select lang, 2, a || ' ' || b, count(*) from g where b is not null group by all
+  union all select lang, 3, a || ' ' || b || ' ' || c, count(*) from g where c is not null group by all),
+key as (select (lang, phrase) id, f from f),
+total as (select lang, sum(f) n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and f >= 10),
+cut as (
+  select lang, phrase, k, f, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') one, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') two
+  from c, unnest(range(1, k)) t(j)),
+v as (
+  select cut.*, x.f l, y.f r, (1000000::hugeint * cut.f * cut.f) // (x.f::hugeint * y.f) score
+  from cut join key x on x.id = (cut.lang, one) join key y on y.id = (cut.lang, two)),
+b as (select * from v qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+around as (
+  select lang, sub, max(f) f
+  from (
+    select lang, f, array_to_string(string_split(phrase, ' ')[1 : 2], ' ') sub from c where k = 3
+    union all
+    select lang, f, array_to_string(string_split(phrase, ' ')[2 : 3], ' ') from c where k = 3) group by all),
+kept as (select b.* from b left join around a on a.lang = b.lang and a.sub = b.phrase where a.f is null or 100 * a.f < 50 * b.f),
+placed as (select *, row_number() over (partition by lang order by score desc, f desc, phrase) rank from kept)
+select lang, rank::bigint rank, phrase, f::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from placed join total using (lang) where rank <= 2000
+"""
+
+
 def _crc_table() -> list[int]:
     """The 256 remainders of the reflected polynomial EDB88320."""
     rows = list(range(256))
@@ -212,5 +244,6 @@ ORACLES: dict[str, str] = {
     "op9_license_scan": OP9,
     "op10_url_filter": OP10,
     "op11_quality_rules": OP11,
+    "op12_phrases": OP12,
     "op13_importance": OP13,
 }

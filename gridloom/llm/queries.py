@@ -16,6 +16,7 @@ from .language_id import fit_languages, identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
+from .phrases import mine_phrases
 from .quality_rules import quality_rules
 from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, score_toxicity
@@ -87,6 +88,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return ranks.select("doc_id", "n_features", "weight", "score", "rank")
@@ -104,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
     "op11_quality_rules": op11_quality_rules,
+    "op12_phrases": op12_phrases,
     "op13_importance": op13_importance,
 }
