@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 
 from ..store import cut, ranked
 from . import words as W
-from .sketch import bitmap_of, in_bitmap
+from .sketch import in_bitmap, sized_bitmap
 
 #: Bytes of text to a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 4 << 20
 #: A word at more than one in so many positions has packed bits.
 DENSE = 32
 LEAST, INSIDE, TOP = 10, 50, 2_000
-#: Bits of the bitmap of frequent hashes: sixteen to a key, within these bounds (128 KB to 128 MB).
-FEWEST_BITS, MOST_BITS = 20, 30
 
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
@@ -158,12 +156,6 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
                     yield lang, shard
 
 
-def _frequent_bits(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A bitmap of hashes with some sixteen bits a key."""
-    bits = min(MOST_BITS, max(FEWEST_BITS, (16 * keys.count()).bit_length()))
-    return bitmap_of(keys, column, bits), bits
-
-
 def count_phrases(docs: DataFrame, least: int = LEAST, lang_column: str = "lang", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all single words, and (lang, phrase, k, f) of all phrases of k = 2 or 3 words with f >= ``least``.
 
@@ -180,7 +172,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, lang_column: str = "lang"
             yield rows(lang, shard.words, pa.array(shard.counts), pa.array(shard.marks.view(np.int64)), names=["phrase", "f", "mark"])
 
     words = cut(shown.mapInArrow(singles, "lang string, phrase string, f long, mark long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("mark").alias("mark")))
-    frequent, word_bits = _frequent_bits(words.where(F.col("f") >= least), "mark")
+    frequent, word_bits = sized_bitmap(words.where(F.col("f") >= least), "mark")
     shared_words = spark.sparkContext.broadcast(frequent)
 
     def word_ok(marks: np.ndarray) -> np.ndarray:
@@ -192,7 +184,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, lang_column: str = "lang"
                 yield pa.RecordBatch.from_arrays([pa.array(shard.pair_marks(one, two).view(np.int64)), pa.array(counts)], ["mark", "f"])
 
     marks = cut(shown.mapInArrow(hashed_pairs, "mark long, f long").groupBy("mark").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("mark"))
-    pairs, pair_bits = _frequent_bits(marks, "mark")
+    pairs, pair_bits = sized_bitmap(marks, "mark")
     shared_pairs = spark.sparkContext.broadcast(pairs)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

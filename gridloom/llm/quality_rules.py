@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .sketch import counters
+from .sketch import counters, in_bitmap, sized_bitmap
 
 #: Buckets of both multinomials: 512 KB each, whatever the data.
 BUCKET_BITS = 16
@@ -76,9 +77,21 @@ def fit_gains(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: Column | None = None) -> DataFrame:
-    """Rows of ``docs`` with at least one label that trusts them (``quality`` 1); null ids have none."""
-    good = labels.where(F.col("quality") == 1 if label is None else label).select(F.col(id_column).alias("trusted_id"))
-    return docs.join(good, F.col(id_column) == F.col("trusted_id"), "left_semi")
+    """Rows of ``docs`` with at least one label that trusts them (``quality`` 1); null ids have none.
+
+    A bitmap of the trusted ids' hashes lets few other rows through, so only texts that count are shuffled for the join.
+    """
+    kind = docs.schema[id_column].dataType
+    id_ = F.col(id_column).cast(kind)
+    good = labels.where(F.col("quality") == 1 if label is None else label).where(id_.isNotNull()).select(id_.alias("trusted_id"), F.xxhash64(id_).alias("mark"))
+    bitmap, bits = sized_bitmap(good, "mark")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def marked(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, keys.to_numpy().view(np.uint64), bits))
+
+    maybe = docs.where(F.arrow_udf(marked, T.BooleanType())(F.xxhash64(id_column)))
+    return maybe.join(good.hint("merge"), F.col(id_column) == F.col("trusted_id"), "left_semi")
 
 
 def _form(part: W.Slice) -> list[np.ndarray]:

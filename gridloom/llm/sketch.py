@@ -32,6 +32,16 @@ def bitmap_of(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     return out
 
 
+#: Bits of a bitmap that goes with its keys: sixteen a key within these bounds (128 KB to 128 MB).
+FEWEST_BITS, MOST_BITS = 20, 30
+
+
+def sized_bitmap(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of hashes with some sixteen bits a key, and the log of its size."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, (16 * keys.count()).bit_length()))
+    return bitmap_of(keys, column, bits), bits
+
+
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     place = slot(keys, bits)
     return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
