@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,25 @@ class Layout:
     pad: tuple[int, int, int] = (0, 0, 0)
     enhance: tuple[int, int, int] = (1, 1, 1)
 
+    def counts(self) -> tuple[int, int, int]:
+        """Chunks along each axis."""
+        return tuple(-(-n // c) for n, c in zip(self.shape, self.chunk, strict=True))
+
+    def spans(self, chunk_id: int) -> list[tuple[int, int]]:
+        """The chunk's own range along each axis, by arithmetic with its id."""
+        _, columns, times = self.counts()
+        places = (chunk_id // times // columns, chunk_id // times % columns, chunk_id % times)
+        return [(k * c, min((k + 1) * c, n)) for k, c, n in zip(places, self.chunk, self.shape, strict=True)]
+
+    def refined(self, s: int, t: int) -> Layout:
+        """The same chunks on a grid so many times finer; their ids are the same."""
+        by = (s, s, t)
+        return Layout(*(tuple(n * f for n, f in zip(part, by, strict=True)) for part in (self.shape, self.chunk, self.pad)))
+
+    def flat(self) -> Layout:
+        """The spatial chunks alone, of one step."""
+        return Layout((*self.shape[:2], 1), (*self.chunk[:2], 1), (*self.pad[:2], 0))
+
     def table(self) -> list[tuple]:
         """One row a chunk: by axis the chunk, its padded range within the cube, what mirroring adds, the fine range and the crop."""
         axes = []
@@ -66,34 +86,82 @@ def with_halo(df: DataFrame, layout: Layout) -> DataFrame:
     return df.withColumn("s_chunk", F.col("i_chunk") * columns + F.col("j_chunk")).withColumn("chunk_id", F.col("s_chunk") * times + F.col("t_chunk"))
 
 
-def forward_pass(df: DataFrame, features: list[str], layout: Layout, model: Callable, output: list[str], skip: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class ExoSlice:
+    """What one exogenous field adds to one model of a chain in a chunk: (rows, columns) or (rows, columns, steps), as much finer than the input as its step says."""
+
+    feature: str
+    model: int
+    combine: str
+    values: np.ndarray
+
+
+def exo_rows(exo: list[tuple], layout: Layout) -> DataFrame:
+    """(chunk_id, step, i, j, t, value): every exogenous field's cells sent to each chunk whose padded range, refined as the field is, holds them.
+
+    ``exo``: (step, frame) with step's feature, s_enhance and t_enhance and the frame's south_north, west_east, t_idx if it changes in
+    time, and the feature. A field that stays goes to every chunk of times with t = -1. Edges are mirrored on the finer grid.
+    """
+    out = None
+    for k, (step, frame) in enumerate(exo):
+        fine = layout.refined(step.s_enhance, step.t_enhance)
+        value = F.col(step.feature).cast("double").alias("value")
+        if "t_idx" in frame.columns:
+            rows = with_halo(frame, fine).select("chunk_id", F.lit(k).alias("step"), "i", "j", "t", value)
+        else:
+            times = layout.counts()[2]
+            sent = with_halo(frame.withColumn("t_idx", F.lit(0)), fine.flat())
+            every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda t: F.col("s_chunk") * times + t))  # noqa: B023
+            rows = sent.select(every.alias("chunk_id"), F.lit(k).alias("step"), "i", "j", F.lit(-1).alias("t"), value)
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("chunk_id", F.col("chunk_id").cast("int"))
+
+
+def forward_pass(df: DataFrame, features: list[str], layout: Layout, model: Callable, output: list[str], skip: DataFrame | None = None, exo: list[tuple] | None = None) -> DataFrame:
     """Each padded chunk through ``model``, cropped to its own fine cells.
 
     ``model`` takes an array (rows, columns, steps, features) and returns one refined by
-    ``layout.enhance``. Chunks in ``skip`` (chunk_id) are left out. A chunk is one group: its size is
-    the layout's, whatever the cube's.
+    ``layout.enhance``. With ``exo`` (see :func:`exo_rows`) it takes the chunk's list of :class:`ExoSlice` too, which come
+    to it by a cogroup. Chunks in ``skip`` (chunk_id) are left out. A chunk is one group: its size is
+    the layout's, whatever the cube's. Cells without a row are NaN.
     """
-    import numpy as np
-
-    sent = with_halo(df, layout)
+    sent = with_halo(df, layout).withColumn("chunk_id", F.col("chunk_id").cast("int"))
     if skip is not None:
         sent = sent.join(skip.select("chunk_id"), "chunk_id", "left_anti")
-    meta = {r[0]: r for r in layout.table()}
-    shape = layout
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = meta[int(pdf["chunk_id"].iloc[0])]
-        i, j, t = row[3:13], row[13:23], row[23:33]
-        size = [x[1] - x[0] + 2 * p for x, p in zip((i, j, t), shape.pad, strict=True)]
-        cube = np.full((*size, len(features)), np.nan)
+    steps = [step for step, _ in exo or []]
+    names = ["chunk_id", "south_north", "west_east", "t_idx", *output]
+
+    def padded(spans: list[tuple[int, int]], by: tuple[int, ...]) -> list[int]:
+        return [(b - a + 2 * p) * f for (a, b), p, f in zip(spans, layout.pad, by, strict=False)]
+
+    def run(pdf: pd.DataFrame, extra: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=names)
+        chunk = int(pdf["chunk_id"].iloc[0])
+        spans = layout.spans(chunk)
+        cube = np.full((*padded(spans, (1, 1, 1)), len(features)), np.nan)
         cube[pdf["i"], pdf["j"], pdf["t"]] = pdf[features].to_numpy()
-        fine = model(cube)
-        cut = fine[i[8] : i[9], j[8] : j[9], t[8] : t[9]]
-        a, b, c = np.meshgrid(*[np.arange(n) for n in cut.shape[:3]], indexing="ij")
-        out = pd.DataFrame({"chunk_id": row[0], "south_north": (a + i[6]).ravel(), "west_east": (b + j[6]).ravel(), "t_idx": (c + t[6]).ravel()})
-        for k, name in enumerate(output):
-            out[name] = cut[..., k].ravel()
-        return out.astype({"chunk_id": "int32", "south_north": "int32", "west_east": "int32", "t_idx": "int32"})
+        fine = model(cube) if extra is None else model(cube, slices_of(spans, extra))
+        crop = [slice(p * f, (p + b - a) * f) for (a, b), p, f in zip(spans, layout.pad, layout.enhance, strict=True)]
+        cut = fine[tuple(crop)]
+        at = np.meshgrid(*[np.arange(a * f, b * f, dtype=np.int32) for (a, b), f in zip(spans, layout.enhance, strict=True)], indexing="ij")
+        if cut.shape[:3] != at[0].shape or cut.shape[3] != len(output):
+            raise ValueError(f"the model gave {fine.shape} for {cube.shape}, refined by {layout.enhance} with {len(output)} outputs")
+        out = {"chunk_id": np.int32(chunk), **{c: x.ravel() for c, x in zip(names[1:4], at, strict=True)}}
+        return pd.DataFrame({**out, **{o: cut[..., k].ravel() for k, o in enumerate(output)}})
+
+    def slices_of(spans: list[tuple[int, int]], extra: pd.DataFrame) -> list[ExoSlice]:
+        out = []
+        for k, step in enumerate(steps):
+            mine = extra[extra["step"] == k]
+            moving = bool(len(mine)) and int(mine["t"].iloc[0]) >= 0
+            values = np.full(padded(spans, (step.s_enhance, step.s_enhance, step.t_enhance) if moving else (step.s_enhance, step.s_enhance)), np.nan)
+            values[tuple(mine[c] for c in ("i", "j", "t")[: values.ndim])] = mine["value"].to_numpy()
+            out.append(ExoSlice(step.feature, step.model, step.combine, values))
+        return out
 
     schema = "chunk_id int, south_north int, west_east int, t_idx int, " + ", ".join(f"`{o}` double" for o in output)
-    return sent.groupBy("chunk_id").applyInPandas(run, schema)
+    if not exo:
+        return sent.groupBy("chunk_id").applyInPandas(lambda pdf: run(pdf), schema)
+    sides = sent.groupBy("chunk_id").cogroup(exo_rows(exo, layout).groupBy("chunk_id"))
+    return sides.applyInPandas(lambda pdf, extra: run(pdf, extra), schema)

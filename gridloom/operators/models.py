@@ -6,7 +6,9 @@ A model is any callable from an array (rows, columns, steps, features) to a fine
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -104,6 +106,95 @@ def in_sequence(*models: Callable) -> Callable:
     return run
 
 
+@dataclass(frozen=True)
+class Step:
+    """One model of a chain: which features it takes and gives, in order, and how much finer it makes them.
+
+    A ``spatial`` one sees (steps, rows, columns, features), each step alone; others (rows, columns, steps, features).
+    """
+
+    model: Callable
+    inputs: tuple[str, ...]
+    outputs: tuple[str, ...]
+    s_enhance: int = 1
+    t_enhance: int = 1
+    spatial: bool = False
+
+
+class Chain:
+    """Models one after the other, features matched by name, exogenous fields put in where they belong.
+
+    What a step takes comes from the step before or from an exogenous field combined as ``input`` (at the step's input
+    resolution). Fields combined as ``layer`` (at its output resolution) go to the model as ``layers``, {feature: array}; those combined
+    as ``output`` join its outputs. A feature that nothing gives raises, as does an output of a wrong shape.
+    """
+
+    def __init__(self, steps: list[Step], inputs: list[str] | None = None, exo: list | None = None):
+        self.steps, self.exo = list(steps), [(e.feature, e.model, e.combine) for e in exo or []]
+        given = lambda k, how: {f for f, m, c in self.exo if m == k and c == how}
+        self.inputs = list(inputs) if inputs is not None else [f for f in steps[0].inputs if f not in given(0, "input")]
+        self.s_enhance, self.t_enhance = math.prod(s.s_enhance for s in steps), math.prod(s.t_enhance for s in steps)
+        have = set(self.inputs)
+        for k, step in enumerate(self.steps):
+            lacking = set(step.inputs) - have - given(k, "input")
+            if lacking:
+                raise ValueError(f"nothing gives {sorted(lacking)} to model {k}")
+            have = set(step.outputs) | given(k, "output")
+        self.outputs = [*self.steps[-1].outputs, *sorted(given(len(self.steps) - 1, "output"))]
+
+    def __call__(self, cube: np.ndarray, exo: list = ()) -> np.ndarray:
+        have = {f: cube[..., k] for k, f in enumerate(self.inputs)}
+        shape = cube.shape[:3]
+        for k, step in enumerate(self.steps):
+            fine = (shape[0] * step.s_enhance, shape[1] * step.s_enhance, shape[2] * step.t_enhance)
+            mine = {how: {e.feature: e.values for e in exo if e.model == k and e.combine == how} for how in ("input", "layer", "output")}
+            have |= {f: _over(f, v, shape) for f, v in mine["input"].items()}
+            x = np.stack([have[f] for f in step.inputs], -1)
+            layers = {f: _over(f, v, fine) for f, v in mine["layer"].items()}
+            if step.spatial:
+                x, layers = np.moveaxis(x, 2, 0), {f: np.moveaxis(v, 2, 0) for f, v in layers.items()}
+            y = step.model(x, layers=layers) if layers else step.model(x)
+            y = np.moveaxis(y, 0, 2) if step.spatial else y
+            if y.shape != (*fine, len(step.outputs)):
+                raise ValueError(f"model {k} gave {y.shape}, not {(*fine, len(step.outputs))}")
+            have = {f: y[..., n] for n, f in enumerate(step.outputs)} | {f: _over(f, v, fine) for f, v in mine["output"].items()}
+            shape = fine
+        return np.stack([have[f] for f in self.outputs], -1)
+
+
+def _over(feature: str, values: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A field over all steps of ``shape``; one of another resolution raises."""
+    values = values[..., None] if values.ndim == 2 else values
+    if values.shape[:2] != shape[:2] or values.shape[2] not in (1, shape[2]):
+        raise ValueError(f"{feature} is {values.shape} where {shape} is due")
+    return np.broadcast_to(values, shape)
+
+
+#: Model classes by name, for configurations.
+MODELS: dict[str, Callable] = {"linear": LinearModel, "surface": SurfaceModel}
+
+
+def register_model(name: str, build: Callable) -> None:
+    """Give a model a name: ``build`` makes it from a configuration's options."""
+    MODELS[name] = build
+
+
+def model_by_name(name: str, **options) -> Callable:
+    if name not in MODELS:
+        raise ValueError(f"no model {name!r}; known: {sorted(MODELS)}")
+    return MODELS[name](**options)
+
+
+def chain_of(configs: list[dict], exo: list | None = None) -> Chain:
+    """A chain from configurations {model, inputs, outputs, spatial, ...options}; s_enhance and t_enhance are options of models that have them."""
+    steps = []
+    for c in configs:
+        rest = {k: v for k, v in c.items() if k not in ("model", "inputs", "outputs", "spatial")}
+        model = model_by_name(c["model"], **rest)
+        steps.append(Step(model, tuple(c["inputs"]), tuple(c.get("outputs", c["inputs"])), getattr(model, "s_enhance", 1), getattr(model, "t_enhance", 1), c.get("spatial", False)))
+    return Chain(steps, exo=exo)
+
+
 def observation_mask(seed: int, share: float):
     """Column: whether a cell counts as observed."""
     from pyspark.sql import functions as F

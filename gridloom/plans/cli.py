@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from ..operators import bias, collect, qa, solar
 from ..sources import scan
+from .downscale import configured
 from .handler import Handler
 
 
@@ -59,6 +60,14 @@ def solar_run(spark: SparkSession, source: str, out: str, features: list[str] |
     done.write.mode("overwrite").parquet(out)
 
 
+def forward_pass(spark: SparkSession, source: str, out: str, models: list[dict], chunk: list[int], pad: list[int] = (0, 0, 0), exogenous: dict[str, dict] | None = None, limits: bool = True, overwrite: bool = False) -> None:
+    """A chain of models over a cube, chunks that ``out`` has already left out unless ``overwrite``; each exogenous feature names its ``source`` of points."""
+    fields = {f: spark.read.parquet(o["source"]) for f, o in (exogenous or {}).items()}
+    down, cube = configured(spark.read.parquet(source), models, chunk, pad, exogenous, fields, limits=limits)
+    written = None if overwrite or not scan.cached(spark, out, ["all"])[0] else spark.read.parquet(out)
+    down.run(cube, written).write.mode("overwrite" if overwrite else "append").parquet(out)
+
+
 def qa_run(spark: SparkSession, fine: str, source: str, features: list[str], s: int, t: int, out: str, bias_method: str | None = None, factors: str | None = None) -> None:
     """Coarsened again, true and difference of each feature as single-precision columns; the source is corrected first with ``bias_method``."""
     true = spark.read.parquet(source)
@@ -68,7 +77,7 @@ def qa_run(spark: SparkSession, fine: str, source: str, features: list[str], s:
     done.withColumns({f"{f}_{kind}": done[f"{f}_{kind}"].cast("float") for f in features for kind in ("synthetic", "true", "error")}).write.parquet(out)
 
 
-COMMANDS: dict[str, Callable] = {"extract": extract, "bias-calc": bias_calc, "bias-apply": bias_apply, "data-collect": data_collect, "solar": solar_run, "qa": qa_run}
+COMMANDS: dict[str, Callable] = {"extract": extract, "bias-calc": bias_calc, "bias-apply": bias_apply, "data-collect": data_collect, "solar": solar_run, "qa": qa_run, "forward-pass": forward_pass}
 
 
 def expand_sweep(step: dict) -> list[dict]:
