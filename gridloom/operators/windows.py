@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..store import cut
+from pyspark.sql import types as T
 
 SERIES = ("south_north", "west_east")
 
@@ -127,29 +128,92 @@ def _outside(d: Column, sigma: float) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(t) for t in tails]), d), F.lit(0.0))
 
 
-def fill_nearest(df: DataFrame, feature: str, by: tuple[str, ...] = ("time",), reach: int = 4) -> DataFrame:
+#: Rows of a field that one group of the second pass takes, and cells of a field at most (squared distances times places in 63 bits).
+FILL_ROWS, MOST_CELLS = 32, 1_600_000_000
+
+
+def nearest_columns(cost: np.ndarray, none: int, weight: int) -> np.ndarray:
+    """By row and column x the column q with the least weight (x - q)^2 + cost[row, q], -1 in a row of ``none`` alone; costs differ.
+
+    The lower envelope of a row's parabolas, built from left to right; all rows at once, each in steps linear in its columns.
+    """
+    rows, columns = cost.shape
+    every = np.arange(rows)
+    owner = np.full((rows, columns), -1, np.int64)  # parabolas of the envelope so far, from left to right
+    start = np.zeros((rows, columns), np.int64)  # where each begins to be the least
+    top = np.full(rows, -1)
+    for q in range(columns):
+        open_ = cost[:, q] < none
+        first = np.zeros(rows, np.int64)
+        turn = every[open_ & (top >= 0)]
+        while len(turn):
+            v = owner[turn, top[turn]]
+            apart = (cost[turn, q] + weight * q * q) - (cost[turn, v] + weight * v * v)
+            first[turn] = apart // (2 * weight * (q - v)) + 1
+            hidden = first[turn] <= start[turn, top[turn]]
+            top[turn[hidden]] -= 1
+            first[turn[hidden]] = 0
+            turn = turn[hidden]
+            turn = turn[top[turn] >= 0]
+        top[open_] += 1
+        owner[every[open_], top[open_]] = q
+        start[every[open_], top[open_]] = np.where(top[open_] == 0, 0, first[open_])
+    place = np.zeros((rows, columns), np.int64)
+    at, kth = np.nonzero(np.arange(columns)[None, :] <= top[:, None])
+    inside = start[at, kth] < columns
+    np.maximum.at(place, (at[inside], np.maximum(start[at, kth][inside], 0)), kth[inside])
+    return owner[every[:, None], np.maximum.accumulate(place, axis=1)]
+
+
+def fill_nearest(df: DataFrame, feature: str, by: tuple[str, ...] = ("time",)) -> DataFrame:
     """Nulls of each field from the nearest cell that has a value (index distance; least row, then column, on a tie).
 
-    Cells look for values up to ``reach`` away, in the squares around their own; for those that found none, in fields that
-    have any, it grows fourfold. Each round's finds are written, so only what is still empty goes on. Fields without any value stay null.
+    An exact distance transform in two passes. Along each column two windows find the nearest value above and below every
+    row with gaps; along each row the lower envelope of the columns' parabolas tells the nearest of them. Both are linear in the cells of a
+    field, however far its values are apart. Fields without any value stay null; places are not negative.
     """
-    full = df.where(F.col(feature).isNotNull()).select(*by, F.col("south_north").alias("_i"), F.col("west_east").alias("_j"), F.col(feature).alias("_v"))
-    empty = cut(df.where(F.col(feature).isNull()).select(*by, *SERIES).join(full.select(*by).distinct(), list(by), "left_semi"))
-    near, found = F.expr("sequence(-1, 1)"), None
-    square = lambda c: F.floor(F.col(c) / reach).cast("int")
-    distance = F.hypot(F.col("south_north") - F.col("_i"), F.col("west_east") - F.col("_j"))
-    while not empty.isEmpty():
-        looked = empty.select(*by, *SERIES, F.explode(F.transform(near, lambda d: square("south_north") + d)).alias("_y"), square("west_east").alias("_c"))
-        looked = looked.select(*by, *SERIES, "_y", F.explode(F.transform(near, lambda d: F.col("_c") + d)).alias("_x"))
-        placed = full.withColumns({"_y": square("_i"), "_x": square("_j")})
-        pairs = looked.join(placed, [*by, "_y", "_x"]).withColumn("_d", distance).where(F.col("_d") <= reach)
-        best = cut(pairs.groupBy(*by, *SERIES).agg(F.min(F.struct("_d", "_i", "_j", "_v"))["_v"].alias("_best")))
-        found = best if found is None else found.unionByName(best)
-        empty = cut(empty.join(best, [*by, *SERIES], "left_anti"))
-        reach *= 4
-    if found is None:
-        return df
-    return df.join(found, [*by, *SERIES], "left").withColumn(feature, F.coalesce(F.col(feature), F.col("_best"))).drop("_best")
+    filled = df.where(F.col(feature).isNotNull()).select(*by, F.col("west_east").alias("_j"), F.col("south_north").alias("_i"), F.col(feature).alias("_v"))
+    empty = df.where(F.col(feature).isNull()).select(*by, *SERIES)
+    needed = empty.select(*by, F.col("south_north").alias("_i")).distinct().join(filled.select(*by, "_j").distinct(), list(by))
+    source = F.struct(F.col("_i").alias("row"), F.col("_v").alias("value"))
+    kind = dict(filled.select(source.alias("s")).dtypes)["s"]
+    both = filled.select(*by, "_j", "_i", source.alias("_s")).unionByName(needed.select(*by, "_j", "_i", F.lit(None).cast(kind).alias("_s")))
+    along = Window.partitionBy(*by, "_j").orderBy("_i", F.col("_s").isNull())
+    above = F.last("_s", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first("_s", True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    nearer = F.when(F.col("_a").isNull() | (F.col("_b.row") - F.col("_i") < F.col("_i") - F.col("_a.row")), F.col("_b")).otherwise(F.col("_a"))
+    found = both.withColumns({"_a": above, "_b": below}).where("_s is null").select(*by, "_j", "_i", nearer.alias("_n"))
+    found = found.select(*by, "_i", "_j", F.col("_n.row").cast("long").alias("_row"), F.col("_n.value").alias("_v"))
+    gaps = empty.select(*by, F.col("south_north").alias("_i"), F.col("west_east").alias("_j"), F.lit(None).cast("long").alias("_row"), F.lit(None).cast(df.schema[feature].dataType).alias("_v"))
+    types = {f.name: f.dataType for f in df.schema}
+    schema = T.StructType([T.StructField(c, types[c]) for c in (*by, *SERIES)] + [T.StructField("_best", types[feature])])
+
+    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, asked = pdf[pdf["_row"].notna()], pdf[pdf["_row"].isna()]
+        names = [*by, *SERIES, "_best"]
+        if not len(known) or not len(asked):
+            return pd.DataFrame(columns=names)
+        width = int(pdf["_j"].max()) + 1
+        weight = (int(known["_row"].max()) + 1) * width
+        if weight > MOST_CELLS:
+            raise ValueError(f"a field of {weight} cells; {MOST_CELLS} at most")
+        low = int(pdf["_i"].min())
+        height = int(pdf["_i"].max()) - low + 1
+        none = np.iinfo(np.int64).max // 4
+        cost = np.full((height, width), none)
+        at = np.full((height, width), -1)
+        i, j, row = (known[c].to_numpy().astype(np.int64) for c in ("_i", "_j", "_row"))
+        cost[i - low, j] = weight * (row - i) ** 2 + row * width + j  # ties by row, then column
+        at[i - low, j] = np.arange(len(known))
+        x, y = asked["_i"].to_numpy().astype(np.int64) - low, asked["_j"].to_numpy().astype(np.int64)
+        q = nearest_columns(cost, none, weight)[x, y]
+        out = asked[[*by, "_i", "_j"]].set_axis(names[:-1], axis=1)[q >= 0]
+        return out.assign(_best=known["_v"].to_numpy()[at[x, q][q >= 0]])
+
+    # a block's rows come together under one key of all its parts
+    block = F.floor(F.col("_i") / FILL_ROWS).alias("_block")
+    best = found.unionByName(gaps).withColumn("_block", block).groupBy(*by, "_block").applyInPandas(envelope, schema)
+    return df.join(best, [*by, *SERIES], "left").withColumn(feature, F.coalesce(F.col(feature), F.col("_best"))).drop("_best")
 
 
 def reflect_index(position: Column, length: int) -> Column:
