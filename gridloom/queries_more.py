@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .cubes import SCATTERED_SQL, SITES_SQL, SMALL_SQL, cube_small, scattered, sites, table
@@ -15,12 +13,12 @@ from .queries import query
 from .queries_grid import INDEXED
 from .queries_raster import CELL, KEY
 from .sources import scan, sinks
-from .store import shared_dir
+from .store import new_folder
 
 
 def _place(spark) -> str:
     """A new folder that driver and executors share."""
-    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    return new_folder(spark)
 
 
 @query(f"""with {INDEXED} select {KEY}, {n("t_idx")}, {r("u_100m", "u_100m")} from ix where south_north >= 1 and south_north < 3 and west_east < 2 and t_idx >= 5 and t_idx < 12""")

@@ -22,12 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+def new_folder(spark: SparkSession, kind: str = "out") -> str:
+    """A folder name of its own in the shared folder; what is written there goes with the session."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files, which go with the session at the latest."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = new_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
