@@ -421,17 +421,29 @@ def test_url_filter(spark):
     assert filter_urls(table.limit(0)).count() == 0
 
 
-def test_digest_collisions_decide_nothing():
-    from gridloom.llm.url_filter import DigestArray, _Probe
-
-    array = DigestArray(["a/", "b/"])
-    probe = _Probe.__new__(_Probe)
-    probe.keys, probe.ends, probe.text = array.parts["keys"].copy(), array.parts["ends"], array.parts["text"]
-    import xxhash
-
-    probe.keys[:] = xxhash.xxh64_intdigest("c/")
-    assert probe.found(["c/", "a/"]).tolist() == [False, False]
-    assert re.match("a", "a/")
+def test_digest_collisions_decide_nothing(spark):
+    from gridloom.llm.url_filter import DigestArray, Probe, Shard, key_of
+
+    clash = key_of(b"c/")
+    shard = Shard(np.frombuffer(Shard.pack([(clash, b"a/", []), (clash, b"b/", []), (clash + 1, b"d/", [])]), np.uint8))
+    assert shard.find(np.array([clash, clash, clash, clash + 1], np.uint64), [b"c/", b"b/", b"a/", b"c/"]) == [-1, 1, 0, -1]
+    probe = Probe(DigestArray.of_list(spark, ["a/", "b/"]))  # as built, both are found
+    assert probe.fits([["x.a", "a"], ["c"], [""]], ["/p", "/", ""]) == [["a/"], [], []]
+
+
+def test_many_digest_shards_answer_like_one(spark):
+    from gridloom.llm.url_filter import DigestArray, Probe
+
+    rng = random.Random(4)
+    rules = sorted({f"h{rng.randrange(400)}.t{rng.randrange(3)}/" + "p" * rng.randrange(6) for _ in range(3000)})
+    table = spark.createDataFrame([(r,) for r in rules] * 2 + [(None,)], "rule string")
+    many, one = DigestArray.of_table(table, 200), DigestArray.of_list(spark, rules)
+    assert len(many.least) > 10 and (np.diff(many.least.astype(object)) > 0).all() and len(one.least) == 1
+    hosts = [[f"www.h{k}.t{k % 4}", f"h{k}.t{k % 4}", f"t{k % 4}"] for k in range(420)]
+    paths = ["/" + "p" * (k % 7) for k in range(420)]
+    want = [[h + p[:n] for h in hs for n in range(1, len(p) + 1) if h + p[:n] in set(rules)] for hs, p in zip(hosts, paths, strict=True)]
+    assert Probe(many).fits(hosts, paths) == want == Probe(one).fits(hosts, paths)
+    assert len(DigestArray.of_table(table.limit(0)).least) == 0
 
 
 def test_url_rules_from_a_table(spark):
