@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import numbered
 from . import fingerprint as FP
 from . import words as W
 
@@ -45,52 +46,77 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _cuts_below(x: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at or below x: counted in generated code if few, else by binary search in Arrow batches."""
-    if len(cuts) <= FEW_CUTS:
-        return sum((F.when(x >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    array = np.array(cuts)
+#: A null number's place among the cuts: below all others.
+_NULL = np.iinfo(np.int64).min
 
-    def search(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(array, ids.fill_null(0).to_numpy(), "right").astype(np.int32))
 
-    return F.arrow_udf(search, T.IntegerType())(x)
+def _range_of(number: Column, th: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted cuts (number, inverted text hash) are at or below a row: in generated code if they are few and split no number, else by binary search in Arrow batches."""
+    if len(cuts) <= FEW_CUTS and all(t == _NULL for _, t in cuts):
+        return sum((F.when(number >= c, 1).otherwise(0) for c, _ in cuts), F.lit(0))
+    at = np.array([c for c, _ in cuts], np.int64)
+    within = np.array([t for _, t in cuts], np.int64)
+
+    def search(numbers: pa.Array, hashes: pa.Array) -> pa.Array:
+        n = np.where(np.asarray(numbers.is_null()), _NULL, np.maximum(numbers.fill_null(0).to_numpy(), _NULL + 1))
+        falling = ~hashes.to_numpy()
+        low, high = np.searchsorted(at, n, "left"), np.searchsorted(at, n, "right")
+        out = low.copy()
+        for a, b in set(zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)):
+            mine = low == a
+            out[mine] += np.searchsorted(within[a:b], falling[mine], "right")
+        return pa.array(out.astype(np.int32))
+
+    return F.arrow_udf(search, T.IntegerType())(number, th)
+
+
+def _cuts(docs: DataFrame) -> list[tuple[int, int]]:
+    """Where ranges of about RANGE_ROWS rows begin, at most twice MOST_RANGES; a number with more rows than a range (null too) is cut by text hash as well."""
+    total = docs.count()
+    n = min(MOST_RANGES, max(1, total // RANGE_ROWS))
+    if n == 1:
+        return []
+    found = docs.agg(F.percentile_approx("number", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    cuts = {(c, _NULL) for c in found}
+    rows = max(RANGE_ROWS, total // n)
+    for r in docs.groupBy("number").count().where(F.col("count") > rows).collect():
+        parts = -(-r["count"] // rows)
+        number = _NULL if r["number"] is None else max(r["number"], _NULL + 1)
+        cuts |= {(number, (k << 64) // parts + _NULL) for k in range(1, parts)}
+    return sorted(cuts)
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """(r, last, id, th, text): documents dealt into id ranges; each range ends (``last``) with the first row of the range below.
+    """(r, last, id, number, th, text): documents dealt into ranges; each range ends (``last``) with the first row of the range below.
 
-    Only ids are read to choose the ranges; of each range the first row in order is sent to the range above.
+    Only ids and text hashes are read to choose the ranges; of each range the first row in order is sent to the range above.
     """
     spark = docs.sparkSession
-    total = docs.select("id").count()
-    n = min(MOST_RANGES, max(1, total // RANGE_ROWS))
-    cuts = []
-    if n > 1:
-        cuts = sorted(set(docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
-    # the number of cuts at or below an id; null ids come after all others, in the lowest range
-    placed = docs.withColumn("r", F.when(F.col("id").isNull(), F.lit(0)).otherwise(_cuts_below(F.col("id"), cuts)).cast("int"))
-    order = F.struct(F.col("id").isNull().alias("none"), (-F.col("id")).alias("falling"), F.col("th"))
+    placed = docs.withColumn("r", _range_of(F.col("number"), F.col("th"), _cuts(docs)).cast("int"))
+    order = F.struct(F.col("number").isNull().alias("none"), F.bitwise_not("number").alias("falling"), F.col("th"))
     heads = sorted((r["r"], r["head"]["falling"], r["head"]["th"]) for r in placed.groupBy("r").agg(F.min(order).alias("head")).collect())
     above = [heads[(i + 1) % len(heads)][0] for i in range(len(heads))]
-    rows = [(None if f is None else -f, th, up) for (_, f, th), up in zip(heads, above, strict=True)]
-    sent = spark.createDataFrame(rows, f"hid {dict(docs.dtypes)['id']}, hth long, up int")
-    doubled = placed.join(F.broadcast(sent), F.expr("id <=> hid and th = hth"), "left")
+    rows = [(None if f is None else ~f, th, up) for (_, f, th), up in zip(heads, above, strict=True)]
+    sent = spark.createDataFrame(rows, "hnumber long, hth long, up int")
+    doubled = placed.join(F.broadcast(sent), F.expr("number <=> hnumber and th = hth"), "left")
     both = F.when(F.col("up").isNull(), F.array(F.struct("r", F.lit(False).alias("last")))).otherwise(
         F.array(F.struct(F.col("r"), F.lit(False).alias("last")), F.struct(F.col("up").alias("r"), F.lit(True).alias("last")))
     )
-    return doubled.select(F.explode(both).alias("p"), "id", "th", "text").select("p.r", "p.last", "id", "th", "text")
+    return doubled.select(F.explode(both).alias("p"), "id", "number", "th", "text").select("p.r", "p.last", "id", "number", "th", "text")
 
 
 def fingerprint_chain(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next row is the one below in falling order of (id, text hash), null ids last; after
-    the last row comes the first. Null text is empty. Repeated rows follow each other. A
-    single row is its own successor; an empty table gives no rows. Other columns are not read.
+    The next row is the one below in falling order of id, null ids last, then by text hash; after
+    the last row comes the first. Ids may be of any type that sorts. Null text is empty. Repeated rows follow each other; many rows of
+    one id, null too, are cut into ranges by their texts' hashes, rows that agree in both stay together. A
+    single row is its own successor; an empty table gives no rows. Other columns are not read. A very long text and its
+    edited one take some ten bytes a byte each.
     """
-    shown = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    dealt = _ranges(shown).repartition("r").sortWithinPartitions("r", "last", F.col("id").desc_nulls_last(), "th")
+    shown, number = numbered(docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), "id")
+    shown = shown.withColumnRenamed(number, "number")
+    dealt = _ranges(shown).repartition("r").sortWithinPartitions("r", "last", F.col("number").desc_nulls_last(), "th").drop("number", "th")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, follows = [], [], []  # follows[i]: texts[i] is a document and texts[i + 1] is its successor

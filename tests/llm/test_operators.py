@@ -206,6 +206,35 @@ def test_fingerprints(spark, docs, rows, none):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
 
 
+def chained(rows):
+    """Each row's edited text by plain sorting, for rows (id, text) whose text hashes do not matter."""
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in rows if r[0] is None]
+    return {r[0]: hashlib.sha256(edited_text(r[1], order[(k + 1) % len(order)][1]).encode()).hexdigest() for k, r in enumerate(order)}
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,2)"])
+def test_fingerprints_take_ids_of_any_type(spark, kind):
+    table = spark.range(300).selectExpr(f"cast({'date_from_unix_date(cast(id as int))' if kind == 'date' else 'id'} as {kind}) as doc_id", "concat_ws(' ', id, id * 7, id * id, 'tail of it') as text")
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    assert {r["doc_id"]: r["edited_sha256"] for r in fingerprint_chain(table).collect()} == chained(rows)
+
+
+def test_many_rows_of_one_id_are_dealt_over_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import fingerprint_chain as chain
+
+    monkeypatch.setattr(chain, "RANGE_ROWS", 100)
+    table = spark.range(4000).selectExpr("if(id < 2500, null, if(id < 3500, 77, id)) as doc_id", "concat('text number ', id) as text").repartition(5)
+    shown = table.select(F.col("doc_id").alias("number"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    sizes = {r["r"]: r["count"] for r in chain._ranges(shown).where("not last").groupBy("r").count().collect()}
+    assert len(sizes) > 30 and max(sizes.values()) < 400
+    rows = [(r["number"], r["th"], r["text"]) for r in shown.collect()]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = sorted(hashlib.sha256(edited_text(r[2], order[(k + 1) % len(order)][2]).encode()).hexdigest() for k, r in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in fingerprint_chain(table).collect()) == want
+
+
 def test_fingerprint_bias_is_corrected():
     rng = np.random.default_rng(0)
     import pyarrow as pa
