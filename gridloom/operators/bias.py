@@ -174,9 +174,12 @@ def _mapped(keyed: DataFrame, params: DataFrame, feature: str, levels: list[floa
 
 
 def apply_qdm(df: DataFrame, params: DataFrame, feature: str, n: int = WINDOWS, levels: list[float] | None = None, relative: bool = True, no_trend: bool = False, out_range=(None, None), **more) -> DataFrame:
-    """Each row by the parameters of its site and the window nearest to its day of the year."""
+    """Each row by the parameters of its site and the window nearest to its day of the year; a value that is not finite then raises, nulls stay."""
     done = _mapped(df.withColumn("t_window", nearest_window(F.dayofyear("time"), n)), params, feature, levels, relative, no_trend, more)
-    return done.withColumn(feature, clip(F.col(feature), *out_range)).drop("t_window")
+    bad = F.isnan(feature) | (F.abs(feature) == F.lit(float("inf")))
+    told = F.concat(F.lit(f"{feature} is not finite after quantile mapping at site "), F.col("gid").cast("string"))
+    finite = F.when(bad, F.raise_error(told).cast("double")).otherwise(F.col(feature))
+    return done.withColumn(feature, clip(finite, *out_range)).drop("t_window")
 
 
 def presrat_params(base: DataFrame, bias: DataFrame, future: DataFrame, feature: str, threshold: float = 1.157e-7, n: int = WINDOWS, days: float = WINDOW_DAYS, levels: list[float] | None = None) -> DataFrame:
@@ -217,7 +220,8 @@ def skill_assessment(base: DataFrame, bias: DataFrame, feature: str) -> DataFram
     from .stats import ks_distance, ks_p_value, skill
 
     side = lambda df, p: skill(df, feature, ("gid",)).join(df.groupBy("gid").agg(F.count(feature).alias("n")), "gid").withColumnsRenamed({c: f"{p}_{c}" for c in ("mean", "std", "skew", "kurtosis", "zero_rate", "percentiles", "n")})
-    centred = lambda df: df.withColumn(feature, F.col(feature) - F.avg(feature).over(Window.partitionBy("gid")))
+    mean = lambda df: df.groupBy("gid").agg(F.avg(feature).alias("_mean"))
+    centred = lambda df: df.join(mean(df), "gid").withColumn(feature, F.col(feature) - F.col("_mean")).drop("_mean")
     both = side(base, "base").join(side(bias, "bias"), "gid").join(ks_distance(centred(base), centred(bias), feature, ("gid",)), "gid")
     return both.withColumn("bias", F.col("bias_mean") - F.col("base_mean")).withColumn("ks_p", ks_p_value(F.col("ks"), F.col("base_n"), F.col("bias_n")))
 

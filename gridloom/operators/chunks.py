@@ -17,12 +17,28 @@ def slices(size: int, chunk: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a coarse cube of (rows, columns, steps) is cut: chunk shape, overlap and refinement."""
+    """How a coarse cube of (rows, columns, steps) is cut: chunk shape, overlap and refinement.
+
+    ``least``: what a padded chunk must measure at least along each axis. A last chunk that is too narrow gets half of it and one more
+    as its overlap on both sides, mirrored at the border as any other.
+    """
 
     shape: tuple[int, int, int]
     chunk: tuple[int, int, int]
     pad: tuple[int, int, int] = (0, 0, 0)
     enhance: tuple[int, int, int] = (1, 1, 1)
+    least: tuple[int, int, int] = (0, 0, 0)
+
+    def pad_of(self, axis: int, place: int) -> int:
+        """The overlap of the chunk at a place along an axis."""
+        size, chunk, pad = self.shape[axis], self.chunk[axis], self.pad[axis]
+        width = min((place + 1) * chunk, size) - place * chunk
+        last = place == -(-size // chunk) - 1
+        return self.least[axis] // 2 + 1 if last and width + 2 * pad < self.least[axis] else pad
+
+    def pads(self, chunk_id: int) -> list[int]:
+        """The chunk's overlap along each axis."""
+        return [self.pad_of(axis, a // c) for axis, ((a, _), c) in enumerate(zip(self.spans(chunk_id), self.chunk, strict=True))]
 
     def counts(self) -> tuple[int, int, int]:
         """Chunks along each axis."""
@@ -36,19 +52,30 @@ class Layout:
 
     def refined(self, s: int, t: int) -> Layout:
         """The same chunks on a grid so many times finer; their ids are the same."""
-        by = (s, s, t)
-        return Layout(*(tuple(n * f for n, f in zip(part, by, strict=True)) for part in (self.shape, self.chunk, self.pad)))
+        return _Refined(self.shape, self.chunk, self.pad, self.enhance, self.least, (s, s, t))
 
     def flat(self) -> Layout:
         """The spatial chunks alone, of one step."""
-        return Layout((*self.shape[:2], 1), (*self.chunk[:2], 1), (*self.pad[:2], 0))
+        return Layout((*self.shape[:2], 1), (*self.chunk[:2], 1), (*self.pad[:2], 0), least=(*self.least[:2], 0))
+
+    def places(self, axis: int) -> list[tuple[int, int, int]]:
+        """(place in the cube, chunk, place in the padded chunk) along an axis, mirrored at the borders."""
+        size, out = self.shape[axis], []
+        period = 2 * (size - 1) or 1
+        for c, (a, b) in enumerate(slices(size, self.chunk[axis])):
+            pad = self.pad_of(axis, c)
+            for k in range(a - pad, b + pad):
+                at = k % period
+                out.append((min(at, period - at) if size > 1 else 0, c, k - a + pad))
+        return out
 
     def table(self) -> list[tuple]:
         """One row a chunk: by axis the chunk, its padded range within the cube, what mirroring adds, the fine range and the crop."""
         axes = []
-        for size, chunk, pad, factor in zip(self.shape, self.chunk, self.pad, self.enhance, strict=True):
+        for axis, (size, chunk, factor) in enumerate(zip(self.shape, self.chunk, self.enhance, strict=True)):
             rows = []
-            for a, b in slices(size, chunk):
+            for place, (a, b) in enumerate(slices(size, chunk)):
+                pad = self.pad_of(axis, place)
                 lo, hi = max(a - pad, 0), min(b + pad, size)
                 before, behind = pad - (a - lo), pad - (hi - b)
                 rows.append((a, b, lo, hi, before, behind, a * factor, b * factor, pad * factor, (pad + b - a) * factor))
@@ -66,23 +93,36 @@ class Layout:
         return spark.createDataFrame(self.table(), ", ".join(f"{n} int" for n in ("chunk_id", "s_chunk", "t_chunk", *names)))
 
 
+@dataclass(frozen=True)
+class _Refined(Layout):
+    """A layout on a grid ``by`` times finer: its places are those of the coarse one, each as many fine ones; mirrors fall on fine cells."""
+
+    by: tuple[int, int, int] = (1, 1, 1)
+
+    def flat(self) -> Layout:
+        return _Refined((*self.shape[:2], 1), (*self.chunk[:2], 1), (*self.pad[:2], 0), (1, 1, 1), (*self.least[:2], 0), (*self.by[:2], 1))
+
+    def places(self, axis: int) -> list[tuple[int, int, int]]:
+        size, f, out = self.shape[axis] * self.by[axis], self.by[axis], []
+        period = 2 * (size - 1) or 1
+        for c, (a, b) in enumerate(slices(self.shape[axis], self.chunk[axis])):
+            pad = self.pad_of(axis, c)
+            for k in range((a - pad) * f, (b + pad) * f):
+                at = k % period
+                out.append((min(at, period - at) if size > 1 else 0, c, k - (a - pad) * f))
+        return out
+
+
 def with_halo(df: DataFrame, layout: Layout) -> DataFrame:
     """Rows sent to each chunk whose padded range holds them, mirrored at the cube's edges; ``i, j, t`` are places in the padded chunk.
 
     A row's chunks follow from arithmetic with its place, by a join with one small table an axis.
     """
     spark = df.sparkSession
-    for axis, column, size, chunk, pad in zip("ijt", ("south_north", "west_east", "t_idx"), layout.shape, layout.chunk, layout.pad, strict=True):
-        places = []
-        for c, (a, b) in enumerate(slices(size, chunk)):
-            for k in range(a - pad, b + pad):
-                period = 2 * (size - 1) or 1
-                at = k % period if size > 1 else 0
-                places.append((min(at, period - at) if size > 1 else 0, c, k - a + pad))
-        table = spark.createDataFrame(places, f"{column} int, {axis}_chunk int, {axis} int")
+    for axis, (name, column) in enumerate(zip("ijt", ("south_north", "west_east", "t_idx"), strict=True)):
+        table = spark.createDataFrame(layout.places(axis), f"{column} int, {name}_chunk int, {name} int")
         df = df.join(F.broadcast(table), column)
-    columns = len(slices(layout.shape[1], layout.chunk[1]))
-    times = len(slices(layout.shape[2], layout.chunk[2]))
+    _, columns, times = layout.counts()
     return df.withColumn("s_chunk", F.col("i_chunk") * columns + F.col("j_chunk")).withColumn("chunk_id", F.col("s_chunk") * times + F.col("t_chunk"))
 
 
@@ -131,18 +171,18 @@ def forward_pass(df: DataFrame, features: list[str], layout: Layout, model: Call
     steps = [step for step, _ in exo or []]
     names = ["chunk_id", "south_north", "west_east", "t_idx", *output]
 
-    def padded(spans: list[tuple[int, int]], by: tuple[int, ...]) -> list[int]:
-        return [(b - a + 2 * p) * f for (a, b), p, f in zip(spans, layout.pad, by, strict=False)]
+    def padded(chunk: int, by: tuple[int, ...]) -> list[int]:
+        return [(b - a + 2 * p) * f for (a, b), p, f in zip(layout.spans(chunk), layout.pads(chunk), by, strict=False)]
 
     def run(pdf: pd.DataFrame, extra: pd.DataFrame | None = None) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=names)
         chunk = int(pdf["chunk_id"].iloc[0])
         spans = layout.spans(chunk)
-        cube = np.full((*padded(spans, (1, 1, 1)), len(features)), np.nan)
+        cube = np.full((*padded(chunk, (1, 1, 1)), len(features)), np.nan)
         cube[pdf["i"], pdf["j"], pdf["t"]] = pdf[features].to_numpy()
-        fine = model(cube) if extra is None else model(cube, slices_of(spans, extra))
-        crop = [slice(p * f, (p + b - a) * f) for (a, b), p, f in zip(spans, layout.pad, layout.enhance, strict=True)]
+        fine = model(cube) if extra is None else model(cube, slices_of(chunk, extra))
+        crop = [slice(p * f, (p + b - a) * f) for (a, b), p, f in zip(spans, layout.pads(chunk), layout.enhance, strict=True)]
         cut = fine[tuple(crop)]
         at = np.meshgrid(*[np.arange(a * f, b * f, dtype=np.int32) for (a, b), f in zip(spans, layout.enhance, strict=True)], indexing="ij")
         if cut.shape[:3] != at[0].shape or cut.shape[3] != len(output):
@@ -150,12 +190,12 @@ def forward_pass(df: DataFrame, features: list[str], layout: Layout, model: Call
         out = {"chunk_id": np.int32(chunk), **{c: x.ravel() for c, x in zip(names[1:4], at, strict=True)}}
         return pd.DataFrame({**out, **{o: cut[..., k].ravel() for k, o in enumerate(output)}})
 
-    def slices_of(spans: list[tuple[int, int]], extra: pd.DataFrame) -> list[ExoSlice]:
+    def slices_of(chunk: int, extra: pd.DataFrame) -> list[ExoSlice]:
         out = []
         for k, step in enumerate(steps):
             mine = extra[extra["step"] == k]
             moving = bool(len(mine)) and int(mine["t"].iloc[0]) >= 0
-            values = np.full(padded(spans, (step.s_enhance, step.s_enhance, step.t_enhance) if moving else (step.s_enhance, step.s_enhance)), np.nan)
+            values = np.full(padded(chunk, (step.s_enhance, step.s_enhance, step.t_enhance) if moving else (step.s_enhance, step.s_enhance)), np.nan)
             values[tuple(mine[c] for c in ("i", "j", "t")[: values.ndim])] = mine["value"].to_numpy()
             out.append(ExoSlice(step.feature, step.model, step.combine, values))
         return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut, free_name, ranked
+
 
 def chunk_of_file(column=None):
     """(t_chunk, s_chunk) from file names that end in ``_{t}_{s}.ext`` with six digits each."""
@@ -18,12 +20,17 @@ def read_chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
-def combine(frames: list[DataFrame], keys: tuple[str, ...] = ("gid", "time")) -> DataFrame:
-    """Chunks one below the other; rows that several chunks hold count once."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out.dropDuplicates(list(keys))
+def combine(frames: list[DataFrame], keys: tuple[str, ...] = ("gid", "time"), overlap: bool = True) -> DataFrame:
+    """Chunks one below the other. Of rows with the same keys in several chunks that of the first chunk stays; without ``overlap`` nothing is shuffled."""
+    order = free_name(frames[0], "part")
+    out = frames[0] if not overlap else frames[0].withColumn(order, F.lit(0))
+    for k, f in enumerate(frames[1:], 1):
+        out = out.unionByName(f.withColumn(order, F.lit(k)) if overlap else f, allowMissingColumns=True)
+    if not overlap:
+        return out
+    values = [c for c in out.columns if c not in keys and c != order]
+    first = out.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(order, *values)).alias(order))
+    return first.select(*[c if c in keys else F.col(f"{order}.{c}") for c in out.columns if c != order])
 
 
 def merge_features(frames: list[DataFrame], keys: tuple[str, ...] = ("gid", "time")) -> DataFrame:
@@ -37,10 +44,13 @@ def merge_features(frames: list[DataFrame], keys: tuple[str, ...] = ("gid", "tim
 def place(df: DataFrame, meta: DataFrame) -> DataFrame:
     """``df`` with ``row``, its site's place in the output (places run from 0 by gid); sites of a chunk that do not follow each other raise.
 
-    ``meta`` has one row a site; rows of sites that it lacks go.
+    ``meta`` has one row a site; sites of ``df`` that it lacks raise.
     """
-    rows = meta.select("gid").distinct().withColumn("row", F.row_number().over(Window.orderBy("gid")) - 1)
-    span = df.select("gid").distinct().join(rows, "gid").agg((F.max("row") - F.min("row") + 1).alias("span"), F.count("*").alias("n")).first()
+    rows = ranked(cut(meta.select("gid").distinct()), F.asc("gid"), name="row").withColumn("row", F.col("row") - 1)
+    rows = cut(rows)
+    span = df.select("gid").distinct().join(rows, "gid", "left").agg((F.max("row") - F.min("row") + 1).alias("span"), F.count("*").alias("n"), F.count("row").alias("known")).first()
+    if span["known"] != span["n"]:
+        raise ValueError(f"{span['n'] - span['known']} sites are not in the output's list")
     if span["n"] and span["span"] != span["n"]:
         raise ValueError(f"{span['n']} sites lie on {span['span']} rows of the output")
     return df.join(rows, "gid")

@@ -48,6 +48,37 @@ def day_start(steps: int, days: int, rng: random.Random, per_day: int = 24) -> i
     return per_day * uniform_start(steps // per_day, days, rng)
 
 
+def daylight_windows(df: DataFrame, length: int, ratio: str = "clearsky_ratio", per_day: int = 24) -> DataFrame:
+    """(day, first_light, light, start, stop): for each day of ``t_idx`` steps the ``length`` steps centred on its daylight.
+
+    A step is night where any cell's ``ratio`` is null or NaN. The window begins half of what the daylight lacks (rounded to even) before its first
+    step; it may begin the day before. A day without daylight is taken whole, as is any if ``length`` reaches the day's.
+    Windows are held within the steps there are.
+    """
+    night = F.max((F.col(ratio).isNull() | F.isnan(ratio)).cast("int"))
+    steps = df.groupBy("t_idx").agg(night.alias("night")).withColumn("day", F.floor(F.col("t_idx") / per_day).cast("int"))
+    by_day = steps.groupBy("day").agg(F.min(F.when(F.col("night") == 0, F.col("t_idx"))).alias("first_light"), F.sum(1 - F.col("night")).cast("int").alias("light"))
+    count = steps.agg((F.max("t_idx") + 1).alias("steps"))
+    whole = F.col("first_light").isNull() | F.lit(length >= per_day)
+    begin = F.when(whole, F.col("day") * per_day).otherwise(F.col("first_light") - F.rint((F.lit(length) - F.col("light")) / 2).cast("int"))
+    size = F.when(whole, per_day).otherwise(length)
+    placed = by_day.crossJoin(F.broadcast(count)).withColumns({"start": begin, "size": F.least(size, F.col("steps"))})
+    held = F.greatest(F.lit(0), F.least(F.col("start"), F.col("steps") - F.col("size")))
+    return placed.withColumn("start", held).select("day", "first_light", "light", "start", (F.col("start") + F.col("size")).alias("stop"))
+
+
+def daylight_samples(df: DataFrame, windows: DataFrame, days: list[int] | None = None) -> DataFrame:
+    """Rows of each day's window with ``day`` and their place ``t`` in it; a step that two windows hold comes twice. ``days``: those drawn alone."""
+    chosen = windows if days is None else windows.where(F.col("day").isin(days))
+    steps = chosen.select("day", F.posexplode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("t", "t_idx"))
+    return df.join(F.broadcast(steps), "t_idx")
+
+
+def draw_days(days: int, observations: int, rng: random.Random) -> list[int]:
+    """Days of a batch, one an observation; one may come again."""
+    return [rng.randrange(days) for _ in range(observations)]
+
+
 def loss_weights(losses: DataFrame, bin_column: str, value: str = "loss") -> DataFrame:
     """(bin, weight): mean loss of each bin over their total."""
     means = losses.groupBy(bin_column).agg(F.avg(value).alias("weight"))

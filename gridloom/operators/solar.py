@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ratios below this are cloudy; sun below this zenith angle is up.
@@ -69,6 +69,34 @@ def scale_to_peak(df: DataFrame, ghi: str = "ghi", clearsky: str = "clearsky_ghi
     return df.join(peaks, ["south_north", "west_east"]).withColumn(clearsky, F.col(clearsky) * F.col("_k")).drop("_k")
 
 
+def temporal_sets(files: DataFrame, per_file: int = 24) -> DataFrame:
+    """(t_chunk, s_chunk, file, files, start, stop): each chunk file with its neighbours in time, and which steps of the three are its own.
+
+    ``files``: (t_chunk, s_chunk, file). Chunks follow each other by t_chunk, numbers may be left out; the first and the last have one neighbour.
+    """
+    along = Window.partitionBy("s_chunk").orderBy("t_chunk")
+    before, behind = F.lag("file").over(along), F.lead("file").over(along)
+    start = F.when(before.isNull(), 0).otherwise(per_file)
+    sets = files.select("t_chunk", "s_chunk", "file", F.array_compact(F.array(before, F.col("file"), behind)).alias("files"), start.alias("start"))
+    return sets.withColumn("stop", F.col("start") + per_file)
+
+
+def to_utc_by_chunk(df: DataFrame, features: list[str], per_file: int = 24, ids: DataFrame | None = None) -> DataFrame:
+    """Chunks of local hours (s_chunk, t_chunk, hour, gid, longitude, features) as hours of UTC, each from itself and its neighbours in time.
+
+    A chunk and its neighbours are one axis of two or three days (one for a chunk alone), which is rolled by the whole hours of a site's longitude; of
+    the rolled axis the chunk's own hours are kept. ``ids`` (t_chunk): only these are made; of the others what they need is read.
+    """
+    along = Window.partitionBy("s_chunk").orderBy("t_chunk")
+    before, behind = F.lag("t_chunk").over(along), F.lead("t_chunk").over(along)
+    order = df.select("s_chunk", "t_chunk").distinct().withColumn("_set", F.array_compact(F.array(before, F.col("t_chunk"), behind))).withColumn("_start", F.when(before.isNull(), 0).otherwise(per_file))
+    wanted = order if ids is None else order.join(ids.select("t_chunk"), "t_chunk", "left_semi")
+    members = wanted.select("s_chunk", F.col("t_chunk").alias("_target"), "_start", F.size("_set").alias("_n"), F.posexplode("_set").alias("_k", "t_chunk"))
+    rolled = F.pmod(F.col("_k") * per_file + F.col("hour") - F.rint(F.col("longitude") / 15).cast("int"), F.col("_n") * per_file)
+    sent = df.join(members, ["s_chunk", "t_chunk"]).withColumn("hour", rolled - F.col("_start")).where((F.col("hour") >= 0) & (F.col("hour") < per_file))
+    return sent.select("s_chunk", F.col("_target").alias("t_chunk"), "gid", "longitude", "hour", *features)
+
+
 def require(df: DataFrame, columns: tuple[str, ...] = ("clearsky_ghi", "clearsky_dni", "solar_zenith_angle", "surface_pressure")) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

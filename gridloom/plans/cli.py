@@ -9,12 +9,14 @@ from __future__ import annotations
 import itertools
 import json
 import sys
+import threading
 from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 from ..operators import bias, collect, qa, solar
-from ..sources import scan
+from ..sources import scan, sinks
 from .downscale import configured
 from .handler import Handler
 
@@ -44,8 +46,45 @@ def bias_apply(spark: SparkSession, source: str, factors: str, features: list[st
     bias.correct(spark.read.parquet(source), method, spark.read.parquet(factors), features).write.parquet(out)
 
 
-def data_collect(spark: SparkSession, sources: list[str], out: str) -> None:
-    collect.combine([spark.read.parquet(s) for s in scan.expand(sources)]).write.parquet(out)
+def side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], None]], at_once: int = 8) -> None:
+    """Run jobs at the same time in threads of one session, each in a scheduler pool of its own name; the first failure is raised when all are done."""
+    failed: dict[str, BaseException] = {}
+    slots = threading.Semaphore(at_once)
+
+    def run_one(name: str, job: Callable[[], None]) -> None:
+        with slots:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            try:
+                job()
+            except BaseException as e:  # noqa: BLE001  told below
+                failed[name] = e
+
+    threads = [InheritableThread(run_one, args=(name, job), session=spark) for name, job in jobs.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        name = sorted(failed)[0]
+        raise RuntimeError(f"{len(failed)} of {len(jobs)} jobs failed, {name} first") from failed[name]
+
+
+def data_collect(spark: SparkSession, sources: list[str], out: str, features: list[str] | None = None, dset_split: bool = False, integers: bool = False, overlap: bool = True) -> None:
+    """Chunk files as one data set; with ``dset_split`` one a feature, under ``out`` with {feature} in it, by jobs side by side."""
+    frames = [spark.read.parquet(s) for s in scan.expand(sources)]
+    keys = [c for c in frames[0].columns if c in KEYS]
+    chosen = features or [c for c in frames[0].columns if c not in KEYS]
+
+    def write(some: list[str], path: str) -> None:
+        whole = collect.combine([f.select(*keys, *[c for c in some if c in f.columns]) for f in frames], overlap=overlap)
+        sinks.write_output(whole, path, some, limits=False, integers=integers)
+
+    if not dset_split:
+        write(chosen, out)
+    elif "{feature}" not in out:
+        raise ValueError("with dset_split out needs {feature}")
+    else:
+        side_by_side(spark, {f: (lambda f=f: write([f], out.format(feature=f))) for f in chosen})
 
 
 def solar_run(spark: SparkSession, source: str, out: str, features: list[str] | None = None, overwrite: bool = False) -> None:

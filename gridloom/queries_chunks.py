@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .cubes import table
-from .finish import finish, n, r
+from .cubes import SMALL_SQL, cube_small, table
+from .finish import finish, n, r, t
 from .operators import chunks, models
+from .operators.raster import time_index
 from .plans.pairs import exo_steps
 from .queries import query
 from .queries_files import _FULL, _whole
@@ -52,3 +53,17 @@ def forward_pass_exo(spark, sf_dir):
     chain = models.Chain([models.Step(_smooth_and_double, ("u_100m", "topography"), ("w",), 2, 1, True), models.Step(_double_in_time, ("w",), ("y",), 1, 2)], exo=wanted)
     layout = chunks.Layout((rows, 15, steps), (3, 4, 7), (1, 1, 1), (2, 2, 2))
     return finish(chunks.forward_pass(cube, chain.inputs, layout, chain, ["y"], exo=fields), "south_north", "west_east", "t_idx", "y")
+
+
+@query("""with axis as (select * from (values ('i', 0, 0, 3, 1, 4), ('i', 1, 3, 4, 3, 4), ('j', 0, 0, 3, 1, 4), ('j', 1, 3, 4, 3, 4)) v(axis, chunk, a, b, pad, size)),
+place as (select axis, chunk, k - a + pad place, case when k % 6 < 0 then k % 6 + 6 else k % 6 end m from axis, unnest(range(a - pad, b + pad)) t(k)),
+spot as (select axis, chunk, place, least(m, 6 - m) source from place),
+""" + SMALL_SQL + f"""
+select {n("i.chunk * 2 + j.chunk", "s_chunk")}, {n("i.place", "i")}, {n("j.place", "j")}, {t("c.time")}, {r("c.ghi", "ghi")}
+from cube c join spot i on i.axis = 'i' and i.source = c.south_north join spot j on j.axis = 'j' and j.source = c.west_east""")
+def narrow_chunks(spark, sf_dir):
+    """Every row of padded chunks whose last ones are one cell wide and get more overlap."""
+    cube = time_index(cube_small(spark, sf_dir))
+    steps = cube.agg(F.max("t_idx")).first()[0] + 1
+    sent = chunks.with_halo(cube, chunks.Layout((4, 4, steps), (3, 3, steps), (1, 1, 0), least=(4, 4, 0)))
+    return finish(sent, "s_chunk", "i", "j", "time", "ghi")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .cubes import FEATURES, WIDE_SQL, cube_wide
+from .cubes import FEATURES, HISTORY_SQL, SITES_SQL, WIDE_SQL, cube_wide, histories, sites, table
 from .finish import finish, n, r, t
 from .operators.raster import time_index
 from .queries import query
 from .queries_more import _place
+from .sources import index, sinks
 from .sources.netcdf import read_netcdf, write_netcdf
 
 _AXES = {"t_idx": "time", "south_north": "latitude", "west_east": "longitude"}
@@ -49,3 +52,30 @@ def netcdf_crop(spark, sf_dir):
     df = read_netcdf(spark, _written(spark, sf_dir), ["u_100m"], partition_bytes=1 << 16)
     box = df.where("south_north_idx >= 1 and south_north_idx < 3 and longitude >= -103 and longitude <= -100 and t_idx_idx >= 5 and t_idx_idx < 12")
     return finish(box.withColumnsRenamed({f"{d}_idx": d for d in _AXES}), *_AXES, "time", "u_100m")
+
+
+@query("""select count(*)::bigint "rows", count(*) filter (l_quantity is null)::bigint "nulls", 0::bigint over_limit, true as some_files from lineitem""")
+def sized_files(spark, sf_dir):
+    """Files of a data set whose size was aimed at: their own rows, and that none holds more than its bytes allow."""
+    path = _place(spark)
+    lines = table(spark, sf_dir, "lineitem")
+    limit = sinks.write_sized(lines, path, 64 << 10, by=("l_suppkey",))
+    files = sinks.written_files(spark, path)
+    back = spark.read.parquet(path).agg(F.count("*").alias("rows"), F.count_if(F.col("l_quantity").isNull()).alias("nulls"))
+    size = files.agg(F.count_if(F.col("rows") > limit).alias("over_limit"), (F.sum("rows") <= limit * F.count("*")).alias("some_files"))
+    return back.crossJoin(size)
+
+
+@query(f"""with {HISTORY_SQL}, {SITES_SQL},
+f as (select gid, avg(x) m from base group by gid)
+select {n("s.gid", "gid")}, {n("s.south_north", "south_north")}, {n("s.west_east", "west_east")}, {r("m", "mean")}, {n("count(b.x)", "values")}
+from sites s join f on f.gid = s.gid left join bias b on b.gid = s.gid group by s.gid, s.south_north, s.west_east, m""")
+def indexed_factors(spark, sf_dir):
+    """Cells, factors and series kept in buckets of gid and joined on it without a shuffle."""
+    observed, modelled, _ = histories(spark, sf_dir)
+    names = [f"kept_{uuid.uuid4().hex}" for _ in range(3)]
+    cells = index.keep_by_gid(sites(spark, sf_dir), names[0], buckets=8)
+    factors = index.keep_by_gid(observed.groupBy("gid").agg(F.avg("x").alias("mean")), names[1], buckets=8)
+    series = index.keep_by_gid(modelled, names[2], buckets=8).groupBy("gid").agg(F.count("x").alias("values"))
+    joined = cells.join(factors, "gid").join(series, "gid", "left").withColumn("values", F.coalesce("values", F.lit(0)))
+    return finish(joined, "gid", "south_north", "west_east", "mean", "values")

@@ -18,7 +18,21 @@ def test_ranges_of_a_chunk_follow_from_its_id():
     layout = chunks.Layout((7, 5, 9), (3, 2, 4), (1, 1, 2), (2, 2, 3))
     for row in layout.table():
         assert layout.spans(row[0]) == [row[3:5], row[13:15], row[23:25]]
-    assert layout.counts() == (3, 3, 3) and layout.refined(2, 3).shape == (14, 10, 27) and layout.refined(2, 3).counts() == (3, 3, 3)
+    fine = layout.refined(2, 3)
+    assert layout.counts() == fine.counts() == (3, 3, 3) and [max(p for p, _, _ in fine.places(a)) for a in range(3)] == [13, 9, 26]
+
+
+def test_a_narrow_last_chunk_gets_more_overlap():
+    layout = chunks.Layout((8, 8, 8), (7, 4, 8), (1, 1, 0), (2, 2, 1), (4, 4, 4))
+    assert [layout.pad_of(0, c) for c in (0, 1)] == [1, 3] and layout.pad_of(1, 1) == 1 and layout.pads(3) == [3, 1, 0]
+    assert [p for p, c, _ in layout.places(0) if c == 1] == [4, 5, 6, 7, 6, 5, 4]  # 7 and three on both sides
+    assert [p for p, c, _ in layout.refined(2, 1).places(0) if c == 1] == [8, 9, 10, 11, 12, 13, 14, 15, 14, 13, 12, 11, 10, 9]
+
+
+def test_narrow_chunks_in_a_forward_pass(spark):
+    cube = grid(spark, 7, 4, 5).withColumn("u", F.col("south_north") * 100.0 + F.col("west_east") * 10 + F.col("t_idx"))
+    got = chunks.forward_pass(cube, ["u"], chunks.Layout((7, 4, 5), (3, 3, 5), (0, 0, 0), (2, 2, 1), (3, 3, 0)), lambda x: np.repeat(np.repeat(x, 2, 0), 2, 1), ["u"]).collect()
+    assert len(got) == 14 * 8 * 5 and all(r["u"] == r["south_north"] // 2 * 100 + r["west_east"] // 2 * 10 + r["t_idx"] for r in got)
 
 
 @pytest.mark.parametrize("moving", [False, True])
