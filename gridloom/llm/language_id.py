@@ -137,6 +137,21 @@ def mixture(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return chosen
 
 
+#: Words whose trigrams are looked up at once.
+WORDS_AT_ONCE = 1 << 17
+
+
+def likelihoods(table: np.ndarray, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each word's likelihood by language, 1 for its best; only some words' slots by language are held at once."""
+    out = np.empty((len(first), table.shape[1]), table.dtype)
+    for a in range(0, len(first), WORDS_AT_ONCE):
+        b = min(a + WORDS_AT_ONCE, len(first))
+        stop = first[b] if b < len(first) else len(slots)
+        logs = np.add.reduceat(table[slots[first[a] : stop]], first[a:b] - first[a], axis=0)
+        out[a:b] = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return out
+
+
 def identify_languages(docs: DataFrame, langs: list[str], table: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, lang_pred, score (its share of the text's words) and languages (those in the text's set, by share).
 
@@ -157,8 +172,7 @@ def identify_languages(docs: DataFrame, langs: list[str], table: np.ndarray, id_
                 use = np.flatnonzero((counts > 0) & lettered[part.lo : part.hi])
                 if len(use) and langs:
                     slots, first = _trigrams(w)
-                    logs = np.add.reduceat(shared.value[slots], first, axis=0)
-                    word = np.exp(logs - logs.max(axis=1, keepdims=True))
+                    word = likelihoods(shared.value, slots, first)
                     mine = np.repeat((counts > 0) & lettered[part.lo : part.hi], counts)
                     share = mixture(word[mine], counts[use])
                     lead = share.argmax(axis=1)

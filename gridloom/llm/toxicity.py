@@ -238,13 +238,16 @@ class Scorer:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Scorer | None:
     """Fit on at most ``per_class`` labelled rows of each class; None unless both classes have rows in both folds.
 
-    Rows with null id, label or text are not learned from; of repeated ids any label may be taken.
+    Rows with null id, label or text are not learned from; of several labels of one id the least counts, of several texts that with
+    the least hash.
     """
-    usable = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y")).dropDuplicates(["id"])
+    given = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y"))
+    usable = given.groupBy("id").agg(F.min("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit("sample"), "id")
     sample = usable.where("y = 0").orderBy(order).limit(per_class).unionByName(usable.where("y = 1").orderBy(order).limit(per_class))
     rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), _ready(text_column).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = rows.withColumn("curve", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(CURVE_SHARE)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -238,3 +238,98 @@ def test_scoring_neither_explodes_nor_shuffles(docs):
     placed = docs.select(importance.words_of(F.col("text")).alias("ws")).select(importance.buckets_of("ws").alias("bs"))
     plan = placed.select(F.aggregate("bs", F.lit(0).cast("long"), lambda x, b: x + F.element_at(gain, b + 1)).alias("weight"))._jdf.queryExecution().optimizedPlan().toString()
     assert "generate" not in plan.lower().split("inmemoryrelation")[0] and "split(1,1" not in plan
+
+
+# ---- language ID
+
+
+def plain_table(rows):
+    """Slots of byte trigrams in a loop over words, counted by language."""
+    out = {}
+    for text, lang in rows:
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode()):
+            run = b" " + word + b" "
+            for end in range(1, len(run)):
+                two = run[end - 2] if end >= 2 else 0x20
+                one, byte = run[end - 1], run[end]
+                slot = ((((two if one != 0x20 else 0x20) << 16) | (one << 8) | byte) * 2654435761 % (1 << 32)) >> 16
+                out.setdefault(lang, Counter())[slot] += 1
+    return out
+
+
+def plain_mixture(word):
+    """Shares of a text's languages by loops: the full mixture's leading ones, all set sizes, penalised."""
+    n, langs = len(word), len(word[0])
+    word = [[max(x, 1e-30) for x in row] for row in word]
+
+    def expect(share, steps):
+        for _ in range(steps):
+            total = [0.0] * langs
+            for row in word:
+                whole = sum(a * b for a, b in zip(row, share, strict=True))
+                for k in range(langs):
+                    total[k] += row[k] * share[k] / whole
+            share = [t / n for t in total]
+        return share, sum(math.log(sum(a * b for a, b in zip(row, share, strict=True))) for row in word)
+
+    share, _ = expect([1 / langs] * langs, 12)
+    order = sorted(range(langs), key=lambda k: -share[k])
+    best = ([float(k == order[0]) for k in range(langs)], sum(math.log(row[order[0]]) for row in word))
+    for size in range(2, langs + 1):
+        within = [max(share[k], 1e-6) if k in order[:size] else 0.0 for k in range(langs)]
+        fit, value = expect([x / sum(within) for x in within], 6)
+        worth = value - 3.0 * (size - 1) * math.log(n + 1)
+        if worth > best[1]:
+            best = (fit, worth)
+    return best[0]
+
+
+def test_languages_as_by_plain_loops(spark):
+    from gridloom.llm.language_id import fit_languages, identify_languages, likelihoods
+
+    rng = random.Random(5)
+    words_of = {"aa": WORDS[:8], "bb": ["über", "straße", "nicht", "und", "der", "mit"], "cc": ["école", "très", "avec", "une", "dans", "les"]}
+    prose = lambda lang, n: " ".join(rng.choices(words_of[lang], k=n))
+    shown = [(prose(lang, 40), lang) for lang in words_of for _ in range(5)]
+    langs, table = fit_languages(spark.createDataFrame([*shown, (None, "aa"), ("word", None)], "text string, lang string"))
+    counts = plain_table(shown)
+    assert langs == sorted(words_of)
+    for k, lang in enumerate(langs):
+        total = sum(counts[lang].values()) + 0.5 * 65536
+        want = np.log((np.array([counts[lang][s] for s in range(65536)]) + 0.5) / total)
+        assert np.allclose(table[:, k], want, atol=1e-5)
+    texts = [prose("aa", 30), prose("aa", 60) + " " + prose("bb", 40), prose("cc", 25) + " " + prose("bb", 25) + " " + prose("aa", 30), "über", "", None, "12 34", prose("cc", 50)]
+    got = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), langs, table).collect()}
+    for i, text in enumerate(texts):
+        found = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").lower().encode())
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["languages"]) == ("und", 0.0, [])
+            continue
+        logs = []
+        for w in found:
+            one = plain_table([(w.decode(), "x")])["x"]
+            logs.append([sum(n * float(table[s, k]) for s, n in one.items()) for k in range(3)])
+        share = plain_mixture([[math.exp(x - max(row)) for x in row] for row in logs])
+        assert got[i]["lang_pred"] == langs[max(range(3), key=lambda k: share[k])] and abs(got[i]["score"] - max(share)) < 1e-3
+        assert got[i]["languages"] == [langs[k] for k in sorted(range(3), key=lambda k: -share[k]) if share[k] > 0]
+    slots, first = np.array([1, 2, 3, 4, 5, 6]), np.array([0, 2, 3])
+    import gridloom.llm.language_id as module
+
+    whole = likelihoods(table, slots, first)
+    module.WORDS_AT_ONCE, before = 1, module.WORDS_AT_ONCE
+    try:
+        assert (likelihoods(table, slots, first) == whole).all()
+    finally:
+        module.WORDS_AT_ONCE = before
+
+
+def test_labels_that_disagree_have_a_defined_class(spark):
+    from gridloom.llm.toxicity import fit_toxicity
+
+    table = spark.range(400).selectExpr("id doc_id", "if(id % 2 = 1, 'foul', 'fair') text", "cast(id % 2 as int) toxic")
+    doubled = table.unionByName(table.selectExpr("doc_id", "text", "0 as toxic").where("doc_id = 1"))
+    again = table.where("doc_id > 1").unionByName(spark.createDataFrame([(1, "foul", 0)], "doc_id long, text string, toxic int"))
+    one, two = fit_toxicity(table, doubled), fit_toxicity(table, again)
+    assert np.allclose(one.curve, two.curve, atol=0.01) and (one.model.grams.values == two.model.grams.values).all()
+    many = table.unionByName(spark.range(3000).selectExpr("1 as doc_id", "concat('other text ', id) text", "1 as toxic"))
+    assert fit_toxicity(many, table).model.grams.values.sum() <= one.model.grams.values.sum() + 100
