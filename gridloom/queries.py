@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import queries_bias, queries_chunks, queries_daylight, queries_files, queries_grid, queries_misc, queries_more, queries_raster  # noqa: E402, F401
+from . import queries_bias, queries_chunks, queries_daylight, queries_files, queries_grid, queries_misc, queries_more, queries_plans, queries_raster  # noqa: E402, F401

@@ -170,12 +170,15 @@ def regridded(spark, sf_dir):
 WINDOWS_SQL = ", ".join(f"({i}, {c!r}::double)" for i, c in enumerate(T.window_centers(24)))
 
 
-@query(f"""with w as (select * from (values {WINDOWS_SQL}) v(t_window, c)), d as (select unnest(range(1, 367)) doy)
-select {n("t_window")}, {r("c", "center")}, {n("doy")} from w, d where case when c - 60 < 0 then doy > 365 + c - 60 or doy < c + 60 when c + 60 > 365 then doy > c - 60 or doy < c + 60 - 365 else doy > c - 60 and doy < c + 60 end""")
+@query(f"""with w as (select * from (values {WINDOWS_SQL}) v(t_window, c)), d as (select dayofyear(o_orderdate) doy, count(*) placed from orders group by 1)
+select {n("t_window")}, {r("c", "center")}, {n("doy")}, {n("placed")} from w, d
+where case when c - 60 < 0 then doy > 365 + c - 60 or doy < c + 60 when c + 60 > 365 then doy > c - 60 or doy < c + 60 - 365 else doy > c - 60 and doy < c + 60 end""")
 def window_days(spark, sf_dir):
+    """Days with orders in each window of the year that they belong to."""
     from .operators.bias import window_days as days
 
-    return finish(days(spark))
+    placed = table(spark, sf_dir, "orders").groupBy(F.dayofyear("o_orderdate").alias("doy")).agg(F.count("*").alias("placed"))
+    return finish(placed.join(F.broadcast(days(spark)), "doy"), "t_window", "center", "doy", "placed")
 
 
 @query(f"""with w as (select * from (values {WINDOWS_SQL}) v(t_window, c)), o as (select distinct dayofyear(o_orderdate) doy from orders)

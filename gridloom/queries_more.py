@@ -209,19 +209,27 @@ def aligned_samples(spark, sf_dir):
     return finish(sampling.align(high.groupBy(*keys).agg(F.avg("u_100m").alias("u_100m")), high, ["u_100m"], 2, 3), *CELL, "t_idx", "u_100m", "u_100m_low")
 
 
-LISTS = {
-    "choose": ("u_100m", "u_10m", "temperature_2m"), "union": ("a", "b", "c"), "output": ("windspeed_100m", "winddirection_100m", "ghi"), "resolution": ("2km", "12.5min"), "snake": ("wind_speed_max", "ghi"),
-}
-
-
-@query("select * from (values " + ", ".join(f"('{k}', {i}::bigint, '{v}')" for k, vs in LISTS.items() for i, v in enumerate(vs)) + ") v(kind, place, name)")
+@query("""with f as (select event_type || '_' || h || 'm' as name, event_type, h from (select distinct event_type from events), unnest([10, 100]) t(h)),
+c as (select event_type, count(*) n from events group by 1),
+chosen as (select 'choose' kind, name, event_type from f where h = 100 and event_type like '%c%' union all select 'union', name, event_type from f where h = 100
+union all select 'snake', 'wind_' || event_type, event_type from f where h = 10)
+select kind, name, n::bigint events from chosen join c on c.event_type = chosen.event_type""")
 def feature_lists(spark, sf_dir):
-    """What the functions on lists of names give."""
+    """Names of features made from the kinds of events, chosen by pattern, united and rewritten, with their numbers of events."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"))
+    kinds = sorted(r[0] for r in counts.select("event_type").collect())
+    given = [f"{k}_{h}m" for k in kinds for h in (10, 100)]
     found = {
-        "choose": names.choose(["u_100m", "u_10m", "v_10m", "temperature_2m"], ["U_*", "temperature_2m"]), "union": names.union_in_order(["a", "b"], ["b", "c"]), "output": names.output_names(["u_100m", "v_100m", "ghi"]),
-        "resolution": [names.resolution("30km", 15), names.resolution("25min", 2)], "snake": [names.snake("WindSpeedMax"), names.snake("GHI")],
-    }
-    return finish(spark.createDataFrame([(k, i, v) for k, vs in found.items() for i, v in enumerate(vs)], "kind string, place int, name string"))
+        "choose": [(x, x.rpartition("_")[0]) for x in names.choose(given, ["*c*_100m"])],
+        "union": [(x, x.rpartition("_")[0]) for x in names.union_in_order(names.choose(given, ["*_100m"]), [f"{kinds[0]}_100m"])],
+        "snake": [(names.snake("Wind" + k.capitalize()), k) for k in kinds],
+    }
+    rows = spark.createDataFrame([(kind, name, of) for kind, pairs_ in found.items() for name, of in pairs_], "kind string, name string, event_type string")
+    return finish_text(rows.join(counts, "event_type"))
+
+
+def finish_text(df):
+    return df.select("kind", "name", F.col("events").cast("long").alias("events"))
 
 
 @query(f"""with {SMALL_SQL} select {KEY}, {t("time")}, {r("case when u_100m * 3 between -120 and 120 then u_100m * 3 end", "inside")} from cube""")

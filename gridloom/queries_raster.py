@@ -173,10 +173,16 @@ def time_step(spark, sf_dir):
     return finish(T.time_step(table(spark, sf_dir, "lineitem").select(F.date_trunc("day", "l_shipdate").alias("time"))))
 
 
-@query(f"""with x as (select unnest(generate_series(timestamp '2020-02-20', timestamp '2020-03-10', interval 6 hour)) as time)
-select {n("row_number() over (order by time) - 1", "t_idx")}, {t("time")} from x where not (month(time) = 2 and day(time) = 29)""")
+@query(f"""with e as (select time_bucket(interval 6 hour, ts) as time, count(*) n from events group by 1),
+x as (select unnest(generate_series(date_trunc('day', min(time)), date_trunc('day', max(time)), interval 6 hour)) as time from e)
+select {n("row_number() over (order by x.time) - 1", "t_idx")}, {t("x.time")}, {n("coalesce(n, 0)", "events")} from x left join e on e.time = x.time where not (month(x.time) = 2 and day(x.time) = 29)""")
 def time_range(spark, sf_dir):
-    return finish(T.time_range(spark, "2020-02-20", "2020-03-10", "6 hours", drop_leap=True))
+    """Steps of six hours from the first day of the events to the last, with their number, leap days left out."""
+    events = table(spark, sf_dir, "events")
+    span = events.agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("b")).first()
+    counts = events.groupBy(F.window("ts", "6 hours")["start"].alias("time")).agg(F.count("*").alias("events"))
+    steps = T.time_range(spark, span["a"], span["b"], "6 hours", drop_leap=True)
+    return finish(steps.join(counts, "time", "left").withColumn("events", F.coalesce("events", F.lit(0))), "t_idx", "time", "events")
 
 
 @query(f"""with x as (select distinct date_trunc('day', ts) as time from events), k as (select unnest([0, 1, 2, 3]) part)
