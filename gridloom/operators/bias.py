@@ -43,19 +43,42 @@ def monthly_factors(base: DataFrame, bias: DataFrame, feature: str, scalar_only:
     return _factors(both, scalar_only)
 
 
-def apply_linear(df: DataFrame, factors: DataFrame, feature: str, out_range: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+def smooth_factors(factors: DataFrame, sigma: float, columns: tuple[str, ...] = ("scalar", "adder")) -> DataFrame:
+    """Factors (gid, south_north, west_east, t_idx, columns) smoothed over the grid slot by slot, edges repeated; a null one raises."""
+    from .windows import smooth
+
+    top = factors.agg(F.max("south_north").alias("i"), F.max("west_east").alias("j"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    gaps = {c: top[c] for c in columns if top[c]}
+    if gaps:
+        raise ValueError(f"factors have gaps, fill them before they are smoothed: {gaps}")
+    keys = ["south_north", "west_east", "t_idx"]
+    for c in columns:
+        blurred = smooth(factors.select(*keys, c), c, sigma, (top["i"] or 0) + 1, (top["j"] or 0) + 1, ("t_idx",))
+        factors = factors.drop(c).join(blurred, keys)
+    return factors
+
+
+def apply_linear(
+    df: DataFrame, factors: DataFrame, feature: str, out_range: tuple[float | None, float | None] = (None, None), scalar_range=(None, None), adder_range=(None, None), smoothing: float = 0.0
+) -> DataFrame:
     """x * scalar + adder by site; factors of twelve slots go by the month. Sites without factors stay null.
 
+    Factors are smoothed over the grid first (``smoothing``: the kernel's width in cells), then held to their ranges.
     A site's only slot is repeated for all months, so the join is on site and month alone.
     """
+    if smoothing:
+        factors = smooth_factors(factors, smoothing)
+    factors = factors.withColumns({"scalar": clip(F.col("scalar"), *scalar_range), "adder": clip(F.col("adder"), *adder_range)})
     slots = factors.join(factors.groupBy("gid").agg(F.count("*").alias("_n")), "gid")
     month = F.explode(F.when(F.col("_n") == 1, F.sequence(F.lit(0), F.lit(11))).otherwise(F.array(F.col("t_idx").cast("int"))))
     keyed = df.withColumn("_month", F.month("time") - 1).join(slots.select("gid", "scalar", "adder", month.alias("_month")), ["gid", "_month"], "left")
     return keyed.withColumn(feature, clip(F.col(feature) * F.col("scalar") + F.col("adder"), *out_range)).select(*df.columns)
 
 
-def apply_linear_averaged(df: DataFrame, factors: DataFrame, feature: str, out_range=(None, None), scalar_range=(None, None), adder_range=(None, None)) -> DataFrame:
-    """Monthly factors averaged over the months of the data's own times, then applied to all of them."""
+def apply_linear_averaged(df: DataFrame, factors: DataFrame, feature: str, out_range=(None, None), scalar_range=(None, None), adder_range=(None, None), smoothing: float = 0.0) -> DataFrame:
+    """Monthly factors averaged over the months of the data's own times, then applied to all of them; smoothed first if asked."""
+    if smoothing:
+        factors = smooth_factors(factors, smoothing)
     times = df.select("time").distinct().select((F.month("time") - 1).alias("t_idx"))
     mean = factors.join(times, "t_idx").groupBy("gid").agg(F.avg("scalar").alias("scalar"), F.avg("adder").alias("adder"))
     joined = df.join(mean, "gid", "left")

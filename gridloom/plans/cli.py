@@ -18,15 +18,15 @@ from pyspark.sql import SparkSession
 from ..operators import bias, collect, qa, solar
 from ..sources import scan, sinks
 from .downscale import configured
-from .handler import Handler
+from .handler import handler_by_name
 
 
 #: Key columns that a result keeps beside chosen features.
 KEYS = ("gid", "south_north", "west_east", "latitude", "longitude", "t_idx", "time")
 
 
-def extract(spark: SparkSession, source, out: str, features: list[str], **options) -> None:
-    Handler(features=features, **options).from_files(spark, source).write.parquet(out)
+def extract(spark: SparkSession, source, out: str, features: list[str], handler: str = "base", **options) -> None:
+    handler_by_name(handler, features=features, **options).from_files(spark, source).write.parquet(out)
 
 
 def bias_calc(spark: SparkSession, base: str, bias_source: str, feature: str, out: str, method: str = "linear", future: str | None = None) -> None:

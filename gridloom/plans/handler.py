@@ -14,7 +14,7 @@ from .features import derive
 
 @dataclass
 class Handler:
-    """Scan, crop, derive, shift, coarsen, drop or fill gaps; nothing runs before the result is used."""
+    """Scan, crop, derive, roll, shift, coarsen, drop or fill gaps; nothing runs before the result is used (a roll counts the times first)."""
 
     features: list[str]
     load: list[str] | str = "all"
@@ -23,9 +23,11 @@ class Handler:
     shape: tuple[int, int] | None = None
     threshold: float | None = None
     times: tuple[int | None, int | None, int] = (None, None, 1)
-    time_shift: int = 0
+    time_roll: int = 0  # steps that values move on, around the end
+    time_shift: int = 0  # minutes added to the times
     coarsen_by: int = 1
     gaps: str | None = None  # 'mask' drops times, 'linear' or 'nearest' fill
+    gaps_along: str = "t_idx"  # or south_north, west_east
     options: dict = field(default_factory=dict)
     after_crop: Callable[[DataFrame], DataFrame] | None = None
     after_derive: Callable[[DataFrame], DataFrame] | None = None
@@ -42,6 +44,10 @@ class Handler:
         if self.after_derive:
             df = self.after_derive(df)
         df = df.select("south_north", "west_east", "time", *self.features)
+        if self.time_roll:
+            indexed = raster.time_index(df)
+            steps = df.select("time").distinct().count()
+            df = windows.roll(indexed, self.features, self.time_roll, steps).drop("t_idx")
         if self.time_shift:
             df = windows.shift_time(df, self.time_shift)
         if self.coarsen_by > 1:
@@ -51,7 +57,8 @@ class Handler:
         elif self.gaps:
             indexed = raster.time_index(df)
             for f in self.features:
-                indexed = windows.interpolate_na(indexed, f, method=self.gaps)
+                others = tuple(c for c in ("south_north", "west_east", "t_idx") if c != self.gaps_along)
+                indexed = windows.interpolate_na(indexed, f, self.gaps_along, others, self.gaps)
             df = indexed.drop("t_idx")
         return df
 
@@ -67,6 +74,25 @@ class Handler:
         return scan.read_cached(spark, cache, self.features, keys)
 
 
+#: Handlers by name, for configurations: each takes a handler's options.
+HANDLERS: dict[str, Callable[..., Handler]] = {
+    "base": Handler,
+    "wind-sites": lambda **options: Handler(**{"registry": "wind_sites", **options}),
+    "solar-sites": lambda **options: Handler(**{"registry": "solar_sites", **options}),
+    "climate-model": lambda **options: Handler(**{"registry": "climate_model", **options}),
+}
+
+
+def register_handler(name: str, build: Callable[..., Handler]) -> None:
+    HANDLERS[name] = build
+
+
+def handler_by_name(name: str, **options) -> Handler:
+    if name not in HANDLERS:
+        raise ValueError(f"no handler {name!r}; known: {sorted(HANDLERS)}")
+    return HANDLERS[name](**options)
+
+
 def daily_pair(hourly: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
     """(daily, hourly) members of a data set."""
     return coarsen.daily(hourly, features), hourly

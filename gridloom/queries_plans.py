@@ -11,8 +11,9 @@ from .finish import finish, n, r, t
 from .operators import bias, coarsen, sampling, standardize
 from .operators.raster import time_index
 from .plans import cli, pairs
+from .plans.handler import handler_by_name
 from .queries import query
-from .queries_grid import INDEXED
+from .queries_grid import INDEXED, _gauss
 from .queries_more import _place
 from .queries_raster import CELL, KEY
 from .sources import scan, sinks
@@ -105,3 +106,28 @@ def cached_features(spark, sf_dir):
     have, lacking = scan.cached(spark, pattern, ["u_100m", "v_100m"])
     sinks.write_features(cube, pattern, [*have, *lacking], keys)
     return finish(scan.read_cached(spark, pattern, ["u_100m", "v_100m"], keys), *keys, "u_100m", "v_100m")
+
+
+@query(f"""with {SMALL_SQL}, {_gauss(0.7)},
+m as (select gid, any_value(south_north) i, any_value(west_east) j, avg(u_100m) bm, stddev_pop(u_100m) bs, avg(v_100m) mm, stddev_pop(v_100m) ms from cube group by gid),
+f as (select gid, i, j, bs / ms scalar, bm - mm * bs / ms adder from m),
+a as (select p.i, f.j, sum(f.scalar * w) scalar, sum(f.adder * w) adder from (select distinct i from f) p cross join gw join f on f.i = least(greatest(p.i + k, 0), 3) group by p.i, f.j),
+b as (select a.i, q.j, sum(a.scalar * w) scalar, sum(a.adder * w) adder from (select distinct j from f) q cross join gw join a on a.j = least(greatest(q.j + k, 0), 3) group by a.i, q.j)
+select {KEY}, {t("time")}, {r("v_100m * least(greatest(scalar, 0.9), 1.1) + case when adder is not null then least(greatest(adder, -3), 3) end", "v_100m", 6)} from cube join b on b.i = south_north and b.j = west_east""")
+def corrected_smoothed(spark, sf_dir):
+    """Linear correction with factors smoothed over the grid and held to ranges."""
+    cube = cube_small(spark, sf_dir)
+    series = lambda f: cube.select("gid", "time", F.col(f).alias("v_100m"))
+    factors = bias.linear_factors(series("u_100m"), series("v_100m"), "v_100m").join(cube.select("gid", *CELL).distinct(), "gid")
+    done = bias.apply_linear(cube, factors, "v_100m", scalar_range=(0.9, 1.1), adder_range=(-3, 3), smoothing=0.7)
+    return finish(done, *CELL, "time", "v_100m", digits=6)
+
+
+@query(f"""with {SMALL_SQL}, x as (select south_north i, west_east j, dense_rank() over (order by time) - 1 k, time, ghi from cube),
+steps as (select max(k) + 1 n from x),
+moved as (select i, j, (k + 2) % n k, ghi from x, steps)
+select {n("x.i", "south_north")}, {n("x.j", "west_east")}, {t("x.time + interval 30 minute", "time")}, {r("coalesce(m.ghi, 0)", "ghi")} from x join moved m on m.i = x.i and m.j = x.j and m.k = x.k""")
+def rolled_handler(spark, sf_dir):
+    """A handler that rolls values in time and shifts the times."""
+    cube = cube_small(spark, sf_dir).withColumn("ghi", F.coalesce("ghi", F.lit(0.0)))
+    return finish(handler_by_name("base", features=["ghi"], time_roll=2, time_shift=30).run(cube), *CELL, "time", "ghi")

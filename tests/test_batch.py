@@ -133,3 +133,24 @@ def test_a_mapped_value_that_is_not_finite_raises(spark):
     assert bias.apply_qdm(times, params, "x", 1, levels=[0.0, 0.5, 1.0]).where("x is not null").count() == 40
     with pytest.raises(Exception, match="not finite"):
         bias.apply_qdm(times.withColumn("x", F.lit(math.inf)), params, "x", 1, levels=[0.0, 0.5, 1.0]).collect()
+
+
+def test_handlers_by_name_and_gaps_along_an_axis(spark):
+    from gridloom.plans.handler import Handler, handler_by_name, register_handler
+
+    rows = [(0, j, k, None if j == 2 else 10.0 * j + k) for j in range(5) for k in range(3)]
+    df = spark.createDataFrame(rows, "south_north int, west_east int, k int, temperature_2m double").withColumns({"time": F.timestamp_seconds(F.col("k") * 3600), "latitude": F.lit(1.0), "longitude": F.lit(2.0)}).drop("k")
+    got = handler_by_name("base", features=["temperature_2m"], gaps="linear", gaps_along="west_east").run(df)
+    assert {(r["west_east"], r["time"].hour, r["temperature_2m"]) for r in got.collect()} == {(j, k, 10.0 * j + k) for j in range(5) for k in range(3)}
+    register_handler("rolled", lambda **o: Handler(time_roll=1, **o))
+    rolled = {(r["west_east"], r["time"].hour): r["temperature_2m"] for r in handler_by_name("rolled", features=["temperature_2m"]).run(df).collect()}
+    assert rolled[1, 0] == 12.0 and rolled[1, 1] == 10.0 and rolled[2, 0] is None
+    with pytest.raises(ValueError, match="known"):
+        handler_by_name("other", features=[])
+
+
+def test_factors_with_gaps_are_not_smoothed(spark):
+    factors = spark.createDataFrame([(0, 0, 0, 0, 1.0, 0.0), (1, 0, 1, 0, None, 0.0)], "gid int, south_north int, west_east int, t_idx int, scalar double, adder double")
+    with pytest.raises(ValueError, match="gaps"):
+        bias.smooth_factors(factors, 1.0)
+    assert {(r["gid"], round(r["scalar"], 9)) for r in bias.smooth_factors(factors.fillna(3.0), 50.0).collect()} != set()
