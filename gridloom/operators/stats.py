@@ -62,6 +62,21 @@ def histogram(df: DataFrame, feature: str, least: float, most: float, bins: int
     return counts.withColumns({"center": least + (F.col("bin") + 0.5) * width, "density": F.col("count") / (total * width)})
 
 
+def filled_histogram(df: DataFrame, feature: str, least: float, most: float, bins: int = 40, by: tuple[str, ...] = ()) -> DataFrame:
+    """(bin, count, center, share) of all bins: an empty bin between two that have values gets what the line between their counts says, others 0; shares add up to 1."""
+    width = (most - least) / bins
+    counts = histogram(df, feature, least, most, bins, by).select(*by, "bin", F.col("count").cast("double").alias("count"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    slots = (counts.select(*by).distinct().crossJoin(F.broadcast(every)) if by else every).join(counts, [*by, "bin"], "left")
+    w = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("bin")  # as many rows as bins
+    known = F.when(F.col("count").isNotNull(), F.struct("bin", "count"))
+    before, behind = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(known, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    line = F.col("_a.count") + (F.col("_b.count") - F.col("_a.count")) * (F.col("bin") - F.col("_a.bin")) / (F.col("_b.bin") - F.col("_a.bin"))
+    filled = slots.withColumns({"_a": before, "_b": behind}).withColumn("count", F.coalesce("count", line, F.lit(0.0))).drop("_a", "_b")
+    total = F.sum("count").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    return filled.withColumns({"center": least + (F.col("bin") + 0.5) * width, "share": F.try_divide(F.col("count"), total)})
+
+
 def trimmed_range(df: DataFrame, feature: str, percentile: float = 99.9) -> float:
     """Value below which so many per cent of the magnitudes lie."""
     return df.agg(F.percentile(F.abs(F.col(feature)), percentile / 100).alias("p")).first()["p"]

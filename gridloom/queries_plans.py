@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .cubes import HISTORY_SQL, SITES_SQL, SMALL_SQL, cube_small, histories, sites
 from .finish import finish, n, r, t
-from .operators import bias, coarsen, sampling, standardize
+from .operators import bias, coarsen, sampling, standardize, stats
 from .operators.raster import time_index
 from .plans import cli, pairs
 from .plans.handler import handler_by_name
@@ -131,3 +131,13 @@ def rolled_handler(spark, sf_dir):
     """A handler that rolls values in time and shifts the times."""
     cube = cube_small(spark, sf_dir).withColumn("ghi", F.coalesce("ghi", F.lit(0.0)))
     return finish(handler_by_name("base", features=["ghi"], time_roll=2, time_shift=30).run(cube), *CELL, "time", "ghi")
+
+
+@query(f"""with {SMALL_SQL}, b as (select south_north g, least(floor(ghi / 0.5)::int, 199) bin, count(*)::double c from cube where ghi between 0 and 100 group by 1, 2),
+x as (select g, bin from (select distinct g from b), unnest(range(0, 200)) t(bin)),
+a as (select x.g, x.bin, b.c, p.bin pb, p.c pc, q.bin qb, q.c qc from x left join b on b.g = x.g and b.bin = x.bin asof left join b p on p.g = x.g and p.bin <= x.bin asof left join b q on q.g = x.g and q.bin >= x.bin),
+f as (select g, bin, coalesce(c, pc + (qc - pc) * (bin - pb) / (qb - pb), 0) c from a)
+select {n("g", "south_north")}, {n("bin")}, {r("c", "count")}, {r("c / sum(c) over (partition by g)", "share")} from f""")
+def filled_density(spark, sf_dir):
+    """Shares of narrow bins by row of cells, gaps between them filled along lines."""
+    return finish(stats.filled_histogram(cube_small(spark, sf_dir), "ghi", 0.0, 100.0, 200, ("south_north",)), "south_north", "bin", "count", "share")
