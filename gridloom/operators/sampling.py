@@ -139,6 +139,8 @@ class BatchQueue:
     seed: int = 42
     time_weights: list[float] | None = None
     space_weights: list[float] | None = None
+    smoothing: float = 0.0  # width in coarse cells; 0 for none
+    smoothing_ignore: tuple[str, ...] = ()
     rng: random.Random = field(init=False)
 
     def __post_init__(self):
@@ -158,18 +160,47 @@ class BatchQueue:
 
     def batch(self) -> tuple[DataFrame, DataFrame]:
         """(coarse, fine): rows keyed by obs, south_north, west_east, t_idx."""
-        from .coarsen import spatial, temporal
-
         fine = None
         for obs in range(self.batch_size):
             k, row, column, step = self.draw()
             sample = cut_samples(self.containers[k][0], row, column, step, self.shape)
             sample = sample.select(F.lit(obs).alias("obs"), F.col("i").alias("south_north"), F.col("j").alias("west_east"), F.col("t").alias("t_idx"), *self.features)
             fine = sample if fine is None else fine.unionByName(sample)
-        coarse = spatial(fine, self.features, self.s, by=("obs", "t_idx")) if self.s > 1 else fine
+        return self._coarse(fine, ("obs",)), fine
+
+    def _coarse(self, fine: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """The coarse members of samples, smoothed if asked."""
+        from .coarsen import spatial, temporal
+        from .windows import smooth
+
+        coarse = spatial(fine, self.features, self.s, by=(*by, "t_idx")) if self.s > 1 else fine
         if self.t > 1:
-            coarse = temporal(coarse, self.features, self.t, self.method, by=("obs", "south_north", "west_east")).withColumnRenamed("t_block", "t_idx")
-        return coarse, fine
+            coarse = temporal(coarse, self.features, self.t, self.method, by=(*by, "south_north", "west_east")).withColumnRenamed("t_block", "t_idx")
+        if self.smoothing:
+            keys = [*by, "t_idx", "south_north", "west_east"]
+            for f in self.features:
+                if f not in self.smoothing_ignore:
+                    blurred = smooth(coarse.select(*keys, f), f, self.smoothing, self.shape[0] // self.s, self.shape[1] // self.s, (*by, "t_idx"))
+                    coarse = coarse.drop(f).join(blurred, keys)
+        return coarse
+
+    def epoch(self) -> tuple[DataFrame, DataFrame]:
+        """(coarse, fine) of all batches as one plan: the draws become a table of cells that is joined with each container once; ``batch`` numbers them."""
+        drawn: dict[int, list[tuple[int, ...]]] = {}
+        for b in range(self.n_batches):
+            for obs in range(self.batch_size):
+                k, *corner = self.draw()
+                drawn.setdefault(k, []).append((b, obs, *corner))
+        fine = None
+        for k, rows in sorted(drawn.items()):
+            df = self.containers[k][0]
+            cells = df.sparkSession.createDataFrame(rows, "batch int, obs int, _row int, _column int, _step int")
+            for name, first, size in (("i", "_row", self.shape[0]), ("j", "_column", self.shape[1]), ("t", "_step", self.shape[2])):
+                cells = cells.withColumn(f"_{name}", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn(first, F.col(first) + F.col(f"_{name}"))
+            here = cells.withColumnsRenamed({"_row": "south_north", "_column": "west_east", "_step": "t_idx"}).join(df, ["south_north", "west_east", "t_idx"])
+            here = here.select("batch", "obs", F.col("_i").alias("south_north"), F.col("_j").alias("west_east"), F.col("_t").alias("t_idx"), *self.features)
+            fine = here if fine is None else fine.unionByName(here)
+        return self._coarse(fine, ("batch", "obs")), fine
 
     def __iter__(self) -> Iterator[tuple[DataFrame, DataFrame]]:
         for _ in range(self.n_batches):

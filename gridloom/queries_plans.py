@@ -141,3 +141,25 @@ select {n("g", "south_north")}, {n("bin")}, {r("c", "count")}, {r("c / sum(c) ov
 def filled_density(spark, sf_dir):
     """Shares of narrow bins by row of cells, gaps between them filled along lines."""
     return finish(stats.filled_histogram(cube_small(spark, sf_dir), "ghi", 0.0, 100.0, 200, ("south_north",)), "south_north", "bin", "count", "share")
+
+
+def _queue(df=None):
+    return sampling.BatchQueue([(df, 4, 4, 20)], ["ghi"], (2, 4, 6), 2, 3, batch_size=3, n_batches=2, seed=7, smoothing=0.6)
+
+
+def _draws() -> str:
+    queue = _queue()
+    rows = [(b, o, *queue.draw()[1:]) for b in range(2) for o in range(3)]
+    return "draws as (select * from (values " + ", ".join(map(str, rows)) + ") d(batch, obs, r0, c0, t0))"
+
+
+@query(f"""with {INDEXED}, {_draws()}, {_gauss(0.6)},
+fine as (select batch, obs, south_north - r0 i, west_east - c0 j, t_idx - t0 k, coalesce(ghi, 0) x from draws join ix on south_north between r0 and r0 + 1 and west_east between c0 and c0 + 3 and t_idx between t0 and t0 + 5),
+block as (select batch, obs, i // 2 bi, j // 2 bj, k, case when count(x) = 4 then sum(x) / 4 end x from fine group by all),
+low as (select batch, obs, bi i, bj j, k // 3 k, coalesce(sum(x), 0) / 3 x from block group by batch, obs, bi, bj, k // 3),
+a as (select low.batch, low.obs, low.i, p.j, low.k, sum(low.x * w) x from (select distinct j from low) p cross join gw join low on low.j = least(greatest(p.j + gw.k, 0), 1) group by all)
+select {n("batch")}, {n("obs")}, {n("i", "south_north")}, {n("j", "west_east")}, {n("k", "t_idx")}, {r("x", "ghi", 6)} from a""")
+def epoch_of_batches(spark, sf_dir):
+    """All batches of an epoch in one plan, coarse members smoothed."""
+    df = time_index(cube_small(spark, sf_dir)).select(*CELL, "t_idx", F.coalesce("ghi", F.lit(0.0)).alias("ghi"))
+    return finish(_queue(df).epoch()[0], "batch", "obs", *CELL, "t_idx", "ghi", digits=6)

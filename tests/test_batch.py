@@ -154,3 +154,14 @@ def test_factors_with_gaps_are_not_smoothed(spark):
     with pytest.raises(ValueError, match="gaps"):
         bias.smooth_factors(factors, 1.0)
     assert {(r["gid"], round(r["scalar"], 9)) for r in bias.smooth_factors(factors.fillna(3.0), 50.0).collect()} != set()
+
+
+def test_an_epoch_holds_the_same_samples_as_its_batches(spark):
+    cube = spark.range(8 * 8 * 12).selectExpr("cast(id / 96 as int) as south_north", "cast(id / 12 % 8 as int) as west_east", "cast(id % 12 as int) as t_idx", "cast(id as double) as x", "id * 2.0D as y")
+    queue = lambda: sampling.BatchQueue([(cube, 8, 8, 12), (cube.withColumn("x", -F.col("x")), 8, 8, 12)], ["x", "y"], (4, 4, 6), 2, 2, batch_size=3, n_batches=2, seed=3, smoothing=0.5, smoothing_ignore=("y",))
+    coarse, fine = queue().epoch()
+    for b, (low, high) in enumerate(queue()):
+        for whole, one in ((fine, high), (coarse, low)):
+            mine = whole.where(F.col("batch") == b).drop("batch")
+            flat = lambda df: sorted((r["obs"], r["south_north"], r["west_east"], r["t_idx"], round(r["x"], 6), round(r["y"], 6)) for r in df.collect())
+            assert flat(mine) == flat(one) and mine.count() > 0
