@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +43,21 @@ def merge_features(frames: list[DataFrame], keys: tuple[str, ...] = ("gid", "tim
     return out
 
 
-def place(df: DataFrame, meta: DataFrame) -> DataFrame:
+def place(df: DataFrame, meta: DataFrame, strict: bool = False) -> DataFrame:
     """``df`` with ``row``, its site's place in the output (places run from 0 by gid); sites of a chunk that do not follow each other raise.
 
-    ``meta`` has one row a site; sites of ``df`` that it lacks raise.
+    ``meta`` has one row a site; rows of sites that it lacks go with a warning, or raise with ``strict``.
     """
     rows = ranked(cut(meta.select("gid").distinct()), F.asc("gid"), name="row").withColumn("row", F.col("row") - 1)
     rows = cut(rows)
     span = df.select("gid").distinct().join(rows, "gid", "left").agg((F.max("row") - F.min("row") + 1).alias("span"), F.count("*").alias("n"), F.count("row").alias("known")).first()
-    if span["known"] != span["n"]:
-        raise ValueError(f"{span['n'] - span['known']} sites are not in the output's list")
-    if span["n"] and span["span"] != span["n"]:
-        raise ValueError(f"{span['n']} sites lie on {span['span']} rows of the output")
+    unknown = span["n"] - span["known"]
+    if unknown and strict:
+        raise ValueError(f"{unknown} sites are not in the output's list")
+    if unknown:
+        warnings.warn(f"{unknown} sites are not in the output's list; their rows are left out", stacklevel=2)
+    if span["known"] and span["span"] != span["known"]:
+        raise ValueError(f"{span['known']} sites lie on {span['span']} rows of the output")
     return df.join(rows, "gid")
 
 

@@ -124,7 +124,9 @@ def test_chunks_that_disagree_give_the_first_ones_rows(spark):
     with pytest.raises(ValueError, match="lie on"):
         collect.place(frame([(1, 0, 0.0), (5, 0, 0.0)]), meta)
     with pytest.raises(ValueError, match="not in"):
-        collect.place(frame([(4, 0, 0.0)]), meta)
+        collect.place(frame([(4, 0, 0.0)]), meta, strict=True)
+    with pytest.warns(UserWarning, match="left out"):
+        assert collect.place(frame([(4, 0, 0.0), (5, 0, 0.0)]), meta).count() == 1
 
 
 def test_a_mapped_value_that_is_not_finite_raises(spark):
