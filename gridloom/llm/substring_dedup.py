@@ -37,9 +37,11 @@ KEY_BITS = 27
 KEYS_BYTES, SEGMENTS_BYTES = 24 << 20, 6 << 20
 #: Distinct bytes that one suffix array takes; more are cut between keys. Twice as many bytes of segments are solved at once.
 ARRAY_BYTES = 2 << 20
-#: Documents from which a key is hot, and bits of the bitmap that marks hot keys: 2 MB whatever the data. A key marked
-#: by another one's bit takes the same way; that costs time, never results.
-HOT_DOCS, HOT_BITS = 256, 24
+#: Documents, or segments (of 115 bytes at most) in two documents or more, from which a key is hot, and bits of the bitmap that marks
+#: hot keys: 2 MB whatever the data. A key marked by another one's bit takes the same way; that costs time, never results. So no key
+#: brings more than 230 KB to a shard, nor more than ``MOST_CROWD`` segments to one of hot keys: one suffix array never takes more
+#: than ``ARRAY_BYTES`` and that.
+HOT_DOCS, HOT_SEGMENTS, HOT_BITS = 256, 2048, 24
 #: A hot key is dealt on by longer grams if it has more different segments than an even share of a shuffle partition,
 #: or, once cut, a quarter of it; taken within these bounds.
 CROWD, MOST_CROWD = 256, 16_384
@@ -61,7 +63,10 @@ def _gram_keys(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _runs(part: W.Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one key: first start, last start (places in the slice) and key."""
+    """Runs of strings with one key: first start, last start (places in the slice) and key.
+
+    A gram that recurs within a string's length makes endless runs; they are cut after twice the strings that one gram's place can rule.
+    """
     none = np.zeros(0, np.int64)
     data, n = part.data, len(part.data)
     if n > 2 * W.SLICE_BYTES and part.n == 1:  # a run that goes on in the next piece becomes two
@@ -84,6 +89,12 @@ def _runs(part: W.Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     joined = np.zeros(count + 1, bool)
     joined[1:-1] = valid[1:] & valid[:-1] & (least[1:] == least[:-1])
     first, last = np.flatnonzero(valid & ~joined[:-1]), np.flatnonzero(valid & ~joined[1:])
+    most = 2 * width
+    pieces = (last - first) // most + 1
+    if len(pieces) and pieces.max() > 1:
+        run = np.repeat(np.arange(len(first)), pieces)
+        first = first[run] + most * _spread(np.zeros(len(pieces), np.int64), pieces)
+        last = np.minimum(first + most - 1, last[run])
     return first, last, W.mix(least[first] ^ np.uint64(0x5851F42D4C957F2D))
 
 
@@ -103,33 +114,39 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> tuple
     """Bitmaps of the keys that two rows have and of the hot ones, by the keys' top bits."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, again, size = [], [], 0
 
         def hand_over() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            more = np.zeros(len(keys), np.uint32)
+            for often, times in again:
+                more[np.searchsorted(keys, often)] += times
             rest = (keys << np.uint64(bits)) >> np.uint64(32)  # the 32 bits behind the part; more documents mean more parts
-            return _blobs(keys >> np.uint64(64 - bits), {"keys": rest.astype(np.uint32), "counts": counts.astype(np.uint32)})
+            return _blobs(keys >> np.uint64(64 - bits), {"keys": rest.astype(np.uint32), "counts": counts.astype(np.uint32), "more": more})
 
         for batch in batches:
             for part in W.slices(batch["text"]):
                 first, _, key = _runs(part, length, gram)
                 held.append(W.distinct(key, np.searchsorted(first, part.offsets))[0])
+                if len(held[-1]) < len(key):  # keys that a document has more than once
+                    (keys, runs), texts = np.unique(key, return_counts=True), np.unique(held[-1], return_counts=True)[1]
+                    again.append((keys[runs > texts], (runs - texts)[runs > texts].astype(np.uint32)))
                 size += len(part.data)
                 if size > KEYS_BYTES:
                     yield hand_over()
-                    held, size = [], 0
+                    held, again, size = [], [], 0
         if held:
             yield hand_over()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(part: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            keys, counts = (np.concatenate([np.frombuffer(x[i], np.uint32) for x in held]) for i in (0, 1))
+        def answer(part: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+            keys, counts, more = (np.concatenate([np.frombuffer(x[i], np.uint32) for x in held]) for i in range(3))
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
-            rows = np.add.reduceat(counts[order].astype(np.int64), start) if len(start) else counts.astype(np.int64)
+            rows, more = (np.add.reduceat(c[order].astype(np.int64), start) if len(start) else c.astype(np.int64) for c in (counts, more))
             maps = []
-            for size, often in ((KEY_BITS, rows > 1), (HOT_BITS, rows >= HOT_DOCS)):
+            for size, often in ((KEY_BITS, rows > 1), (HOT_BITS, (rows >= HOT_DOCS) | ((rows > 1) & (rows + more >= HOT_SEGMENTS)))):
                 marks = np.zeros(1 << (size - bits), bool)
                 marks[keys[start[often]] >> np.uint32(32 - size + bits)] = True
                 maps.append(pa.array([np.packbits(marks).tobytes()], pa.binary()))
@@ -137,16 +154,16 @@ def _repeated_keys(shown: DataFrame, length: int, gram: int, bits: int) -> tuple
 
         held, last = [], None
         for batch in batches:
-            for part, keys, counts in zip(*(batch[c].to_pylist() for c in ("part", "keys", "counts")), strict=True):
+            for part, *blobs in zip(*(batch[c].to_pylist() for c in ("part", "keys", "counts", "more")), strict=True):
                 if held and part != last:
                     yield answer(last, held)
                     held = []
-                held.append((keys, counts))
+                held.append(tuple(blobs))
                 last = part
         if held:
             yield answer(last, held)
 
-    dealt = shown.select("text").mapInArrow(gather, "part int, keys binary, counts binary").repartition("part").sortWithinPartitions("part")
+    dealt = shown.select("text").mapInArrow(gather, "part int, keys binary, counts binary, more binary").repartition("part").sortWithinPartitions("part")
     rows = dealt.mapInArrow(merge, "part int, marks binary, hot binary").toArrow()
     repeated, hot = (np.zeros((1 << bits, 1 << (size - bits - 3)), np.uint8) for size in (KEY_BITS, HOT_BITS))
     for part, marks, often in zip(*(rows[c].to_pylist() for c in ("part", "marks", "hot")), strict=True):
@@ -325,7 +342,7 @@ def _hot_spans(shown: DataFrame, bitmap, hot, length: int, gram: int, bits: int)
             order = np.argsort(kind, kind="stable")
             ids, starts = ids[order], starts[order].astype(np.int32)
             begin = np.searchsorted(kind[order], np.arange(len(first)))
-            stop = np.append(begin[1:], len(ids))
+            stop = np.append(begin, len(ids))[1:]
             pick = list(zip(begin.tolist(), stop.tolist(), strict=True))
             some = len(first) > 0
             return pa.RecordBatch.from_arrays(

@@ -321,6 +321,44 @@ def test_substring_dedup_of_a_phrase_in_all_documents(spark, monkeypatch):
     _same_as_plain(spark.createDataFrame(rows, "doc_id long, text string"), want)
 
 
+def _table_texts(n, lines, rng):
+    """Different texts in which one gram recurs every 32 bytes, but for a passage that the first and the last share."""
+    texts = ["".join("| value of it now | %014d" % rng.integers(10**13) for _ in range(lines)) for _ in range(n)]
+    texts[-1] = texts[0][400:700] + texts[-1]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def test_substring_dedup_of_tables_with_one_gram_throughout(spark, monkeypatch):
+    """Few documents, but many bytes under one key: it is hot by its segments, and dealt on."""
+    from gridloom.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 64)
+    monkeypatch.setattr(substring_dedup, "CROWD", 16)
+    monkeypatch.setattr(substring_dedup, "MOST_CROWD", 64)
+    rows = [*_table_texts(9, 60, np.random.default_rng(3)), (9, "a" * 3000), (10, "b" + "a" * 2000), (11, None)]
+    want = brute.without_repeats(rows)
+    assert want[8][1] >= 300 and want[10][1] == 2000
+    _same_as_plain(spark.createDataFrame(rows, "doc_id long, text string"), want)
+
+
+def test_runs_and_suffix_arrays_are_bounded(spark):
+    """Twelve texts of 1 MB under one key: no run is endless, the key is hot, and its segments leave the common shards."""
+    import pyarrow as pa
+
+    from gridloom.llm import substring_dedup as dedup
+    from gridloom.llm import words as W
+
+    rows = _table_texts(12, 32_000, np.random.default_rng(4))
+    (part,) = W.slices(pa.array([rows[0][1] + "\n"], pa.large_string()))
+    first, last, key = dedup._runs(part, 50, 18)
+    assert (last - first).max() < 66 and (np.diff(first) == last[:-1] - first[:-1] + 1).all() and first[0] == 0 and last[-1] == len(rows[0][1]) - 50
+    shown = spark.createDataFrame(rows, "id long, text string").select("id", W.text_column("text").alias("text"))
+    repeated, hot = dedup._repeated_keys(shown, 50, 18, 8)
+    keys, runs = np.unique(key, return_counts=True)
+    heavy = keys[runs > dedup.HOT_SEGMENTS]
+    assert len(heavy) and dedup._marked(hot, heavy).all() and dedup._marked(repeated, heavy).all()
+
+
 def test_substring_dedup_takes_text_ids(spark):
     rows = [(x, t) for x, t in zip("dbac", ["q" * 20 + "some passage that is longer than fifty bytes, surely so" + z for z in "wxyz"], strict=True)]
     want = brute.without_repeats(rows)
