@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import dense
@@ -23,21 +23,26 @@ def pair(true: DataFrame, fake: DataFrame, features: list[str]) -> DataFrame:
     return true.select(*CELL, *features).join(fake.select(*CELL, *[F.col(f).alias(f"{f}_hat") for f in features]), list(CELL))
 
 
-def _mean(df: DataFrame, features: list[str], value: Callable) -> DataFrame:
+#: Errors of single values by name.
+POINTWISE = {"mae": lambda a, b: F.abs(a - b), "mse": lambda a, b: (a - b) * (a - b), "exp": lambda a, b: 1 - F.exp(-(a - b) * (a - b))}
+
+
+def _mean(features: list[str], name: str) -> Column:
     """Mean over all cells and features."""
-    return df.agg((sum((F.avg(value(F.col(f), F.col(f"{f}_hat"))) for f in features[1:]), F.avg(value(F.col(features[0]), F.col(f"{features[0]}_hat")))) / len(features)).alias("loss"))
+    means = [F.avg(POINTWISE[name](F.col(f), F.col(f"{f}_hat"))) for f in features]
+    return sum(means[1:], means[0]) / len(means)
 
 
 def mae(both: DataFrame, features: list[str]) -> DataFrame:
-    return _mean(both, features, lambda a, b: F.abs(a - b))
+    return both.agg(_mean(features, "mae").alias("loss"))
 
 
 def mse(both: DataFrame, features: list[str]) -> DataFrame:
-    return _mean(both, features, lambda a, b: (a - b) * (a - b))
+    return both.agg(_mean(features, "mse").alias("loss"))
 
 
 def exp_loss(both: DataFrame, features: list[str]) -> DataFrame:
-    return _mean(both, features, lambda a, b: 1 - F.exp(-(a - b) * (a - b)))
+    return both.agg(_mean(features, "exp").alias("loss"))
 
 
 def coarse_mse(both: DataFrame, features: list[str]) -> DataFrame:
@@ -49,9 +54,8 @@ def coarse_mse(both: DataFrame, features: list[str]) -> DataFrame:
 def extremes(both: DataFrame, features: list[str], over: tuple[str, ...]) -> DataFrame:
     """Half the error of the least plus half of the most, over space or over time."""
     rest = [c for c in CELL if c not in over]
-    low = both.groupBy(*rest).agg(*[F.min(c).alias(c) for f in features for c in (f, f"{f}_hat")])
-    high = both.groupBy(*rest).agg(*[F.max(c).alias(c) for f in features for c in (f, f"{f}_hat")])
-    return mae(low, features).unionByName(mae(high, features)).agg(F.avg("loss").alias("loss"))
+    ends = both.groupBy(*rest).agg(*[e(c).alias(f"{n}_{c}") for f in features for c in (f, f"{f}_hat") for n, e in (("low", F.min), ("high", F.max))])
+    return mae(ends, [f"{n}_{f}" for f in features for n in ("low", "high")])
 
 
 def spatial_extremes(both: DataFrame, features: list[str]) -> DataFrame:
@@ -73,9 +77,18 @@ def _derived(both: DataFrame, features: list[str], axes: tuple[str, ...]) -> Dat
 
 def derivative_loss(both: DataFrame, features: list[str], axes: tuple[str, ...]) -> DataFrame:
     """Mean absolute error of the derivatives along the axes."""
-    d = _derived(both, features, axes)
+    return _derived(both, features, axes).agg(_slope_error(features, axes).alias("loss"))
+
+
+def _slope_error(features: list[str], axes: tuple[str, ...]) -> Column:
     errors = [F.avg(F.abs(F.col(f"{f}_d_{a}") - F.col(f"{f}_hat_d_{a}"))) for f in features for a in axes]
-    return d.agg((sum(errors[1:], errors[0]) / len(errors)).alias("loss"))
+    return sum(errors[1:], errors[0]) / len(errors)
+
+
+def _flow_error(u: str, v: str) -> Column:
+    flow = lambda f, h: F.col(f"{f}{h}_d_t_idx") + F.col(f"{u}{h}") * F.col(f"{f}{h}_d_south_north") + F.col(f"{v}{h}") * F.col(f"{f}{h}_d_west_east")
+    errors = [F.avg(F.abs(flow(f, "") - flow(f, "_hat"))) for f in (u, v)]
+    return (errors[0] + errors[1]) / 2
 
 
 def spatial_derivative(both: DataFrame, features: list[str]) -> DataFrame:
@@ -88,10 +101,7 @@ def temporal_derivative(both: DataFrame, features: list[str]) -> DataFrame:
 
 def material_derivative(both: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Of d/dt + u d/dx + v d/dy of both components; rows are x."""
-    d = _derived(both, [u, v], ("t_idx", "south_north", "west_east"))
-    flow = lambda f, h: F.col(f"{f}{h}_d_t_idx") + F.col(f"{u}{h}") * F.col(f"{f}{h}_d_south_north") + F.col(f"{v}{h}") * F.col(f"{f}{h}_d_west_east")
-    errors = [F.avg(F.abs(flow(f, "") - flow(f, "_hat"))) for f in (u, v)]
-    return d.agg(((errors[0] + errors[1]) / 2).alias("loss"))
+    return _derived(both, [u, v], ("t_idx", "south_north", "west_east")).agg(_flow_error(u, v).alias("loss"))
 
 
 #: Observations of a batch that are compared pair by pair at most.
@@ -159,10 +169,33 @@ LOSSES = {
 }
 
 
+def together(both: DataFrame, features: list[str], names: list[str] | None = None) -> DataFrame:
+    """(name, loss) of the losses named, or of all in ``LOSSES``, in few passes: errors of values are one aggregation, those of slopes one more.
+
+    ``material_derivative`` may be named too; the first two features are its wind. Others of ``LOSSES``, registered ones too, take a pass each.
+    """
+    names = list(LOSSES) if names is None else list(names)
+    unknown = set(names) - set(LOSSES) - {"material_derivative"}
+    if unknown:
+        raise ValueError(f"no loss {sorted(unknown)}; known: {sorted(LOSSES)}")
+    sloped = {"spatial_derivative": ("south_north", "west_east"), "temporal_derivative": ("t_idx",), "material_derivative": ("t_idx", "south_north", "west_east")}
+    frames = []
+    points = {x: _mean(features, x) for x in names if x in POINTWISE}
+    if points:
+        frames.append(both.agg(*[c.alias(x) for x, c in points.items()]))
+    slopes = {x: _flow_error(*features[:2]) if x == "material_derivative" else _slope_error(features, sloped[x]) for x in names if x in sloped}
+    if slopes:
+        axes = tuple(a for a in CELL if any(a in sloped[x] for x in slopes))
+        frames.append(_derived(both, features, axes).agg(*[c.alias(x) for x, c in slopes.items()]))
+    out = [f.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("loss")) for x in f.columns])).alias("x")).select("x.*") for f in frames]
+    out += [LOSSES[x](both, features).select(F.lit(x).alias("name"), "loss") for x in names if x not in points and x not in slopes]
+    whole = out[0]
+    for rest in out[1:]:
+        whole = whole.unionByName(rest)
+    return whole
+
+
 def weighted(both: DataFrame, features: list[str], terms: dict[str, float]) -> DataFrame:
     """Weighted sum of losses by name."""
-    rows = [LOSSES[name](both, features).select((F.col("loss") * w).alias("loss")) for name, w in terms.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.agg(F.sum("loss").alias("loss"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for name, w in terms.items() for x in (name, float(w))]), F.col("name"))
+    return together(both, features, list(terms)).agg(F.sum(F.col("loss") * weight).alias("loss"))

@@ -7,6 +7,7 @@ A model is any callable from an array (rows, columns, steps, features) to a fine
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -61,11 +62,15 @@ class SurfaceModel:
     """Temperature by lapse rate, humidity by temperature and height, pressure by height, anything else resized alone.
 
     ``coarse`` and ``fine`` are topographies (rows, columns). With ``fix_bias`` each coarse
-    cell's mean is kept.
+    cell's mean is kept. ``noise`` (one number, or one a feature, None for none) adds uniform noise from 0 to that; it follows
+    from ``seed`` and the chunk's values, so a chunk that is computed again gets the same.
     """
 
-    def __init__(self, features: list[str], coarse: np.ndarray, fine: np.ndarray, weights: tuple[float, float] = (0.0, 0.0), fix_bias: bool = True):
+    def __init__(self, features: list[str], coarse: np.ndarray, fine: np.ndarray, weights: tuple[float, float] = (0.0, 0.0), fix_bias: bool = True, noise: float | list[float | None] | None = None, seed: int = 42):
         self.features, self.coarse, self.fine, self.weights, self.fix_bias = features, coarse, fine, weights, fix_bias
+        self.noise, self.seed = noise if isinstance(noise, (list, tuple)) else [noise] * len(features), seed
+        if len(self.noise) != len(features):
+            raise ValueError(f"{len(self.noise)} noises for {len(features)} features")
         self.s_enhance, self.t_enhance = fine.shape[0] // coarse.shape[0], 1
 
     def _resize(self, field: np.ndarray) -> np.ndarray:
@@ -92,7 +97,27 @@ class SurfaceModel:
             if self.fix_bias:
                 fine = fine + np.repeat(np.repeat(cube[..., k] - self._mean(fine), self.s_enhance, 0), self.s_enhance, 1)
             out.append(fine)
-        return np.stack(out, -1)
+        rng = np.random.default_rng([self.seed, zlib.crc32(np.ascontiguousarray(cube, np.float64).tobytes())])
+        return np.stack([fine if most is None else fine + rng.uniform(0, most, fine.shape) for fine, most in zip(out, self.noise, strict=True)], -1)
+
+
+class WholeDays:
+    """A model that gives fewer steps than ``t_enhance`` a coarse one, such as hours of whole days without the outer ones: the lacking ones are mirrored on.
+
+    Both ends get the same number of steps, the end itself not repeated. Steps that cannot be shared out evenly, more than were given and
+    more to mirror than there are raise.
+    """
+
+    def __init__(self, model: Callable, t_enhance: int = 24, s_enhance: int | None = None):
+        self.model, self.t_enhance = model, t_enhance
+        self.s_enhance = s_enhance or getattr(model, "s_enhance", 1)
+
+    def __call__(self, cube: np.ndarray, **layers) -> np.ndarray:
+        fine = self.model(cube, **layers)
+        pad, odd = divmod(cube.shape[2] * self.t_enhance - fine.shape[2], 2)
+        if odd or pad < 0 or pad >= max(fine.shape[2], 1):
+            raise ValueError(f"{fine.shape[2]} steps cannot be mirrored to {cube.shape[2] * self.t_enhance}")
+        return np.pad(fine, [(pad if axis == 2 else 0,) * 2 for axis in range(fine.ndim)], mode="reflect")
 
 
 def in_sequence(*models: Callable) -> Callable:
@@ -193,10 +218,3 @@ def chain_of(configs: list[dict], exo: list | None = None) -> Chain:
         model = model_by_name(c["model"], **rest)
         steps.append(Step(model, tuple(c["inputs"]), tuple(c.get("outputs", c["inputs"])), getattr(model, "s_enhance", 1), getattr(model, "t_enhance", 1), c.get("spatial", False)))
     return Chain(steps, exo=exo)
-
-
-def observation_mask(seed: int, share: float):
-    """Column: whether a cell counts as observed."""
-    from pyspark.sql import functions as F
-
-    return F.rand(seed) <= share

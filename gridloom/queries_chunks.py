@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .cubes import SMALL_SQL, cube_small, table
 from .finish import finish, n, r, t
 from .operators import chunks, models
+from .operators.observations import Coverage, observed
 from .operators.raster import time_index
 from .plans.pairs import exo_steps
 from .queries import query
@@ -67,3 +68,39 @@ def narrow_chunks(spark, sf_dir):
     steps = cube.agg(F.max("t_idx")).first()[0] + 1
     sent = chunks.with_halo(cube, chunks.Layout((4, 4, steps), (3, 3, steps), (1, 1, 0), least=(4, 4, 0)))
     return finish(sent, "s_chunk", "i", "j", "time", "ghi")
+
+
+def _hours_of_inner_days(x: np.ndarray) -> np.ndarray:
+    """The hours of all days but the outer two: a day's value times the hour's share of the daylight."""
+    hours = np.maximum(0, 6 - np.abs(np.arange(24) - 11.5))
+    return np.repeat(x[:, :, 1:-1], 24, 2) * np.tile(hours / 36, x.shape[2] - 2)[None, None, :, None]
+
+
+@query(f"""with {_FULL} select {n("i.south_north", "south_north")}, {n("i.west_east", "west_east")}, {n("i.t_idx * 24 + h", "t_idx")},
+{r("coalesce(ghi, 0) * greatest(0, 6 - abs(h - 11.5)) / 36", "ghi")} from whole i, unnest(range(24)) hours(h)""")
+def forward_pass_hours(spark, sf_dir):
+    """Hours from daily chunks by a model that gives those of the inner days; what it lacks is mirrored on and cut off with the overlap."""
+    cube = _whole(spark, sf_dir).withColumn("ghi", F.coalesce("ghi", F.lit(0.0)))
+    top = cube.agg(F.max("south_north"), F.max("t_idx")).first()
+    layout = chunks.Layout((top[0] + 1, 15, top[1] + 1), (4, 5, 7), (0, 0, 1), (1, 1, 24))
+    return finish(chunks.forward_pass(cube, ["ghi"], layout, models.WholeDays(_hours_of_inner_days), ["ghi"]), "south_north", "west_east", "t_idx", "ghi")
+
+
+def _draw(*parts: str) -> str:
+    return f"((('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 8))::bigint + 0.5) / 4294967296.0::double)"
+
+
+def _reports(kind: str, space: tuple[float, float], time: tuple[float, float]) -> str:
+    of = lambda what, *more: _draw(f"'7:{kind} {what}'", "obs", *more)
+    share = lambda what, s: f"least(greatest({s[0]}::double + {of(what)} * ({s[1]}::double - {s[0]}::double), 0), 1)"
+    return f"({of('cell', 'south_north', 'west_east')} <= {share('space', space)} and {of('step', 't_idx')} <= {share('time', time)})"
+
+
+@query(f"""with {_FULL}, x as (select *, (t_idx // 7)::varchar obs, 10 * west_east - 50 topography from whole)
+select obs, {n("south_north")}, {n("west_east")}, {n("t_idx")}, {r("u_100m", "u_100m")},
+{r(f"case when case when topography > 0 then {_reports('onshore', (0.3, 0.6), (0.8, 0.8))} else {_reports('offshore', (0.1, 0.2), (0.5, 1))} end then u_100m end", "u_100m_obs")} from x""")
+def observed_cells(spark, sf_dir):
+    """Wind as stations see it, week by week: more of the land (east of the sixth column) than of the sea."""
+    cube = _whole(spark, sf_dir).withColumns({"obs": F.floor(F.col("t_idx") / 7).cast("string"), "topography": 10 * F.col("west_east") - 50})
+    seen = observed(cube, ["u_100m"], Coverage((0.3, 0.6), 0.8), Coverage((0.1, 0.2), (0.5, 1.0)), seed=7)
+    return finish(seen, "obs", "south_north", "west_east", "t_idx", "u_100m", "u_100m_obs")

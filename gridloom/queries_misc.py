@@ -124,11 +124,7 @@ union all select 'spatial_derivative', {r("(avg(abs(u_south_north - u_hat_south_
 union all select 'temporal_derivative', {r("(avg(abs(u_t_idx - u_hat_t_idx)) + avg(abs(v_t_idx - v_hat_t_idx))) / 2", "loss")} from sl
 union all select 'material_derivative', {r(f"(avg(abs({_flow('u', '')} - {_flow('u', '_hat')})) + avg(abs({_flow('v', '')} - {_flow('v', '_hat')}))) / 2", "loss")} from sl)""")
 def training_losses(spark, sf_dir):
-    both = _both(spark, sf_dir)
-    out = losses.material_derivative(both).select(F.lit("material_derivative").alias("name"), "loss")
-    for name, loss in losses.LOSSES.items():
-        out = out.unionByName(loss(both, ["u", "v"]).select(F.lit(name).alias("name"), "loss"))
-    return finish(out)
+    return finish(losses.together(_both(spark, sf_dir), ["u", "v"], [*losses.LOSSES, "material_derivative"]))
 
 
 def _transform(x: str, angle: str) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import chunks, models
+from gridloom.operators.observations import Coverage, observed
 from gridloom.plans import cli
 from gridloom.plans.pairs import exo_steps
 
@@ -118,3 +119,40 @@ def test_the_forward_pass_command(spark, tmp_path):
     assert done.count() == 8 * 8 * 3 and {(r["t_idx"], r["temperature_2m"]) for r in done.collect()} == {(t, t + 7.0) for t in range(3)}
     cli.run(spark, [config])  # all chunks are there
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8 * 8 * 3
+
+
+def test_whole_days_mirrors_what_a_model_lacks():
+    cube = np.arange(5.0).reshape(1, 1, 5, 1)
+    inner = lambda x: np.repeat(x[:, :, 1:-1], 4, 2) + np.tile(np.arange(4) / 10, x.shape[2] - 2)[None, None, :, None]
+    got = models.WholeDays(inner, 4)(cube)[0, 0, :, 0].tolist()
+    given = inner(cube)[0, 0, :, 0].tolist()
+    assert len(got) == 20 and got == [*given[4:0:-1], *given, *given[-2:-6:-1]]
+    assert models.WholeDays(lambda x: np.repeat(x, 4, 2), 4)(cube).shape[2] == 20  # nothing is lacking
+    for steps in (19, 25, 6, 0):  # an odd rest, too many, too few to mirror
+        with pytest.raises(ValueError, match="mirrored"):
+            models.WholeDays(lambda x: np.zeros((1, 1, steps, 1)), 4)(cube)  # noqa: B023
+
+
+def test_noise_of_surface_models_is_bounded_and_repeats():
+    cube = np.random.default_rng(0).normal(size=(3, 3, 2, 2))
+    build = lambda **k: models.SurfaceModel(["temperature_2m", "other"], np.zeros((3, 3)), np.zeros((6, 6)), **k)
+    plain, noisy = build()(cube), build(noise=[0.5, None])(cube)
+    more = noisy - plain
+    assert (more[..., 1] == 0).all() and (more[..., 0] >= 0).all() and 0.3 < more[..., 0].max() < 0.5
+    assert (build(noise=[0.5, None])(cube) == noisy).all() and not (build(noise=[0.5, None], seed=1)(cube) == noisy).all()
+    assert not np.allclose(build(noise=[0.5, None])(cube + 1) - build()(cube + 1), more)  # another chunk, other noise
+    with pytest.raises(ValueError, match="noises"):
+        build(noise=[1.0])
+
+
+def test_observed_shares(spark):
+    cube = spark.range(40_000).selectExpr("id % 2 obs", "cast(id div 2 % 100 as int) south_north", "cast(id div 200 % 20 as int) west_east", "cast(id div 4000 as int) t_idx", "1.0d x", "if(id div 200 % 20 < 10, 5.0d, null) topography")
+    got = observed(cube, ["x"], Coverage(0.4, 0.5), Coverage(0.0), seed=3)
+    assert got.where("topography is null and x_obs is not null").count() == 0 and got.count() == 40_000
+    cells = got.where("x_obs is not null").groupBy("obs", "south_north", "west_east").count().collect()
+    assert 0.33 < len(cells) / 2000 < 0.47 and all(1 <= r["count"] <= 9 for r in cells)
+    assert len({(r["obs"], r["count"]) for r in cells}) == 2  # an observation's cells report at the same steps
+    assert observed(cube.repartition(7), ["x"], Coverage(0.4, 0.5), Coverage(0.0), seed=3).exceptAll(got).isEmpty()
+    lost = cube.withColumn("t_idx", F.expr("nullif(t_idx, 1)"))
+    assert observed(lost, ["x"], Coverage(1.0)).where("t_idx is null and x_obs is not null").isEmpty() and observed(cube.limit(0), ["x"], Coverage(1.0)).isEmpty()
+    assert observed(cube, ["x"], Coverage(1.0)).where("x_obs is null").isEmpty()

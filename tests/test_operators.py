@@ -252,6 +252,10 @@ def test_losses(spark, cube_array):
     for loss in (losses.mae, losses.coarse_mse, losses.spatial_extremes, losses.temporal_derivative):
         assert value(loss(same, ["x"])) == pytest.approx(0)
     assert value(losses.sliced_wasserstein(same, "x")) == pytest.approx(0) and value(losses.sliced_wasserstein(both, "x")) > 0
+    one_by_one = {name: value(loss(both, ["x"])) for name, loss in losses.LOSSES.items()}
+    assert {r["name"]: r["loss"] for r in losses.together(both, ["x"]).collect()} == pytest.approx(one_by_one)
+    with pytest.raises(ValueError, match="no loss"):
+        losses.together(both, ["x"], ["mae", "other"])
     assert value(losses.weighted(both, ["x"], {"mae": 2.0, "mse": 0.5})) == pytest.approx(2 * np.abs(true - fake).mean() + 0.5 * ((true - fake) ** 2).mean())
 
 
