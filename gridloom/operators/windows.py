@@ -67,14 +67,14 @@ def rotation(grid: DataFrame) -> DataFrame:
 
 def interpolate_na(df: DataFrame, feature: str, along: str = "t_idx", by: tuple[str, ...] = SERIES, method: str = "linear") -> DataFrame:
     """Nulls of a series from its values before and behind; the ends go on from the two nearest values (linear) or repeat one (nearest)."""
-    w = Window.partitionBy(*by).orderBy(along)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # ``ahead`` runs from the last row: a frame that reaches to a window's end is computed anew for each row
+    back, ahead = (Window.partitionBy(*by).orderBy(order(along)).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc, F.desc))
     here = F.when(F.col(feature).isNotNull(), F.struct(F.col(along).alias("t"), F.col(feature).alias("x")))
     marked = df.withColumn("_here", here)
-    previous, following = F.last("_here", True).over(back), F.first("_here", True).over(ahead)
+    previous, following = F.last("_here", True).over(back), F.last("_here", True).over(ahead)
     marked = marked.withColumns({"_p": previous, "_n": following})
     marked = marked.withColumn("_pp", F.last(F.when(F.col("_here").isNotNull(), F.struct(F.col("_here").alias("a"), F.col("_p").alias("b"))), True).over(back))
-    marked = marked.withColumn("_nn", F.first(F.when(F.col("_here").isNotNull(), F.struct(F.col("_here").alias("a"), F.col("_n").alias("b"))), True).over(ahead))
+    marked = marked.withColumn("_nn", F.last(F.when(F.col("_here").isNotNull(), F.struct(F.col("_here").alias("a"), F.col("_n").alias("b"))), True).over(ahead))
     t = F.col(along)
     line = lambda a, b: a["x"] + (t - a["t"]) * F.try_divide(b["x"] - a["x"], b["t"] - a["t"])
     if method == "nearest":
@@ -178,9 +178,9 @@ def fill_nearest(df: DataFrame, feature: str, by: tuple[str, ...] = ("time",)) -
     source = F.struct(F.col("_i").alias("row"), F.col("_v").alias("value"))
     kind = dict(filled.select(source.alias("s")).dtypes)["s"]
     both = filled.select(*by, "_j", "_i", source.alias("_s")).unionByName(needed.select(*by, "_j", "_i", F.lit(None).cast(kind).alias("_s")))
-    along = Window.partitionBy(*by, "_j").orderBy("_i", F.col("_s").isNull())
-    above = F.last("_s", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first("_s", True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    # both frames grow from the window's first row: one that reaches to the last is computed anew for each row
+    down, up = (Window.partitionBy(*by, "_j").orderBy(order("_i"), F.col("_s").isNull()) for order in (F.asc, F.desc))
+    above, below = (F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (down, up))
     nearer = F.when(F.col("_a").isNull() | (F.col("_b.row") - F.col("_i") < F.col("_i") - F.col("_a.row")), F.col("_b")).otherwise(F.col("_a"))
     found = both.withColumns({"_a": above, "_b": below}).where("_s is null").select(*by, "_j", "_i", nearer.alias("_n"))
     found = found.select(*by, "_i", "_j", F.col("_n.row").cast("long").alias("_row"), F.col("_n.value").alias("_v"))

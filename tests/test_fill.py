@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from gridloom.operators.windows import fill_nearest, nearest_columns
+from gridloom.operators.windows import fill_nearest, interpolate_na, nearest_columns
 
 
 def test_the_envelope_is_the_least_parabola_everywhere():
@@ -42,3 +42,19 @@ def test_one_value_fills_a_large_field(spark):
     df = spark.range(400 * 300).selectExpr("0 as time", "cast(id / 300 as int) as south_north", "cast(id % 300 as int) as west_east", "if(id = 5017, 3.5, null) as v")
     assert fill_nearest(df, "v").selectExpr("count(*)", "min(v)", "max(v)", "count(v)").first() == (120000, 3.5, 3.5, 120000)
     assert fill_nearest(df.limit(0), "v").count() == 0
+
+
+def test_long_columns_are_filled_in_steps_linear_in_their_rows(spark):
+    n = 120_000
+    df = spark.range(n).selectExpr("0 as time", "cast(id as int) as south_north", "0 as west_east", f"if(id in (7, {n - 9}), cast(id as double), null) as v")
+    filled = fill_nearest(df, "v")
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    near = filled.selectExpr(f"count_if(v = if(south_north - 7 <= {n - 9} - south_north, 7, {n - 9}))").first()[0]
+    assert near == n
+
+
+def test_series_take_the_values_behind_a_gap_without_a_frame_to_the_end(spark):
+    df = spark.createDataFrame([(0, 0, t, x) for t, x in enumerate([None, 2.0, None, None, 8.0, 9.0, None])], "south_north int, west_east int, t_idx int, x double")
+    filled = interpolate_na(df, "x")
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r["x"] for r in filled.orderBy("t_idx").collect()] == [0.0, 2.0, 4.0, 6.0, 8.0, 9.0, 10.0]
