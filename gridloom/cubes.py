@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import make_importable
@@ -61,10 +63,15 @@ def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 HISTORY_SQL = ",\n".join(f"{n} as (select l_suppkey gid, l_shipdate as time, l_quantity x from lineitem where l_returnflag = '{f}')" for n, f in (("base", "N"), ("bias", "R"), ("fut", "A")))
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gid, south_north, west_east, latitude, longitude) of the suppliers, five to a row."""
+def placed(start: str, step: str, k: Column) -> Column:
+    """start + step * k in decimals, as SQL's literals are: distances that are equal stay equal."""
+    return (F.lit(Decimal(start)) + F.lit(Decimal(step)) * k.cast("decimal(10,0)")).cast("decimal(14,5)")
+
+
+def sites(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """(gid, south_north, west_east, latitude, longitude) of the suppliers, five to a row; ``exact``: coordinates are decimals."""
     i, j = F.floor(F.col("s_suppkey") / 5), F.pmod("s_suppkey", F.lit(5))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gid"), i.cast("int").alias("south_north"), j.cast("int").alias("west_east"), (40 - 0.1 * i).alias("latitude"), (-105 + 0.1 * j).alias("longitude"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gid"), i.cast("int").alias("south_north"), j.cast("int").alias("west_east"), (placed("40", "-0.1", i) if exact else 40 - 0.1 * i).alias("latitude"), (placed("-105", "0.1", j) if exact else -105 + 0.1 * j).alias("longitude"))
 
 
 SITES_SQL = "sites as (select s_suppkey gid, s_suppkey // 5 south_north, s_suppkey % 5 west_east, 40 - 0.1 * (s_suppkey // 5) latitude, -105 + 0.1 * (s_suppkey % 5) longitude from supplier)"
@@ -81,9 +88,9 @@ def of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gid, latitude, longitude, x): customers strewn over the suppliers' area by arithmetic of their keys."""
+    """(gid, latitude, longitude, x): customers strewn over the suppliers' area by arithmetic of their keys; coordinates are decimals."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("gid"), (40.2 - F.pmod(k * 37, F.lit(1009)) * 0.00231).alias("latitude"), (-105.2 + F.pmod(k * 53, F.lit(997)) * 0.00087).alias("longitude"), F.col("c_acctbal").alias("x"))
+    return table(spark, sf_dir, "customer").select(k.alias("gid"), placed("40.2", "-0.00231", F.pmod(k * 37, F.lit(1009))).alias("latitude"), placed("-105.2", "0.00087", F.pmod(k * 53, F.lit(997))).alias("longitude"), F.col("c_acctbal").alias("x"))
 
 
 SCATTERED_SQL = "pts as (select c_custkey gid, 40.2 - ((c_custkey * 37) % 1009) * 0.00231 latitude, -105.2 + ((c_custkey * 53) % 997) * 0.00087 longitude, c_acctbal x from customer)"

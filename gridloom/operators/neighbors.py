@@ -21,12 +21,13 @@ def _squares(points: DataFrame, width: float, id_column: str, prefix: str) -> Da
 
 
 def within(source: DataFrame, target: DataFrame, bound: float, source_id: str = "gid", target_id: str = "gid") -> DataFrame:
-    """(sid, tid, distance): all pairs nearer than ``bound`` degrees."""
+    """(sid, tid, distance): all pairs nearer than ``bound`` degrees. Coordinates that are decimals are subtracted as such."""
     near = F.expr("sequence(-1, 1)")
     looked = _squares(source, bound, source_id, "s").select("sid", "slat", "slon", "x", F.explode(F.transform(near, lambda d: F.col("y") + d)).alias("y"))
     looked = looked.select("sid", "slat", "slon", "y", F.explode(F.transform(near, lambda d: F.col("x") + d)).alias("x"))
     pairs = looked.join(_squares(target, bound, target_id, "t"), ["y", "x"])
-    distance = F.hypot(F.col("slat") - F.col("tlat"), F.col("slon") - F.col("tlon"))
+    down, right = ((F.col(f"s{c}") - F.col(f"t{c}")).cast("double") for c in ("lat", "lon"))
+    distance = F.sqrt(down * down + right * right)
     return pairs.select("sid", "tid", distance.alias("distance")).where(F.col("distance") < bound)
 
 
@@ -55,7 +56,7 @@ def nearest(source: DataFrame, target: DataFrame, width: float | None = None, so
     found = nowhere.select(F.col(source_id).alias("sid"), F.lit(None).cast(target.schema[target_id].dataType).alias("tid"), F.lit(None).cast("double").alias("distance"))
     if not span["n"]:
         return found
-    area = (span["hi_latitude"] - span["lo_latitude"]) * (span["hi_longitude"] - span["lo_longitude"])
+    area = float(span["hi_latitude"] - span["lo_latitude"]) * float(span["hi_longitude"] - span["lo_longitude"])
     width = width or max((area / span["n"]) ** 0.5, 1e-3)
     left = cut(source.where(known).select(source_id, "latitude", "longitude"))
     while not left.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from .cubes import HISTORY_SQL, SITES_SQL, histories, in_debt, of_nations, sites
@@ -200,9 +202,9 @@ def paired_histories_all(spark, sf_dir):
 
 
 def _paired_histories(spark, sf_dir):
-    s = sites(spark, sf_dir)
+    s = sites(spark, sf_dir, exact=True)
     base = histories(spark, sf_dir)[0].join(s.select("gid", "latitude", "longitude"), "gid")
-    meta = s.select("gid", (F.col("latitude") + 0.02).alias("latitude"), (F.col("longitude") + 0.031).alias("longitude"))
+    meta = s.select("gid", (F.col("latitude") + Decimal("0.02")).alias("latitude"), (F.col("longitude") + Decimal("0.031")).alias("longitude"))
     return finish(bias.pair_histories(base, meta, "x", 0.15, "avg"))
 
 

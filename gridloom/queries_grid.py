@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .cubes import HISTORY_SQL, SCATTERED_SQL, SITES_SQL, SMALL_SQL, WIDE_SQL, cube_small, cube_wide, histories, in_debt, of_nations, scattered, sites, table
+from .cubes import HISTORY_SQL, SCATTERED_SQL, SITES_SQL, SMALL_SQL, WIDE_SQL, cube_small, cube_wide, histories, in_debt, of_nations, placed, scattered, sites, table
 from .finish import finish, n, r, t
 from .functions import times as T
 from .operators import chunks, collect, grid, neighbors, profiles, raster, sampling, windows
@@ -109,17 +109,17 @@ NEAR = f"""{SITES_SQL}, {SCATTERED_SQL}, pr as (select p.gid sid, s.gid tid, sqr
 @query(f"""with {NEAR}, b as (select sid, arg_min(tid, struct_pack(d := distance, t := tid)) tid, min(distance) distance from pr where distance < 0.12 group by sid)
 select {n("gid", "sid")}, {n("coalesce(tid, -1)", "tid")}, {r("distance", "distance")} from pts left join b on gid = sid""")
 def nearest_site(spark, sf_dir):
-    return finish(neighbors.nn_join(scattered(spark, sf_dir), sites(spark, sf_dir), 0.12).fillna(-1, ["tid"]))
+    return finish(neighbors.nn_join(scattered(spark, sf_dir), sites(spark, sf_dir, exact=True), 0.12).fillna(-1, ["tid"]))
 
 
 @query(f"with {NEAR} select {n('sid')}, {n('arg_min(tid, struct_pack(d := distance, t := tid))', 'tid')}, {r('min(distance)', 'distance')} from pr group by sid")
 def nearest_site_anywhere(spark, sf_dir):
-    return finish(neighbors.nearest(scattered(spark, sf_dir), sites(spark, sf_dir), 0.03))
+    return finish(neighbors.nearest(scattered(spark, sf_dir), sites(spark, sf_dir, exact=True), 0.03))
 
 
 @query(f"""with {NEAR}, k as (select sid, tid, distance, row_number() over (partition by sid order by distance, tid) rank from pr where distance < 0.2) select {n("sid")}, {n("tid")}, {r("distance", "distance")}, {n("rank")} from k where rank <= 3""")
 def nearest_sites(spark, sf_dir):
-    return finish(neighbors.knn_join(scattered(spark, sf_dir), sites(spark, sf_dir), 3, 0.2))
+    return finish(neighbors.knn_join(scattered(spark, sf_dir), sites(spark, sf_dir, exact=True), 3, 0.2))
 
 
 @query(f"""with {SITES_SQL}, d as (select south_north, west_east, abs(latitude - lag(latitude) over (partition by west_east order by south_north)) a, abs(longitude - lag(longitude) over (partition by south_north order by west_east)) o from sites)
@@ -131,7 +131,7 @@ def default_bound(spark, sf_dir):
 @query(f"""with {NEAR}, b as (select sid, arg_min(tid, struct_pack(d := distance, t := tid)) tid from pr where distance < 0.12 group by sid), m as (select tid, avg(x) x from b join pts on gid = sid group by tid)
 select {n("gid")}, {r("x", "x")} from sites left join m on gid = tid""")
 def group_mean(spark, sf_dir):
-    return finish(neighbors.group_mean(scattered(spark, sf_dir), sites(spark, sf_dir), ["x"], 0.12))
+    return finish(neighbors.group_mean(scattered(spark, sf_dir), sites(spark, sf_dir, exact=True), ["x"], 0.12))
 
 
 @query(f"""with {SITES_SQL}, o as (select l_suppkey % 20 + 100000 gid, 40 - 0.0713 * (l_suppkey % 20) latitude, -104.95 + 0.0191 * (l_suppkey % 20) longitude, date_trunc('year', l_shipdate) as time, l_quantity x from lineitem),
@@ -141,8 +141,8 @@ g as (select s.gid, y.time, x from sites s cross join (select distinct time from
 select {n("gid")}, {t("time")}, {r("x", "x_obs")}, {r("(select count(x) / count(*)::double from g)", "cover")} from g""")
 def observation_raster(spark, sf_dir):
     k = F.pmod("l_suppkey", F.lit(20))
-    obs = table(spark, sf_dir, "lineitem").select((k + 100000).alias("gid"), (40 - 0.0713 * k).alias("latitude"), (-104.95 + 0.0191 * k).alias("longitude"), F.date_trunc("year", "l_shipdate").alias("time"), F.col("l_quantity").alias("x_obs"))
-    raster_ = neighbors.group_mean(obs, sites(spark, sf_dir), ["x_obs"], 0.1, by_time=True)
+    obs = table(spark, sf_dir, "lineitem").select((k + 100000).alias("gid"), placed("40", "-0.0713", k).alias("latitude"), placed("-104.95", "0.0191", k).alias("longitude"), F.date_trunc("year", "l_shipdate").alias("time"), F.col("l_quantity").alias("x_obs"))
+    raster_ = neighbors.group_mean(obs, sites(spark, sf_dir, exact=True), ["x_obs"], 0.1, by_time=True)
     return finish(raster_.crossJoin(F.broadcast(neighbors.observation_cover(raster_, "x_obs"))), "gid", "time", "x_obs", "cover")
 
 
@@ -164,7 +164,7 @@ def same_places_in_debt(spark, sf_dir):
 @query(f"""with {NEAR}, k as (select sid, tid, distance, row_number() over (partition by tid order by distance, sid) rank from pr where distance < 0.2), w as (select k.tid, 1 / greatest(distance, 1e-9) w, x from k join pts on gid = sid where rank <= 4)
 select {n("tid", "cell")}, {r("sum(w * x) / sum(w)", "x", 4)} from w group by tid""")
 def regridded(spark, sf_dir):
-    return finish(neighbors.regrid(scattered(spark, sf_dir), sites(spark, sf_dir), ["x"], 4, 0.2), digits=4)
+    return finish(neighbors.regrid(scattered(spark, sf_dir), sites(spark, sf_dir, exact=True), ["x"], 4, 0.2), digits=4)
 
 
 WINDOWS_SQL = ", ".join(f"({i}, {c!r}::double)" for i, c in enumerate(T.window_centers(24)))

@@ -199,7 +199,7 @@ c as (select s.gid, south_north, west_east, x from sites s left join m on tid =
 nn as (select c.gid, arg_min(ok.x, struct_pack(d := sqrt((c.south_north - ok.south_north) ** 2 + (c.west_east - ok.west_east) ** 2), i := ok.south_north, j := ok.west_east)) y from c cross join ok where c.x is null group by c.gid)
 select {n("c.gid", "gid")}, {n("south_north")}, {n("west_east")}, {r("coalesce(x, y) * 0.5", "x")} from c left join nn on nn.gid = c.gid""")
 def exogenous_field(spark, sf_dir):
-    return finish(pairs.exo_field(scattered(spark, sf_dir), sites(spark, sf_dir), "x", 0.04, 0.5), "gid", *CELL, "x")
+    return finish(pairs.exo_field(scattered(spark, sf_dir), sites(spark, sf_dir, exact=True), "x", 0.04, 0.5), "gid", *CELL, "x")
 
 
 @query(f"""with {INDEXED}, lo as (select south_north // 2 i, west_east // 2 j, t_idx // 3 k, avg(u_100m) u from ix group by all) select {KEY}, {n("t_idx")}, {r("u_100m", "u_100m")}, {r("u", "u_100m_low")} from ix join lo on i = south_north // 2 and j = west_east // 2 and k = t_idx // 3""")

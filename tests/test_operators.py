@@ -593,3 +593,18 @@ def test_qa_command_corrects_the_source(spark, tmp_path):
     cli.run(spark, [{"command": "qa", **{k: paths[k] for k in ("fine", "source", "factors", "out")}, "features": ["x"], "s": 2, "t": 2, "bias_method": "linear"}])
     row = spark.read.parquet(paths["out"]).first()
     assert (row["x_synthetic"], row["x_true"], row["x_error"]) == (3.0, 2.0, 1.0)
+
+
+def test_places_at_one_distance_go_by_their_ids(spark):
+    """The middle of four places: in binary the differences of its coordinates to theirs are not the same."""
+    from decimal import Decimal
+
+    from gridloom.cubes import placed
+
+    k = spark.range(1).select(placed("-105.2", "0.00087", F.lit(3)).alias("x")).first()["x"]
+    assert k == Decimal("-105.19739")
+    point = spark.createDataFrame([(1, Decimal("39.95000"), Decimal("-104.95000"))], "gid int, latitude decimal(14,5), longitude decimal(14,5)")
+    around = [(i, Decimal(40) - Decimal("0.1") * (i // 2), Decimal(-105) + Decimal("0.1") * (i % 2)) for i in range(4)]
+    corners = spark.createDataFrame(around, "gid int, latitude decimal(14,5), longitude decimal(14,5)")
+    got = {r["rank"]: (r["tid"], r["distance"]) for r in neighbors.knn_join(point, corners, 4, 0.2).collect()}
+    assert got == {i + 1: (i, (0.05 * 0.05 + 0.05 * 0.05) ** 0.5) for i in range(4)}
