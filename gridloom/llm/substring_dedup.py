@@ -452,9 +452,13 @@ def _answers(segments: DataFrame, length: int, grams: list[int], bits: int, shar
         return solved(segments)
     pieces = cut(segments.join(crowded, "key", "left_semi").mapInArrow(finer, "segment binary, at int, part int, key long, piece binary, lo long, hi long"))
     below = _answers(_collapsed(pieces, "piece"), length, grams[1:], bits, 4).withColumnRenamed("segment", "piece")
-    nobody = F.array_repeat(F.lit((1 << 63) - 1), F.octet_length("piece") - (length - 1))
-    runs = pieces.select("segment", "at", "piece").join(below, "piece", "left").select("segment", F.struct("at", F.coalesce("least", nobody).alias("least")).alias("run"))
-    whole = runs.groupBy("segment").agg(F.array_sort(F.collect_list("run")).alias("runs")).select("segment", F.flatten("runs.least").alias("least"))
+    # only pieces that have an answer come back to their segments; what lies between them is nobody's
+    runs = pieces.select("segment", "at", "piece").join(below, "piece").select("segment", F.struct("at", "least").alias("run"))
+    sent = runs.groupBy("segment").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    nobody = lambda n: F.array_repeat(F.lit((1 << 63) - 1), n)
+    fill = lambda done, run: F.concat(done, nobody(run["at"] - F.size(done)), run["least"])
+    rest = lambda done: F.concat(done, nobody(F.octet_length("segment") - (length - 1) - F.size(done)))
+    whole = sent.select("segment", F.aggregate("runs", F.array().cast("array<long>"), fill, rest).alias("least"))
     return solved(segments.join(crowded, "key", "left_anti")).unionByName(whole)
 
 

@@ -575,3 +575,21 @@ def test_an_id_with_two_texts_links_their_classes(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     docs = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (6, ""), (None, b)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard_components(docs).collect()) == [(0, 3), (3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
+
+
+def test_only_pieces_with_an_answer_come_back_to_their_segments(spark, monkeypatch):
+    """A common phrase in surroundings of one text each: none but pieces that two texts have are joined, others are nobody's."""
+    from gridloom.llm import substring_dedup as dedup
+
+    monkeypatch.setattr(dedup, "CROWD", 4)
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n).tolist())
+    phrase, end = word(60), word(30)
+    texts = [word(20) + phrase[:45] + (end if i in (3, 11) else word(30)) for i in range(40)]
+    rows = [(0, 7, t, i, i) for i, t in enumerate(texts)]
+    segments = spark.createDataFrame(rows, "part int, key long, segment binary, lo long, hi long")
+    got = {bytes(r["segment"]): r["least"] for r in dedup._answers(segments, 50, [18, 42, 50], 4, 1).collect()}
+    want = {t: [min(j for j, o in enumerate(texts) if t[k : k + 50] in o) for k in range(len(t) - 49)] for t in texts}
+    assert set(got) == {texts[3], texts[11]}
+    nobody = (1 << 63) - 1
+    assert [min(x, 11) for x in got[texts[11]]] == want[texts[11]] and nobody in got[texts[11]]
