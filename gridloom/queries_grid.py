@@ -10,6 +10,7 @@ from .functions import times as T
 from .operators import chunks, collect, grid, neighbors, profiles, raster, sampling, windows
 from .queries import query
 from .queries_raster import CELL, KEY, PMOD
+from .store import dealt
 
 INDEXED = f"{SMALL_SQL}, ix as (select *, dense_rank() over (order by time) - 1 t_idx, (select count(distinct time) from cube) len from cube)"
 
@@ -207,7 +208,8 @@ pq as (select k, coalesce(b[1], a[2], a[1]) p, coalesce(a[1], b[2], b[1]) q from
 
 
 def _profile(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), F.col("l_orderkey") == F.col("k"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    lines = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), F.col("l_orderkey") == F.col("k"))
     return lines.groupBy("k", (F.col("l_linenumber") * 20.0 - 10).alias("lev")).agg(F.avg("l_quantity").alias("v"))
 
 

@@ -38,6 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition that ``dealt`` aims at.
+DEALT_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys in as many partitions as keep some ``DEALT_ROWS`` rows each, the session's shuffle partitions at least.
+
+    What joins and groups by the same keys then has tasks of one size however large ``df`` is; adaptive execution does not merge them.
+    Counting runs ``df`` once more: give it a scan or a frame that was cut.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(most, -(-df.count() // DEALT_ROWS)), *keys)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it as long as ``df`` has a column of that name (letters' case aside)."""
     taken = {c.lower() for c in df.columns}
