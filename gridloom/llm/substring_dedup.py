@@ -13,7 +13,8 @@ first collapsed, in tasks and by a partial aggregation, to one row a segment wit
 largest document; shards sort these alone, and what they find is joined back to the documents, a
 join that adaptive execution can split. Keys that still have many different segments (a common
 gram in changing surroundings) are dealt on: their segments are cut into runs by the least hash of
-longer grams, in the end of the 50-byte strings themselves, until every shard is small.
+longer grams, in the end of the 50-byte strings themselves, until every shard is small. Of the runs
+only those go on whose key two segments have (a bitmap again); the strings of the others are their segment's own.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ HOT_DOCS, HOT_SEGMENTS, HOT_BITS = 256, 2048, 24
 #: A hot key is dealt on by longer grams if it has more different segments than an even share of a shuffle partition,
 #: or, once cut, a quarter of it; taken within these bounds.
 CROWD, MOST_CROWD = 256, 16_384
+#: Segments of crowded keys (of 115 bytes at most) from which a task gathers the keys of longer grams.
+GATHERED = 16_384
 
 
 def _part_bits(spark: SparkSession) -> int:
@@ -428,6 +431,37 @@ def _answers(segments: DataFrame, length: int, grams: list[int], bits: int, shar
         if held:
             yield answer(pa.Table.from_batches(held))
 
+    solved = lambda rows: rows.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "segment binary, least array<long>")
+    if len(grams) == 1:
+        return solved(segments)
+    segments = cut(segments)
+    n = segments.count()
+    even = n // (share * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    crowded = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min(max(even, CROWD), MOST_CROWD)))
+    of_crowded = crowded.agg(F.sum("n")).first()[0]
+    if not of_crowded:
+        return solved(segments)
+    crowded = crowded.select("key")
+    dense = segments.join(crowded, "key", "left_semi")
+    pieces = cut(_shared_pieces(dense, of_crowded, length, grams[1], bits))
+    below = _answers(_collapsed(pieces, "piece"), length, grams[1:], bits, 4).withColumnRenamed("segment", "piece")
+    # only pieces that have an answer come back to their segments; the strings between them are in no other segment
+    runs = pieces.select("segment", "at", "piece").join(below, "piece").select("segment", F.struct("at", "least").alias("run"), F.lit(None).cast("long").alias("own"))
+    owned = dense.where("lo < hi").select("segment", F.lit(None).cast(dict(runs.dtypes)["run"]).alias("run"), F.col("lo").alias("own"))
+    sent = runs.unionByName(owned).groupBy("segment").agg(F.array_sort(F.collect_list("run")).alias("runs"), F.coalesce(F.max("own"), F.lit((1 << 63) - 1)).alias("own"))
+    alone = lambda n: F.array_repeat("own", n)
+    fill = lambda done, run: F.concat(done, alone(run["at"] - F.size(done)), run["least"])
+    rest = lambda done: F.concat(done, alone(F.octet_length("segment") - (length - 1) - F.size(done)))
+    whole = sent.select("segment", F.aggregate("runs", F.array().cast("array<long>"), fill, rest).alias("least"))
+    return solved(segments.join(crowded, "key", "left_anti")).unionByName(whole)
+
+
+def _shared_pieces(segments: DataFrame, n: int, length: int, gram: int, bits: int) -> DataFrame:
+    """(segment, at, part, key, piece, lo, hi): the runs of ``n`` different segments by longer grams, those whose key two segments have."""
+    tasks = -(-n // GATHERED)
+    repeated, _ = _repeated_keys(segments.select(F.concat("segment", F.lit(b"\n")).alias("text")).coalesce(tasks), length, gram, bits)
+    shared = segments.sparkSession.sparkContext.broadcast(repeated)
+
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, CROWD):
@@ -435,31 +469,16 @@ def _answers(segments: DataFrame, length: int, grams: list[int], bits: int, shar
                 texts = rows["segment"].to_pylist()
                 data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a line feed behind each, as the texts have
                 offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-                first, last, key = _runs(W.Slice(0, len(texts), data, offsets), length, grams[1])
+                runs = _runs(W.Slice(0, len(texts), data, offsets), length, gram)
+                keep = _marked(shared.value, runs[2])
+                first, last, key = (x[keep] for x in runs)
                 row = np.searchsorted(offsets, first, "right") - 1
                 pieces = [data[a:b].tobytes() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
                 own = rows.take(pa.array(row))
                 columns = [own["segment"], pa.array((first - offsets[row]).astype(np.int32)), pa.array((key >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(pieces, pa.binary()), own["lo"], own["hi"]]
                 yield pa.RecordBatch.from_arrays(columns, ["segment", "at", "part", "key", "piece", "lo", "hi"])
 
-    solved = lambda rows: rows.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "segment binary, least array<long>")
-    if len(grams) == 1:
-        return solved(segments)
-    segments = cut(segments)
-    even = segments.count() // (share * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    crowded = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min(max(even, CROWD), MOST_CROWD)).select("key"))
-    if crowded.isEmpty():
-        return solved(segments)
-    pieces = cut(segments.join(crowded, "key", "left_semi").mapInArrow(finer, "segment binary, at int, part int, key long, piece binary, lo long, hi long"))
-    below = _answers(_collapsed(pieces, "piece"), length, grams[1:], bits, 4).withColumnRenamed("segment", "piece")
-    # only pieces that have an answer come back to their segments; what lies between them is nobody's
-    runs = pieces.select("segment", "at", "piece").join(below, "piece").select("segment", F.struct("at", "least").alias("run"))
-    sent = runs.groupBy("segment").agg(F.array_sort(F.collect_list("run")).alias("runs"))
-    nobody = lambda n: F.array_repeat(F.lit((1 << 63) - 1), n)
-    fill = lambda done, run: F.concat(done, nobody(run["at"] - F.size(done)), run["least"])
-    rest = lambda done: F.concat(done, nobody(F.octet_length("segment") - (length - 1) - F.size(done)))
-    whole = sent.select("segment", F.aggregate("runs", F.array().cast("array<long>"), fill, rest).alias("least"))
-    return solved(segments.join(crowded, "key", "left_anti")).unionByName(whole)
+    return segments.mapInArrow(finer, "segment binary, at int, part int, key long, piece binary, lo long, hi long")
 
 
 def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:

@@ -593,3 +593,25 @@ def test_only_pieces_with_an_answer_come_back_to_their_segments(spark, monkeypat
     assert set(got) == {texts[3], texts[11]}
     nobody = (1 << 63) - 1
     assert [min(x, 11) for x in got[texts[11]]] == want[texts[11]] and nobody in got[texts[11]]
+
+
+def test_only_pieces_that_two_segments_have_are_dealt_on(spark, monkeypatch):
+    """A common phrase in surroundings of one text each: rows grow with what is shared, not with the segments' strings; the owner of the rest is the segment's."""
+    from gridloom.llm import substring_dedup as dedup
+
+    rows = []
+    monkeypatch.setattr(dedup, "CROWD", 4)
+    monkeypatch.setattr(dedup, "cut", lambda df, cut=dedup.cut: [held := cut(df), "at" in df.columns and rows.append(held.count())][0])
+    rng = np.random.default_rng(9)
+    word = lambda n: bytes(rng.integers(97, 123, n).tolist())
+    phrase, end = word(45), word(30)
+    texts = [word(20) + phrase + (end if i in (3, 11) else word(30)) for i in range(40)]
+    ids = [(i, 90 + i if i in (5, 11) else i) for i in range(40)]
+    segments = spark.createDataFrame([(0, 7, t, *ids[i]) for i, t in enumerate(texts)], "part int, key long, segment binary, lo long, hi long")
+    got = {bytes(r["segment"]): r["least"] for r in dedup._answers(segments, 50, [18, 42, 50], 4, 1).collect()}
+    want = {t: [min(ids[j][0] for j, o in enumerate(texts) if t[k : k + 50] in o) for k in range(len(t) - 49)] for t in texts}
+    assert set(got) == {texts[i] for i in (3, 5, 11)}
+    assert got[texts[5]] == want[texts[5]] == [5] * 46 and got[texts[11]] == want[texts[11]]
+    assert [min(x, 3) for x in got[texts[3]]] == want[texts[3]]
+    # a 42-byte gram of the phrase rules at most 13 of a text's 46 strings; all pieces were some 300
+    assert rows and rows[0] <= 40 * 5 and sum(rows[1:]) <= 2 * 46
