@@ -6,6 +6,8 @@ windows of the year are a join with a table of days, at most 366 rows a window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,20 @@ def zero_rate(x: Column, threshold: float = 0.0) -> Column:
     return F.avg(F.when(finite, (x <= threshold).cast("double")))
 
 
+def _by_site(df: DataFrame, feature: str) -> DataFrame:
+    """(gid, feature) dealt out by site once: groups by site and value that follow need no exchange of their own."""
+    return df.select("gid", feature).repartition("gid")
+
+
+def _side_by_side(series: dict[str, DataFrame], feature: str) -> DataFrame:
+    """(gid, doy, each of ``series``): the rows of all series, values in the column of their own, dealt out by site once.
+
+    Groups by site and day, value or window that follow need no exchange, and no join puts the series together.
+    """
+    sides = [df.select("gid", F.dayofyear("time").alias("doy"), *[(F.col(feature) if c == name else F.lit(None)).alias(c) for c in series]) for name, df in series.items()]
+    return reduce(DataFrame.unionByName, sides).repartition("gid")
+
+
 def _at_ranks(df: DataFrame, feature: str, sites: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     """(gid, each of ``ranks``): the value at a rank from 0 on of a site's sorted series; ranks may use ``_size`` and columns of ``sites``.
 
@@ -103,7 +119,7 @@ def _at_ranks(df: DataFrame, feature: str, sites: DataFrame, ranks: dict[str, Co
     """
     counted = df.where(F.col(feature).isNotNull()).groupBy("gid", F.col(feature).alias("_x")).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("gid").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counted.withColumn("_upto", upto).join(counted.groupBy("gid").agg(F.sum("_n").alias("_size")).join(sites, "gid"), "gid")
+    placed = counted.withColumn("_upto", upto).join(df.groupBy("gid").agg(F.count(feature).alias("_size")).join(sites, "gid"), "gid")
     return placed.groupBy("gid").agg(*[F.min(F.when(F.col("_upto") > k, F.col("_x"))).alias(name) for name, k in ranks.items()])
 
 
@@ -133,27 +149,38 @@ def window_days(spark: SparkSession, n: int = WINDOWS, days: float = WINDOW_DAYS
     return centers.crossJoin(doys).where(in_window(F.col("doy"), F.col("center"), days))
 
 
+def _quantiles(series: dict[str, DataFrame], feature: str, n: int, days: float, levels: list[float] | None) -> DataFrame:
+    table = window_days(next(iter(series.values())).sparkSession, n, days).select("t_window", "doy")
+    rows = _side_by_side(series, feature).withColumn("_x", F.coalesce(*series)).where("_x is not null")
+    counted = rows.groupBy("gid", "doy", "_x").agg(*[F.count(c).alias(c) for c in series])
+    per_window = counted.join(F.broadcast(table), "doy").groupBy("gid", "t_window")
+    return per_window.agg(*[F.percentile("_x", levels or quantile_levels(), F.col(c)).alias(c) for c in series]).dropna(subset=list(series))
+
+
 def window_quantiles(df: DataFrame, feature: str, name: str, n: int = WINDOWS, days: float = WINDOW_DAYS, levels: list[float] | None = None) -> DataFrame:
     """(gid, t_window, name): quantiles of each site's values in each window; a row counts in every window it is in.
 
-    Equal values of a day are counted first; only the counts are repeated for the windows.
+    Equal values of a day are counted first; only the counts are repeated for the windows. Rows are dealt out by
+    site before that, so a window's values meet in one task and are not shuffled once a window.
     """
-    table = window_days(df.sparkSession, n, days).select("t_window", "doy")
-    counted = df.where(F.col(feature).isNotNull()).groupBy("gid", F.dayofyear("time").alias("doy"), feature).agg(F.count("*").alias("_n"))
-    return counted.join(F.broadcast(table), "doy").groupBy("gid", "t_window").agg(F.percentile(feature, levels or quantile_levels(), F.col("_n")).alias(name))
+    return _quantiles({name: df}, feature, n, days, levels)
+
+
+def _means(series: dict[str, DataFrame], feature: str, n: int, days: float) -> DataFrame:
+    table = window_days(next(iter(series.values())).sparkSession, n, days).select("t_window", "doy")
+    parts = {f"_s_{c}": F.sum(c) for c in series} | {f"_n_{c}": F.count(c) for c in series}
+    daily = _side_by_side(series, feature).groupBy("gid", "doy").agg(*[part.alias(name) for name, part in parts.items()])
+    return daily.join(F.broadcast(table), "doy").groupBy("gid", "t_window").agg(*[(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in series])
 
 
 def window_means(df: DataFrame, feature: str, name: str, n: int = WINDOWS, days: float = WINDOW_DAYS) -> DataFrame:
     """(gid, t_window, name): means over each window, from at most 366 sums a site."""
-    table = window_days(df.sparkSession, n, days).select("t_window", "doy")
-    daily = df.groupBy("gid", F.dayofyear("time").alias("doy")).agg(F.sum(feature).alias("_s"), F.count(feature).alias("_n"))
-    return daily.join(F.broadcast(table), "doy").groupBy("gid", "t_window").agg((F.sum("_s") / F.sum("_n")).alias(name))
+    return _means({name: df}, feature, n, days)
 
 
 def qdm_params(base: DataFrame, bias: DataFrame, future: DataFrame, feature: str, n: int = WINDOWS, days: float = WINDOW_DAYS, levels: list[float] | None = None) -> DataFrame:
     """(gid, t_window, base, bias, bias_fut): quantiles of the observed, modelled and future series."""
-    parts = [window_quantiles(df, feature, name, n, days, levels) for df, name in ((base, "base"), (bias, "bias"), (future, "bias_fut"))]
-    return parts[0].join(parts[1], ["gid", "t_window"]).join(parts[2], ["gid", "t_window"])
+    return _quantiles({"base": base, "bias": bias, "bias_fut": future}, feature, n, days, levels)
 
 
 def _let(x: Column, f) -> Column:
@@ -219,12 +246,13 @@ def presrat_params(base: DataFrame, bias: DataFrame, future: DataFrame, feature:
     corrected = cut(_mapped(dated, params, feature, levels, True, False, {"denominator_least": threshold}).drop("t_window"))
     dry = base.groupBy("gid").agg(zero_rate(F.col(feature), threshold).alias("zero_rate"))
     rank = lambda share: F.least(F.bround(F.col(share) * F.col("_size")).cast("long"), F.col("_size") - 1)
-    tau = _at_ranks(bias, feature, dry, {"_tau": rank("zero_rate")})
-    below = future.where(F.col(feature).isNotNull()).join(tau, "gid").groupBy("gid").agg(F.avg((F.col(feature) < F.col("_tau")).cast("double")).alias("_share"))
-    site = dry.join(_at_ranks(corrected, feature, below, {"tau_fut": rank("_share")}), "gid")
-    mean = lambda df, name: window_means(df, feature, name, n, days).withColumn(name, F.greatest(F.col(name), F.lit(threshold)))
-    means = mean(bias, "mh").join(mean(future, "mf"), ["gid", "t_window"]).join(mean(base, "oh"), ["gid", "t_window"]).join(mean(corrected, "mu"), ["gid", "t_window"])
-    k = means.select("gid", "t_window", ((F.col("mf") / F.col("mh")) / (F.col("mu") / F.col("oh"))).alias("k_factor"))
+    tau = _at_ranks(_by_site(bias, feature), feature, dry, {"_tau": rank("zero_rate")})
+    below = _by_site(future, feature).where(F.col(feature).isNotNull()).join(tau, "gid").groupBy("gid").agg(F.avg((F.col(feature) < F.col("_tau")).cast("double")).alias("_share"))
+    site = dry.join(_at_ranks(_by_site(corrected, feature), feature, below, {"tau_fut": rank("_share")}), "gid")
+    # windows that a history lacks are not in ``params``
+    mean = lambda name: F.greatest(F.col(name), F.lit(threshold))
+    means = _means({"mh": bias, "mf": future, "oh": base, "mu": corrected}, feature, n, days)
+    k = means.select("gid", "t_window", ((mean("mf") / mean("mh")) / (mean("mu") / mean("oh"))).alias("k_factor"))
     return params.join(site, "gid").join(k, ["gid", "t_window"])
 
 

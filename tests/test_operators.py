@@ -608,3 +608,28 @@ def test_places_at_one_distance_go_by_their_ids(spark):
     corners = spark.createDataFrame(around, "gid int, latitude decimal(14,5), longitude decimal(14,5)")
     got = {r["rank"]: (r["tid"], r["distance"]) for r in neighbors.knn_join(point, corners, 4, 0.2).collect()}
     assert got == {i + 1: (i, (0.05 * 0.05 + 0.05 * 0.05) ** 0.5) for i in range(4)}
+
+
+def test_window_quantiles_of_three_histories_take_one_exchange(spark):
+    """All rows are dealt out by site once; sites or windows that a history lacks, nulls and repeated values change nothing of it."""
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    when = lambda k: dt.datetime(2001, 1, 1) + dt.timedelta(days=int(k))
+    series = [[(g, when(d), float(rng.integers(0, 6))) for g in sites for d in rng.integers(0, 365, 80)] + [(sites[0], when(3), None)] for sites in ((1, 2, 3), (2, 1), (1, 2, 4))]
+    series[2] += [(5, when(9), None)]
+    frames = [spark.createDataFrame(rows, "gid long, time timestamp, x double") for rows in series]
+    params = bias.qdm_params(*frames, "x", 4, 120, [0.0, 0.3, 1.0])
+    assert params._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    days = {}
+    for r in bias.window_days(spark, 4, 120).collect():
+        days.setdefault(r["t_window"], set()).add(r["doy"])
+    of = lambda rows, g, w: [x for gid, t, x in rows if gid == g and x is not None and t.timetuple().tm_yday in days[w]]
+    got = {(r["gid"], r["t_window"]): (r["base"], r["bias"], r["bias_fut"]) for r in params.collect()}
+    assert got.keys() == {(g, w) for g in (1, 2) for w in range(4)}
+    for (g, w), lists in got.items():
+        for rows, found in zip(series, lists, strict=True):
+            assert np.allclose(found, np.quantile(of(rows, g, w), [0.0, 0.3, 1.0]))
+    means = bias._means(dict(zip("abc", frames, strict=True)), "x", 4, 120)
+    for r in means.where("gid in (1, 2)").collect():
+        assert np.allclose([r[c] for c in "abc"], [np.mean(of(rows, r["gid"], r["t_window"])) for rows in series])
